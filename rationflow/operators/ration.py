@@ -50,6 +50,7 @@ PRIMAL_TOL = 1e-9
 SUPPORT_TOL = 1e-9
 # Reference behaviour: proportions kept in the formula are strictly > 0.001.
 KEEP_THRESHOLD = 0.001
+X_DP, COST_DP = 12, 9
 # Facet tables above this row count are not broadcast (AQE decides instead).
 FACET_BROADCAST_MAX_ROWS = 2_000_000
 CATALOG_BROADCAST_MAX_ROWS = 1_000_000
@@ -231,7 +232,10 @@ def solve_targets(targets: DataFrame, facets: DataFrame) -> DataFrame:
     j = j.withColumn("_frhs", frhs)
     xs = [F.expr(_x(i).replace("_frhs", "_frhs")) for i in range(MAX_SLOTS)]
     cost = F.expr("f_y0 + f_y_cp * cp_req + f_y_energy * energy_req + f_y_fiber * _frhs")
-    slots = [F.struct(*[F.col(f"f_s{i}_{c}").alias(c) for c in SLOT_FIELDS], xs[i].alias("x"))
+    # Solver output is snapped to 12 dp (proportions) / 9 dp (cost) so the
+    # ~1e-13 noise of the closed-form algebra never flips a later rounding.
+    slots = [F.struct(*[F.col(f"f_s{i}_{c}").alias(c) for c in SLOT_FIELDS],
+                      F.round(xs[i], X_DP).alias("x"))
              for i in range(MAX_SLOTS)]
     support = F.concat_ws(",", *[F.when(xs[i] > SUPPORT_TOL, F.lpad(F.col(f"f_s{i}_pos").cast("string"), 12, "0"))
                                  for i in range(MAX_SLOTS)])
@@ -240,7 +244,7 @@ def solve_targets(targets: DataFrame, facets: DataFrame) -> DataFrame:
     j = j.select(*TARGET_COLS,
                  F.when(F.col("f_species").isNotNull(), F.struct(
                      F.round(cost, 6).alias("cost6"), support.alias("support"), xvec.alias("xvec"))).alias("_rank"),
-                 F.struct(cost.alias("total_cost"),
+                 F.struct(F.round(cost, COST_DP).alias("total_cost"),
                           F.filter(F.array(*slots), lambda s: s["pos"].isNotNull()).alias("formula")).alias("_sol"))
     best = j.groupBy(*TARGET_COLS).agg(F.min_by("_sol", "_rank").alias("_sol"),
                                        F.min("_rank").alias("_rank"))

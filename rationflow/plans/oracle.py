@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import queries as Q
+from . import sql_funcs as SF
 from . import sql_views as V
 
 _TARGETS = "targets AS (SELECT DISTINCT species, cp_req, energy_req, fiber_min, fiber_max FROM scenarios)"
@@ -72,7 +74,252 @@ FROM frows""",
     }
 
 
+def _list(vals) -> str:
+    return "[" + ", ".join(SF.lit(v) for v in vals) + "]"
+
+
+def _scalar_queries() -> dict[str, str]:
+    k_txt = "regexp_extract(props, '\"k\": (-?[0-9.]+)', 1)"
+    clean = ", ".join([
+        "species", "pos", f"{SF.sanitize_key('ingredient', 100)} AS ingredient",
+        f"{SF.clip_or_zero('cp', 100)} AS cp", f"{SF.clip_or_zero('energy', 10000)} AS energy",
+        f"{SF.clip_or_zero('fiber', 100)} AS fiber", f"{SF.clip_or_zero('cost', 100000)} AS cost"])
+    return {
+        "sanitize_text": f"""
+SELECT doc_id, {SF.sanitize_text('text', 200)} AS clean,
+       CAST(length({SF.sanitize_text('text', None)}) AS BIGINT) AS clean_chars FROM documents""",
+        "sanitize_numeric": f"""
+SELECT event_id, {SF.sanitize_numeric('value', 10, 30, 18)} AS v_num,
+       {SF.sanitize_int_num('value', 1, 100, 7)} AS v_int,
+       {SF.sanitize_numeric('props', 0, 100, -1)} AS props_num,
+       {SF.sanitize_int_text(k_txt, 1, 50, 7)} AS k_int FROM events""",
+        "sanitize_catalog": V.with_views(V.CATALOG_EDITS) + f"""
+SELECT * FROM (SELECT {clean} FROM catalog_edits) WHERE {SF.py_strip('ingredient')} <> ''""",
+        "range_midpoint": V.with_views(V.RANGE_TEXTS) + f"""
+SELECT pos, raw, {SF.parse_mid('raw')} AS mid FROM range_texts""",
+    }
+
+
+_SCEN = V.with_views(V.CATALOG, V.SCENARIOS) + ",\n" + SF.STANDARDS_LONG + ",\n" + SF.BREEDS
+_WIDE = {
+    "Crude Protein (%)": "crude_protein", "Energy (kcal/kg)": "energy", "Crude Fiber (%)": "crude_fiber",
+    "Calcium (%)": "calcium", "Phosphorus (%)": "phosphorus", "Lysine (%)": "lysine",
+    "Methionine (%)": "methionine", "TDN (%)": "tdn", "Feed Intake (g/day)": "feed_intake_g_day",
+    "Feed Intake (kg/day)": "feed_intake_kg_day"}
+
+
+def _guide_queries() -> dict[str, str]:
+    wide_cols = ", ".join(f"max(CASE WHEN nutrient = {SF.lit(k)} THEN requirement END) AS {v}"
+                          for k, v in _WIDE.items())
+
+    def nut(key, default):
+        return f"coalesce(max(CASE WHEN nutrient = {SF.lit(key)} THEN requirement END), {SF.lit(default)})"
+    cp, en, fi = (SF.parse_mid(nut("Crude Protein (%)", "16-18")), SF.parse_mid(nut("Energy (kcal/kg)", "2500-2700")),
+                  SF.parse_mid(nut("Crude Fiber (%)", "12-16")))
+    breeds_r = (f"breeds_r AS (SELECT species AS animal, pos AS breed_no, breed, type, growth_rate, recommended_cp, "
+                f"{SF.parse_mid('recommended_cp')} AS recommended_cp_mid, market_age, "
+                f"CASE WHEN species = 'Cattle' THEN 'months' ELSE 'weeks' END AS market_age_unit FROM breeds)")
+    sb = f"{_SCEN},\n{breeds_r},\nsb AS (SELECT s.*, b.breed, b.type, b.growth_rate FROM scenarios s JOIN breeds_r b ON s.animal = b.animal AND s.breed_no = b.breed_no)"
+    type_terms = _list(Q.TYPE_TERMS)
+    breed_terms = _list(Q.BREED_TERMS)
+    return {
+        "standards_unpivot": _SCEN + f"""
+SELECT s.scenario_id, l.nutrient_no, l.nutrient, {SF.short_label('l.nutrient')} AS short_label, l.requirement
+FROM scenarios s JOIN standards_long l ON s.animal = l.species AND s.stage_no = l.stage_no""",
+        "standards_union": _SCEN + f""",
+wide AS (SELECT species, stage_no, stage, {wide_cols} FROM standards_long GROUP BY species, stage_no, stage)
+SELECT s.scenario_id, w.stage, {', '.join('w.' + v for v in _WIDE.values())}
+FROM scenarios s JOIN wide w ON s.animal = w.species AND s.stage_no = w.stage_no""",
+        "stage_targets_join": _SCEN + f""",
+t AS (SELECT species, stage_no, stage, {cp} AS cp_target, {en} AS energy_mid, {fi} AS fiber_mid
+      FROM standards_long GROUP BY species, stage_no, stage)
+SELECT s.scenario_id, t.stage, t.cp_target, least(t.energy_mid, 4500.0::DOUBLE) AS energy_target,
+       greatest(0.0::DOUBLE, t.fiber_mid - 2) AS fiber_min_default, t.fiber_mid + 4 AS fiber_max_default
+FROM scenarios s JOIN t ON s.animal = t.species AND s.stage_no = t.stage_no""",
+        "breed_profile_lookup": f"{_SCEN},\n{breeds_r}" + """
+SELECT s.scenario_id, b.breed, b.type, b.recommended_cp, b.recommended_cp_mid, b.market_age, b.market_age_unit
+FROM scenarios s LEFT JOIN breeds_r b ON s.animal = b.animal AND s.breed_no = b.breed_no""",
+        "breed_semi_join": f"{_SCEN},\n{breeds_r}" + """
+SELECT scenario_id, animal, breed_no FROM scenarios s
+WHERE EXISTS (SELECT 1 FROM breeds_r b WHERE b.animal = s.animal AND b.breed_no = s.breed_no)""",
+        "breed_anti_join": f"{_SCEN},\n{breeds_r}" + """
+SELECT scenario_id, animal, breed_no FROM scenarios s
+WHERE NOT EXISTS (SELECT 1 FROM breeds_r b WHERE b.animal = s.animal AND b.breed_no = s.breed_no)""",
+        "type_counts": sb + "\nSELECT animal, type, CAST(count(*) AS BIGINT) AS n FROM sb GROUP BY animal, type",
+        "growth_rate_counts": sb + "\nSELECT animal, growth_rate, CAST(count(*) AS BIGINT) AS n FROM sb GROUP BY animal, growth_rate",
+        "distinct_types": sb + "\nSELECT animal, 'All|' || string_agg(DISTINCT type, '|' ORDER BY type) AS type_options FROM sb GROUP BY animal",
+        "type_filter_all": f"{_SCEN},\n{breeds_r}" + f"""
+SELECT scenario_id, breed FROM (
+  SELECT s.scenario_id, b.breed, b.type, ({type_terms})[CAST(s.user_id % {len(Q.TYPE_TERMS)} + 1 AS INTEGER)] AS term
+  FROM scenarios s JOIN breeds_r b ON s.animal = b.animal) WHERE term = 'All' OR type = term""",
+        "breed_search_literal": f"{_SCEN},\n{breeds_r}" + f"""
+SELECT scenario_id, breed FROM (
+  SELECT s.scenario_id, b.breed,
+         {SF.sanitize_text(f"({breed_terms})[CAST(s.user_id % {len(Q.BREED_TERMS)} + 1 AS INTEGER)]")} AS t
+  FROM scenarios s JOIN breeds_r b ON s.animal = b.animal) WHERE t = '' OR contains(lower(breed), lower(t))""",
+    }
+
+
+def _catalog_queries() -> dict[str, str]:
+    from ..operators.catalog import sanitize_scalar
+    term = sanitize_scalar(Q.SEARCH_REGEX_TERM)
+    sterm = sanitize_scalar(Q.SUMMARY_TERM)
+    lv = V.with_views(V.LISTING)
+    first = """first_l AS (
+  SELECT species, ingredient, pos, brand, cp, energy, fiber, cost FROM (
+    SELECT *, row_number() OVER (PARTITION BY species, ingredient ORDER BY pos) AS _rn FROM listing)
+  WHERE _rn = 1)"""
+    clean = ", ".join([
+        "species", "pos", f"{SF.sanitize_key('ingredient', 100)} AS ingredient",
+        f"{SF.clip_or_zero('cp', 100)} AS cp", f"{SF.clip_or_zero('energy', 10000)} AS energy",
+        f"{SF.clip_or_zero('fiber', 100)} AS fiber", f"{SF.clip_or_zero('cost', 100000)} AS cost"])
+    return {
+        "catalog_search_regex": lv + f"""
+SELECT species, pos, ingredient, cost FROM listing WHERE coalesce(regexp_matches(ingredient, {SF.lit('(?i)' + term)}), FALSE)""",
+        "catalog_sort": lv + "\nSELECT species, pos, ingredient, cost FROM listing ORDER BY cost DESC, pos",
+        "catalog_summary": lv + f"""
+SELECT species, CAST(count(*) AS BIGINT) AS n_ingredients, round(avg(cost), 6) AS avg_cost,
+       round(avg(cp), 6) AS avg_cp, round(avg(energy), 6) AS avg_energy
+FROM listing WHERE {SF.lit(sterm)} = '' OR contains(lower(ingredient), lower({SF.lit(sterm)})) GROUP BY species""",
+        "first_per_key": lv + ",\n" + first + "\nSELECT * FROM first_l",
+        "catalog_merge": V.with_views(V.LISTING, V.CATALOG_EDITS) + ",\n" + first + f""",
+clean AS (SELECT * FROM (SELECT {clean} FROM catalog_edits) WHERE {SF.py_strip('ingredient')} <> ''),
+e AS (SELECT species, ingredient, pos, cp, energy, fiber, cost FROM (
+        SELECT *, row_number() OVER (PARTITION BY species, ingredient ORDER BY pos) AS _rn FROM clean) WHERE _rn = 1)
+SELECT coalesce(e.species, b.species) AS species, coalesce(e.ingredient, b.ingredient) AS ingredient,
+       CASE WHEN e.species IS NOT NULL THEN e.pos ELSE b.pos END AS pos,
+       CASE WHEN e.species IS NOT NULL THEN e.cp ELSE b.cp END AS cp,
+       CASE WHEN e.species IS NOT NULL THEN e.energy ELSE b.energy END AS energy,
+       CASE WHEN e.species IS NOT NULL THEN e.fiber ELSE b.fiber END AS fiber,
+       CASE WHEN e.species IS NOT NULL THEN e.cost ELSE b.cost END AS cost,
+       CASE WHEN e.species IS NULL THEN 'base' WHEN b.species IS NOT NULL THEN 'edit' ELSE 'new' END AS source
+FROM first_l b FULL OUTER JOIN e ON b.species = e.species AND b.ingredient = e.ingredient""",
+    }
+
+
+def _econ_queries() -> dict[str, str]:
+    p = _ration_prefix() + ",\n" + SF.SPECIES_PARAMS + """,
+econ AS (
+  SELECT s.*, p.excellent_above, p.good_above, p.target_weight_kg, p.default_price,
+         s.total_cost * s.side_intake AS daily_cost
+  FROM solved s LEFT JOIN species_params p ON s.animal = p.animal),
+roi_b AS (
+  SELECT *, least(greatest(CAST(cycle_days AS BIGINT), 30), 365) AS days_c, CAST(default_price AS BIGINT) AS price
+  FROM econ),
+roi_c AS (
+  SELECT *, daily_cost * days_c AS feed_cost, weight_kg + (gain_g * days_c) / 1000 AS final_weight_kg FROM roi_b),
+roi_d AS (
+  SELECT *, final_weight_kg * price AS revenue, final_weight_kg * price - feed_cost AS profit FROM roi_c),
+roi_e AS (
+  SELECT *, CASE WHEN feed_cost > 0 THEN profit / feed_cost * 100 ELSE 0.0 END AS roi_pct,
+         feed_cost + greatest(profit, 0.0) AS tot FROM roi_d)
+"""
+    n = "least(greatest(CAST(n_animals AS BIGINT), 1), 10000)"
+    d = "least(greatest(CAST(duration_days AS BIGINT), 1), 365)"
+    reach = "(gain_g > 0 AND weight_kg < target_weight_kg)"
+    return {
+        "cost_projection": p + """
+SELECT scenario_id, round(daily_cost, 4) AS daily_cost, round(daily_cost * 7, 4) AS weekly_cost,
+       round(daily_cost * 30, 4) AS monthly_cost, round(daily_cost * 365, 4) AS yearly_cost FROM econ""",
+        "herd_cost": p + f"""
+SELECT scenario_id, round(daily_cost * {n} * {d}, 4) AS herd_total_cost,
+       round(daily_cost * {n} * {d} / {n}, 4) AS cost_per_animal, round(daily_cost * {n}, 4) AS daily_herd_cost
+FROM econ""",
+        "roi": p + """
+SELECT scenario_id, CAST(price AS INTEGER) AS price_per_kg, round(feed_cost, 4) AS feed_cost,
+       round(final_weight_kg, 4) AS final_weight_kg, round(revenue, 4) AS revenue, round(profit, 4) AS profit,
+       round(roi_pct, 4) AS roi_pct, CASE WHEN profit > 0 THEN 'profitable' ELSE 'loss' END AS verdict FROM roi_e""",
+        "roi_shares": p + """
+SELECT scenario_id, round(CASE WHEN tot > 0 THEN feed_cost / tot END, 6) AS feed_share,
+       round(CASE WHEN tot > 0 THEN greatest(profit, 0.0) / tot END, 6) AS profit_share FROM roi_e""",
+        "fcr_rating": p + """
+SELECT scenario_id, round(CASE WHEN gain_g > 0 THEN side_intake * 1000 / gain_g ELSE 0.0 END, 4) AS fcr,
+       CASE WHEN gain_g > excellent_above THEN 'Excellent' WHEN gain_g > good_above THEN 'Good'
+            ELSE 'Below Average' END AS rating FROM econ""",
+        "days_to_market": p + f"""
+SELECT scenario_id, CASE WHEN {reach} THEN CAST(trunc((target_weight_kg - weight_kg) * 1000 / gain_g) AS BIGINT) END
+       AS days_to_market, CASE WHEN {reach} THEN 'days' ELSE 'Achieved' END AS market_label,
+       (gain_g <= 0 AND weight_kg < target_weight_kg) AS unreachable FROM econ""",
+        "growth_metrics": p + """
+SELECT scenario_id, round(gain_g * 7, 4) AS weekly_gain_g, round(gain_g * 30 / 1000, 4) AS monthly_gain_kg,
+       round(weight_kg + (gain_g * 30 * 3 / 1000), 4) AS weight_90d_kg,
+       round(CASE WHEN total_cost IS NOT NULL AND gain_g > 0 THEN total_cost * side_intake * 1000 / gain_g END, 4)
+       AS cost_per_kg_gain FROM econ""",
+        "growth_series": V.with_views(V.CATALOG, V.SCENARIOS) + """
+SELECT scenario_id, CAST(day AS INTEGER) AS day, round(weight_kg + gain_g * day / 1000, 6) AS projected_weight_kg
+FROM scenarios, range(0, 91) AS r(day)""",
+    }
+
+
+def _history_queries() -> dict[str, str]:
+    p = _ration_prefix()
+    rule = "=" * 50
+    det = """string_agg('  ' || ingredient || ': ' || printf('%.2f', round_even((x * 100) * 100, 0) / 100) || '% (N'
+                 || printf('%.2f', round_even((x * cost) * 100, 0) / 100) || ')', chr(10) ORDER BY x DESC, ingredient)"""
+    head = (f"'{rule}' || chr(10) || '          RATION FORMULATION REPORT' || chr(10) || '{rule}' || chr(10) || "
+            f"'Report Generated: {Q.REPORT_TIME}' || chr(10) || "
+            "'Species: ' || s.animal || '  |  Age: ' || CAST(s.age_weeks AS VARCHAR) || ' weeks  |  Weight: ' || "
+            "CAST(s.weight_kg AS VARCHAR) || ' kg' || chr(10) || "
+            "'CP Req: ' || CAST(s.cp_req AS VARCHAR) || '%  |  Energy: ' || CAST(s.energy_req AS VARCHAR) || ' kcal/kg'")
+    return {
+        "history_last3": p + """
+SELECT user_id, scenario_id, recent_rank, round(total_cost, 4) AS total_cost FROM (
+  SELECT user_id, scenario_id, total_cost,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, scenario_id DESC) AS INTEGER) AS recent_rank
+  FROM solved WHERE status = 'optimal') WHERE recent_rank <= 3""",
+        "report_text": p + f""",
+det AS (SELECT species, cp_req, energy_req, fiber_min, fiber_max, {det} AS detail
+        FROM kept GROUP BY species, cp_req, energy_req, fiber_min, fiber_max)
+SELECT s.scenario_id,
+       CASE WHEN s.status = 'optimal' THEN {head} || chr(10) || 'Total Cost/kg: N' || printf('%.2f', s.total_cost)
+                 || '  |  Daily Cost: N' || printf('%.2f', s.total_cost * s.intake_kg) || chr(10) || d.detail
+            ELSE {head} END || chr(10) AS report
+FROM solved s LEFT JOIN det d ON {_T_EQ.format(a='s', b='d')}""",
+    }
+
+
+def _admission_queries() -> dict[str, str]:
+    lim = SF.values(Q.EVENT_LIMITS, ["action", "max_calls", "window_seconds"])
+    a = V.with_views(V.ATTEMPTS)
+    return {
+        "rate_limit_attempts": a + """
+SELECT event_id, user_id, action,
+  CAST(count(*) OVER (PARTITION BY user_id, action ORDER BY epoch_us(ts)
+       RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS attempts_60s,
+  CAST(count(*) OVER (PARTITION BY user_id, action ORDER BY epoch_us(ts)
+       RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS attempts_1d
+FROM attempts""",
+        "rate_limit_exact": "WITH RECURSIVE " + V.ATTEMPTS.strip() + f""",
+lim AS (SELECT * FROM {lim}),
+ev AS (
+  SELECT a.event_id, a.user_id, a.action, epoch_us(a.ts) AS t,
+         coalesce(l.max_calls, 30) AS m, CAST(coalesce(l.window_seconds, 60) AS BIGINT) * 1000000 AS w,
+         row_number() OVER (PARTITION BY a.user_id, a.action ORDER BY epoch_us(a.ts), a.event_id) AS rn
+  FROM attempts a LEFT JOIN lim l ON a.action = l.action),
+fold AS (
+  SELECT user_id, action, rn, event_id, t, CASE WHEN m > 0 THEN [t] ELSE [] END AS held,
+         m > 0 AS admitted, CAST(NULL AS BIGINT) AS wait_s
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.action, e.rn, e.event_id, e.t,
+         CASE WHEN len(list_filter(f.held, lambda x: e.t - x < e.w)) >= e.m
+              THEN list_filter(f.held, lambda x: e.t - x < e.w)
+              ELSE list_append(list_filter(f.held, lambda x: e.t - x < e.w), e.t) END,
+         len(list_filter(f.held, lambda x: e.t - x < e.w)) < e.m,
+         CASE WHEN len(list_filter(f.held, lambda x: e.t - x < e.w)) >= e.m
+              THEN CAST(trunc((e.w - (e.t - list_filter(f.held, lambda x: e.t - x < e.w)[1])) / 1000000.0) AS BIGINT) END
+  FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.action = f.action AND e.rn = f.rn + 1)
+SELECT event_id, user_id, action, admitted, wait_s FROM fold""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     out.update(_ration_queries())
+    out.update(_scalar_queries())
+    out.update(_guide_queries())
+    out.update(_catalog_queries())
+    out.update(_econ_queries())
+    out.update(_history_queries())
+    out.update(_admission_queries())
     return out

@@ -12,9 +12,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sanitize as S
+from ..functions.numbers import parse_mid
+from ..operators import catalog as C
+from ..operators import economics as EC
+from ..operators import guides as G
+from ..operators import history as H
+from ..operators import admission as A
 from ..operators import ration
+from ..sources import reference_tables as R
 from ..sources import testdata as td
 
+# Query parameters (fixed values of the registered queries).
+SEARCH_REGEX_TERM = "RED (gear|bolt)"
+SUMMARY_TERM = "gear"
+SORT_BY = "Cost"
+TYPE_TERMS = ["All", "Meat", "Beef", "Dual Purpose", "Eggs"]
+BREED_TERMS = ["", "broiler", "LAYER", "cross", "N'Dama", "white", "an (x)"]
+REPORT_TIME = "2026-01-01 00:00:00"
+# Admission limits for the driver's event types: (action, max calls, window s)
+EVENT_LIMITS = [("view", 2, 7 * 86_400), ("click", 2, 7 * 86_400), ("purchase", 1, 7 * 86_400),
+                ("signup", 1, 7 * 86_400)]
+
 _FACET_CACHE: dict[tuple, DataFrame] = {}
 
 
@@ -99,8 +118,274 @@ def q_cost_share(spark, sf_dir):
                     F.round(F.col("proportion_pct") / F.sum("proportion_pct").over(w), 6).alias("mass_share"))
 
 
+# --------------------------------------------------------------- scalars
+def q_sanitize_text(spark, sf_dir):
+    d = td.table(spark, sf_dir, "documents")
+    full = S.sanitize_text("text", None)
+    return d.select("doc_id", S.sanitize_text("text", 200).alias("clean"),
+                    F.length(full).cast("bigint").alias("clean_chars"))
+
+
+def q_sanitize_numeric(spark, sf_dir):
+    e = td.table(spark, sf_dir, "events")
+    k_txt = F.regexp_extract("props", r'"k": (-?[0-9.]+)', 1)
+    return e.select("event_id",
+                    S.sanitize_numeric("value", 10, 30, 18).alias("v_num"),
+                    S.sanitize_int("value", 1, 100, 7).alias("v_int"),
+                    S.sanitize_numeric("props", 0, 100, -1).alias("props_num"),
+                    S.sanitize_int(k_txt, 1, 50, 7, "string").alias("k_int"))
+
+
+def q_sanitize_catalog(spark, sf_dir):
+    return S.clean_catalog(td.catalog_edits(spark, sf_dir)).select(
+        "species", "pos", "ingredient", "cp", "energy", "fiber", "cost")
+
+
+def q_range_midpoint(spark, sf_dir):
+    return td.range_texts(spark, sf_dir).select("pos", "raw", parse_mid("raw").alias("mid"))
+
+
+# ---------------------------------------------------------------- guides
+def _scen_small(spark, sf_dir):
+    return td.scenarios(spark, sf_dir).select("scenario_id", "user_id", "animal", "stage_no", "breed_no")
+
+
+def q_standards_unpivot(spark, sf_dir):
+    sc = _scen_small(spark, sf_dir)
+    lg = G.standards_long(spark).withColumnRenamed("species", "animal")
+    j = sc.join(F.broadcast(lg), ["animal", "stage_no"])
+    return j.select("scenario_id", "nutrient_no", "nutrient", G.short_label("nutrient").alias("short_label"),
+                    "requirement")
+
+
+def q_standards_union(spark, sf_dir):
+    sc = _scen_small(spark, sf_dir)
+    wide = G.standards_wide(spark).withColumnRenamed("species", "animal")
+    j = sc.join(F.broadcast(wide), ["animal", "stage_no"])
+    return j.select("scenario_id", "stage", *G.WIDE_NAMES.values())
+
+
+def q_stage_targets_join(spark, sf_dir):
+    sc = _scen_small(spark, sf_dir)
+    t = G.stage_targets(spark).withColumnRenamed("species", "animal")
+    j = sc.join(F.broadcast(t), ["animal", "stage_no"])
+    return j.select("scenario_id", "stage", "cp_target", "energy_target", "fiber_min_default",
+                    "fiber_max_default")
+
+
+def _breeds_b(spark):
+    return G.breeds_with_ranges(spark).withColumnRenamed("species", "animal")
+
+
+def q_breed_profile_lookup(spark, sf_dir):
+    sc = _scen_small(spark, sf_dir)
+    b = _breeds_b(spark).withColumnRenamed("pos", "breed_no")
+    j = sc.join(F.broadcast(b), ["animal", "breed_no"], "left")
+    return j.select("scenario_id", "breed", "type", "recommended_cp", "recommended_cp_mid", "market_age",
+                    F.when(F.col("breed").isNotNull(), F.col("market_age_unit")).alias("market_age_unit"))
+
+
+def q_breed_semi_join(spark, sf_dir):
+    sc = _scen_small(spark, sf_dir)
+    b = _breeds_b(spark).select("animal", F.col("pos").alias("breed_no"))
+    return sc.join(F.broadcast(b), ["animal", "breed_no"], "left_semi").select("scenario_id", "animal", "breed_no")
+
+
+def q_breed_anti_join(spark, sf_dir):
+    sc = _scen_small(spark, sf_dir)
+    b = _breeds_b(spark).select("animal", F.col("pos").alias("breed_no"))
+    return sc.join(F.broadcast(b), ["animal", "breed_no"], "left_anti").select("scenario_id", "animal", "breed_no")
+
+
+def _scen_breeds(spark, sf_dir):
+    sc = _scen_small(spark, sf_dir)
+    b = _breeds_b(spark).withColumnRenamed("pos", "breed_no")
+    return sc.join(F.broadcast(b), ["animal", "breed_no"])
+
+
+def q_type_counts(spark, sf_dir):
+    return G.value_counts(_scen_breeds(spark, sf_dir), ["animal"], "type").select(
+        "animal", "type", F.col("n").cast("bigint").alias("n"))
+
+
+def q_growth_rate_counts(spark, sf_dir):
+    return G.value_counts(_scen_breeds(spark, sf_dir), ["animal"], "growth_rate").select(
+        "animal", "growth_rate", F.col("n").cast("bigint").alias("n"))
+
+
+def q_distinct_types(spark, sf_dir):
+    return C.sorted_distinct(_scen_breeds(spark, sf_dir), "type", keys=("animal",))
+
+
+def _term(options, key_col):
+    arr = F.array(*[F.lit(t) for t in options])
+    return F.element_at(arr, (F.col(key_col) % len(options) + 1).cast("int"))
+
+
+def q_type_filter_all(spark, sf_dir):
+    sc = _scen_small(spark, sf_dir).withColumn("term", _term(TYPE_TERMS, "user_id"))
+    b = _breeds_b(spark).select("animal", "breed", "type")
+    j = sc.join(F.broadcast(b), "animal")
+    return C.type_filter(j, F.col("term")).select("scenario_id", "breed")
+
+
+def q_breed_search_literal(spark, sf_dir):
+    sc = _scen_small(spark, sf_dir).withColumn("term", _term(BREED_TERMS, "user_id"))
+    b = _breeds_b(spark).select("animal", "breed")
+    j = sc.join(F.broadcast(b), "animal")
+    return C.search_literal(j, "breed", F.col("term")).select("scenario_id", "breed")
+
+
+# --------------------------------------------------------------- catalog
+def q_catalog_search_regex(spark, sf_dir):
+    return C.search_regex(td.listing(spark, sf_dir), "ingredient", SEARCH_REGEX_TERM).select(
+        "species", "pos", "ingredient", "cost")
+
+
+def q_catalog_sort(spark, sf_dir):
+    return C.sort_catalog(td.listing(spark, sf_dir), SORT_BY).select("species", "pos", "ingredient", "cost")
+
+
+def q_catalog_summary(spark, sf_dir):
+    f = C.search_literal(td.listing(spark, sf_dir), "ingredient", SUMMARY_TERM)
+    return C.summary(f).select("species", F.col("n_ingredients").cast("bigint").alias("n_ingredients"),
+                               *[F.round(c, 6).alias(c) for c in ("avg_cost", "avg_cp", "avg_energy")])
+
+
+def q_first_per_key(spark, sf_dir):
+    return C.first_per_key(td.listing(spark, sf_dir)).select(
+        "species", "ingredient", "pos", "brand", "cp", "energy", "fiber", "cost")
+
+
+def q_catalog_merge(spark, sf_dir):
+    base = C.first_per_key(td.listing(spark, sf_dir)).select(
+        "species", "ingredient", "pos", "cp", "energy", "fiber", "cost")
+    m = C.merge_catalog(base, td.catalog_edits(spark, sf_dir))
+    return m.select("species", "ingredient", "pos", "cp", "energy", "fiber", "cost", "source")
+
+
+# ------------------------------------------------------------- economics
+def _econ(spark, sf_dir):
+    s = _solved(spark, sf_dir).select(
+        "scenario_id", "user_id", "ts", "animal", "weight_kg", "side_intake", "gain_g", "n_animals",
+        "duration_days", "cycle_days", "total_cost", "status")
+    s = EC.with_species_params(s)
+    return EC.cost_projection(s)
+
+
+def _r4(*cols):
+    return [F.round(c, 4).alias(c) for c in cols]
+
+
+def q_cost_projection(spark, sf_dir):
+    e = _econ(spark, sf_dir)
+    return e.select("scenario_id", *_r4("daily_cost", "weekly_cost", "monthly_cost", "yearly_cost"))
+
+
+def q_herd_cost(spark, sf_dir):
+    e = EC.herd_cost(_econ(spark, sf_dir))
+    return e.select("scenario_id", *_r4("herd_total_cost", "cost_per_animal", "daily_herd_cost"))
+
+
+def q_roi(spark, sf_dir):
+    e = EC.roi(_econ(spark, sf_dir))
+    return e.select("scenario_id", "price_per_kg",
+                    *_r4("feed_cost", "final_weight_kg", "revenue", "profit", "roi_pct"), "verdict")
+
+
+def q_roi_shares(spark, sf_dir):
+    e = EC.roi(_econ(spark, sf_dir))
+    return e.select("scenario_id", F.round("feed_share", 6).alias("feed_share"),
+                    F.round("profit_share", 6).alias("profit_share"))
+
+
+def q_fcr_rating(spark, sf_dir):
+    e = EC.growth_metrics(_econ(spark, sf_dir))
+    return e.select("scenario_id", F.round("fcr", 4).alias("fcr"), "rating")
+
+
+def q_days_to_market(spark, sf_dir):
+    e = EC.growth_metrics(_econ(spark, sf_dir))
+    return e.select("scenario_id", "days_to_market", "market_label", "unreachable")
+
+
+def q_growth_metrics(spark, sf_dir):
+    e = EC.cost_per_kg_gain(EC.growth_metrics(_econ(spark, sf_dir)))
+    return e.select("scenario_id", *_r4("weekly_gain_g", "monthly_gain_kg", "weight_90d_kg", "cost_per_kg_gain"))
+
+
+def q_growth_series(spark, sf_dir):
+    sc = td.scenarios(spark, sf_dir).select("scenario_id", "gain_g", "weight_kg")
+    g = EC.growth_series(sc, ["scenario_id"])
+    return g.select("scenario_id", "day", F.round("projected_weight_kg", 6).alias("projected_weight_kg"))
+
+
+# ---------------------------------------------------------- history/report
+def q_history_last3(spark, sf_dir):
+    s = _solved(spark, sf_dir).where(F.col("status") == "optimal").select(
+        "user_id", "scenario_id", "ts", "total_cost")
+    r = H.last_n_per_key(s, "user_id", [F.desc("ts"), F.desc("scenario_id")], row_id="scenario_id", n=3)
+    return r.select("user_id", "scenario_id", F.col("recent_rank").cast("int").alias("recent_rank"),
+                    F.round("total_cost", 4).alias("total_cost"))
+
+
+def q_report_text(spark, sf_dir):
+    return H.report_text(_solved(spark, sf_dir), REPORT_TIME)
+
+
+# ------------------------------------------------------------- admission
+def _event_limits(spark):
+    return spark.createDataFrame(EVENT_LIMITS, "action string, max_calls int, window_seconds int")
+
+
+def q_rate_limit_attempts(spark, sf_dir):
+    a = td.attempts(spark, sf_dir)
+    m = A.trailing_count(a, 60 * A.US).withColumnRenamed("attempts_in_window", "attempts_60s")
+    d = A.trailing_count(a, 86_400 * A.US).select("event_id", F.col("attempts_in_window").alias("attempts_1d"))
+    return m.join(d, "event_id").select("event_id", "user_id", "action",
+                                        F.col("attempts_60s").cast("bigint").alias("attempts_60s"),
+                                        F.col("attempts_1d").cast("bigint").alias("attempts_1d"))
+
+
+def q_rate_limit_exact(spark, sf_dir):
+    a = td.attempts(spark, sf_dir)
+    return A.admit(a, _event_limits(spark)).select("event_id", "user_id", "action", "admitted", "wait_s")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "sanitize_text": q_sanitize_text,
+        "sanitize_numeric": q_sanitize_numeric,
+        "sanitize_catalog": q_sanitize_catalog,
+        "range_midpoint": q_range_midpoint,
+        "standards_unpivot": q_standards_unpivot,
+        "standards_union": q_standards_union,
+        "stage_targets_join": q_stage_targets_join,
+        "breed_profile_lookup": q_breed_profile_lookup,
+        "breed_semi_join": q_breed_semi_join,
+        "breed_anti_join": q_breed_anti_join,
+        "type_counts": q_type_counts,
+        "growth_rate_counts": q_growth_rate_counts,
+        "distinct_types": q_distinct_types,
+        "type_filter_all": q_type_filter_all,
+        "breed_search_literal": q_breed_search_literal,
+        "catalog_search_regex": q_catalog_search_regex,
+        "catalog_sort": q_catalog_sort,
+        "catalog_summary": q_catalog_summary,
+        "first_per_key": q_first_per_key,
+        "catalog_merge": q_catalog_merge,
+        "cost_projection": q_cost_projection,
+        "herd_cost": q_herd_cost,
+        "roi": q_roi,
+        "roi_shares": q_roi_shares,
+        "fcr_rating": q_fcr_rating,
+        "days_to_market": q_days_to_market,
+        "growth_metrics": q_growth_metrics,
+        "growth_series": q_growth_series,
+        "history_last3": q_history_last3,
+        "report_text": q_report_text,
+        "rate_limit_attempts": q_rate_limit_attempts,
+        "rate_limit_exact": q_rate_limit_exact,
         "ration_min_cost": q_ration_min_cost,
         "ration_fiber_band": q_ration_fiber_band,
         "ration_infeasible": q_ration_infeasible,

@@ -157,8 +157,8 @@ ranked AS (
 best AS (
   SELECT t.species, t.cp_req, t.energy_req, t.fiber_min, t.fiber_max,
          CASE WHEN r._rn IS NULL THEN 'infeasible' ELSE 'optimal' END AS status,
-         r.total_cost, {', '.join(f's{j}_{c}' for j in range(4) for c in SLOT_FIELDS)},
-         x0, x1, x2, x3
+         round(r.total_cost, 9) AS total_cost, {', '.join(f's{j}_{c}' for j in range(4) for c in SLOT_FIELDS)},
+         round(x0, 12) AS x0, round(x1, 12) AS x1, round(x2, 12) AS x2, round(x3, 12) AS x3
   FROM targets t LEFT JOIN (SELECT * FROM ranked WHERE _rn = 1) r
     ON t.species = r.species AND t.cp_req = r.cp_req AND t.energy_req = r.energy_req
    AND t.fiber_min IS NOT DISTINCT FROM r.fiber_min AND t.fiber_max IS NOT DISTINCT FROM r.fiber_max
@@ -174,3 +174,24 @@ def slots_long(best: str = "best", extra_cols: str = "") -> str:
             f"s{j}_pos AS pos, s{j}_ingredient AS ingredient, s{j}_cost AS cost, s{j}_cp AS cp, "
             f"s{j}_energy AS energy, s{j}_fiber AS fiber, x{j} AS x FROM {best} WHERE s{j}_pos IS NOT NULL")
     return " UNION ALL ".join(parts)
+
+CATALOG_EDITS = """
+catalog_edits AS (
+  SELECT p_type AS species, p_partkey AS pos,
+         CASE WHEN p_partkey % 50 = 0 THEN '   ' WHEN p_partkey % 3 = 0 THEN p_name
+              ELSE concat(p_name, ' (', p_brand, ') & co') END AS ingredient,
+         CASE WHEN p_partkey % 13 = 0 THEN 'n/a' ELSE CAST(p_size * 7 - 30 AS VARCHAR) END AS cp,
+         CAST((p_partkey * 7) % 12000 AS DOUBLE) AS energy,
+         CASE WHEN p_partkey % 11 = 0 THEN 'NaN'::DOUBLE ELSE CAST(p_size * 5 AS DOUBLE) / 2 END AS fiber,
+         CAST((p_partkey * 131) % 150000 AS DOUBLE) AS cost
+  FROM part)"""
+
+RANGE_TEXTS = """
+range_texts AS (
+  SELECT p_partkey AS pos,
+         CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS VARCHAR)
+              WHEN p_partkey % 9 = 0 THEN concat(CAST(p_size AS VARCHAR), '.', CAST(p_partkey % 10 AS VARCHAR), '-',
+                   CAST(p_size + p_partkey % 7 AS VARCHAR), '.', CAST(p_partkey % 3 AS VARCHAR), ' (point of lay)')
+              ELSE concat(CAST(p_size AS VARCHAR), '.', CAST(p_partkey % 10 AS VARCHAR), '-',
+                   CAST(p_size + p_partkey % 7 AS VARCHAR), '.', CAST(p_partkey % 3 AS VARCHAR)) END AS raw
+  FROM part)"""

@@ -119,3 +119,34 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User actions for admission control: events as (user_id, action, ts)."""
     e = table(spark, sf_dir, "events")
     return e.select("event_id", "user_id", F.col("event_type").alias("action"), F.col("ts"))
+
+
+def catalog_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User edits of the catalog (as an editable grid would return them):
+    names with metacharacters or blanks, numbers as text with junk, NaN and
+    out-of-range values -- one row per part."""
+    p = table(spark, sf_dir, "part")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    name = (F.when(k % 50 == 0, F.lit("   "))
+            .when(k % 3 == 0, F.col("p_name"))
+            .otherwise(F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(") & co"))))
+    return p.select(
+        F.col("p_type").alias("species"), k.alias("pos"), name.alias("ingredient"),
+        F.when(k % 13 == 0, F.lit("n/a")).otherwise((s * 7 - 30).cast("string")).alias("cp"),
+        ((k * 7) % 12000).cast("double").alias("energy"),
+        F.when(k % 11 == 0, F.lit(float("nan"))).otherwise(_i2d(s * 5, 2)).alias("fiber"),
+        ((k * 131) % 150000).cast("double").alias("cost"),
+    )
+
+
+def range_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range strings in the standards' style ("lo-hi", single values and
+    suffixed text), one per part."""
+    p = table(spark, sf_dir, "part")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    rng = F.concat(s.cast("string"), F.lit("."), (k % 10).cast("string"), F.lit("-"),
+                   (s + k % 7).cast("string"), F.lit("."), (k % 3).cast("string"))
+    raw = (F.when(k % 5 == 0, s.cast("string"))
+           .when(k % 9 == 0, F.concat(rng, F.lit(" (point of lay)")))
+           .otherwise(rng))
+    return p.select(k.alias("pos"), raw.alias("raw"))
