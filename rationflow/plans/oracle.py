@@ -322,4 +322,11 @@ def oracle_sql() -> dict[str, str]:
     out.update(_econ_queries())
     out.update(_history_queries())
     out.update(_admission_queries())
+    out["rate_limit_stream"] = out["rate_limit_exact"]
+    out["history_stream"] = _ration_prefix() + """
+SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM solved"""
+    out["quarantine_ingest"] = V.with_views(V.LISTING) + """
+SELECT ingredient, CASE WHEN pos % 7 = 0 THEN NULL ELSE energy END AS energy, pos % 7 = 0 AS quarantined
+FROM listing"""
+    out["catalog_csv_roundtrip"] = out["sanitize_catalog"]
     return out

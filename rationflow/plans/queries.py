@@ -352,8 +352,87 @@ def q_rate_limit_exact(spark, sf_dir):
     return A.admit(a, _event_limits(spark)).select("event_id", "user_id", "action", "admitted", "wait_s")
 
 
+def q_rate_limit_stream(spark, sf_dir):
+    from ..streaming.admission import run_available
+    schema = td.table(spark, sf_dir, "events").schema
+    out = run_available(spark, sf_dir, schema, _event_limits(spark))
+    return out.select("event_id", "user_id", "action", "admitted", "wait_s")
+
+
+def q_history_stream(spark, sf_dir):
+    from ..streaming.history import history_stream
+    schema = td.table(spark, sf_dir, "orders").schema
+    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    requests = td.scenarios(spark, sf_dir, orders=orders)
+    hist, _ = history_stream(spark, requests, facets_for(spark, sf_dir))
+    return hist.select("scenario_id", "user_id", "status", F.round("total_cost", 4).alias("total_cost"))
+
+
+# ----------------------------------------------------------- growth model
+def _features(spark, sf_dir):
+    from ..operators.growth import diet_means
+    sc = td.scenarios(spark, sf_dir)
+    dm = diet_means(td.catalog(spark, sf_dir))
+    return sc.join(F.broadcast(dm), "species").select(
+        "scenario_id", "user_id", "species", "gain_g", F.col("age_weeks").cast("double").alias("age_weeks"),
+        "weight_kg", F.col("side_cp").alias("cp_req"), F.col("side_energy").alias("energy_req"),
+        F.col("side_intake").alias("intake_kg"), "diet_cp", "diet_energy")
+
+
+def q_gain_forest(spark, sf_dir):
+    """J7 + J8: trials = per-user averages of the request features with the
+    observed gain; the forest then scores every request."""
+    from ..operators.growth import FEATURES, predict_gain, train_gain_model
+    f = _features(spark, sf_dir)
+    trials = f.groupBy("user_id").agg(*[F.avg(c).alias(c) for c in FEATURES], F.avg("gain_g").alias("gain_g"))
+    model = train_gain_model(trials)
+    return predict_gain(model, f).select("scenario_id", F.round("predicted_gain_g", 3).alias("predicted_gain_g"))
+
+
+# ----------------------------------------------------------- files & sinks
+def _scratch(spark, name):
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}_{uuid.uuid4().hex[:12]}"
+
+
+def q_quarantine_ingest(spark, sf_dir):
+    """A3: a CSV export of the listing where some energy fields are junk,
+    re-ingested with PERMISSIVE parsing; junk lines are quarantined."""
+    from ..sources.files import CATALOG_CSV_SCHEMA, quarantine_csv
+    lst = td.listing(spark, sf_dir)
+    energy_txt = F.when(F.col("pos") % 7 == 0, F.lit("n/a")).otherwise(F.col("energy").cast("string"))
+    path = _scratch(spark, "quarantine")
+    lst.select(F.col("ingredient").alias("Ingredient"), F.col("cp").cast("string").alias("CP"),
+               energy_txt.alias("Energy"), F.col("fiber").cast("string").alias("Fiber"),
+               F.col("cost").cast("string").alias("Cost")) \
+        .write.option("header", True).csv(path)
+    good, bad = quarantine_csv(spark, path, CATALOG_CSV_SCHEMA)
+    g = good.select(F.col("Ingredient").alias("ingredient"), F.col("Energy").alias("energy"),
+                    F.lit(False).alias("quarantined"))
+    b = bad.select(F.split("_corrupt_record", ",").getItem(0).alias("ingredient"),
+                   F.lit(None).cast("double").alias("energy"), F.lit(True).alias("quarantined"))
+    return g.unionByName(b)
+
+
+def q_catalog_csv_roundtrip(spark, sf_dir):
+    """B5 + A1: sanitised catalog exported as species-partitioned CSV and
+    read back with a declared schema."""
+    from ..sinks.writers import export_catalog_csv
+    path = _scratch(spark, "catalog_csv")
+    export_catalog_csv(td.catalog_edits(spark, sf_dir), path)
+    schema = "pos long, ingredient string, cp double, energy double, fiber double, cost double, species string"
+    back = (spark.read.schema(schema).option("header", True).option("basePath", path).csv(path))
+    return back.select("species", "pos", "ingredient", "cp", "energy", "fiber", "cost")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "rate_limit_stream": q_rate_limit_stream,
+        "history_stream": q_history_stream,
+        "gain_forest": q_gain_forest,
+        "quarantine_ingest": q_quarantine_ingest,
+        "catalog_csv_roundtrip": q_catalog_csv_roundtrip,
         "sanitize_text": q_sanitize_text,
         "sanitize_numeric": q_sanitize_numeric,
         "sanitize_catalog": q_sanitize_catalog,

@@ -73,9 +73,10 @@ def species_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("animal", animal)
 
 
-def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scenario (formulation request) per order."""
-    o = table(spark, sf_dir, "orders")
+def scenarios(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """One scenario (formulation request) per order (``orders`` may be a
+    streaming frame)."""
+    o = orders if orders is not None else table(spark, sf_dir, "orders")
     sd = species_dim(spark, sf_dir)
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     e_idx = ok % 120
