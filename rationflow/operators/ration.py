@@ -79,7 +79,8 @@ def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def _basis_frame(cat: DataFrame, cat_b: DataFrame, tight: tuple[str, ...]) -> DataFrame:
+def _basis_frame(cat: DataFrame, cat_b: DataFrame, tight: tuple[str, ...],
+                 held: list | None = None) -> DataFrame:
     """All bases of one tight set, with primal/dual/achieved coefficients."""
     k = len(tight) + 1
     sides = []
@@ -99,7 +100,11 @@ def _basis_frame(cat: DataFrame, cat_b: DataFrame, tight: tuple[str, ...]) -> Da
     exprs += [f"{cofactor(rows, r, j)} AS _c{r}_{j}" for r in range(k) for j in range(k)]
     scale = " * ".join(["1.0"] + [f"greatest({', '.join(f'abs(b{j}_{t})' for j in range(k))}, 1e-300)"
                                    if k > 1 else f"abs(b0_{t})" for t in tight])
-    df = df.selectExpr(*exprs).where(f"abs(_det) > {DET_REL_TOL} * ({scale})")
+    # materialised so the cofactors are computed once, not re-inlined into
+    # every coefficient expression below (the frame is small: C(n, k) rows)
+    df = df.selectExpr(*exprs).where(f"abs(_det) > {DET_REL_TOL} * ({scale})").persist()
+    if held is not None:
+        held.append(df)
 
     # inv[j][r] = C[r][j] / det ; rhs vector b = (1, rhs_t for t in tight)
     def inv(j: int, r: int) -> str:
@@ -162,9 +167,9 @@ def prepare_facets(catalog: DataFrame) -> DataFrame:
     """
     cat = _catalog_cols(catalog).persist()
     cat_b = _maybe_broadcast(cat, CATALOG_BROADCAST_MAX_ROWS)
-    cands = None
+    cands, held = None, []
     for tight in TIGHT_SETS:
-        part = _basis_frame(cat, cat_b, tight)
+        part = _basis_frame(cat, cat_b, tight, held)
         cands = part if cands is None else cands.unionByName(part)
 
     # Keep a basis iff no catalog ingredient has a negative reduced cost.
@@ -189,6 +194,8 @@ def prepare_facets(catalog: DataFrame) -> DataFrame:
     with _ConfScope(spark, spark__sql__constraintPropagation__enabled="false"):
         facets = facets.persist()
         facets.count()
+    for h in held:
+        h.unpersist()
     cat.unpersist()
     return facets
 
