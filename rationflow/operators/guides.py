@@ -88,3 +88,32 @@ def breeds_with_ranges(spark: SparkSession) -> DataFrame:
 def value_counts(df: DataFrame, keys, column: str) -> DataFrame:
     """E5: counts per value, descending (order applied by the caller)."""
     return df.groupBy(*keys, column).agg(F.count("*").alias("n"))
+
+
+def clamp_requests(scenarios: DataFrame, targets: DataFrame) -> DataFrame:
+    """Request intake -- every widget value clamped to its range with the
+    reference defaults; optimiser targets default to the stage midpoints
+    (``targets`` from :func:`stage_targets`, keyed by animal/stage_no)."""
+    from ..functions.sanitize import sanitize_int, sanitize_numeric
+    t = targets.select(F.col("species").alias("_t_animal"), F.col("stage_no").alias("_t_stage"),
+                       "cp_target", "energy_mid", "fiber_min_default", "fiber_max_default")
+    j = scenarios.join(F.broadcast(t), (F.col("animal") == F.col("_t_animal")) &
+                       (F.col("stage_no") == F.col("_t_stage")), "left")
+    stage_default = {"cp_req": "cp_target", "energy_req": "energy_mid",
+                     "fiber_min": "fiber_min_default", "fiber_max": "fiber_max_default"}
+    out = {}
+    for c, (lo, hi, d) in R.INTAKE_RANGES.items():
+        if c in R.INT_INTAKE:
+            out[c] = sanitize_int(c, lo, hi, d).cast("int")
+        elif d is None:
+            v = F.col(c).try_cast("double")
+            bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+            out[c] = F.when(bad, F.col(stage_default[c])).otherwise(
+                F.least(F.greatest(v, F.lit(float(lo))), F.lit(float(hi))))
+        else:
+            out[c] = sanitize_numeric(c, lo, hi, d)
+    # fibre bounds stay null when the fibre constraint is off
+    for c in ("fiber_min", "fiber_max"):
+        out[c] = F.when(F.col(c).isNotNull(), out[c])
+    return j.withColumns(out).drop("_t_animal", "_t_stage", "cp_target", "energy_mid",
+                                   "fiber_min_default", "fiber_max_default")

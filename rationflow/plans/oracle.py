@@ -263,8 +263,9 @@ def _history_queries() -> dict[str, str]:
             "'CP Req: ' || CAST(s.cp_req AS VARCHAR) || '%  |  Energy: ' || CAST(s.energy_req AS VARCHAR) || ' kcal/kg'")
     return {
         "history_last3": p + """
-SELECT user_id, scenario_id, recent_rank, round(total_cost, 4) AS total_cost FROM (
-  SELECT user_id, scenario_id, total_cost,
+SELECT user_id, scenario_id, recent_rank, strftime(ts, '%Y-%m-%d %H:%M') AS ts_text,
+       round(total_cost, 4) AS total_cost FROM (
+  SELECT user_id, scenario_id, total_cost, ts,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, scenario_id DESC) AS INTEGER) AS recent_rank
   FROM solved WHERE status = 'optimal') WHERE recent_rank <= 3""",
         "report_text": p + f""",
@@ -273,7 +274,8 @@ det AS (SELECT species, cp_req, energy_req, fiber_min, fiber_max, {det} AS detai
 SELECT s.scenario_id,
        CASE WHEN s.status = 'optimal' THEN {head} || chr(10) || 'Total Cost/kg: N' || printf('%.2f', s.total_cost)
                  || '  |  Daily Cost: N' || printf('%.2f', s.total_cost * s.intake_kg) || chr(10) || d.detail
-            ELSE {head} END || chr(10) AS report
+            ELSE {head} END || chr(10) AS report,
+       s.animal || '_feed_report_{Q.REPORT_DATE}.txt' AS file_name
 FROM solved s LEFT JOIN det d ON {_T_EQ.format(a='s', b='d')}""",
     }
 
@@ -329,4 +331,49 @@ SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM sol
 SELECT ingredient, CASE WHEN pos % 7 = 0 THEN NULL ELSE energy END AS energy, pos % 7 = 0 AS quarantined
 FROM listing"""
     out["catalog_csv_roundtrip"] = out["sanitize_catalog"]
+    out.update(_more_queries())
     return out
+
+
+def _more_queries() -> dict[str, str]:
+    from ..sources import reference_tables as R
+    cols = []
+    stage_default = {"cp_req": "t.cp_target", "energy_req": "t.energy_mid",
+                     "fiber_min": "t.fiber_min_default", "fiber_max": "t.fiber_max_default"}
+    for c, (lo, hi, d) in R.INTAKE_RANGES.items():
+        x = f"s.{c}"
+        if c in R.INT_INTAKE:
+            e = f"CAST({SF.sanitize_int_num(x, lo, hi, d)} AS INTEGER)"
+        elif d is None:
+            v = f"TRY_CAST({x} AS DOUBLE)"
+            e = (f"CASE WHEN {v} IS NULL OR isnan({v}) OR isinf({v}) THEN {stage_default[c]} "
+                 f"ELSE least(greatest({v}, CAST({float(lo)} AS DOUBLE)), CAST({float(hi)} AS DOUBLE)) END")
+            if c.startswith("fiber"):
+                e = f"CASE WHEN {x} IS NOT NULL THEN {e} END"
+        else:
+            e = SF.sanitize_numeric(x, lo, hi, d)
+        cols.append(f"{e} AS {c}")
+
+    def nut(key, default):
+        return f"coalesce(max(CASE WHEN nutrient = {SF.lit(key)} THEN requirement END), {SF.lit(default)})"
+    t = (f"t AS (SELECT species, stage_no, {SF.parse_mid(nut('Crude Protein (%)', '16-18'))} AS cp_target, "
+         f"{SF.parse_mid(nut('Energy (kcal/kg)', '2500-2700'))} AS energy_mid, "
+         f"greatest(0.0::DOUBLE, {SF.parse_mid(nut('Crude Fiber (%)', '12-16'))} - 2) AS fiber_min_default, "
+         f"{SF.parse_mid(nut('Crude Fiber (%)', '12-16'))} + 4 AS fiber_max_default "
+         f"FROM standards_long GROUP BY species, stage_no)")
+    return {
+        "scenario_intake": _SCEN + ",\n" + t + f"""
+SELECT s.scenario_id, {', '.join(cols)}
+FROM scenarios s LEFT JOIN t ON s.animal = t.species AND s.stage_no = t.stage_no""",
+        "feeding_guidelines": _SCEN + ",\n" + SF.GUIDELINES + """
+SELECT s.scenario_id, g.guideline FROM scenarios s JOIN guidelines g ON s.animal = g.animal""",
+        "diet_means": _SCEN + f""",
+dm AS (SELECT species, avg(cp) AS _cp, avg(energy) AS _en FROM catalog GROUP BY species)
+SELECT s.scenario_id, round({SF.sanitize_numeric('dm._cp', 0, 100, 18)}, 6) AS diet_cp,
+       round({SF.sanitize_numeric('dm._en', 0, 10000, 2800)}, 6) AS diet_energy
+FROM scenarios s JOIN dm ON s.species = dm.species""",
+        "breed_options": _SCEN + f"""
+SELECT animal, {SF.lit(R.NO_BREED)} || '|' || string_agg(breed, '|' ORDER BY pos) AS breed_options
+FROM (SELECT DISTINCT s.animal, b.pos, b.breed FROM (SELECT DISTINCT animal FROM scenarios) s
+      JOIN breeds b ON s.animal = b.species) GROUP BY animal""",
+    }

@@ -30,6 +30,7 @@ SORT_BY = "Cost"
 TYPE_TERMS = ["All", "Meat", "Beef", "Dual Purpose", "Eggs"]
 BREED_TERMS = ["", "broiler", "LAYER", "cross", "N'Dama", "white", "an (x)"]
 REPORT_TIME = "2026-01-01 00:00:00"
+REPORT_DATE = "20260101"
 # Admission limits for the driver's event types: (action, max calls, window s)
 EVENT_LIMITS = [("view", 2, 7 * 86_400), ("click", 2, 7 * 86_400), ("purchase", 1, 7 * 86_400),
                 ("signup", 1, 7 * 86_400)]
@@ -326,11 +327,49 @@ def q_history_last3(spark, sf_dir):
         "user_id", "scenario_id", "ts", "total_cost")
     r = H.last_n_per_key(s, "user_id", [F.desc("ts"), F.desc("scenario_id")], row_id="scenario_id", n=3)
     return r.select("user_id", "scenario_id", F.col("recent_rank").cast("int").alias("recent_rank"),
+                    F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts_text"),
                     F.round("total_cost", 4).alias("total_cost"))
 
 
 def q_report_text(spark, sf_dir):
-    return H.report_text(_solved(spark, sf_dir), REPORT_TIME)
+    s = _solved(spark, sf_dir)
+    rep = H.report_text(s, REPORT_TIME)
+    names = s.select("scenario_id", F.concat(F.col("animal"), F.lit("_feed_report_"), F.lit(REPORT_DATE),
+                                             F.lit(".txt")).alias("file_name"))
+    return rep.join(names, "scenario_id")
+
+
+def q_scenario_intake(spark, sf_dir):
+    """Every request's widget values clamped, stage defaults filled."""
+    sc = td.scenarios(spark, sf_dir)
+    c = G.clamp_requests(sc, G.stage_targets(spark))
+    return c.select("scenario_id", *R.INTAKE_RANGES.keys())
+
+
+def q_feeding_guidelines(spark, sf_dir):
+    """Guideline text per request via an equi join to the 3-row table."""
+    sc = _scen_small(spark, sf_dir)
+    return sc.join(F.broadcast(R.guidelines(spark)), "animal").select("scenario_id", "guideline")
+
+
+def q_diet_means(spark, sf_dir):
+    """Catalog means per species (sanitised) attached to each request."""
+    from ..operators.growth import diet_means
+    sc = td.scenarios(spark, sf_dir).select("scenario_id", "species")
+    dm = diet_means(td.catalog(spark, sf_dir))
+    return sc.join(F.broadcast(dm), "species").select(
+        "scenario_id", F.round("diet_cp", 6).alias("diet_cp"), F.round("diet_energy", 6).alias("diet_energy"))
+
+
+def q_breed_options(spark, sf_dir):
+    """H2 + E6: breed picker per animal in request traffic: sentinel first,
+    then breeds in natural order (one small array per animal)."""
+    sc = _scen_small(spark, sf_dir).select("animal").distinct()
+    b = _breeds_b(spark).select("animal", "pos", "breed")
+    j = sc.join(F.broadcast(b), "animal")
+    arr = F.transform(F.array_sort(F.collect_list(F.struct("pos", "breed"))), lambda x: x["breed"])
+    return j.groupBy("animal").agg(
+        F.array_join(F.concat(F.array(F.lit(R.NO_BREED)), arr), "|").alias("breed_options"))
 
 
 # ------------------------------------------------------------- admission
@@ -374,17 +413,20 @@ def _features(spark, sf_dir):
     sc = td.scenarios(spark, sf_dir)
     dm = diet_means(td.catalog(spark, sf_dir))
     return sc.join(F.broadcast(dm), "species").select(
-        "scenario_id", "user_id", "species", "gain_g", F.col("age_weeks").cast("double").alias("age_weeks"),
+        "scenario_id", "user_id", "species", "stage_no", "breed_no", "gain_g", F.col("age_weeks").cast("double").alias("age_weeks"),
         "weight_kg", F.col("side_cp").alias("cp_req"), F.col("side_energy").alias("energy_req"),
         F.col("side_intake").alias("intake_kg"), "diet_cp", "diet_energy")
 
 
 def q_gain_forest(spark, sf_dir):
-    """J7 + J8: trials = per-user averages of the request features with the
-    observed gain; the forest then scores every request."""
+    """J7 + J8: trials = feeding-trial cohorts (species x stage x breed:
+    mean request features and mean observed gain over all their requests, a
+    small table like a trial register); the forest then scores every
+    request."""
     from ..operators.growth import FEATURES, predict_gain, train_gain_model
     f = _features(spark, sf_dir)
-    trials = f.groupBy("user_id").agg(*[F.avg(c).alias(c) for c in FEATURES], F.avg("gain_g").alias("gain_g"))
+    trials = f.groupBy("species", "stage_no", "breed_no").agg(
+        *[F.avg(c).alias(c) for c in FEATURES], F.avg("gain_g").alias("gain_g"))
     model = train_gain_model(trials)
     return predict_gain(model, f).select("scenario_id", F.round("predicted_gain_g", 3).alias("predicted_gain_g"))
 
@@ -428,6 +470,10 @@ def q_catalog_csv_roundtrip(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "scenario_intake": q_scenario_intake,
+        "feeding_guidelines": q_feeding_guidelines,
+        "diet_means": q_diet_means,
+        "breed_options": q_breed_options,
         "rate_limit_stream": q_rate_limit_stream,
         "history_stream": q_history_stream,
         "gain_forest": q_gain_forest,

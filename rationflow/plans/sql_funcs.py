@@ -86,3 +86,5 @@ BREEDS = ("breeds AS (SELECT * FROM "
 SPECIES_PARAMS = ("species_params AS (SELECT * FROM "
                   + values(R.SPECIES_PARAMS, ["animal", "excellent_above", "good_above", "target_weight_kg",
                                               "default_price", "market_age_unit"]) + ")")
+
+GUIDELINES = ("guidelines AS (SELECT * FROM " + values(R.GUIDELINES, ["animal", "guideline"]) + ")")

@@ -86,6 +86,48 @@ LIMITS = [
 ]
 DEFAULT_LIMIT = (30, 60)
 
+# Feeding guidelines shown per species (markup removed), natural order.
+GUIDELINES = [
+    ("Rabbit", "Rabbit Feeding Guidelines:\n"
+               "• Provide fresh water at all times (rabbits drink 2–3× their feed weight)\n"
+               "• Hay should make up 70–80% of adult rabbit diet\n"
+               "• Introduce new feeds gradually over 7–10 days\n"
+               "• Monitor body condition score regularly\n"
+               "• Higher fiber content prevents digestive issues and hairballs"),
+    ("Poultry", "Poultry Feeding Guidelines:\n"
+                "• Layer birds require high calcium (3.5–4%) for strong eggshells\n"
+                "• Grit (insoluble granite) aids digestion, especially for whole grains\n"
+                "• Feed should be stored in cool, dry, rodent-proof conditions\n"
+                "• Sudden feed changes can reduce performance by 10–20%\n"
+                "• Water consumption is roughly 2× feed intake"),
+    ("Cattle", "Cattle Feeding Guidelines:\n"
+               "• TDN = Total Digestible Nutrients (energy measure for ruminants)\n"
+               "• Ruminants require 15–20% fiber for proper rumen function\n"
+               "• Transition periods are critical — allow 21 days minimum\n"
+               "• Fresh, clean water must always be available (50–80 L/day)\n"
+               "• Monitor body condition score (BCS 1–9, target: 5–6)"),
+]
+
+# Widget ranges for request intake: column -> (min, max, default); None
+# default = taken from the stage (midpoint) at intake time.
+INTAKE_RANGES = {
+    "age_weeks": (1, 120, 8),
+    "weight_kg": (0.1, 600.0, 2.0),
+    "side_cp": (10.0, 30.0, 18.0),
+    "side_energy": (2000.0, 12000.0, 3000.0),
+    "side_intake": (0.05, 30.0, 0.5),
+    "cp_req": (8.0, 35.0, None),
+    "energy_req": (1500.0, 4500.0, None),
+    "intake_kg": (0.01, 30.0, 0.5),
+    "fiber_min": (0.0, 30.0, None),
+    "fiber_max": (0.0, 40.0, None),
+    "max_ingredients": (3, 15, 8),
+    "n_animals": (1, 10000, 100),
+    "duration_days": (1, 365, 90),
+    "cycle_days": (30, 365, 90),
+}
+INT_INTAKE = ("age_weeks", "max_ingredients", "n_animals", "duration_days", "cycle_days")
+
 # Labels
 RATING_LABELS = ("Excellent", "Good", "Below Average")
 MARKET_ACHIEVED = "Achieved"
@@ -159,3 +201,7 @@ def species_params(spark: SparkSession) -> DataFrame:
 
 def limits(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LIMITS, "action string, max_calls int, window_seconds int")
+
+
+def guidelines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GUIDELINES, "animal string, guideline string")
