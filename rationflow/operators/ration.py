@@ -54,6 +54,9 @@ X_DP, COST_DP = 12, 9
 # Facet tables above this row count are not broadcast (AQE decides instead).
 FACET_BROADCAST_MAX_ROWS = 2_000_000
 CATALOG_BROADCAST_MAX_ROWS = 1_000_000
+# Solved targets (5 keys + <= 4 formula slots, ~300 B/row) above this are
+# joined back with a shuffle join instead of a broadcast.
+SOLVED_BROADCAST_MAX_ROWS = 500_000
 
 TIGHT_SETS = [t for r in range(0, 4) for t in combinations(ATTRS, r)]
 
@@ -268,14 +271,21 @@ def solve(scenarios: DataFrame, facets: DataFrame) -> DataFrame:
 
     Scenarios are reduced to distinct target tuples first (map-side partial
     aggregation, so a hot target collapses before the shuffle); the solved
-    targets are joined back with null-safe keys.  AQE turns that join into a
-    broadcast when the solved-target table is small and splits skewed
-    partitions otherwise.
+    targets are materialised, counted and -- when within
+    ``SOLVED_BROADCAST_MAX_ROWS`` -- broadcast back to the scenarios with
+    null-safe keys, so the scenario rows are never shuffled.  Above the bound
+    the join is a shuffle join that AQE can skew-split.
     """
     targets = scenarios.select(*TARGET_COLS).distinct()
     solved = solve_targets(targets, facets)
     s = solved.select(*[F.col(c).alias(f"_t_{c}") for c in TARGET_COLS],
                       "status", "total_cost", "formula")
+    if not scenarios.isStreaming:
+        # Materialise the (small) solved-target table and broadcast it behind
+        # its measured size, so the big scenario side is joined map-side and
+        # never shuffled; above the bound AQE plans a shuffle join instead.
+        s = s.persist()
+        s = F.broadcast(s) if s.count() <= SOLVED_BROADCAST_MAX_ROWS else s
     cond = None
     for c in TARGET_COLS:
         e = scenarios[c].eqNullSafe(F.col(f"_t_{c}"))
