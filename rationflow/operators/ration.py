@@ -54,6 +54,8 @@ X_DP, COST_DP = 12, 9
 # Facet tables above this row count are not broadcast (AQE decides instead).
 FACET_BROADCAST_MAX_ROWS = 2_000_000
 CATALOG_BROADCAST_MAX_ROWS = 1_000_000
+# Catalogs above this row count generate their bases on many tasks.
+SPREAD_MIN_ROWS = 400
 # Solved targets (5 keys + <= 4 formula slots, ~300 B/row) above this are
 # joined back with a shuffle join instead of a broadcast.
 SOLVED_BROADCAST_MAX_ROWS = 500_000
@@ -75,15 +77,15 @@ def _catalog_cols(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def _maybe_broadcast(df: DataFrame, max_rows: int, n: int | None = None) -> DataFrame:
     """Broadcast only behind a measured row count; otherwise leave the choice
     to AQE, which re-plans with runtime sizes."""
-    n = df.count()
+    n = df.count() if n is None else n
     return F.broadcast(df) if n <= max_rows else df
 
 
 def _basis_frame(cat: DataFrame, cat_b: DataFrame, tight: tuple[str, ...],
-                 held: list | None = None) -> DataFrame:
+                 held: list | None = None, spread: bool = False) -> DataFrame:
     """All bases of one tight set, with primal/dual/achieved coefficients."""
     k = len(tight) + 1
     sides = []
@@ -91,7 +93,11 @@ def _basis_frame(cat: DataFrame, cat_b: DataFrame, tight: tuple[str, ...],
         sides.append(cat.select(
             F.col("species").alias("species" if j == 0 else f"_sp{j}"),
             *[F.col(c).alias(f"b{j}_{c}") for c in SLOT_FIELDS]))
-    df = sides[0]
+    # The join output inherits the probe side's partitioning: spread the
+    # first basis member over the cluster so C(n, k) bases are generated by
+    # many tasks (hash on (species, pos) also splits a dominant species).
+    par = max(1, cat.sparkSession.sparkContext.defaultParallelism)
+    df = sides[0].repartition(par, "species", "b0_pos") if (k > 1 and spread) else sides[0]
     for j in range(1, k):
         other = F.broadcast(sides[j]) if cat_b is not cat else sides[j]
         df = df.join(other, (F.col("species") == F.col(f"_sp{j}")) &
@@ -169,10 +175,12 @@ def prepare_facets(catalog: DataFrame) -> DataFrame:
     'max'), with up to four slots ``s{j}_*`` and linear coefficients.
     """
     cat = _catalog_cols(catalog).persist()
-    cat_b = _maybe_broadcast(cat, CATALOG_BROADCAST_MAX_ROWS)
+    n_cat = cat.count()
+    cat_b = _maybe_broadcast(cat, CATALOG_BROADCAST_MAX_ROWS, n_cat)
+    spread = n_cat > SPREAD_MIN_ROWS
     cands, held = None, []
     for tight in TIGHT_SETS:
-        part = _basis_frame(cat, cat_b, tight, held)
+        part = _basis_frame(cat, cat_b, tight, held, spread)
         cands = part if cands is None else cands.unionByName(part)
 
     # Keep a basis iff no catalog ingredient has a negative reduced cost.
