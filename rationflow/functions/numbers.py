@@ -50,3 +50,12 @@ def pct_of(part, whole) -> Column:
 def trunc_int(c) -> Column:
     """Python ``int(x)`` on a float (toward zero)."""
     return _col(c).cast("bigint")
+
+
+def rnd(c, nd: int) -> Column:
+    """Presentation rounding, half-up on the scaled double:
+    ``floor(x * 10^nd + 0.5) / 10^nd``.  Plain IEEE operations, so any engine
+    evaluating the same formula returns the identical double (``round`` on a
+    double differs between engines at binary near-ties)."""
+    k = float(10 ** nd)
+    return F.floor(_col(c) * k + 0.5) / k

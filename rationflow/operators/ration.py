@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import cofactor, det
+from ..functions.numbers import rnd
 
 ATTRS = ("cp", "energy", "fiber")
 MAX_SLOTS = 4
@@ -253,16 +254,16 @@ def solve_targets(targets: DataFrame, facets: DataFrame) -> DataFrame:
     # Solver output is snapped to 12 dp (proportions) / 9 dp (cost) so the
     # ~1e-13 noise of the closed-form algebra never flips a later rounding.
     slots = [F.struct(*[F.col(f"f_s{i}_{c}").alias(c) for c in SLOT_FIELDS],
-                      F.round(xs[i], X_DP).alias("x"))
+                      rnd(xs[i], X_DP).alias("x"))
              for i in range(MAX_SLOTS)]
     support = F.concat_ws(",", *[F.when(xs[i] > SUPPORT_TOL, F.lpad(F.col(f"f_s{i}_pos").cast("string"), 12, "0"))
                                  for i in range(MAX_SLOTS)])
-    xvec = F.filter(F.array(*[F.when(xs[i] > SUPPORT_TOL, F.round(xs[i], 6)) for i in range(MAX_SLOTS)]),
+    xvec = F.filter(F.array(*[F.when(xs[i] > SUPPORT_TOL, rnd(xs[i], 6)) for i in range(MAX_SLOTS)]),
                     lambda v: v.isNotNull())
     j = j.select(*TARGET_COLS,
                  F.when(F.col("f_species").isNotNull(), F.struct(
-                     F.round(cost, 6).alias("cost6"), support.alias("support"), xvec.alias("xvec"))).alias("_rank"),
-                 F.struct(F.round(cost, COST_DP).alias("total_cost"),
+                     rnd(cost, 6).alias("cost6"), support.alias("support"), xvec.alias("xvec"))).alias("_rank"),
+                 F.struct(rnd(cost, COST_DP).alias("total_cost"),
                           F.filter(F.array(*slots), lambda s: s["pos"].isNotNull()).alias("formula")).alias("_sol"))
     best = j.groupBy(*TARGET_COLS).agg(F.min_by("_sol", "_rank").alias("_sol"),
                                        F.min("_rank").alias("_rank"))

@@ -332,7 +332,7 @@ SELECT ingredient, CASE WHEN pos % 7 = 0 THEN NULL ELSE energy END AS energy, po
 FROM listing"""
     out["catalog_csv_roundtrip"] = out["sanitize_catalog"]
     out.update(_more_queries())
-    return out
+    return {k: SF._rewrite_round(v) for k, v in out.items()}
 
 
 def _more_queries() -> dict[str, str]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sanitize as S
-from ..functions.numbers import parse_mid
+from ..functions.numbers import parse_mid, rnd
 from ..operators import catalog as C
 from ..operators import economics as EC
 from ..operators import guides as G
@@ -54,10 +54,10 @@ def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_ration_min_cost(spark, sf_dir):
     s = _solved(spark, sf_dir)
     return s.select("scenario_id", "species", "status",
-                    F.round("total_cost", 4).alias("total_cost"),
+                    rnd("total_cost", 4).alias("total_cost"),
                     F.col("n_ingredients").cast("int").alias("n_ingredients"),
-                    F.round("total_cp", 4).alias("total_cp"),
-                    F.round("total_energy", 4).alias("total_energy"))
+                    rnd("total_cp", 4).alias("total_cp"),
+                    rnd("total_energy", 4).alias("total_energy"))
 
 
 def q_ration_fiber_band(spark, sf_dir):
@@ -65,34 +65,34 @@ def q_ration_fiber_band(spark, sf_dir):
     kept = F.filter("formula", lambda r: r["x"] > ration.KEEP_THRESHOLD)
     fib = F.aggregate(kept, F.lit(0.0), lambda acc, r: acc + r["fiber"] * r["x"])
     return s.select("scenario_id", "fiber_min", "fiber_max", "status",
-                    F.round("total_cost", 4).alias("total_cost"),
-                    F.round(F.when(F.col("status") == "optimal", fib), 4).alias("total_fiber"))
+                    rnd("total_cost", 4).alias("total_cost"),
+                    rnd(F.when(F.col("status") == "optimal", fib), 4).alias("total_fiber"))
 
 
 def q_ration_infeasible(spark, sf_dir):
     s = _solved(spark, sf_dir)
     return s.groupBy("species", "status").agg(
         F.count("*").cast("bigint").alias("n_scenarios"),
-        F.round(F.min("total_cost"), 4).alias("min_cost"),
-        F.round(F.max("total_cost"), 4).alias("max_cost"))
+        rnd(F.min("total_cost"), 4).alias("min_cost"),
+        rnd(F.max("total_cost"), 4).alias("max_cost"))
 
 
 def q_formula_rows(spark, sf_dir):
     s = _solved(spark, sf_dir)
     r = ration.formula_rows(s, ["scenario_id"])
     return r.select("scenario_id", "pos", "ingredient",
-                    F.round("proportion", 6).alias("proportion"), "proportion_pct", "unit_cost",
+                    rnd("proportion", 6).alias("proportion"), "proportion_pct", "unit_cost",
                     "cost_contribution",
-                    F.round("cp_contribution", 4).alias("cp_contribution"),
-                    F.round("energy_contribution", 4).alias("energy_contribution"))
+                    rnd("cp_contribution", 4).alias("cp_contribution"),
+                    rnd("energy_contribution", 4).alias("energy_contribution"))
 
 
 def q_nutrient_achievement(spark, sf_dir):
     s = _solved(spark, sf_dir)
     return s.select("scenario_id", "status",
-                    F.round("cp_pct", 4).alias("cp_pct"), F.round("energy_pct", 4).alias("energy_pct"),
-                    F.round("daily_cost", 4).alias("daily_cost"),
-                    F.round("monthly_cost", 4).alias("monthly_cost"))
+                    rnd("cp_pct", 4).alias("cp_pct"), rnd("energy_pct", 4).alias("energy_pct"),
+                    rnd("daily_cost", 4).alias("daily_cost"),
+                    rnd("monthly_cost", 4).alias("monthly_cost"))
 
 
 def q_ingredient_count_flag(spark, sf_dir):
@@ -115,8 +115,8 @@ def q_cost_share(spark, sf_dir):
     r = ration.formula_rows(s, ["scenario_id"])
     w = Window.partitionBy("scenario_id")
     return r.select("scenario_id", "ingredient",
-                    F.round(F.col("cost_contribution") / F.sum("cost_contribution").over(w), 6).alias("cost_share"),
-                    F.round(F.col("proportion_pct") / F.sum("proportion_pct").over(w), 6).alias("mass_share"))
+                    rnd(F.col("cost_contribution") / F.sum("cost_contribution").over(w), 6).alias("cost_share"),
+                    rnd(F.col("proportion_pct") / F.sum("proportion_pct").over(w), 6).alias("mass_share"))
 
 
 # --------------------------------------------------------------- scalars
@@ -250,7 +250,7 @@ def q_catalog_sort(spark, sf_dir):
 def q_catalog_summary(spark, sf_dir):
     f = C.search_literal(td.listing(spark, sf_dir), "ingredient", SUMMARY_TERM)
     return C.summary(f).select("species", F.col("n_ingredients").cast("bigint").alias("n_ingredients"),
-                               *[F.round(c, 6).alias(c) for c in ("avg_cost", "avg_cp", "avg_energy")])
+                               *[rnd(c, 6).alias(c) for c in ("avg_cost", "avg_cp", "avg_energy")])
 
 
 def q_first_per_key(spark, sf_dir):
@@ -275,7 +275,7 @@ def _econ(spark, sf_dir):
 
 
 def _r4(*cols):
-    return [F.round(c, 4).alias(c) for c in cols]
+    return [rnd(c, 4).alias(c) for c in cols]
 
 
 def q_cost_projection(spark, sf_dir):
@@ -296,13 +296,13 @@ def q_roi(spark, sf_dir):
 
 def q_roi_shares(spark, sf_dir):
     e = EC.roi(_econ(spark, sf_dir))
-    return e.select("scenario_id", F.round("feed_share", 6).alias("feed_share"),
-                    F.round("profit_share", 6).alias("profit_share"))
+    return e.select("scenario_id", rnd("feed_share", 6).alias("feed_share"),
+                    rnd("profit_share", 6).alias("profit_share"))
 
 
 def q_fcr_rating(spark, sf_dir):
     e = EC.growth_metrics(_econ(spark, sf_dir))
-    return e.select("scenario_id", F.round("fcr", 4).alias("fcr"), "rating")
+    return e.select("scenario_id", rnd("fcr", 4).alias("fcr"), "rating")
 
 
 def q_days_to_market(spark, sf_dir):
@@ -318,7 +318,7 @@ def q_growth_metrics(spark, sf_dir):
 def q_growth_series(spark, sf_dir):
     sc = td.scenarios(spark, sf_dir).select("scenario_id", "gain_g", "weight_kg")
     g = EC.growth_series(sc, ["scenario_id"])
-    return g.select("scenario_id", "day", F.round("projected_weight_kg", 6).alias("projected_weight_kg"))
+    return g.select("scenario_id", "day", rnd("projected_weight_kg", 6).alias("projected_weight_kg"))
 
 
 # ---------------------------------------------------------- history/report
@@ -328,7 +328,7 @@ def q_history_last3(spark, sf_dir):
     r = H.last_n_per_key(s, "user_id", [F.desc("ts"), F.desc("scenario_id")], row_id="scenario_id", n=3)
     return r.select("user_id", "scenario_id", F.col("recent_rank").cast("int").alias("recent_rank"),
                     F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts_text"),
-                    F.round("total_cost", 4).alias("total_cost"))
+                    rnd("total_cost", 4).alias("total_cost"))
 
 
 def q_report_text(spark, sf_dir):
@@ -358,7 +358,7 @@ def q_diet_means(spark, sf_dir):
     sc = td.scenarios(spark, sf_dir).select("scenario_id", "species")
     dm = diet_means(td.catalog(spark, sf_dir))
     return sc.join(F.broadcast(dm), "species").select(
-        "scenario_id", F.round("diet_cp", 6).alias("diet_cp"), F.round("diet_energy", 6).alias("diet_energy"))
+        "scenario_id", rnd("diet_cp", 6).alias("diet_cp"), rnd("diet_energy", 6).alias("diet_energy"))
 
 
 def q_breed_options(spark, sf_dir):
@@ -404,7 +404,7 @@ def q_history_stream(spark, sf_dir):
     orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     requests = td.scenarios(spark, sf_dir, orders=orders)
     hist, _ = history_stream(spark, requests, facets_for(spark, sf_dir))
-    return hist.select("scenario_id", "user_id", "status", F.round("total_cost", 4).alias("total_cost"))
+    return hist.select("scenario_id", "user_id", "status", rnd("total_cost", 4).alias("total_cost"))
 
 
 # ----------------------------------------------------------- growth model
@@ -428,7 +428,7 @@ def q_gain_forest(spark, sf_dir):
     trials = f.groupBy("species", "stage_no", "breed_no").agg(
         *[F.avg(c).alias(c) for c in FEATURES], F.avg("gain_g").alias("gain_g"))
     model = train_gain_model(trials)
-    return predict_gain(model, f).select("scenario_id", F.round("predicted_gain_g", 3).alias("predicted_gain_g"))
+    return predict_gain(model, f).select("scenario_id", rnd("predicted_gain_g", 3).alias("predicted_gain_g"))
 
 
 # ----------------------------------------------------------- files & sinks

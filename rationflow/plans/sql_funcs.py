@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.sanitize import HTML_ESCAPES, STRIP_PATTERN
 from ..sources import reference_tables as R
 
@@ -88,3 +90,36 @@ SPECIES_PARAMS = ("species_params AS (SELECT * FROM "
                                               "default_price", "market_age_unit"]) + ")")
 
 GUIDELINES = ("guidelines AS (SELECT * FROM " + values(R.GUIDELINES, ["animal", "guideline"]) + ")")
+
+
+def _rewrite_round(sql: str) -> str:
+    """Rewrite every ``round(expr, n)`` into the engine-neutral half-up form
+    ``(floor((expr) * 1en + 0.5) / 1en)`` (``round_even`` is left alone)."""
+    out, i = [], 0
+    pat = re.compile(r"(?<![A-Za-z_])round\(")
+    while True:
+        m = pat.search(sql, i)
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:m.start()])
+        j, depth, last_comma = m.end(), 1, None
+        while depth:
+            ch = sql[j]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                last_comma = j
+            elif ch == "'":
+                j = sql.index("'", j + 1)
+            j += 1
+        inner = _rewrite_round(sql[m.end():last_comma])
+        nd = int(sql[last_comma + 1:j - 1].strip())
+        out.append(f"(floor(({inner}) * 1e{nd} + 0.5) / 1e{nd})")
+        i = j
+
+
+def rnd(x: str, nd: int) -> str:
+    return f"(floor(({x}) * 1e{nd} + 0.5) / 1e{nd})"
