@@ -70,3 +70,62 @@ def test_history_stream_appends_all(spark):
     from rationflow.plans import queries as Q
     h = Q.q_history_stream(spark, SF_SMALL)
     assert h.count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+
+
+def test_stream_state_carries_across_batches_and_drops_late(spark):
+    """Two micro-batches: state from batch 1 rejects a call in batch 2; an
+    event older than the key's last decision is dropped as late (K5)."""
+    import datetime as dt
+    import uuid
+
+    from rationflow.session import ensure_checkpoint_dir
+    from rationflow.streaming.admission import admission_stream
+
+    d = _tmp()
+    schema = "event_id long, user_id long, event_type string, ts timestamp_ntz"
+    base = dt.datetime(2024, 1, 1)
+    b1 = [(1, 7, "optimize", base), (2, 7, "optimize", base + dt.timedelta(seconds=1))]
+    b2 = [(3, 7, "optimize", base + dt.timedelta(seconds=2)),               # 3rd in window: rejected (max 2)
+          (4, 7, "optimize", base + dt.timedelta(milliseconds=500)),        # behind last decision: late
+          (5, 7, "optimize", base + dt.timedelta(seconds=12))]              # window passed: admitted
+    lim = spark.createDataFrame([("optimize", 2, 10)], "action string, max_calls int, window_seconds int")
+    src = spark.readStream.schema(schema).parquet(d).withColumnRenamed("event_type", "action")
+    name = f"adm_{uuid.uuid4().hex[:8]}"
+    ckpt = f"{ensure_checkpoint_dir(spark)}/streams/{name}"
+    q = (admission_stream(src, lim).writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", ckpt).start())
+    try:
+        spark.createDataFrame(b1, schema).coalesce(1).write.mode("append").parquet(d)
+        q.processAllAvailable()
+        spark.createDataFrame(b2, schema).coalesce(1).write.mode("append").parquet(d)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r.event_id: r.admitted for r in spark.table(name).collect()}
+    assert got == {1: True, 2: True, 3: False, 5: True}
+
+
+def test_default_limits_and_fallback(spark):
+    import datetime as dt
+
+    from rationflow.operators import admission as A
+    rows = [(1, 1, "optimize", dt.datetime(2024, 1, 1)), (2, 1, "unknown", dt.datetime(2024, 1, 1))]
+    att = spark.createDataFrame(rows, "event_id long, user_id long, action string, ts timestamp")
+    lim = {r.event_id: (r.max_calls, r.window_us) for r in A.with_limits(att).collect()}
+    assert lim == {1: (10, 60 * A.US), 2: (30, 60 * A.US)}
+
+
+def test_formula_report_history_writers(spark):
+    from rationflow.plans import queries as Q
+    from rationflow.operators import ration
+    s = Q._solved(spark, SF_SMALL)
+    rows = ration.formula_rows(s, ["scenario_id", "species"])
+    out = _tmp()
+    W.write_formulas(rows, os.path.join(out, "formulas"), "20260101")
+    back = spark.read.option("header", True).csv(os.path.join(out, "formulas"))
+    assert {"species", "run_date"} <= set(back.columns) and back.count() == rows.count()
+    W.write_reports(Q.q_report_text(spark, SF_SMALL).select("scenario_id", "report"), os.path.join(out, "rep"))
+    assert spark.read.text(os.path.join(out, "rep")).count() == s.count()
+    W.append_history(s.select("scenario_id", "user_id", "total_cost"), os.path.join(out, "hist"))
+    W.append_history(s.select("scenario_id", "user_id", "total_cost"), os.path.join(out, "hist"))
+    assert spark.read.parquet(os.path.join(out, "hist")).count() == 2 * s.count()
