@@ -35,7 +35,6 @@ def search_regex(df: DataFrame, column: str, term: str) -> DataFrame:
     """Case-insensitive *regular expression* of the sanitised term,
     nulls never match; empty term keeps every row.  The term is sanitised on
     the driver (it is one scalar) so the pattern is a literal for codegen."""
-    from ..functions.sanitize import HTML_ESCAPES, STRIP_PATTERN  # noqa: F401
     clean = sanitize_scalar(term)
     if clean == "":
         return df
