@@ -98,19 +98,19 @@ def sorted_distinct(df: DataFrame, value: str, keys=("species",), sentinel: str
 
 def merge_catalog(base: DataFrame, edits: DataFrame, keys=("species", "ingredient"),
                   mode: str = "merge") -> DataFrame:
-    """Sanitise the edits (I4), refuse an empty result (C17), then either
-    replace the catalog (``mode='replace'``, the reference's behaviour when a
-    search filter is active) or upsert by key: edit values win, base-only
-    rows stay, edit-only rows are added.  Duplicate edit keys resolve
-    first-wins by ``pos``."""
+    """Sanitise the edits (I4), then either replace the catalog
+    (``mode='replace'``, the reference's behaviour when a search filter is
+    active) or upsert by key with one full outer join: edit values win,
+    base-only rows stay, edit-only rows are added.  Duplicate edit keys
+    resolve first-wins by ``pos``.  The empty-result gate (C17) is applied
+    where the result is saved (``sinks.writers.save_catalog``)."""
     clean = first_per_key(clean_catalog(edits), keys)
     if mode == "replace":
         return clean.withColumn("source", F.lit("edit"))
     vals = [c for c in clean.columns if c not in keys]
-    b = base.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in vals])
+    b = base.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in vals], F.lit(True).alias("_b"))
     e = clean.select(*keys, *[F.col(c).alias(f"_e_{c}") for c in vals], F.lit(True).alias("_e"))
     m = b.join(e, list(keys), "full_outer")
-    in_base = F.col(f"_b_{vals[0]}").isNotNull() if vals else F.lit(True)
-    src = F.when(F.col("_e").isNull(), "base").when(in_base, "edit").otherwise("new")
+    src = F.when(F.col("_e").isNull(), "base").when(F.col("_b").isNotNull(), "edit").otherwise("new")
     return m.select(*keys, *[F.when(F.col("_e"), F.col(f"_e_{c}")).otherwise(F.col(f"_b_{c}")).alias(c)
                              for c in vals], src.alias("source"))
