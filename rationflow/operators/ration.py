@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import cofactor, det
 from ..functions.numbers import rnd
+from ..session import cut_lineage
 
 ATTRS = ("cp", "energy", "fiber")
 MAX_SLOTS = 4
@@ -201,11 +202,11 @@ def prepare_facets(catalog: DataFrame) -> DataFrame:
     facets = facets.withColumn("fiber_side", F.explode(side))
     # The closed-form algebra makes wide expression trees; constraint
     # propagation over them is exponential, so optimise this one plan with it
-    # off and keep the (small) result materialised for every later join.
+    # off.  The (small) result is checkpointed to reliable storage: later
+    # joins see a plain scan and executor loss never re-runs the enumeration.
     spark = catalog.sparkSession
     with _ConfScope(spark, spark__sql__constraintPropagation__enabled="false"):
-        facets = facets.persist()
-        facets.count()
+        facets = cut_lineage(facets)
     for h in held:
         h.unpersist()
     cat.unpersist()
@@ -290,10 +291,11 @@ def solve(scenarios: DataFrame, facets: DataFrame) -> DataFrame:
     s = solved.select(*[F.col(c).alias(f"_t_{c}") for c in TARGET_COLS],
                       "status", "total_cost", "formula")
     if not scenarios.isStreaming:
-        # Materialise the (small) solved-target table and broadcast it behind
-        # its measured size, so the big scenario side is joined map-side and
-        # never shuffled; above the bound AQE plans a shuffle join instead.
-        s = s.persist()
+        # Checkpoint the (small) solved-target table -- losing an executor then
+        # never re-runs the distinct over all scenarios -- and broadcast it
+        # behind its measured size, so the big scenario side is joined
+        # map-side and never shuffled; above the bound AQE plans a shuffle join.
+        s = cut_lineage(s)
         s = F.broadcast(s) if s.count() <= SOLVED_BROADCAST_MAX_ROWS else s
     cond = None
     for c in TARGET_COLS:

@@ -54,7 +54,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (survives
+    executor loss without recomputing the upstream); never localCheckpoint.
+    The frame is cached while the checkpoint is written so its upstream runs
+    once, then the cache is released."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
