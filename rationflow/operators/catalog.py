@@ -31,13 +31,17 @@ def search_literal(df: DataFrame, column: str, term: str | Column) -> DataFrame:
     return df.where((t == "") | F.lower(F.col(column)).contains(F.lower(t)))
 
 
-def search_regex(df: DataFrame, column: str, term: str) -> DataFrame:
+def search_regex(df: DataFrame, column: str, term: str, literal: bool = False) -> DataFrame:
     """Case-insensitive *regular expression* of the sanitised term,
     nulls never match; empty term keeps every row.  The term is sanitised on
-    the driver (it is one scalar) so the pattern is a literal for codegen."""
+    the driver (it is one scalar) so the pattern is a literal for codegen.
+    An invalid pattern fails the job (as the reference's search does);
+    ``literal=True`` matches the sanitised text as a plain substring."""
     clean = sanitize_scalar(term)
     if clean == "":
         return df
+    if literal:
+        return df.where(F.coalesce(F.lower(F.col(column)).contains(clean.lower()), F.lit(False)))
     return df.where(F.coalesce(F.col(column).rlike("(?i)" + clean), F.lit(False)))
 
 

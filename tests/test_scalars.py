@@ -82,3 +82,20 @@ def test_short_label(spark):
     from rationflow.operators.guides import short_label
     df = spark.createDataFrame([("Crude Protein (%)",), ("Energy (kcal/kg)",), ("Feed Intake (kg/day)",)], "v string")
     assert [r[0] for r in df.select(short_label("v")).collect()] == ["Crude Protein", "Energy", "Feed Intake"]
+
+
+def test_search_regex_vs_literal(spark):
+    from rationflow.operators.catalog import search_regex
+    df = spark.createDataFrame([("Maize (Yellow)",), ("Soya|Bean",), ("red gear",), (None,)], "ingredient string")
+    rx = sorted(r[0] for r in search_regex(df, "ingredient", "RED (gear|bolt)").collect())
+    assert rx == ["red gear"]                       # parentheses removed, '|' alternation kept
+    lit = sorted(r[0] for r in search_regex(df, "ingredient", "soya|bean", literal=True).collect())
+    assert lit == ["Soya|Bean"]
+    assert search_regex(df, "ingredient", "Maize (Yellow)").count() == 0   # Q4: sanitised term misses
+
+
+def test_formula_diet(spark):
+    from rationflow.operators.growth import formula_diet
+    df = spark.createDataFrame([(18.5, 2900.0), (None, None), (150.0, 20000.0)], "total_cp double, total_energy double")
+    got = [(r.diet_cp, r.diet_energy) for r in formula_diet(df).collect()]
+    assert got == [(18.5, 2900.0), (18.0, 2800.0), (100.0, 10000.0)]
