@@ -62,7 +62,6 @@ SPREAD_MIN_ROWS = 400
 # joined back with a shuffle join instead of a broadcast.
 SOLVED_BROADCAST_MAX_ROWS = 500_000
 
-TIGHT_SETS = [t for r in range(0, 4) for t in combinations(ATTRS, r)]
 
 
 def _catalog_cols(catalog: DataFrame) -> DataFrame:
@@ -86,10 +85,12 @@ def _maybe_broadcast(df: DataFrame, max_rows: int, n: int | None = None) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
-def _basis_frame(cat: DataFrame, cat_b: DataFrame, tight: tuple[str, ...],
+def _basis_frame(cat: DataFrame, cat_b: DataFrame, k: int,
                  held: list | None = None, spread: bool = False) -> DataFrame:
-    """All bases of one tight set, with primal/dual/achieved coefficients."""
-    k = len(tight) + 1
+    """All bases with ``k`` ingredients, for every tight set of size k-1,
+    with primal/dual/achieved coefficients.  The k-subset self-join runs
+    once; the tight-set choice is an exploded column and the matrix rows are
+    picked with CASE, so every algebra expression is shared."""
     sides = []
     for j in range(k):
         sides.append(cat.select(
@@ -105,42 +106,57 @@ def _basis_frame(cat: DataFrame, cat_b: DataFrame, tight: tuple[str, ...],
         df = df.join(other, (F.col("species") == F.col(f"_sp{j}")) &
                      (F.col(f"b{j - 1}_pos") < F.col(f"b{j}_pos"))).drop(f"_sp{j}")
 
-    rows = [["1"] * k] + [[f"b{j}_{t}" for j in range(k)] for t in tight]
-    keep = ["species"] + [f"b{j}_{c}" for j in range(k) for c in SLOT_FIELDS]
+    rr = range(1, k)  # matrix rows beyond the sum-to-one row
+    tcols = [f"_t{r}" for r in rr]
+    if k > 1:
+        options = F.array(*[F.struct(*[F.lit(t[r - 1]).alias(f"_t{r}") for r in rr])
+                            for t in combinations(ATTRS, k - 1)])
+        df = df.withColumn("_ts", F.explode(options)) \
+            .select("*", *[F.col(f"_ts._t{r}").alias(f"_t{r}") for r in rr]).drop("_ts")
+        df = df.selectExpr("*", *[
+            f"CASE _t{r} WHEN 'cp' THEN b{j}_cp WHEN 'energy' THEN b{j}_energy ELSE b{j}_fiber END AS m{r}_{j}"
+            for r in rr for j in range(k)])
+
+    rows = [["1"] * k] + [[f"m{r}_{j}" for j in range(k)] for r in rr]
+    keep = ["species", *tcols] + [f"b{j}_{c}" for j in range(k) for c in SLOT_FIELDS]
     exprs = keep + [f"{det(rows)} AS _det"]
     exprs += [f"{cofactor(rows, r, j)} AS _c{r}_{j}" for r in range(k) for j in range(k)]
-    scale = " * ".join(["1.0"] + [f"greatest({', '.join(f'abs(b{j}_{t})' for j in range(k))}, 1e-300)"
-                                   if k > 1 else f"abs(b0_{t})" for t in tight])
+    scale = " * ".join(["1.0"] + [f"greatest({', '.join(f'abs(m{r}_{j})' for j in range(k))}, 1e-300)"
+                                   for r in rr])
     # materialised so the cofactors are computed once, not re-inlined into
     # every coefficient expression below (the frame is small: C(n, k) rows)
     df = df.selectExpr(*exprs).where(f"abs(_det) > {DET_REL_TOL} * ({scale})").persist()
     if held is not None:
         held.append(df)
 
-    # inv[j][r] = C[r][j] / det ; rhs vector b = (1, rhs_t for t in tight)
+    # inv[j][r] = C[r][j] / det ; rhs vector b = (1, rhs of the tight rows)
     def inv(j: int, r: int) -> str:
         return f"(_c{r}_{j} / _det)"
 
     def rhs_coef(expr_of_j, r: int) -> str:
         return " + ".join(f"({expr_of_j(j)}) * {inv(j, r)}" for j in range(k))
 
-    row_of = {t: i + 1 for i, t in enumerate(tight)}
+    def by_attr(t: str, coef_of_row) -> str:
+        """Coefficient of the rhs of attribute ``t``: the row tight on t."""
+        if k == 1:
+            return "0.0D"
+        return "CASE " + " ".join(f"WHEN _t{r} = '{t}' THEN {coef_of_row(r)}" for r in rr) + " ELSE 0.0D END"
+
     out = ["species", f"{k} AS nb"]
-    out += [f"{str(t in tight).lower()} AS tight_{t}" for t in ATTRS]
+    out += [f"({' OR '.join(f'_t{r} = {chr(39)}{t}{chr(39)}' for r in rr) or 'false'}) AS tight_{t}"
+            for t in ATTRS]
     # duals y_r = sum_j cost_j inv[j][r]; cost = y . b
     out.append(f"{rhs_coef(lambda j: f'b{j}_cost', 0)} AS y0")
-    for t in ATTRS:
-        out.append(f"{rhs_coef(lambda j: f'b{j}_cost', row_of[t]) if t in tight else '0.0D'} AS y_{t}")
+    out += [f"{by_attr(t, lambda r: rhs_coef(lambda j: f'b{j}_cost', r))} AS y_{t}" for t in ATTRS]
     # achieved nutrient a as linear function of the rhs
     for a in ATTRS:
         out.append(f"{rhs_coef(lambda j, a=a: f'b{j}_{a}', 0)} AS {a}_0")
-        for t in ATTRS:
-            out.append(f"{rhs_coef(lambda j, a=a: f'b{j}_{a}', row_of[t]) if t in tight else '0.0D'} AS {a}_{t}")
+        out += [f"{by_attr(t, lambda r, a=a: rhs_coef(lambda j: f'b{j}_{a}', r))} AS {a}_{t}" for t in ATTRS]
     for j in range(MAX_SLOTS):
         if j < k:
             out += [f"b{j}_{c} AS s{j}_{c}" for c in SLOT_FIELDS]
             out.append(f"{inv(j, 0)} AS s{j}_k0")
-            out += [f"{inv(j, row_of[t]) if t in tight else '0.0D'} AS s{j}_k{t}" for t in ATTRS]
+            out += [f"{by_attr(t, lambda r, j=j: inv(j, r))} AS s{j}_k{t}" for t in ATTRS]
         else:
             out += [f"CAST(NULL AS {typ}) AS s{j}_{c}" for c, typ in
                     zip(SLOT_FIELDS, ("BIGINT", "STRING", "DOUBLE", "DOUBLE", "DOUBLE", "DOUBLE"))]
@@ -181,8 +197,8 @@ def prepare_facets(catalog: DataFrame) -> DataFrame:
     cat_b = _maybe_broadcast(cat, CATALOG_BROADCAST_MAX_ROWS, n_cat)
     spread = n_cat > SPREAD_MIN_ROWS
     cands, held = None, []
-    for tight in TIGHT_SETS:
-        part = _basis_frame(cat, cat_b, tight, held, spread)
+    for k in range(1, MAX_SLOTS + 1):
+        part = _basis_frame(cat, cat_b, k, held, spread)
         cands = part if cands is None else cands.unionByName(part)
 
     # Keep a basis iff no catalog ingredient has a negative reduced cost.
