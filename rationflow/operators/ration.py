@@ -364,3 +364,24 @@ def formula_rows(solved: DataFrame, key_cols: list[str]) -> DataFrame:
         (F.col("r.cp") * F.col("r.x")).alias("cp_contribution"),
         (F.col("r.energy") * F.col("r.x")).alias("energy_contribution"),
     )
+
+
+def ranked_formula(solved: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Formula rows with in-row totals and a rank by (cost contribution desc,
+    proportion desc, ingredient): all computed on each scenario's own small
+    array, so the per-scenario "window" needs no shuffle."""
+    kept = F.filter("formula", lambda s: s["x"] > KEEP_THRESHOLD)
+    rows = F.transform(kept, lambda s: F.struct(
+        (-(F.rint(s["x"] * s["cost"] * 100) / 100)).alias("_k1"), (-s["x"]).alias("_k2"),
+        s["ingredient"].alias("ingredient"), s["x"].alias("proportion"),
+        (F.rint(s["x"] * 100 * 100) / 100).alias("proportion_pct"),
+        (F.rint(s["x"] * s["cost"] * 100) / 100).alias("cost_contribution")))
+    base = solved.where(F.col("status") == "optimal").select(*key_cols, F.array_sort(rows).alias("_r"))
+    base = base.withColumns({
+        "_cc_total": F.aggregate("_r", F.lit(0.0), lambda acc, r: acc + r["cost_contribution"]),
+        "_pct_total": F.aggregate("_r", F.lit(0.0), lambda acc, r: acc + r["proportion_pct"]),
+    })
+    out = base.select(*key_cols, "_cc_total", "_pct_total", F.posexplode("_r").alias("_pos", "_e"))
+    return out.select(*key_cols, (F.col("_pos") + 1).cast("int").alias("rank"),
+                      "_e.ingredient", "_e.proportion", "_e.proportion_pct", "_e.cost_contribution",
+                      "_cc_total", "_pct_total")

@@ -102,21 +102,19 @@ def q_ingredient_count_flag(spark, sf_dir):
 
 
 def q_top5_cost(spark, sf_dir):
-    s = _solved(spark, sf_dir)
-    r = ration.formula_rows(s, ["scenario_id"])
-    w = Window.partitionBy("scenario_id").orderBy(
-        F.desc("cost_contribution"), F.desc("proportion"), F.asc("ingredient"))
-    return (r.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-            .select("scenario_id", F.col("rank").cast("int").alias("rank"), "ingredient", "cost_contribution"))
+    """Top 5 cost contributors per scenario, ranked inside the row's own
+    (<= 4 element) formula array -- no window, no shuffle."""
+    r = ration.ranked_formula(_solved(spark, sf_dir), ["scenario_id"])
+    return r.where("rank <= 5").select("scenario_id", "rank", "ingredient", "cost_contribution")
 
 
 def q_cost_share(spark, sf_dir):
-    s = _solved(spark, sf_dir)
-    r = ration.formula_rows(s, ["scenario_id"])
-    w = Window.partitionBy("scenario_id")
+    """Shares of the scenario total, totals taken over the row's own
+    formula array (no window over scenario partitions)."""
+    r = ration.ranked_formula(_solved(spark, sf_dir), ["scenario_id"])
     return r.select("scenario_id", "ingredient",
-                    rnd(F.col("cost_contribution") / F.sum("cost_contribution").over(w), 6).alias("cost_share"),
-                    rnd(F.col("proportion_pct") / F.sum("proportion_pct").over(w), 6).alias("mass_share"))
+                    rnd(F.col("cost_contribution") / F.col("_cc_total"), 6).alias("cost_share"),
+                    rnd(F.col("proportion_pct") / F.col("_pct_total"), 6).alias("mass_share"))
 
 
 # --------------------------------------------------------------- scalars
@@ -332,11 +330,7 @@ def q_history_last3(spark, sf_dir):
 
 
 def q_report_text(spark, sf_dir):
-    s = _solved(spark, sf_dir)
-    rep = H.report_text(s, REPORT_TIME)
-    names = s.select("scenario_id", F.concat(F.col("animal"), F.lit("_feed_report_"), F.lit(REPORT_DATE),
-                                             F.lit(".txt")).alias("file_name"))
-    return rep.join(names, "scenario_id")
+    return H.report_text(_solved(spark, sf_dir), REPORT_TIME, REPORT_DATE)
 
 
 def q_scenario_intake(spark, sf_dir):
@@ -379,11 +373,10 @@ def _event_limits(spark):
 
 def q_rate_limit_attempts(spark, sf_dir):
     a = td.attempts(spark, sf_dir)
-    m = A.trailing_count(a, 60 * A.US).withColumnRenamed("attempts_in_window", "attempts_60s")
-    d = A.trailing_count(a, 86_400 * A.US).select("event_id", F.col("attempts_in_window").alias("attempts_1d"))
-    return m.join(d, "event_id").select("event_id", "user_id", "action",
-                                        F.col("attempts_60s").cast("bigint").alias("attempts_60s"),
-                                        F.col("attempts_1d").cast("bigint").alias("attempts_1d"))
+    c = A.trailing_counts(a, {"attempts_60s": 60 * A.US, "attempts_1d": 86_400 * A.US})
+    return c.select("event_id", "user_id", "action",
+                    F.col("attempts_60s").cast("bigint").alias("attempts_60s"),
+                    F.col("attempts_1d").cast("bigint").alias("attempts_1d"))
 
 
 def q_rate_limit_exact(spark, sf_dir):
