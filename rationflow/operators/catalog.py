@@ -46,14 +46,17 @@ def search_regex(df: DataFrame, column: str, term: str, literal: bool = False) -
 
 
 def sanitize_scalar(value, max_len: int = 200) -> str:
-    """Driver-side twin of :func:`sanitize_text` for one parameter value."""
-    import html
-    import re
+    """Driver-side twin of :func:`sanitize_text` for one parameter value:
+    the same steps as the column expression (strip, entity table, delete
+    metacharacters, truncate) applied to a Python string."""
+    from ..functions.sanitize import DELETED_CHARS, HTML_ESCAPES
     if not isinstance(value, str):
         return ""
-    v = html.escape(value.strip())
-    v = re.sub(r"[<>\"'%;()&+]", "", v)
-    return v[:max_len]
+    text = value.strip()
+    for ch, ent in HTML_ESCAPES:
+        text = text.replace(ch, ent)
+    text = text.translate({ord(c): None for c in DELETED_CHARS})
+    return text[:max_len]
 
 
 def type_filter(df: DataFrame, term: str | Column, column: str = "type") -> DataFrame:
