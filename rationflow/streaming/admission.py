@@ -62,15 +62,19 @@ def admission_stream(events: DataFrame, limits: DataFrame | None = None, waterma
 
 
 def run_available(spark: SparkSession, events_dir: str, schema, limits: DataFrame | None = None,
-                  file_glob: str = "events.parquet") -> DataFrame:
+                  file_glob: str = "events.parquet", out_path: str | None = None) -> DataFrame:
     """Process everything currently in ``events_dir`` (trigger availableNow)
-    into a memory table and return it as a batch DataFrame."""
+    into a parquet file sink (exactly-once via the sink log) under the
+    shared checkpoint folder and return it as a batch DataFrame.  No
+    decision row passes through the driver."""
     src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
            .option("maxFilesPerTrigger", 1).parquet(events_dir))
     src = src.select("event_id", "user_id", F.col("event_type").alias("action"), "ts")
     name = f"admission_{uuid.uuid4().hex[:12]}"
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = (admission_stream(src, limits).writeStream.format("memory").queryName(name)
-         .outputMode("append").option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    out_path = out_path or f"{base}/tables/{name}"
+    q = (admission_stream(src, limits).writeStream.format("parquet").option("path", out_path)
+         .outputMode("append").option("checkpointLocation", f"{base}/streams/{name}")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out_path)
