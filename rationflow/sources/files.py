@@ -63,17 +63,24 @@ def read_trials_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnsRenamed(TRIAL_RENAMES)
 
 
-def quarantine_csv(spark: SparkSession, path: str, schema: T.StructType,
-                   header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """A3: PERMISSIVE read with a corrupt-record column; returns (good,
-    rejected).  Rejected rows keep the raw line for inspection.  The parsed
-    frame is cached so the corrupt column can be filtered on (Spark forbids
-    queries that reference only the corrupt column of a raw CSV scan)."""
+def quarantine_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
+                   table_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A3: PERMISSIVE parse with a corrupt-record column, written once as a
+    parquet table under the shared checkpoint folder; (good, rejected) are
+    read from that table.  Rejected rows keep the raw line.  (Spark refuses
+    raw-CSV plans that need only the corrupt column, and caching a whole
+    ingest does not scale; a written table does both jobs.)"""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
     full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)).cache()
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    parsed = (spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+    table_path = table_path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/ingest_{uuid.uuid4().hex[:12]}"
+    parsed.write.mode("overwrite").parquet(table_path)
+    t = spark.read.parquet(table_path)
+    good = t.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    bad = t.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
     return good, bad
 
 
