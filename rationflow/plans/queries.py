@@ -420,7 +420,8 @@ def q_gain_forest(spark, sf_dir):
     f = _features(spark, sf_dir)
     trials = f.groupBy("species", "stage_no", "breed_no").agg(
         *[F.avg(c).alias(c) for c in FEATURES], F.avg("gain_g").alias("gain_g"))
-    model = train_gain_model(trials)
+    from ..operators.growth import load_model, save_model
+    model = load_model(save_model(train_gain_model(trials), _scratch(spark, "gain_model")))
     return predict_gain(model, f).select("scenario_id", rnd("predicted_gain_g", 3).alias("predicted_gain_g"))
 
 

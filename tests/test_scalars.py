@@ -99,3 +99,12 @@ def test_formula_diet(spark):
     df = spark.createDataFrame([(18.5, 2900.0), (None, None), (150.0, 20000.0)], "total_cp double, total_energy double")
     got = [(r.diet_cp, r.diet_energy) for r in formula_diet(df).collect()]
     assert got == [(18.5, 2900.0), (18.0, 2800.0), (100.0, 10000.0)]
+
+
+def test_ensure_columns_adds_typed_nulls(spark):
+    from rationflow.operators.catalog import ensure_columns
+    df = spark.createDataFrame([("a", 1.0)], "ingredient string, cp double")
+    out = ensure_columns(df)
+    types = dict(out.dtypes)
+    assert types["fiber"] == "double" and types["pos"] == "bigint" and types["species"] == "string"
+    assert out.first().fiber is None
