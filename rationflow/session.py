@@ -26,6 +26,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # partition sizing: ~128 MB scan splits and shuffle partitions that
+        # AQE coalesces/splits toward 128 MB, so tasks fit executor memory
+        # at any scale without hand-tuning the partition count per run
+        .config("spark.sql.files.maxPartitionBytes", str(128 << 20))
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(128 << 20))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
