@@ -120,9 +120,11 @@ def q_cost_share(spark, sf_dir):
 # --------------------------------------------------------------- scalars
 def q_sanitize_text(spark, sf_dir):
     d = td.table(spark, sf_dir, "documents")
-    full = S.sanitize_text("text", None)
-    return d.select("doc_id", S.sanitize_text("text", 200).alias("clean"),
-                    F.length(full).cast("bigint").alias("clean_chars"))
+    # the whole text is sanitised once; truncation is the last step, so the
+    # 200-char value is a prefix of the full result
+    full = d.select("doc_id", S.sanitize_text("text", None).alias("_full"))
+    return full.select("doc_id", F.substring("_full", 1, 200).alias("clean"),
+                       F.length("_full").cast("bigint").alias("clean_chars"))
 
 
 def q_sanitize_numeric(spark, sf_dir):
