@@ -1,10 +1,72 @@
-"""Corpus pipeline: stages over the documents table, each written and reread."""
+"""Corpus pipeline: five stages over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+each result and hands the reread table to the next stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rationflow.llm import decontam, line_dedup, ngram_join, quality, sp_codec
+from rationflow.llm.queries import model_path
+from rationflow.llm.util import documents, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the rules reject go.  The verdict depends on text and host
+    alone, so these two are the key it is joined on."""
+    kept = F.col("kept")
+    bad = (quality.quality(docs).where(~kept).select("txt", "host").distinct())
+    return docs.join(bad, (F.xxhash64("text") == F.col("txt")) & (F.xxhash64("source") == F.col("host")), "left_anti")
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with
+    the smallest id stays, once; documents without an id stay."""
+    first = (ngram_join.ngram_join(docs, n=5, num=80, den=100).where("doc_id = component_id")
+             .select(F.col("doc_id").alias("_id")).distinct())
+    named = docs.where("doc_id is not null")
+    kept = named.join(first, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontam.drop_contaminated(docs, items)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document (little-endian unsigned 32-bit integers)."""
+    coded = sp_codec.encode_decode(docs.select("doc_id", "lang", "source", "text"), model_path())
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", ngram_join_stage),
+    ("benchmark decontamination", decontamination),
+    ("sentencepiece encoding", encoding),
+]
+
+#: Local alignment and BPE merges are beyond SQL; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

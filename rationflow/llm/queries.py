@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, sharding, sp_codec, token_counts, url_filter
+from . import decontam, line_dedup, ngram_join, ppm, quality, secret_scan, sharding, sp_codec, token_counts, url_filter
 from .util import documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -27,10 +27,27 @@ def model_path(name: str = PIECE_MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir), n=4, num=85, den=100)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.ppm_score(documents(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir)).drop("txt", "host")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontam.benchmark_hits(documents(spark, sf_dir), items).drop("txt")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
     return url_filter.url_filter(pages).drop("rule_id")
@@ -51,9 +68,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_secret_scans, op6_url_filters, op7_token_counts, op8_sharding, op9_sentencepiece)}
+        op1_ngram_join, op2_secret_scans, op3_lm_scoring, op4_quality_rules, op5_decontamination, op6_url_filters,
+        op7_token_counts, op8_sharding, op9_sentencepiece, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
