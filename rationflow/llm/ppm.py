@@ -1,6 +1,6 @@
 """Operator 3: language-model scores by prediction by partial matching.
 
-The byte-context trie of order ORDER is kept as tables, one per order: the
+The byte-context trie of order ``order`` is kept as tables, one per order: the
 (context, symbol) grams of all training texts with their counts.  A symbol is
 coded in its longest context; if the context never saw it, an escape (method C:
 distinct symbols / (occurrences + distinct symbols)) leads to the next shorter
@@ -14,8 +14,8 @@ Values reach documents in two halves: those that make up at least 1/HEAD of
 all occurrences (at most HEAD, whatever the corpus) are broadcast as two sorted
 arrays; the rest is joined by a shuffle on per-document frequencies.
 
-Texts are coded as their UTF-8 bytes with A-Z lower-cased, after ORDER bytes
-0xFF and before one byte 0xFE (the end), neither of which UTF-8 has.
+Texts are coded as their UTF-8 bytes with A-Z lower-cased, after ``order``
+bytes 0xFF and before one byte 0xFE (the end), neither of which UTF-8 has.
 
 Defined cases: null text is empty (its end is its one token and symbol); a
 null ``doc_id`` has the checksum of the empty text; an empty table gives no
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .util import WordHashes, bounded_batches, flat_hashes, raw_text, words_of, written
 
-ORDER = 4
+ORDER = 5
 HEAD = 1 << 20
 #: Grams (or words) a task sorts at once, and distinct ones it holds on to.
 CHUNK, TASK_KEYS = 4_000_000, 1_000_000
@@ -57,27 +57,27 @@ def _word_keys(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.nd
     return out, total
 
 
-def _gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(the ORDER+1 bytes that end at each symbol, as an integer; symbols per text)."""
-    pad = b"\xff" * ORDER
+def _gram_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the order + 1 bytes that end at each symbol, as an integer; symbols per text)."""
+    pad = b"\xff" * order
     data = np.frombuffer(b"".join(x for t in texts for x in (pad, t.lower(), b"\xfe")), np.uint8).astype(np.int64)
     total = np.fromiter(map(len, texts), np.int64, count=len(texts)) + 1
-    key = np.zeros(max(len(data) - ORDER, 0), np.int64)
-    for j in range(ORDER + 1):
-        key |= data[j: len(data) - ORDER + j] << (8 * (ORDER - j))
+    key = np.zeros(max(len(data) - order, 0), np.int64)
+    for j in range(order + 1):
+        key |= data[j: len(data) - order + j] << (8 * (order - j))
     keep = np.ones(len(key), bool)  # windows that end in the next text's padding
-    starts = np.cumsum(total + ORDER)[:-1] - ORDER
-    for j in range(ORDER):
+    starts = np.cumsum(total + order)[:-1] - order
+    for j in range(order):
         keep[starts + j] = False
     return key[keep], total
 
 
-def _slices(texts: list[bytes], *more):
-    """Cuts a batch into parts of about CHUNK bytes."""
+def _slices(texts: list[bytes], *more, rows: int = 1 << 20):
+    """Cuts a batch into parts of about CHUNK bytes and ``rows`` texts at most."""
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK or i == len(texts) - 1:
+        if size >= CHUNK or i + 1 - at >= rows or i == len(texts) - 1:
             yield (texts[at:i + 1], *(m[at:i + 1] for m in more))
             at, size = i + 1, 0
 
@@ -96,7 +96,8 @@ def _counted(keys: np.ndarray, weights: np.ndarray | None = None):
     return keys[at], np.add.reduceat(weights, at)
 
 
-def corpus_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 7, fold: int = 2) -> DataFrame:
+def corpus_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 7, fold: int = 2,
+                  order: int = ORDER) -> DataFrame:
     """(kind, key, n, total): occurrences of each gram and word in training
     texts, and in all texts."""
     def run(batches):
@@ -115,7 +116,7 @@ def corpus_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", fold
             texts = b.column(0).to_pylist()
             for train in (True, False):
                 for (part,) in _slices([t for t, o in zip(texts, out, strict=True) if o != train]):
-                    for kind, keys in ((GRAM, _gram_keys(part)[0]), (WORD_KIND, _word_keys(part, cache)[0])):
+                    for kind, keys in ((GRAM, _gram_keys(part, order)[0]), (WORD_KIND, _word_keys(part, cache)[0])):
                         k, n = _counted(keys)
                         if (kind, train) in held:
                             k0, n0 = held[kind, train]
@@ -130,8 +131,8 @@ def corpus_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", fold
             .groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
 
 
-def gram_costs(grams: DataFrame) -> DataFrame:
-    """grams (key, n, total) of order ORDER -> (key, total, value): the log10
+def gram_costs(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """grams (key, n, total) of the longest order -> (key, total, value): the log10
     probability of coding the gram's last symbol after the bytes before it."""
     mask = lambda k: (1 << (8 * (k + 1))) - 1
     level = (grams.groupBy(F.col("key").bitwiseAND(mask(0)).alias("key")).agg(F.sum("n").alias("n")))
@@ -139,9 +140,9 @@ def gram_costs(grams: DataFrame) -> DataFrame:
     t0, q0 = level.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     b = (level.withColumn("t", F.lit(t0)).withColumn("q", F.lit(q0))
          .withColumn("d", F.when(F.col("n") == 0, F.lit(-math.log10(256 - q0) if q0 < 256 else 0.0)).otherwise(0.0)))
-    for k in range(1, ORDER + 1):
+    for k in range(1, order + 1):
         a = (grams.groupBy(F.col("key").bitwiseAND(mask(k)).alias("key")).agg(F.sum("n").alias("n"))
-             if k < ORDER else grams.select("key", "n", "total"))
+             if k < order else grams.select("key", "n", "total"))
         shorter = b.select(F.col("key").alias("_k"), F.col("n").alias("n1"), F.col("t").alias("t1"),
                            F.col("q").alias("q1"), F.col("d").alias("d1"))
         a = a.withColumn("_k", F.col("key").bitwiseAND(mask(k - 1))).join(shorter, "_k").drop("_k")
@@ -160,10 +161,10 @@ def gram_costs(grams: DataFrame) -> DataFrame:
 
 
 def ppm_score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 7, fold: int = 2,
-              head: int = HEAD) -> DataFrame:
+              head: int = HEAD, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    counts = written(corpus_counts(docs, text, key, folds, fold))
+    counts = written(corpus_counts(docs, text, key, folds, fold, order))
     words = counts.where(F.col("kind") == WORD_KIND)
     sums = {r["kind"]: r for r in counts.groupBy("kind").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("v")).collect()}
@@ -173,28 +174,28 @@ def ppm_score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: i
     word_values = words.select("kind", "key", "total", F.log10((F.col("n") + 1) / F.lit(float(bottom))).alias("value"),
                                (F.col("n") > 0).cast("long").alias("known"))
     values = written(word_values.unionByName(
-        gram_costs(counts.where(F.col("kind") == GRAM).select("key", "n", "total"))
+        gram_costs(counts.where(F.col("kind") == GRAM).select("key", "n", "total"), order)
         .select(F.lit(GRAM).cast("byte").alias("kind"), "key", "total", "value", F.lit(0).cast("long").alias("known"))))
     common = F.coalesce(F.when(F.col("kind") == GRAM, F.col("total") * head >= all_of.get(GRAM, 0))
                         .otherwise(F.col("total") * head >= all_of.get(WORD_KIND, 0)), F.lit(False))
     tables = {}
     for kind in (GRAM, WORD_KIND):  # at most `head` rows each, as columns
         t = values.where(common & (F.col("kind") == kind)).select("key", "value", "known").toArrow()
-        order = np.argsort(k := t["key"].to_numpy().astype(np.int64))
-        tables[kind] = (k[order], t["value"].to_numpy()[order], t["known"].to_numpy()[order])
+        by = np.argsort(k := t["key"].to_numpy().astype(np.int64))
+        tables[kind] = (k[by], t["value"].to_numpy()[by], t["known"].to_numpy()[by])
     shared = spark.sparkContext.broadcast(tables)
 
     def run(batches):
         cache = WordHashes()
-        bits = 20  # of the document's number, below the 40 bits of a gram
+        bits = 63 - 8 * (order + 1)  # of the document's number, below those of the gram
         for b in batches:
             texts, uids = b.column(0).to_pylist(), b.column(1).to_numpy()
             docid, out = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for part, uid, ids, outs in _slices(texts, uids, docid, out):
+            for part, uid, ids, outs in _slices(texts, uids, docid, out, rows=1 << bits):
                 n = len(part)
                 score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
                 kinds, keys, owner, freq = [], [], [], []
-                flat, total = _gram_keys(part)
+                flat, total = _gram_keys(part, order)
                 both, times = _counted(flat << bits | np.repeat(np.arange(n), total))
                 found = [(GRAM, both >> bits, both & ((1 << bits) - 1), times)]
                 flat, total = _word_keys(part, cache)
