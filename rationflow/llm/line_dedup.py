@@ -198,7 +198,7 @@ def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text
     probe, index = (_entries(docs, tau, min_chars, text, p).distinct() for p in (True, False))
     p, x = probe.alias("p"), index.alias("x")
     cand = written(p.join(x, (F.col("p.seg") == F.col("x.seg")) & (F.col("p.lid") != F.col("x.lid"))
-                          & (F.bit_count(F.col("p.sig").bitwiseXOR(F.col("x.sig"))) <= FLIPS * tau))
+                          & (F.bit_count(F.col("p.sig").bitwiseXOR(F.col("x.sig")).cast("long").bitwiseAND(0xFFFFFFFF)) <= FLIPS * tau))
                    .select(F.least("p.lid", "x.lid").alias("a"), F.greatest("p.lid", "x.lid").alias("b")).distinct())
     wanted = spark.sparkContext.broadcast(key_bitmap(
         cand.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "lid"))  # 1 MB whatever the input
