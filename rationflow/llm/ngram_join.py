@@ -128,16 +128,13 @@ def _runs(sid: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(True, (half[1:] != half[:-1]).any(axis=1))
 
 
-def _shared(pdf):
+def _shared(table: pa.Table) -> pa.Table:
     """Of one part: the n-grams that two or more distinct sets have, with the
     number of those sets, for the first batch that holds each set."""
-    import pandas as pd
-
-    sids = [np.frombuffer(x, np.dtype("V16")) for x in pdf["sids"]]
-    sizes = [np.frombuffer(x, np.int32) for x in pdf["sizes"]]
-    counts = [np.frombuffer(x, np.int32) for x in pdf["counts"]]
-    grams = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["grams"]])
-    names = pdf["batch"].to_numpy()
+    cells = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
+    sids, sizes, counts = cells("sids", np.dtype("V16")), cells("sizes", np.int32), cells("counts", np.int32)
+    grams = np.concatenate(cells("grams", np.uint64))
+    names = table.column("batch").to_numpy()
     sid, size, count = np.concatenate(sids), np.concatenate(sizes), np.concatenate(counts)
     batch = np.repeat(np.arange(len(names)), [len(x) for x in sids])
     order, new = _runs(sid, names[batch])
@@ -161,15 +158,13 @@ def _shared(pdf):
         for c, v in (("batch", names[batch[some[0]]]), ("sids", sid[some].tobytes()), ("sizes", size[some].tobytes()),
                      ("counts", n.astype(np.int32).tobytes()), ("grams", grams[a:e].tobytes()), ("dfs", df[a:e].astype(np.int32).tobytes())):
             out[c].append(v)
-    return pd.DataFrame(out)
+    return pa.table({c: pa.array(v, pa.int64() if c == "batch" else pa.binary()) for c, v in out.items()})
 
 
 def _sets_of_batch(num: int, den: int):
-    def run(pdf):
+    def run(table: pa.Table) -> pa.Table:
         """The sets of one batch that may have a partner, shared n-grams first by rarity."""
-        import pandas as pd
-
-        cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+        cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
         sid, size, count = cat("sids", np.dtype("V16")), cat("sizes", np.int32), cat("counts", np.int32)
         grams, df = cat("grams", np.uint64), cat("dfs", np.int32)
         order, new = _runs(sid, np.arange(len(sid)))
@@ -184,11 +179,13 @@ def _sets_of_batch(num: int, den: int):
         by = np.lexsort((grams, df, of))
         grams, of = grams[by].view(np.int64), of[by]
         ends = np.searchsorted(of, np.arange(len(first) + 1))
-        rows = [i for i in range(len(first)) if may[i]]
-        return pd.DataFrame({
-            "sid": [sid[first[i]].tobytes() for i in rows], "n": [int(size[first[i]]) for i in rows],
-            "unshared": [int(size[first[i]] - shared[i]) for i in rows],
-            "grams": [grams[ends[i]:ends[i + 1]] for i in rows]}, columns=["sid", "n", "unshared", "grams"])
+        some = np.flatnonzero(may)
+        upto = np.append(ends[some], ends[some[-1] + 1] if len(some) else 0).astype(np.int32)  # sets left out have no n-grams left
+        return pa.table({
+            "sid": pa.array([sid[first[i]].tobytes() for i in some.tolist()], pa.binary()),
+            "n": pa.array(size[first[some]].astype(np.int64)),
+            "unshared": pa.array(size[first[some]].astype(np.int64) - shared[some]),
+            "grams": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(grams))})
 
     return run
 
@@ -197,9 +194,9 @@ def candidate_sets(docs: DataFrame, n: int, num: int, den: int, grams_in_all: in
     """(sid, n, unshared, grams): the distinct sets that can have a partner,
     with the n-grams other sets have too, rarest first."""
     parts = max(shuffle_partitions(docs.sparkSession), grams_in_all // PART_KEYS + 1)
-    shared = (_blocks(docs, n, parts, text).groupBy("part").applyInPandas(
+    shared = (_blocks(docs, n, parts, text).groupBy("part").applyInArrow(
         _shared, "batch long, sids binary, sizes binary, counts binary, grams binary, dfs binary"))
-    return shared.groupBy("batch").applyInPandas(
+    return shared.groupBy("batch").applyInArrow(
         _sets_of_batch(num, den), "sid binary, n long, unshared long, grams array<long>")
 
 
