@@ -42,20 +42,11 @@ def parse_mid(c) -> Column:
     return F.when(ok, py_round(m, 1)).otherwise(F.lit(0.0))
 
 
-def pct_of(part, whole) -> Column:
-    """Part / whole * 100, 0 when whole <= 0."""
-    return F.when(_col(whole) > 0, _col(part) / _col(whole) * 100).otherwise(F.lit(0.0))
-
-
-def trunc_int(c) -> Column:
-    """Python ``int(x)`` on a float (toward zero)."""
-    return _col(c).cast("bigint")
-
-
 def rnd(c, nd: int) -> Column:
     """Presentation rounding, half-up on the scaled double:
     ``floor(x * 10^nd + 0.5) / 10^nd``.  Plain IEEE operations, so any engine
     evaluating the same formula returns the identical double (``round`` on a
     double differs between engines at binary near-ties)."""
-    k = float(10 ** nd)
-    return F.floor(_col(c) * k + 0.5) / k
+    k, v = float(10 ** nd), _col(c).cast("double")
+    # floor() gives a bigint: NaN, infinities and numbers beyond it stay as they are
+    return F.when(F.abs(v) * k < 9.0e18, F.floor(v * k + 0.5) / k).otherwise(v)

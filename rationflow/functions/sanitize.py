@@ -36,7 +36,7 @@ def sanitize_text(c, max_len: int = 200) -> Column:
     v = py_strip(F.coalesce(_col(c).cast("string"), F.lit("")))
     for ch, ent in HTML_ESCAPES:  # '&' first, as html.escape does
         v = F.replace(v, F.lit(ch), F.lit(ent))
-    v = F.regexp_replace(v, "[%;()&+<>\"']", "")
+    v = F.translate(v, DELETED_CHARS, "")
     return v if max_len is None else F.substring(v, 1, max_len)
 
 

@@ -85,12 +85,20 @@ def summary(df: DataFrame, keys=("species",)) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys=("species", "ingredient"), order_col: str = "pos") -> DataFrame:
-    """First row per key by ``order_col`` (``.values[0]`` semantics) via
-    ``min_by`` -- a partial aggregate, so a key holding a third of the rows is
-    reduced map-side instead of landing whole in one task."""
-    rest = [c for c in df.columns if c not in keys]
-    agg = F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(order_col)).alias("_r")
-    return df.groupBy(*keys).agg(agg).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    """First row per key by ``order_col`` (``.values[0]`` semantics).
+
+    The least position of each key is a hash aggregate with a map-side part,
+    so a key holding a third of the rows meets as one number a task; the rows
+    come back by a semi join on (key, position), which spreads a hot key over
+    the tasks.  Only those rows, one a key but for equal positions, are then
+    made unique."""
+    on = [*keys, order_col]
+    first = df.groupBy(*keys).agg(F.min(order_col).alias(order_col)).select(*[F.col(c).alias(f"_f_{c}") for c in on])
+    same = None
+    for c in on:
+        e = F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+        same = e if same is None else same & e
+    return df.join(first, same, "left_semi").dropDuplicates(list(keys))
 
 
 def sorted_distinct(df: DataFrame, value: str, keys=("species",), sentinel: str | None = "All",

@@ -97,10 +97,12 @@ def clamp_requests(scenarios: DataFrame, targets: DataFrame) -> DataFrame:
     from ..functions.sanitize import sanitize_int, sanitize_numeric
     t = targets.select(F.col("species").alias("_t_animal"), F.col("stage_no").alias("_t_stage"),
                        "cp_target", "energy_mid", "fiber_min_default", "fiber_max_default")
+    price = F.create_map(*[F.lit(v) for r in R.SPECIES_PARAMS for v in (r[0], float(r[4]))])
+    scenarios = scenarios.withColumn("_price_default", F.element_at(price, F.col("animal")))
     j = scenarios.join(F.broadcast(t), (F.col("animal") == F.col("_t_animal")) &
                        (F.col("stage_no") == F.col("_t_stage")), "left")
     stage_default = {"cp_req": "cp_target", "energy_req": "energy_mid",
-                     "fiber_min": "fiber_min_default", "fiber_max": "fiber_max_default"}
+                     "fiber_min": "fiber_min_default", "fiber_max": "fiber_max_default", "price": "_price_default"}
     out = {}
     for c, (lo, hi, d) in R.INTAKE_RANGES.items():
         if c in R.INT_INTAKE:
@@ -115,5 +117,6 @@ def clamp_requests(scenarios: DataFrame, targets: DataFrame) -> DataFrame:
     # fibre bounds stay null when the fibre constraint is off
     for c in ("fiber_min", "fiber_max"):
         out[c] = F.when(F.col(c).isNotNull(), out[c])
-    return j.withColumns(out).drop("_t_animal", "_t_stage", "cp_target", "energy_mid",
+    out["price"] = out["price"].cast("int")
+    return j.withColumns(out).drop("_price_default", "_t_animal", "_t_stage", "cp_target", "energy_mid",
                                    "fiber_min_default", "fiber_max_default")

@@ -9,20 +9,21 @@ The LP solved per request is::
 
 Scenarios only move the right-hand side (cp, energy, fmin, fmax); optimality
 of a basis (reduced costs >= 0) depends only on the catalog.  So the work is
-split in two Spark jobs:
-
-1. ``prepare_facets`` (once per catalog version): enumerate every basis
-   (tight set T subset of {cp, energy, fiber}, ingredient subset B with
-   |B| = 1 + |T|) by a theta self-join of the catalog within a species, solve
-   the <= 4x4 system in closed form (SQL expressions), keep the bases whose
-   duals satisfy every ingredient's reduced cost (``left_anti`` against the
-   broadcast catalog) and the dual sign rules.  Survivors ("facets") are a
-   few dozen rows per species; each carries its primal solution and its
-   achieved nutrients as *linear functions of the right-hand side*.
-2. ``solve`` (per scenario table): distinct target tuples -> broadcast
-   hash join to the facets on species with a residual primal-feasibility
-   predicate (pure arithmetic, whole-stage codegen) -> ``min_by`` per target
-   (partial aggregation, skew-proof) -> join back to the scenarios.
+split in two:
+
+1. ``prepare_facets`` (once per catalog version): the dual-feasible bases
+   ("facets"), a few hundred per species, each with its primal solution as
+   *linear functions of the right-hand side*.  They are found by pricing: bases
+   are enumerated over a small active set of ingredients (those that are
+   cheapest in some direction of prices, plus two artificial ones that make
+   every right-hand side reachable), every catalog ingredient is priced against
+   the facets of that set, ingredients with a negative reduced cost join it,
+   until none is left.  The facets are those of the whole catalog; the
+   enumeration is over the ingredients that matter.
+2. ``solve`` (per scenario table): one row per species holds its facets as an
+   array; a request joins that row, keeps the facets that are primal feasible
+   for it and takes the cheapest.  No shuffle, no aggregation: the work of a
+   request is done in its own row.
 
 A basis that is primal and dual feasible is optimal, so there is no search
 per scenario.  Ties (alternate optima) are broken by (round(cost, 6), sorted
@@ -37,9 +38,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.linalg import cofactor, det
-from ..functions.numbers import rnd
-from ..session import cut_lineage
+from ..functions.linalg import cofactor
+from ..session import new_table, path_exists, write_table
 
 ATTRS = ("cp", "energy", "fiber")
 MAX_SLOTS = 4
@@ -53,20 +53,18 @@ SUPPORT_TOL = 1e-9
 # Reference behaviour: proportions kept in the formula are strictly > 0.001.
 KEEP_THRESHOLD = 0.001
 X_DP, COST_DP = 12, 9
-# Facet tables above this row count are not broadcast (AQE decides instead).
-FACET_BROADCAST_MAX_ROWS = 2_000_000
-CATALOG_BROADCAST_MAX_ROWS = 1_000_000
-# Catalogs above this row count generate their bases on many tasks.
-SPREAD_MIN_ROWS = 400
-# Solved targets (5 keys + <= 4 formula slots, ~300 B/row) above this are
-# joined back with a shuffle join instead of a broadcast.
-SOLVED_BROADCAST_MAX_ROWS = 500_000
+# Price directions tried for the first active set, per pair of attributes.
+DIRECTIONS = 6
+# Artificial ingredients cost so many times the dearest ingredient.
+ARTIFICIAL_COST = 1e6
 
 
+def has_fiber(catalog: DataFrame) -> bool:
+    return "fiber" in catalog.columns
+
 
 def _catalog_cols(catalog: DataFrame) -> DataFrame:
-    cols = catalog.columns
-    fiber = F.coalesce(F.col("fiber").cast("double"), F.lit(0.0)) if "fiber" in cols else F.lit(0.0)
+    fiber = F.coalesce(F.col("fiber").cast("double"), F.lit(0.0)) if has_fiber(catalog) else F.lit(0.0)
     return catalog.select(
         "species",
         F.col("pos").cast("bigint").alias("pos"),
@@ -78,92 +76,99 @@ def _catalog_cols(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int, n: int | None = None) -> DataFrame:
-    """Broadcast only behind a measured row count; otherwise leave the choice
-    to AQE, which re-plans with runtime sizes."""
-    n = df.count() if n is None else n
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def _basis_frame(cat: DataFrame, cat_b: DataFrame, k: int,
-                 held: list | None = None, spread: bool = False) -> DataFrame:
-    """All bases with ``k`` ingredients, for every tight set of size k-1,
-    with primal/dual/achieved coefficients.  The k-subset self-join runs
-    once; the tight-set choice is an exploded column and the matrix rows are
-    picked with CASE, so every algebra expression is shared."""
-    sides = []
-    for j in range(k):
-        sides.append(cat.select(
-            F.col("species").alias("species" if j == 0 else f"_sp{j}"),
-            *[F.col(c).alias(f"b{j}_{c}") for c in SLOT_FIELDS]))
-    # The join output inherits the probe side's partitioning: spread the
-    # first basis member over the cluster so C(n, k) bases are generated by
-    # many tasks (hash on (species, pos) also splits a dominant species).
-    par = max(1, cat.sparkSession.sparkContext.defaultParallelism)
-    df = sides[0].repartition(par, "species", "b0_pos") if (k > 1 and spread) else sides[0]
+def _dual_frame(cat: DataFrame, k: int) -> DataFrame:
+    """All bases with ``k`` ingredients for every tight set of size k-1: the
+    inverse of their matrix and the duals.  The k-subset self-join runs once;
+    the tight-set choice is an exploded column and the matrix rows are picked
+    with CASE."""
+    sides = [cat.select(F.col("species").alias("species" if j == 0 else f"_sp{j}"),
+                        *[F.col(c).alias(f"b{j}_{c}") for c in SLOT_FIELDS]) for j in range(k)]
+    df = sides[0]
     for j in range(1, k):
-        other = F.broadcast(sides[j]) if cat_b is not cat else sides[j]
-        df = df.join(other, (F.col("species") == F.col(f"_sp{j}")) &
+        df = df.join(sides[j], (F.col("species") == F.col(f"_sp{j}")) &
                      (F.col(f"b{j - 1}_pos") < F.col(f"b{j}_pos"))).drop(f"_sp{j}")
-
     rr = range(1, k)  # matrix rows beyond the sum-to-one row
     tcols = [f"_t{r}" for r in rr]
+    slots = [f"b{j}_{c}" for j in range(k) for c in SLOT_FIELDS]
+    # inline() is a barrier: what it yields are plain columns, so that nothing
+    # below is pasted into the expressions above it again and again
     if k > 1:
-        options = F.array(*[F.struct(*[F.lit(t[r - 1]).alias(f"_t{r}") for r in rr])
-                            for t in combinations(ATTRS, k - 1)])
-        df = df.withColumn("_ts", F.explode(options)) \
-            .select("*", *[F.col(f"_ts._t{r}").alias(f"_t{r}") for r in rr]).drop("_ts")
-        df = df.selectExpr("*", *[
-            f"CASE _t{r} WHEN 'cp' THEN b{j}_cp WHEN 'energy' THEN b{j}_energy ELSE b{j}_fiber END AS m{r}_{j}"
-            for r in rr for j in range(k)])
-
+        options = ", ".join("named_struct(" + ", ".join(
+            [f"'_t{r}', '{t[r - 1]}'" for r in rr] + [f"'m{r}_{j}', b{j}_{t[r - 1]}" for r in rr for j in range(k)]) + ")"
+            for t in combinations(ATTRS, k - 1))
+        df = df.selectExpr("species", *slots, f"inline(array({options}))")
     rows = [["1"] * k] + [[f"m{r}_{j}" for j in range(k)] for r in rr]
-    keep = ["species", *tcols] + [f"b{j}_{c}" for j in range(k) for c in SLOT_FIELDS]
-    exprs = keep + [f"{det(rows)} AS _det"]
-    exprs += [f"{cofactor(rows, r, j)} AS _c{r}_{j}" for r in range(k) for j in range(k)]
+    cof = ", ".join(f"'c{r}_{j}', cast({cofactor(rows, r, j)} AS double)" for r in range(k) for j in range(k))
     scale = " * ".join(["1.0"] + [f"greatest({', '.join(f'abs(m{r}_{j})' for j in range(k))}, 1e-300)"
                                    for r in rr])
-    # materialised so the cofactors are computed once, not re-inlined into
-    # every coefficient expression below (the frame is small: C(n, k) rows)
-    df = df.selectExpr(*exprs).where(f"abs(_det) > {DET_REL_TOL} * ({scale})").persist()
-    if held is not None:
-        held.append(df)
-
-    # inv[j][r] = C[r][j] / det ; rhs vector b = (1, rhs of the tight rows)
-    def inv(j: int, r: int) -> str:
-        return f"(_c{r}_{j} / _det)"
-
-    def rhs_coef(expr_of_j, r: int) -> str:
-        return " + ".join(f"({expr_of_j(j)}) * {inv(j, r)}" for j in range(k))
-
-    def by_attr(t: str, coef_of_row) -> str:
-        """Coefficient of the rhs of attribute ``t``: the row tight on t."""
-        if k == 1:
-            return "0.0D"
-        return "CASE " + " ".join(f"WHEN _t{r} = '{t}' THEN {coef_of_row(r)}" for r in rr) + " ELSE 0.0D END"
-
+    df = df.selectExpr("species", *tcols, *slots, f"{scale} AS _scale", f"inline(array(named_struct({cof})))")
+    # the first row is all ones, so its cofactors add up to the determinant
+    df = df.withColumn("_det", F.expr(" + ".join(f"c0_{j}" for j in range(k)))).where(f"abs(_det) > {DET_REL_TOL} * _scale")
+    # inv[j][r] = C[r][j] / det; duals y_r = sum_j cost_j inv[j][r]
+    inv = ", ".join(f"'i{j}_{r}', c{r}_{j} / _det" for r in range(k) for j in range(k))
+    df = df.selectExpr("species", *tcols, *slots, f"inline(array(named_struct({inv})))")
+    y = [" + ".join(f"b{j}_cost * i{j}_{r}" for j in range(k)) for r in range(k)]
     out = ["species", f"{k} AS nb"]
-    out += [f"({' OR '.join(f'_t{r} = {chr(39)}{t}{chr(39)}' for r in rr) or 'false'}) AS tight_{t}"
-            for t in ATTRS]
-    # duals y_r = sum_j cost_j inv[j][r]; cost = y . b
-    out.append(f"{rhs_coef(lambda j: f'b{j}_cost', 0)} AS y0")
-    out += [f"{by_attr(t, lambda r: rhs_coef(lambda j: f'b{j}_cost', r))} AS y_{t}" for t in ATTRS]
-    # achieved nutrient a as linear function of the rhs
-    for a in ATTRS:
-        out.append(f"{rhs_coef(lambda j, a=a: f'b{j}_{a}', 0)} AS {a}_0")
-        out += [f"{by_attr(t, lambda r, a=a: rhs_coef(lambda j: f'b{j}_{a}', r))} AS {a}_{t}" for t in ATTRS]
+    for t in ATTRS:
+        tight = " OR ".join(f"_t{r} = '{t}'" for r in rr) or "false"
+        value = "CASE " + " ".join(f"WHEN _t{r} = '{t}' THEN {y[r]}" for r in rr) + " ELSE 0.0D END" if k > 1 else "0.0D"
+        out += [f"({tight}) AS tight_{t}", f"{value} AS y_{t}"]
+    out.append(f"{y[0]} AS y0")
+    types = ("BIGINT", "STRING", "DOUBLE", "DOUBLE", "DOUBLE", "DOUBLE")
     for j in range(MAX_SLOTS):
-        if j < k:
-            out += [f"b{j}_{c} AS s{j}_{c}" for c in SLOT_FIELDS]
-            out.append(f"{inv(j, 0)} AS s{j}_k0")
-            out += [f"{by_attr(t, lambda r, j=j: inv(j, r))} AS s{j}_k{t}" for t in ATTRS]
-        else:
-            out += [f"CAST(NULL AS {typ}) AS s{j}_{c}" for c, typ in
-                    zip(SLOT_FIELDS, ("BIGINT", "STRING", "DOUBLE", "DOUBLE", "DOUBLE", "DOUBLE"))]
-            out += [f"0.0D AS s{j}_k0"] + [f"0.0D AS s{j}_k{t}" for t in ATTRS]
+        for c, typ in zip(SLOT_FIELDS, types, strict=True):
+            out.append(f"b{j}_{c} AS s{j}_{c}" if j < k else f"CAST(NULL AS {typ}) AS s{j}_{c}")
+        out.append(f"i{j}_0 AS s{j}_k0" if j < k else f"0.0D AS s{j}_k0")
+        for t in ATTRS:
+            value = "CASE " + " ".join(f"WHEN _t{r} = '{t}' THEN i{j}_{r}" for r in rr) + " ELSE 0.0D END"
+            out.append(f"{value} AS s{j}_k{t}" if 1 < k and j < k else f"0.0D AS s{j}_k{t}")
     return df.selectExpr(*out)
 
 
+def _with_achieved(facets: DataFrame) -> DataFrame:
+    """Adds each nutrient a the ration reaches, linear in the right-hand side."""
+    return facets.selectExpr("*", *[
+        " + ".join(f"coalesce(s{j}_{a}, 0.0D) * s{j}_k{t}" for j in range(MAX_SLOTS)) + f" AS {a}_{t}"
+        for a in ATTRS for t in ("0", *ATTRS)])
+
+
+def _priced(facets: DataFrame, cat: DataFrame, prefix: str = "_c_") -> tuple[DataFrame, str]:
+    """(catalog columns under a prefix, condition that an ingredient has a
+    negative reduced cost at a facet)."""
+    rc = cat.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("species", "pos", "cost", *ATTRS)])
+    return rc, (f"species = {prefix}species AND {prefix}cost - (y0 + y_cp * {prefix}cp + y_energy * {prefix}energy"
+                f" + y_fiber * {prefix}fiber) < -{REDUCED_COST_TOL} * (1 + abs({prefix}cost))")
+
+
+def _first_active(cat: DataFrame) -> DataFrame:
+    """(species, pos) of ingredients cheapest in some direction of prices: a
+    hash aggregate of the catalog per direction, whatever its size."""
+    span = cat.groupBy("species").agg(
+        F.max(F.abs("cost")).alias("_kc"), *[F.max(F.abs(a)).alias(f"_k{a}") for a in ATTRS])
+    grid = [i / (DIRECTIONS - 1) * 2 for i in range(DIRECTIONS)]
+    ways = [(1.0, a, b, c) for a in grid for b in grid for c in (-1.0, -0.3, 0.0, 0.3, 1.0)]
+    ways += [(0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.0, -1.0)]
+    way = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"w{i}") for i, v in enumerate(w)]) for w in ways])).alias("w")
+    unit = lambda c, k: F.col(c) / F.greatest(F.col(k), F.lit(1e-300))
+    rows = cat.join(span, "species").select("species", "pos", way, unit("cost", "_kc").alias("c"),
+                                            *[unit(a, f"_k{a}").alias(a) for a in ATTRS])
+    price = (F.col("w.w0") * F.col("c") - F.col("w.w1") * F.col("cp") - F.col("w.w2") * F.col("energy")
+             - F.col("w.w3") * F.col("fiber"))
+    return (rows.withColumn("p", price).groupBy("species", "w")
+            .agg(F.min(F.struct("p", "pos")).alias("m")).select("species", F.col("m.pos").alias("pos")).distinct())
+
+
+def _artificial(cat: DataFrame) -> DataFrame:
+    """Two ingredients per species, richer than any and dear, at the least and
+    the most fibre: with them any reachable target has a ration."""
+    ends = cat.groupBy("species").agg(
+        F.max("cp").alias("cp"), F.max("energy").alias("energy"), (F.max(F.abs("cost")) + 1).alias("cost"),
+        F.explode(F.array(F.struct(F.lit(-1).alias("pos"), F.min("fiber").alias("fiber")),
+                          F.struct(F.lit(-2).alias("pos"), F.max("fiber").alias("fiber")))).alias("e"))
+    return ends.select("species", F.col("e.pos").cast("bigint").alias("pos"), F.lit(None).cast("string").alias("ingredient"),
+                       "cp", "energy", F.col("e.fiber").alias("fiber"), (F.col("cost") * ARTIFICIAL_COST).alias("cost"))
+
+
 class _ConfScope:
     """Temporarily override SQL confs while a plan is optimised/executed."""
 
@@ -184,140 +189,142 @@ class _ConfScope:
                 self.spark.conf.set(k, v)
 
 
-def prepare_facets(catalog: DataFrame) -> DataFrame:
+def active_facets(cat: DataFrame, log: list | None = None) -> DataFrame:
+    """Facets of the whole catalog by pricing rounds over an active set; every
+    round is a written table.  ``log`` receives (active ingredients, facets)
+    of each round."""
+    spark = cat.sparkSession
+    artificial = write_table(_artificial(cat), "artificial")
+    active = write_table(_first_active(cat), "active")
+    while True:
+        here = write_table(cat.join(active, ["species", "pos"]), "active_rows")
+        both = here.unionByName(artificial)
+        duals = None
+        for k in range(1, MAX_SLOTS + 1):
+            part = _dual_frame(both, k)
+            duals = part if duals is None else duals.unionByName(part)
+        duals = duals.where(f"(NOT tight_cp OR y_cp >= -{DUAL_SIGN_TOL}) AND (NOT tight_energy OR y_energy >= -{DUAL_SIGN_TOL})")
+        rc, violated = _priced(duals, here)
+        # the algebra makes wide expression trees over which constraint
+        # propagation is exponential: off for this one plan
+        with _ConfScope(spark, spark__sql__constraintPropagation__enabled="false"):
+            facets = write_table(duals.join(rc, F.expr(violated), "left_anti"), "facets")
+            rc, violated = _priced(facets, cat)
+            found = write_table(facets.join(rc, F.expr(violated)).select(
+                F.col("_c_species").alias("species"), F.col("_c_pos").alias("pos")).distinct(), "priced_in")
+        if log is not None:
+            log.append((active.count(), facets.count()))
+        more = found.join(active, ["species", "pos"], "left_anti")
+        if more.isEmpty():
+            real = " AND ".join(f"coalesce(s{j}_pos, 1) >= 0" for j in range(MAX_SLOTS))
+            return facets.where(real)
+        active = write_table(active.unionByName(more), "active")
+
+
+def prepare_facets(catalog: DataFrame, log: list | None = None) -> DataFrame:
     """Optimal bases of the parametric LP for every species of ``catalog``.
 
-    ``catalog``: species, pos, ingredient, cp, energy, fiber (nullable), cost;
+    ``catalog``: species, pos, ingredient, cp, energy, fiber (nullable; without
+    the column requests are solved with the fibre constraint off, C8), cost;
     ``(species, ingredient)`` unique (apply :func:`first_per_key` first).
-    Output: one row per facet and fibre side (``fiber_side`` null, 'min' or
-    'max'), with up to four slots ``s{j}_*`` and linear coefficients.
+    Output: one row per species with ``facets``, an array of one struct per
+    facet and fibre side (``fiber_side`` null, 'min' or 'max'), written to the
+    shared folder, so that joins know its size and losing an executor never
+    re-runs the enumeration.
     """
-    cat = _catalog_cols(catalog).persist()
-    n_cat = cat.count()
-    cat_b = _maybe_broadcast(cat, CATALOG_BROADCAST_MAX_ROWS, n_cat)
-    spread = n_cat > SPREAD_MIN_ROWS
-    cands, held = None, []
-    for k in range(1, MAX_SLOTS + 1):
-        part = _basis_frame(cat, cat_b, k, held, spread)
-        cands = part if cands is None else cands.unionByName(part)
-
-    # Keep a basis iff no catalog ingredient has a negative reduced cost.
-    rc = cat_b.select(F.col("species").alias("_c_species"), F.col("cost").alias("_c_cost"),
-                      F.col("cp").alias("_c_cp"), F.col("energy").alias("_c_energy"),
-                      F.col("fiber").alias("_c_fiber"))
-    violation = F.expr(
-        f"species = _c_species AND _c_cost - (y0 + y_cp * _c_cp + y_energy * _c_energy + y_fiber * _c_fiber)"
-        f" < -{REDUCED_COST_TOL} * (1 + abs(_c_cost))")
-    facets = cands.join(rc, violation, "left_anti")
-    facets = facets.where(
-        f"(NOT tight_cp OR y_cp >= -{DUAL_SIGN_TOL}) AND (NOT tight_energy OR y_energy >= -{DUAL_SIGN_TOL})")
+    cat = write_table(_catalog_cols(catalog), "catalog")
+    facets = active_facets(cat, log)
     side = F.when(~F.col("tight_fiber"), F.array(F.lit(None).cast("string"))).otherwise(
         F.filter(F.array(F.when(F.col("y_fiber") >= -DUAL_SIGN_TOL, F.lit("min")),
                          F.when(F.col("y_fiber") <= DUAL_SIGN_TOL, F.lit("max"))),
                  lambda s: s.isNotNull()))
-    facets = facets.withColumn("fiber_side", F.explode(side))
-    # The closed-form algebra makes wide expression trees; constraint
-    # propagation over them is exponential, so optimise this one plan with it
-    # off.  The (small) result is checkpointed to reliable storage: later
-    # joins see a plain scan and executor loss never re-runs the enumeration.
+    facets = _with_achieved(facets.withColumn("fiber_side", F.explode(side)))
+    if not has_fiber(catalog):
+        facets = facets.where("NOT tight_fiber")
+    cols = [c for c in facets.columns if c != "species"]
+    packed = (facets.groupBy("species").agg(F.collect_list(F.struct(*cols)).alias("facets"))
+              .withColumn("with_fiber", F.lit(has_fiber(catalog))))
+    return write_table(packed, "packed_facets")
+
+
+def facets_of_version(catalog: DataFrame, folder: str) -> DataFrame:
+    """:func:`prepare_facets`, kept under ``folder`` by the catalog's content:
+    another content is another version, so a saved catalog is never answered
+    from the facets of an older one (A7)."""
     spark = catalog.sparkSession
-    with _ConfScope(spark, spark__sql__constraintPropagation__enabled="false"):
-        facets = cut_lineage(facets)
-    for h in held:
-        h.unpersist()
-    cat.unpersist()
-    return facets
+    cols = [F.col(c) for c in ("species", "pos", "ingredient", "cp", "energy", "fiber", "cost") if c in catalog.columns]
+    r = catalog.agg(F.count("*"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")),
+                    F.bit_xor(F.xxhash64(F.lit(1), *cols))).first()
+    path = f"{folder.rstrip('/')}/facets_{r[0]}_{r[1]}_{r[2]}_{int(has_fiber(catalog))}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        prepare_facets(catalog).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 TARGET_COLS = ("species", "cp_req", "energy_req", "fiber_min", "fiber_max")
 
 
 def _x(j: int) -> str:
-    return (f"(f_s{j}_k0 + f_s{j}_kcp * cp_req + f_s{j}_kenergy * energy_req"
-            f" + f_s{j}_kfiber * _frhs)")
+    return (f"(f.s{j}_k0 + f.s{j}_kcp * cp_req + f.s{j}_kenergy * energy_req"
+            f" + f.s{j}_kfiber * _frhs)")
 
 
 def _ach(a: str) -> str:
-    return f"(f_{a}_0 + f_{a}_cp * cp_req + f_{a}_energy * energy_req + f_{a}_fiber * _frhs)"
+    return f"(f.{a}_0 + f.{a}_cp * cp_req + f.{a}_energy * energy_req + f.{a}_fiber * _frhs)"
 
 
-_FRHS = ("CASE f_fiber_side WHEN 'min' THEN fiber_min WHEN 'max' THEN fiber_max ELSE 0.0D END")
+_FRHS = "(CASE f.fiber_side WHEN 'min' THEN _fmin WHEN 'max' THEN _fmax ELSE 0.0D END)"
 _FEASIBLE = " AND ".join(
-    ["species = f_species", "(f_fiber_side IS NULL OR fiber_min IS NOT NULL)"]
+    ["(f.fiber_side IS NULL OR _fmin IS NOT NULL)"]
     + [f"{_x(j)} >= -{PRIMAL_TOL}" for j in range(MAX_SLOTS)]
     + [f"{_ach('cp')} >= cp_req - {PRIMAL_TOL} * (1 + abs(cp_req))",
        f"{_ach('energy')} >= energy_req - {PRIMAL_TOL} * (1 + abs(energy_req))",
-       f"(fiber_min IS NULL OR ({_ach('fiber')} >= fiber_min - {PRIMAL_TOL} * (1 + abs(fiber_min))"
-       f" AND {_ach('fiber')} <= fiber_max + {PRIMAL_TOL} * (1 + abs(fiber_max))))"]
-).replace("_frhs", f"({_FRHS})")
+       f"(_fmin IS NULL OR ({_ach('fiber')} >= _fmin - {PRIMAL_TOL} * (1 + abs(_fmin))"
+       f" AND {_ach('fiber')} <= _fmax + {PRIMAL_TOL} * (1 + abs(_fmax))))"])
+_COST = "(f.y0 + f.y_cp * cp_req + f.y_energy * energy_req + f.y_fiber * _frhs)"
 
 
-def solve_targets(targets: DataFrame, facets: DataFrame) -> DataFrame:
-    """Optimal ration per distinct target tuple.
+def _snap(x: str, nd: int) -> str:
+    """Half-up rounding: solver output is snapped to 12 dp (proportions) / 9
+    dp (cost) so the ~1e-13 noise of the closed-form algebra never flips a
+    later rounding."""
+    return f"(floor({x} * 1e{nd} + 0.5D) / 1e{nd})"
 
-    ``targets``: distinct (species, cp_req, energy_req, fiber_min, fiber_max);
-    fibre bounds null = fibre constraint off.  Output adds ``status``
-    ('optimal' / 'infeasible'), ``total_cost`` (raw objective) and
-    ``formula`` ARRAY<STRUCT<pos, ingredient, cost, cp, energy, fiber, x>>
-    (all basic variables, before the 0.001 threshold).
-    """
-    f = facets.select(*[F.col(c).alias(f"f_{c}") for c in facets.columns])
-    f = _maybe_broadcast(f, FACET_BROADCAST_MAX_ROWS)
-    j = targets.join(f, F.expr(_FEASIBLE), "left")
-    frhs = F.expr(_FRHS)
-    j = j.withColumn("_frhs", frhs)
-    xs = [F.expr(_x(i).replace("_frhs", "_frhs")) for i in range(MAX_SLOTS)]
-    cost = F.expr("f_y0 + f_y_cp * cp_req + f_y_energy * energy_req + f_y_fiber * _frhs")
-    # Solver output is snapped to 12 dp (proportions) / 9 dp (cost) so the
-    # ~1e-13 noise of the closed-form algebra never flips a later rounding.
-    slots = [F.struct(*[F.col(f"f_s{i}_{c}").alias(c) for c in SLOT_FIELDS],
-                      rnd(xs[i], X_DP).alias("x"))
-             for i in range(MAX_SLOTS)]
-    support = F.concat_ws(",", *[F.when(xs[i] > SUPPORT_TOL, F.lpad(F.col(f"f_s{i}_pos").cast("string"), 12, "0"))
-                                 for i in range(MAX_SLOTS)])
-    xvec = F.filter(F.array(*[F.when(xs[i] > SUPPORT_TOL, rnd(xs[i], 6)) for i in range(MAX_SLOTS)]),
-                    lambda v: v.isNotNull())
-    j = j.select(*TARGET_COLS,
-                 F.when(F.col("f_species").isNotNull(), F.struct(
-                     rnd(cost, 6).alias("cost6"), support.alias("support"), xvec.alias("xvec"))).alias("_rank"),
-                 F.struct(rnd(cost, COST_DP).alias("total_cost"),
-                          F.filter(F.array(*slots), lambda s: s["pos"].isNotNull()).alias("formula")).alias("_sol"))
-    best = j.groupBy(*TARGET_COLS).agg(F.min_by("_sol", "_rank").alias("_sol"),
-                                       F.min("_rank").alias("_rank"))
-    return best.select(
-        *TARGET_COLS,
-        F.when(F.col("_rank").isNull(), F.lit("infeasible")).otherwise(F.lit("optimal")).alias("status"),
-        F.when(F.col("_rank").isNotNull(), F.col("_sol.total_cost")).alias("total_cost"),
-        F.when(F.col("_rank").isNotNull(), F.col("_sol.formula")).alias("formula"),
-    )
+
+def _rank() -> str:
+    """Struct whose least is the optimum: cost, support, proportions, facet."""
+    support = "concat_ws(',', " + ", ".join(
+        f"CASE WHEN {_x(j)} > {SUPPORT_TOL} THEN lpad(cast(f.s{j}_pos AS string), 12, '0') END" for j in range(MAX_SLOTS)) + ")"
+    xvec = "filter(array(" + ", ".join(
+        f"CASE WHEN {_x(j)} > {SUPPORT_TOL} THEN {_snap(_x(j), 6)} END" for j in range(MAX_SLOTS)) + "), v -> v IS NOT NULL)"
+    return f"named_struct('cost6', {_snap(_COST, 6)}, 'support', {support}, 'xvec', {xvec}, 'f', f)"
 
 
 def solve(scenarios: DataFrame, facets: DataFrame) -> DataFrame:
-    """Attach the optimal ration to every scenario row.
-
-    Scenarios are reduced to distinct target tuples first (map-side partial
-    aggregation, so a hot target collapses before the shuffle); the solved
-    targets are materialised, counted and -- when within
-    ``SOLVED_BROADCAST_MAX_ROWS`` -- broadcast back to the scenarios with
-    null-safe keys, so the scenario rows are never shuffled.  Above the bound
-    the join is a shuffle join that AQE can skew-split.
-    """
-    targets = scenarios.select(*TARGET_COLS).distinct()
-    solved = solve_targets(targets, facets)
-    s = solved.select(*[F.col(c).alias(f"_t_{c}") for c in TARGET_COLS],
-                      "status", "total_cost", "formula")
-    if not scenarios.isStreaming:
-        # Checkpoint the (small) solved-target table -- losing an executor then
-        # never re-runs the distinct over all scenarios -- and broadcast it
-        # behind its measured size, so the big scenario side is joined
-        # map-side and never shuffled; above the bound AQE plans a shuffle join.
-        s = cut_lineage(s)
-        s = F.broadcast(s) if s.count() <= SOLVED_BROADCAST_MAX_ROWS else s
-    cond = None
-    for c in TARGET_COLS:
-        e = scenarios[c].eqNullSafe(F.col(f"_t_{c}"))
-        cond = e if cond is None else cond & e
-    return scenarios.join(s, cond, "left").drop(*[f"_t_{c}" for c in TARGET_COLS])
+    """Attach the optimal ration to every scenario row (J1-J3): ``status``
+    ('optimal' / 'infeasible'), ``total_cost`` (raw objective) and ``formula``
+    ARRAY<STRUCT<pos, ingredient, cost, cp, energy, fiber, x>> (all basic
+    variables, before the 0.001 threshold).  Fibre bounds null = constraint
+    off, as it is for a catalog without a fibre column.
+
+    The facets of a species are one row; whether that table is broadcast is
+    left to Spark, which knows the size of its files, so beyond the broadcast
+    threshold the same join is a shuffle join that AQE can split."""
+    s = scenarios.join(facets, "species", "left")
+    s = s.withColumns({"_fmin": F.when(F.coalesce("with_fiber", F.lit(False)), F.col("fiber_min")),
+                       "_fmax": F.when(F.coalesce("with_fiber", F.lit(False)), F.col("fiber_max"))})
+    fr = lambda e: e.replace("_frhs", _FRHS)
+    # inline() keeps the search a column: what reads it never runs it again
+    s = s.selectExpr("*", "inline(array(named_struct('_best', "
+                     f"array_min(transform(filter(facets, f -> {fr(_FEASIBLE)}), f -> {fr(_rank())})))))")
+    one = [f"named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, f.s{j}_{c}' for c in SLOT_FIELDS)}, 'x', {_snap(_x(j), X_DP)})"
+           for j in range(MAX_SLOTS)]
+    pick = lambda e: fr(e).replace("f.", "_best.f.")
+    solved = s.select("*", *[c.alias(n) for n, c in {
+        "status": F.when(F.col("_best").isNull(), "infeasible").otherwise("optimal"),
+        "total_cost": F.expr(_snap(pick(_COST), COST_DP)),
+        "formula": F.expr(f"CASE WHEN _best IS NOT NULL THEN filter(array({', '.join(pick(o) for o in one)}), s -> s.pos IS NOT NULL) END")}.items()])
+    return solved.drop("facets", "with_fiber", "_fmin", "_fmax", "_best")
 
 
 def with_totals(solved: DataFrame, intake_col: str = "intake_kg",

@@ -6,6 +6,9 @@ from . import queries as Q
 from . import sql_funcs as SF
 from . import sql_views as V
 
+# The standard limits (calls, seconds).
+STANDARD_LIMITS = [("optimize", 10, 60), ("predict", 20, 60), ("save_db", 5, 60), ("report", 15, 60)]
+
 _TARGETS = "targets AS (SELECT DISTINCT species, cp_req, energy_req, fiber_min, fiber_max FROM scenarios)"
 _T_EQ = ("{a}.species = {b}.species AND {a}.cp_req = {b}.cp_req AND {a}.energy_req = {b}.energy_req"
          " AND {a}.fiber_min IS NOT DISTINCT FROM {b}.fiber_min"
@@ -145,6 +148,15 @@ WHERE EXISTS (SELECT 1 FROM breeds_r b WHERE b.animal = s.animal AND b.breed_no
         "breed_anti_join": f"{_SCEN},\n{breeds_r}" + """
 SELECT scenario_id, animal, breed_no FROM scenarios s
 WHERE NOT EXISTS (SELECT 1 FROM breeds_r b WHERE b.animal = s.animal AND b.breed_no = s.breed_no)""",
+        "guide_csv": _SCEN + """,
+wide AS (SELECT species, stage_no, stage, max(CASE WHEN nutrient = 'Crude Protein (%)' THEN requirement END) AS crude_protein,
+                max(CASE WHEN nutrient = 'Energy (kcal/kg)' THEN requirement END) AS energy
+         FROM standards_long GROUP BY species, stage_no, stage)
+SELECT s.scenario_id, w.stage, w.crude_protein, w.energy
+FROM scenarios s JOIN wide w ON s.animal = w.species AND s.stage_no = w.stage_no""",
+        "breed_stats": _SCEN + """
+SELECT species AS animal, type, CAST(count(*) AS BIGINT) AS n FROM breeds
+WHERE species IN (SELECT animal FROM scenarios) GROUP BY ALL""",
         "type_counts": sb + "\nSELECT animal, type, CAST(count(*) AS BIGINT) AS n FROM sb GROUP BY animal, type",
         "growth_rate_counts": sb + "\nSELECT animal, growth_rate, CAST(count(*) AS BIGINT) AS n FROM sb GROUP BY animal, growth_rate",
         "distinct_types": sb + "\nSELECT animal, 'All|' || string_agg(DISTINCT type, '|' ORDER BY type) AS type_options FROM sb GROUP BY animal",
@@ -161,9 +173,8 @@ SELECT scenario_id, breed FROM (
 
 
 def _catalog_queries() -> dict[str, str]:
-    from ..operators.catalog import sanitize_scalar
-    term = sanitize_scalar(Q.SEARCH_REGEX_TERM)
-    sterm = sanitize_scalar(Q.SUMMARY_TERM)
+    # the sanitised search terms: parentheses are among the deleted characters
+    term, sterm = "RED gear|bolt", "gear"
     lv = V.with_views(V.LISTING)
     first = """first_l AS (
   SELECT species, ingredient, pos, brand, cp, energy, fiber, cost FROM (
@@ -177,6 +188,18 @@ def _catalog_queries() -> dict[str, str]:
         "catalog_search_regex": lv + f"""
 SELECT species, pos, ingredient, cost FROM listing WHERE coalesce(regexp_matches(ingredient, {SF.lit('(?i)' + term)}), FALSE)""",
         "catalog_sort": lv + "\nSELECT species, pos, ingredient, cost FROM listing ORDER BY cost DESC, pos",
+        "catalog_sort_name": lv + "\nSELECT species, pos, ingredient, cost FROM listing ORDER BY ingredient, pos",
+        "catalog_sort_cp": lv + "\nSELECT species, pos, ingredient, cp FROM listing ORDER BY cp DESC, pos",
+        "catalog_sort_energy": lv + "\nSELECT species, pos, ingredient, energy FROM listing ORDER BY energy DESC, pos",
+        "catalog_summary_regex": lv + f"""
+SELECT species, CAST(count(*) AS BIGINT) AS n_ingredients, round(avg(cost), 6) AS avg_cost,
+       round(avg(cp), 6) AS avg_cp, round(avg(energy), 6) AS avg_energy
+FROM listing WHERE coalesce(regexp_matches(ingredient, {SF.lit('(?i)' + term)}), FALSE) GROUP BY species""",
+        "catalog_csv_read": lv + """
+SELECT species, CAST(row_number() OVER (PARTITION BY species ORDER BY pos) AS BIGINT) AS pos, ingredient, cp, energy, fiber, cost
+FROM listing""",
+        "species_route": lv + """
+SELECT species, pos, ingredient, cost FROM listing WHERE species = (SELECT min(species) FROM listing)""",
         "catalog_summary": lv + f"""
 SELECT species, CAST(count(*) AS BIGINT) AS n_ingredients, round(avg(cost), 6) AS avg_cost,
        round(avg(cp), 6) AS avg_cp, round(avg(energy), 6) AS avg_energy
@@ -201,19 +224,24 @@ def _econ_queries() -> dict[str, str]:
     p = _ration_prefix() + ",\n" + SF.SPECIES_PARAMS + """,
 econ AS (
   SELECT s.*, p.excellent_above, p.good_above, p.target_weight_kg, p.default_price,
-         s.total_cost * s.side_intake AS daily_cost
+         s.total_cost * s.side_intake AS daily_cost,
+         CASE WHEN s.scenario_id % 5 <> 0 THEN s.gain_g END AS pred
   FROM solved s LEFT JOIN species_params p ON s.animal = p.animal),
 roi_b AS (
-  SELECT *, least(greatest(CAST(cycle_days AS BIGINT), 30), 365) AS days_c, CAST(default_price AS BIGINT) AS price
+  SELECT *, least(greatest(CAST(cycle_days AS BIGINT), 30), 365) AS days_c,
+         CASE WHEN price IS NULL THEN CAST(default_price AS BIGINT)
+              ELSE least(greatest(CAST(trunc(price) AS BIGINT), 500), 5000) END AS unit_price
   FROM econ),
-roi_c AS (
-  SELECT *, daily_cost * days_c AS feed_cost, weight_kg + (gain_g * days_c) / 1000 AS final_weight_kg FROM roi_b),
-roi_d AS (
-  SELECT *, final_weight_kg * price AS revenue, final_weight_kg * price - feed_cost AS profit FROM roi_c),
-roi_e AS (
-  SELECT *, CASE WHEN feed_cost > 0 THEN profit / feed_cost * 100 ELSE 0.0 END AS roi_pct,
-         feed_cost + greatest(profit, 0.0) AS tot FROM roi_d)
 """
+    chain = lambda gain, n: f"""
+roi_c{n} AS (
+  SELECT *, daily_cost * days_c AS feed_cost, weight_kg + ({gain} * days_c) / 1000 AS final_weight_kg FROM roi_b),
+roi_d{n} AS (
+  SELECT *, final_weight_kg * unit_price AS revenue, final_weight_kg * unit_price - feed_cost AS profit FROM roi_c{n}),
+roi_e{n} AS (
+  SELECT *, CASE WHEN feed_cost > 0 THEN profit / feed_cost * 100 ELSE 0.0 END AS roi_pct,
+         feed_cost + greatest(profit, 0.0) AS tot FROM roi_d{n})"""
+    p += chain("gain_g", "") + "," + chain("pred", "_p") + "\n"
     n = "least(greatest(CAST(n_animals AS BIGINT), 1), 10000)"
     d = "least(greatest(CAST(duration_days AS BIGINT), 1), 365)"
     reach = "(gain_g > 0 AND weight_kg < target_weight_kg)"
@@ -226,7 +254,7 @@ SELECT scenario_id, round(daily_cost * {n} * {d}, 4) AS herd_total_cost,
        round(daily_cost * {n} * {d} / {n}, 4) AS cost_per_animal, round(daily_cost * {n}, 4) AS daily_herd_cost
 FROM econ""",
         "roi": p + """
-SELECT scenario_id, CAST(price AS INTEGER) AS price_per_kg, round(feed_cost, 4) AS feed_cost,
+SELECT scenario_id, CAST(unit_price AS INTEGER) AS price_per_kg, round(feed_cost, 4) AS feed_cost,
        round(final_weight_kg, 4) AS final_weight_kg, round(revenue, 4) AS revenue, round(profit, 4) AS profit,
        round(roi_pct, 4) AS roi_pct, CASE WHEN profit > 0 THEN 'profitable' ELSE 'loss' END AS verdict FROM roi_e""",
         "roi_shares": p + """
@@ -245,6 +273,24 @@ SELECT scenario_id, round(gain_g * 7, 4) AS weekly_gain_g, round(gain_g * 30 / 1
        round(weight_kg + (gain_g * 30 * 3 / 1000), 4) AS weight_90d_kg,
        round(CASE WHEN total_cost IS NOT NULL AND gain_g > 0 THEN total_cost * side_intake * 1000 / gain_g END, 4)
        AS cost_per_kg_gain FROM econ""",
+        "prediction_economics": p + f"""
+SELECT scenario_id, pred AS predicted_gain_g,
+       round(CASE WHEN pred > 0 THEN side_intake * 1000 / pred ELSE 0.0 END, 4) AS fcr,
+       round(pred * 7, 4) AS weekly_gain_g, round(pred * 30 / 1000, 4) AS monthly_gain_kg,
+       round(weight_kg + (pred * 30 * 3 / 1000), 4) AS weight_90d_kg,
+       round(CASE WHEN total_cost IS NOT NULL AND pred > 0 THEN total_cost * side_intake * 1000 / pred END, 4) AS cost_per_kg_gain,
+       round(revenue, 4) AS revenue, round(profit, 4) AS profit, round(roi_pct, 4) AS roi_pct,
+       CASE WHEN pred > excellent_above THEN 'Excellent' WHEN pred > good_above THEN 'Good'
+            WHEN pred IS NOT NULL THEN 'Below Average' END AS rating,
+       CASE WHEN pred > 0 AND weight_kg < target_weight_kg
+            THEN CAST(trunc((target_weight_kg - weight_kg) * 1000 / pred) AS BIGINT) END AS days_to_market,
+       CAST(unit_price AS INTEGER) AS price_per_kg FROM roi_e_p""",
+        "money_text": p + """
+SELECT scenario_id, printf('%.2f', daily_cost) AS daily, format('{:,.2f}', daily_cost * 365) AS yearly,
+       printf('%.1f', pred) AS gain, printf('%.0f', pred * 7) AS weekly,
+       printf('%.2f', CASE WHEN pred > 0 THEN side_intake * 1000 / pred ELSE 0.0 END) || ':1' AS fcr,
+       format('{:,.2f}', revenue) AS revenue, printf('%.1f', roi_pct) || '% ROI' AS roi
+FROM roi_e_p WHERE status = 'optimal'""",
         "growth_series": V.with_views(V.CATALOG, V.SCENARIOS) + """
 SELECT scenario_id, CAST(day AS INTEGER) AS day, round(weight_kg + gain_g * day / 1000, 6) AS projected_weight_kg
 FROM scenarios, range(0, 91) AS r(day)""",
@@ -253,14 +299,28 @@ FROM scenarios, range(0, 91) AS r(day)""",
 
 def _history_queries() -> dict[str, str]:
     p = _ration_prefix()
-    rule = "=" * 50
-    det = """string_agg('  ' || ingredient || ': ' || printf('%.2f', round_even((x * 100) * 100, 0) / 100) || '% (N'
+    rule = "═" * 50
+    det = """string_agg('  ' || ingredient || ': ' || printf('%.2f', round_even((x * 100) * 100, 0) / 100) || '% (₦'
                  || printf('%.2f', round_even((x * cost) * 100, 0) / 100) || ')', chr(10) ORDER BY x DESC, ingredient)"""
-    head = (f"'{rule}' || chr(10) || '          RATION FORMULATION REPORT' || chr(10) || '{rule}' || chr(10) || "
-            f"'Report Generated: {Q.REPORT_TIME}' || chr(10) || "
-            "'Species: ' || s.animal || '  |  Age: ' || CAST(s.age_weeks AS VARCHAR) || ' weeks  |  Weight: ' || "
-            "CAST(s.weight_kg AS VARCHAR) || ' kg' || chr(10) || "
-            "'CP Req: ' || CAST(s.cp_req AS VARCHAR) || '%  |  Energy: ' || CAST(s.energy_req AS VARCHAR) || ' kcal/kg'")
+    report = (f"'{rule}' || chr(10) || '          RATION FORMULATION REPORT' || chr(10) || '{rule}' || chr(10) || "
+              f"'Report Generated: {Q.REPORT_TIME}' || chr(10) || "
+              "'Species: ' || s.animal || '  |  Age: ' || CAST(s.age_weeks AS VARCHAR) || ' weeks  |  Weight: ' || "
+              "CAST(s.weight_kg AS VARCHAR) || ' kg' || chr(10) || "
+              "'CP Req: ' || CAST(s.cp_req AS VARCHAR) || '%  |  Energy: ' || CAST(s.energy_req AS VARCHAR) || ' kcal/kg' || chr(10) || "
+              "'Total Cost/kg: ₦' || printf('%.2f', s.total_cost) || '  |  Daily Cost: ₦' || "
+              "printf('%.2f', s.total_cost * s.intake_kg) || chr(10) || d.detail || chr(10) || "
+              "CASE WHEN s.pred IS NULL THEN '' ELSE 'Daily Gain: ' || printf('%.1f', s.pred) || ' g  |  Weekly: ' || "
+              "printf('%.0f', s.pred * 7) || ' g  |  Monthly: ' || printf('%.2f', s.pred * 30 / 1000) || ' kg' || chr(10) || "
+              "'90-Day Weight: ' || printf('%.1f', s.weight_kg + s.pred * 30 * 3 / 1000) || ' kg  |  FCR: ' || "
+              "printf('%.2f', CASE WHEN s.pred > 0 THEN s.intake_kg * 1000 / s.pred ELSE 0 END) || ':1' || chr(10) END || "
+              "chr(10) || 'Generated by the ration engine' || chr(10)")
+    reports = p + f""",
+det AS (SELECT species, cp_req, energy_req, fiber_min, fiber_max, {det} AS detail
+        FROM kept GROUP BY species, cp_req, energy_req, fiber_min, fiber_max),
+reports AS (
+SELECT s.scenario_id, {report} AS report, s.animal || '_feed_report_{Q.REPORT_DATE}.txt' AS file_name
+FROM (SELECT *, CASE WHEN scenario_id % 5 <> 0 THEN gain_g END AS pred FROM solved) s
+JOIN det d ON {_T_EQ.format(a='s', b='d')} WHERE s.status = 'optimal')"""
     return {
         "history_last3": p + """
 SELECT user_id, scenario_id, recent_rank, strftime(ts, '%Y-%m-%d %H:%M') AS ts_text,
@@ -268,30 +328,25 @@ SELECT user_id, scenario_id, recent_rank, strftime(ts, '%Y-%m-%d %H:%M') AS ts_t
   SELECT user_id, scenario_id, total_cost, ts,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, scenario_id DESC) AS INTEGER) AS recent_rank
   FROM solved WHERE status = 'optimal') WHERE recent_rank <= 3""",
-        "report_text": p + f""",
-det AS (SELECT species, cp_req, energy_req, fiber_min, fiber_max, {det} AS detail
-        FROM kept GROUP BY species, cp_req, energy_req, fiber_min, fiber_max)
-SELECT s.scenario_id,
-       CASE WHEN s.status = 'optimal' THEN {head} || chr(10) || 'Total Cost/kg: N' || printf('%.2f', s.total_cost)
-                 || '  |  Daily Cost: N' || printf('%.2f', s.total_cost * s.intake_kg) || chr(10) || d.detail
-            ELSE {head} END || chr(10) AS report,
-       s.animal || '_feed_report_{Q.REPORT_DATE}.txt' AS file_name
-FROM solved s LEFT JOIN det d ON {_T_EQ.format(a='s', b='d')}""",
+        "report_text": reports + "\nSELECT * FROM reports",
+        "report_files": reports + """
+SELECT file_name, regexp_extract(line, '^ *([A-Z0-9][A-Za-z0-9-]*)', 1) AS kind, count(*) AS n
+FROM (SELECT file_name, unnest(string_split(report, chr(10))) AS line FROM reports) WHERE line <> '' GROUP BY ALL""",
+        "history_append": p + """
+SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM solved""",
+        "formula_csv": p + f"""
+SELECT f.scenario_id, s.species, f.ingredient, round(f.proportion, 6) AS proportion, f.cost_contribution,
+       '{Q.REPORT_DATE}' AS run_date FROM frows f JOIN scenarios s ON s.scenario_id = f.scenario_id""",
+        "formula_sorted": p + """
+SELECT scenario_id, CAST(row_number() OVER (PARTITION BY scenario_id ORDER BY proportion DESC, ingredient) AS INTEGER) AS place,
+       ingredient, round(proportion, 6) AS proportion FROM frows""",
     }
 
 
-def _admission_queries() -> dict[str, str]:
-    lim = SF.values(Q.EVENT_LIMITS, ["action", "max_calls", "window_seconds"])
-    a = V.with_views(V.ATTEMPTS)
-    return {
-        "rate_limit_attempts": a + """
-SELECT event_id, user_id, action,
-  CAST(count(*) OVER (PARTITION BY user_id, action ORDER BY epoch_us(ts)
-       RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS attempts_60s,
-  CAST(count(*) OVER (PARTITION BY user_id, action ORDER BY epoch_us(ts)
-       RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS attempts_1d
-FROM attempts""",
-        "rate_limit_exact": "WITH RECURSIVE " + V.ATTEMPTS.strip() + f""",
+def _admission(view: str, limits) -> str:
+    """Row-by-row decisions over a view ``attempts``, as a recursive query."""
+    lim = SF.values(limits, ["action", "max_calls", "window_seconds"])
+    return "WITH RECURSIVE " + view.strip() + f""",
 lim AS (SELECT * FROM {lim}),
 ev AS (
   SELECT a.event_id, a.user_id, a.action, epoch_us(a.ts) AS t,
@@ -311,7 +366,21 @@ fold AS (
          CASE WHEN len(list_filter(f.held, lambda x: e.t - x < e.w)) >= e.m
               THEN CAST(trunc((e.w - (e.t - list_filter(f.held, lambda x: e.t - x < e.w)[1])) / 1000000.0) AS BIGINT) END
   FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.action = f.action AND e.rn = f.rn + 1)
-SELECT event_id, user_id, action, admitted, wait_s FROM fold""",
+SELECT event_id, user_id, action, admitted, wait_s FROM fold"""
+
+
+def _admission_queries() -> dict[str, str]:
+    a = V.with_views(V.ATTEMPTS)
+    return {
+        "rate_limit_attempts": a + """
+SELECT event_id, user_id, action,
+  CAST(count(*) OVER (PARTITION BY user_id, action ORDER BY epoch_us(ts)
+       RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS attempts_60s,
+  CAST(count(*) OVER (PARTITION BY user_id, action ORDER BY epoch_us(ts)
+       RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS attempts_1d
+FROM attempts""",
+        "rate_limit_exact": _admission(V.ATTEMPTS, Q.EVENT_LIMITS),
+        "rate_limit_default": _admission(V.ADMIN_ATTEMPTS, STANDARD_LIMITS),
     }
 
 
@@ -330,7 +399,7 @@ SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM sol
     out["quarantine_ingest"] = V.with_views(V.LISTING) + """
 SELECT ingredient, CASE WHEN pos % 7 = 0 THEN NULL ELSE energy END AS energy, pos % 7 = 0 AS quarantined
 FROM listing"""
-    out["catalog_csv_roundtrip"] = out["sanitize_catalog"]
+    out["catalog_csv_roundtrip"] = out["catalog_save"] = out["sanitize_catalog"]
     out.update(_more_queries())
     return {k: SF._rewrite_round(v) for k, v in out.items()}
 
@@ -339,7 +408,8 @@ def _more_queries() -> dict[str, str]:
     from ..sources import reference_tables as R
     cols = []
     stage_default = {"cp_req": "t.cp_target", "energy_req": "t.energy_mid",
-                     "fiber_min": "t.fiber_min_default", "fiber_max": "t.fiber_max_default"}
+                     "fiber_min": "t.fiber_min_default", "fiber_max": "t.fiber_max_default",
+                     "price": "CASE s.animal " + " ".join(f"WHEN '{r[0]}' THEN {r[4]}" for r in R.SPECIES_PARAMS) + " END"}
     for c, (lo, hi, d) in R.INTAKE_RANGES.items():
         x = f"s.{c}"
         if c in R.INT_INTAKE:
@@ -350,6 +420,8 @@ def _more_queries() -> dict[str, str]:
                  f"ELSE least(greatest({v}, CAST({float(lo)} AS DOUBLE)), CAST({float(hi)} AS DOUBLE)) END")
             if c.startswith("fiber"):
                 e = f"CASE WHEN {x} IS NOT NULL THEN {e} END"
+            if c == "price":
+                e = f"CAST({e} AS INTEGER)"
         else:
             e = SF.sanitize_numeric(x, lo, hi, d)
         cols.append(f"{e} AS {c}")
@@ -372,6 +444,17 @@ dm AS (SELECT species, avg(cp) AS _cp, avg(energy) AS _en FROM catalog GROUP BY
 SELECT s.scenario_id, round({SF.sanitize_numeric('dm._cp', 0, 100, 18)}, 6) AS diet_cp,
        round({SF.sanitize_numeric('dm._en', 0, 10000, 2800)}, 6) AS diet_energy
 FROM scenarios s JOIN dm ON s.species = dm.species""",
+        "gain_features": _SCEN.replace("WITH ", "WITH " + V.LISTING + ",", 1) + V.TRIALS + """
+SELECT trial_id, round(age_weeks, 4) AS age_weeks, round(weight_kg, 4) AS weight_kg, round(cp_req, 4) AS cp_req,
+       round(energy_req, 4) AS energy_req, round(intake_kg, 4) AS intake_kg, round(diet_cp, 4) AS diet_cp,
+       round(diet_energy, 4) AS diet_energy, round(gain_g, 4) AS gain_g FROM trials""",
+        "trials_csv_read": _SCEN.replace("WITH ", "WITH " + V.LISTING + ",", 1) + V.TRIALS + """
+SELECT animal AS animal_type, CAST(breed_no AS VARCHAR) AS breed, CAST(age_weeks AS INTEGER) AS age_weeks,
+       weight_kg AS body_weight_kg, cp_req AS cp_requirement_pct, energy_req AS energy_requirement_kcal,
+       intake_kg AS feed_intake_kg, diet_cp AS ingredient_cp_pct, diet_energy AS ingredient_energy,
+       gain_g AS expected_daily_gain_g FROM trials""",
+        "gain_forest": _SCEN + """
+SELECT scenario_id, TRUE AS within_trials, TRUE AS explains_held_out FROM scenarios""",
         "breed_options": _SCEN + f"""
 SELECT animal, {SF.lit(R.NO_BREED)} || '|' || string_agg(breed, '|' ORDER BY pos) AS breed_options
 FROM (SELECT DISTINCT s.animal, b.pos, b.breed FROM (SELECT DISTINCT animal FROM scenarios) s

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sanitize as S
-from ..functions.numbers import parse_mid, rnd
+from ..functions.numbers import fixed, parse_mid, rnd
 from ..operators import catalog as C
 from ..operators import economics as EC
 from ..operators import guides as G
 from ..operators import history as H
 from ..operators import admission as A
 from ..operators import ration
+from ..session import new_table, write_table
 from ..sources import reference_tables as R
 from ..sources import testdata as td
 
@@ -35,15 +36,12 @@ REPORT_DATE = "20260101"
 EVENT_LIMITS = [("view", 2, 7 * 86_400), ("click", 2, 7 * 86_400), ("purchase", 1, 7 * 86_400),
                 ("signup", 1, 7 * 86_400)]
 
-_FACET_CACHE: dict[tuple, DataFrame] = {}
-
 
 def facets_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facets are a per-catalog-version artefact: computed once and kept."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _FACET_CACHE:
-        _FACET_CACHE[key] = ration.prepare_facets(td.catalog(spark, sf_dir))
-    return _FACET_CACHE[key]
+    """Facets of the catalog as it is now: kept in the shared folder under the
+    hash of its content, worked out when that content is new."""
+    from ..session import ensure_checkpoint_dir
+    return ration.facets_of_version(td.catalog(spark, sf_dir), f"{ensure_checkpoint_dir(spark).rstrip('/')}/facets")
 
 
 def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +267,7 @@ def q_catalog_merge(spark, sf_dir):
 def _econ(spark, sf_dir):
     s = _solved(spark, sf_dir).select(
         "scenario_id", "user_id", "ts", "animal", "weight_kg", "side_intake", "gain_g", "n_animals",
-        "duration_days", "cycle_days", "total_cost", "status")
+        "duration_days", "cycle_days", "price", "total_cost", "status")
     s = EC.with_species_params(s)
     return EC.cost_projection(s)
 
@@ -289,13 +287,13 @@ def q_herd_cost(spark, sf_dir):
 
 
 def q_roi(spark, sf_dir):
-    e = EC.roi(_econ(spark, sf_dir))
+    e = EC.roi(_econ(spark, sf_dir), price="price")
     return e.select("scenario_id", "price_per_kg",
                     *_r4("feed_cost", "final_weight_kg", "revenue", "profit", "roi_pct"), "verdict")
 
 
 def q_roi_shares(spark, sf_dir):
-    e = EC.roi(_econ(spark, sf_dir))
+    e = EC.roi(_econ(spark, sf_dir), price="price")
     return e.select("scenario_id", rnd("feed_share", 6).alias("feed_share"),
                     rnd("profit_share", 6).alias("profit_share"))
 
@@ -332,7 +330,30 @@ def q_history_last3(spark, sf_dir):
 
 
 def q_report_text(spark, sf_dir):
-    return H.report_text(_solved(spark, sf_dir), REPORT_TIME, REPORT_DATE)
+    s = EC.with_predictions(_solved(spark, sf_dir), td.predictions(spark, sf_dir))
+    return H.report_text(s, REPORT_TIME, REPORT_DATE, prediction="predicted_gain_g")
+
+
+def q_prediction_economics(spark, sf_dir):
+    """D5 + J9-J18: the stored prediction of each request drives its growth
+    metrics, cost per kg of gain and return, with the request's own price."""
+    e = _econ(spark, sf_dir).drop("gain_g")
+    e = EC.with_predictions(e, td.predictions(spark, sf_dir))
+    g = "predicted_gain_g"
+    e = EC.roi(EC.cost_per_kg_gain(EC.growth_metrics(e, gain=g), gain=g), gain=g, price="price")
+    return e.select("scenario_id", g, *_r4("fcr", "weekly_gain_g", "monthly_gain_kg", "weight_90d_kg", "cost_per_kg_gain",
+                                           "revenue", "profit", "roi_pct"),
+                    F.when(F.col(g).isNotNull(), F.col("rating")).alias("rating"), "days_to_market", "price_per_kg")
+
+
+def q_money_text(spark, sf_dir):
+    """The figures as the pages print them."""
+    e = EC.with_predictions(_econ(spark, sf_dir).where("status = 'optimal'"), td.predictions(spark, sf_dir))
+    e = EC.roi(EC.growth_metrics(e, gain="predicted_gain_g"), gain="predicted_gain_g", price="price")
+    return e.select("scenario_id", fixed("daily_cost", 2).alias("daily"), fixed("yearly_cost", 2, True).alias("yearly"),
+                    fixed("predicted_gain_g", 1).alias("gain"), fixed("weekly_gain_g", 0).alias("weekly"),
+                    F.concat(fixed("fcr", 2), F.lit(":1")).alias("fcr"), fixed("revenue", 2, True).alias("revenue"),
+                    F.concat(fixed("roi_pct", 1), F.lit("% ROI")).alias("roi"))
 
 
 def q_scenario_intake(spark, sf_dir):
@@ -353,7 +374,7 @@ def q_diet_means(spark, sf_dir):
     from ..operators.growth import diet_means
     sc = td.scenarios(spark, sf_dir).select("scenario_id", "species")
     dm = diet_means(td.catalog(spark, sf_dir))
-    return sc.join(F.broadcast(dm), "species").select(
+    return sc.join(dm, "species").select(
         "scenario_id", rnd("diet_cp", 6).alias("diet_cp"), rnd("diet_energy", 6).alias("diet_energy"))
 
 
@@ -389,14 +410,15 @@ def q_rate_limit_exact(spark, sf_dir):
 def q_rate_limit_stream(spark, sf_dir):
     from ..streaming.admission import run_available
     schema = td.table(spark, sf_dir, "events").schema
-    out = run_available(spark, sf_dir, schema, _event_limits(spark))
-    return out.select("event_id", "user_id", "action", "admitted", "wait_s")
+    out = run_available(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema, _event_limits(spark))
+    return out.where("not late").select("event_id", "user_id", "action", "admitted", "wait_s")
 
 
 def q_history_stream(spark, sf_dir):
+    from ..streaming.admission import stream_table
     from ..streaming.history import history_stream
     schema = td.table(spark, sf_dir, "orders").schema
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    orders = stream_table(spark, f"{sf_dir.rstrip('/')}/orders.parquet", schema)
     requests = td.scenarios(spark, sf_dir, orders=orders)
     hist, _ = history_stream(spark, requests, facets_for(spark, sf_dir))
     return hist.select("scenario_id", "user_id", "status", rnd("total_cost", 4).alias("total_cost"))
@@ -407,40 +429,46 @@ def _features(spark, sf_dir):
     from ..operators.growth import diet_means
     sc = td.scenarios(spark, sf_dir)
     dm = diet_means(td.catalog(spark, sf_dir))
-    return sc.join(F.broadcast(dm), "species").select(
+    return sc.join(dm, "species").select(
         "scenario_id", "user_id", "species", "stage_no", "breed_no", "gain_g", F.col("age_weeks").cast("double").alias("age_weeks"),
         "weight_kg", F.col("side_cp").alias("cp_req"), F.col("side_energy").alias("energy_req"),
         F.col("side_intake").alias("intake_kg"), "diet_cp", "diet_energy")
 
 
-def q_gain_forest(spark, sf_dir):
-    """J7 + J8: trials = feeding-trial cohorts (species x stage x breed:
-    mean request features and mean observed gain over all their requests, a
-    small table like a trial register); the forest then scores every
-    request."""
-    from ..operators.growth import FEATURES, predict_gain, train_gain_model
-    f = _features(spark, sf_dir)
-    trials = f.groupBy("species", "stage_no", "breed_no").agg(
-        *[F.avg(c).alias(c) for c in FEATURES], F.avg("gain_g").alias("gain_g"))
-    from ..operators.growth import load_model, save_model
-    model = load_model(save_model(train_gain_model(trials), _scratch(spark, "gain_model")))
-    return predict_gain(model, f).select("scenario_id", rnd("predicted_gain_g", 3).alias("predicted_gain_g"))
+def q_gain_features(spark, sf_dir):
+    """J7's training rows: every trial with its features and observed gain."""
+    from ..operators.growth import FEATURES
+    return td.trials(spark, sf_dir).select("trial_id", *[rnd(c, 4).alias(c) for c in (*FEATURES, "gain_g")])
 
 
-# ----------------------------------------------------------- files & sinks
-def _scratch(spark, name):
-    import uuid
-    from ..session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}_{uuid.uuid4().hex[:12]}"
+GAIN_TREES, GAIN_DEPTH, GAIN_R2 = 40, 8, 0.8
+
+
+def q_gain_forest(spark, sf_dir):
+    """J7 + J8: the forest is fitted on all trials but the held-out fifth,
+    saved, loaded and applied to every request.  Returned is what can be
+    stated beforehand: each prediction lies within the trials' gains, and the
+    model explains more than GAIN_R2 of the held-out variance."""
+    from ..operators.growth import load_model, predict_gain, r2, save_model, split_trials, train_gain_model
+    trials = write_table(td.trials(spark, sf_dir), "trials")
+    train, test = split_trials(trials)
+    fitted = train_gain_model(train, num_trees=GAIN_TREES, max_depth=GAIN_DEPTH, max_bins=64)
+    model = load_model(save_model(fitted, new_table(spark, "gain_model")))
+    good = r2(model, test) > GAIN_R2
+    lo, hi = trials.agg(F.min("gain_g"), F.max("gain_g")).first()
+    p = predict_gain(model, _features(spark, sf_dir))
+    return p.select("scenario_id", F.col("predicted_gain_g").between(lo, hi).alias("within_trials"),
+                    F.lit(good).alias("explains_held_out"))
 
 
+# ----------------------------------------------------------- files & sinks
 def q_quarantine_ingest(spark, sf_dir):
     """A3: a CSV export of the listing where some energy fields are junk,
     re-ingested with PERMISSIVE parsing; junk lines are quarantined."""
     from ..sources.files import CATALOG_CSV_SCHEMA, quarantine_csv
     lst = td.listing(spark, sf_dir)
     energy_txt = F.when(F.col("pos") % 7 == 0, F.lit("n/a")).otherwise(F.col("energy").cast("string"))
-    path = _scratch(spark, "quarantine")
+    path = new_table(spark, "quarantine")
     lst.select(F.col("ingredient").alias("Ingredient"), F.col("cp").cast("string").alias("CP"),
                energy_txt.alias("Energy"), F.col("fiber").cast("string").alias("Fiber"),
                F.col("cost").cast("string").alias("Cost")) \
@@ -457,13 +485,143 @@ def q_catalog_csv_roundtrip(spark, sf_dir):
     """B5 + A1: sanitised catalog exported as species-partitioned CSV and
     read back with a declared schema."""
     from ..sinks.writers import export_catalog_csv
-    path = _scratch(spark, "catalog_csv")
+    path = new_table(spark, "catalog_csv")
     export_catalog_csv(td.catalog_edits(spark, sf_dir), path)
     schema = "pos long, ingredient string, cp double, energy double, fiber double, cost double, species string"
     back = (spark.read.schema(schema).option("header", True).option("basePath", path).csv(path))
     return back.select("species", "pos", "ingredient", "cp", "energy", "fiber", "cost")
 
 
+def q_catalog_csv_read(spark, sf_dir):
+    """A1 + H4: one CSV file set per species, read back under one schema with
+    the file order; a row's place is where the sorted write put it."""
+    from ..sources.files import read_catalogs
+    lst, path = td.listing(spark, sf_dir), new_table(spark, "catalog_files")
+    (lst.select("species", F.col("ingredient").alias("Ingredient"), F.col("cp").alias("CP"), F.col("energy").alias("Energy"),
+                F.col("fiber").alias("Fiber"), F.col("cost").alias("Cost"), "pos")
+     .repartition("species").sortWithinPartitions("species", "pos").drop("pos")
+     .write.partitionBy("species").option("header", True).csv(path))
+    paths = {sp: f"{path}/species={sp}" for sp in td.species_list(spark, sf_dir)}
+    return read_catalogs(spark, paths).select("species", "pos", "ingredient", "cp", "energy", "fiber", "cost")
+
+
+def q_trials_csv_read(spark, sf_dir):
+    """A2: the trials as the training file has them, read back with its schema."""
+    from ..sources.files import TRIAL_RENAMES, read_trials_csv
+    t, path = td.trials(spark, sf_dir), new_table(spark, "trials_csv")
+    back = {v: k for k, v in TRIAL_RENAMES.items()}
+    named = t.select(F.col("animal").alias("animal_type"), F.col("breed_no").cast("string").alias("breed"),
+                     F.col("age_weeks").cast("int").alias("age_weeks"), F.col("weight_kg").alias("body_weight_kg"),
+                     F.col("cp_req").alias("cp_requirement_pct"), F.col("energy_req").alias("energy_requirement_kcal"),
+                     F.col("intake_kg").alias("feed_intake_kg"), F.col("diet_cp").alias("ingredient_cp_pct"),
+                     F.col("diet_energy").alias("ingredient_energy"), F.col("gain_g").alias("expected_daily_gain_g"))
+    named.withColumnsRenamed(back).write.option("header", True).csv(path)
+    return read_trials_csv(spark, path)
+
+
+def q_species_route(spark, sf_dir):
+    """The catalog partitioned by species; one species' rows come from its
+    own folder alone."""
+    from ..sources.files import for_species
+    path = new_table(spark, "by_species")
+    td.listing(spark, sf_dir).write.partitionBy("species").parquet(path)
+    return for_species(spark.read.parquet(path), td.species_list(spark, sf_dir)[0]).select("species", "pos", "ingredient", "cost")
+
+
+def q_guide_csv(spark, sf_dir):
+    """B1: nutrient guides as CSV, one folder per species, read back and
+    joined to the requests of that animal and stage."""
+    from ..sinks.writers import write_nutrient_guides
+    path = new_table(spark, "guides")
+    write_nutrient_guides(spark, path)
+    schema = "stage_no int, stage string, " + ", ".join(f"{c} string" for c in G.WIDE_NAMES.values()) + ", species string"
+    back = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    sc = _scen_small(spark, sf_dir)
+    return sc.join(back.withColumnRenamed("species", "animal"), ["animal", "stage_no"]).select(
+        "scenario_id", "stage", "crude_protein", "energy")
+
+
+def q_formula_csv(spark, sf_dir):
+    """B2: formula rows as CSV by species and date, read back."""
+    from ..sinks.writers import write_formulas
+    path = new_table(spark, "formulas")
+    rows = ration.formula_rows(_solved(spark, sf_dir), ["scenario_id", "species"])
+    write_formulas(rows.select("scenario_id", "species", "ingredient", rnd("proportion", 6).alias("proportion"),
+                               "cost_contribution"), path, REPORT_DATE)
+    schema = "scenario_id long, ingredient string, proportion double, cost_contribution double, species string, run_date string"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def q_report_files(spark, sf_dir):
+    """Report texts as files by file name; their lines counted by kind."""
+    from ..sinks.writers import write_reports
+    path = new_table(spark, "reports")
+    write_reports(q_report_text(spark, sf_dir), path)
+    lines = spark.read.text(path).where("value != ''")
+    return (lines.withColumn("kind", F.regexp_extract("value", r"^ *([A-Z0-9][A-Za-z0-9-]*)", 1))
+            .groupBy("file_name", "kind").agg(F.count("*").alias("n")))
+
+
+def q_history_append(spark, sf_dir):
+    """Two appends of formulation records; the table holds both."""
+    from ..sinks.writers import append_history
+    path = new_table(spark, "records")
+    s = _solved(spark, sf_dir).select("scenario_id", "user_id", "status", rnd("total_cost", 4).alias("total_cost"))
+    append_history(s.where("status = 'optimal'"), path)
+    append_history(s.where("status = 'infeasible'"), path)
+    return spark.read.schema(s.schema).parquet(path)
+
+
+def q_catalog_save(spark, sf_dir):
+    """B4 + C17 + A7: two saves make two versions; the last one is read."""
+    from ..sinks.writers import read_catalog, save_catalog
+    path, edits = new_table(spark, "saved"), td.catalog_edits(spark, sf_dir)
+    save_catalog(edits.limit(1).where("trim(ingredient) != ''").unionByName(edits), path)
+    save_catalog(edits, path)
+    return read_catalog(spark, path).select("species", "pos", "ingredient", "cp", "energy", "fiber", "cost")
+
+
+def q_catalog_sort_name(spark, sf_dir):
+    return C.sort_catalog(td.listing(spark, sf_dir), "Ingredient").select("species", "pos", "ingredient", "cost")
+
+
+def q_catalog_sort_cp(spark, sf_dir):
+    return C.sort_catalog(td.listing(spark, sf_dir), "CP").select("species", "pos", "ingredient", "cp")
+
+
+def q_catalog_sort_energy(spark, sf_dir):
+    return C.sort_catalog(td.listing(spark, sf_dir), "Energy").select("species", "pos", "ingredient", "energy")
+
+
+def q_catalog_summary_regex(spark, sf_dir):
+    """The figures over the rows the regular-expression search shows."""
+    f = C.search_regex(td.listing(spark, sf_dir), "ingredient", SEARCH_REGEX_TERM)
+    return C.summary(f).select("species", F.col("n_ingredients").cast("bigint").alias("n_ingredients"),
+                               *[rnd(c, 6).alias(c) for c in ("avg_cost", "avg_cp", "avg_energy")])
+
+
+def q_formula_sorted(spark, sf_dir):
+    """Formula rows by proportion, largest first."""
+    kept = F.filter("formula", lambda s: s["x"] > ration.KEEP_THRESHOLD)
+    ordered = F.array_sort(F.transform(kept, lambda s: F.struct((-s["x"]).alias("k"), s["ingredient"].alias("ingredient"))))
+    s = _solved(spark, sf_dir).where("status = 'optimal'").select("scenario_id", F.posexplode(ordered).alias("at", "r"))
+    return s.select("scenario_id", (F.col("at") + 1).cast("int").alias("place"), F.col("r.ingredient").alias("ingredient"),
+                    rnd(-F.col("r.k"), 6).alias("proportion"))
+
+
+def q_breed_stats(spark, sf_dir):
+    """E5: breeds per type for the animals in request traffic, most first."""
+    seen = _scen_small(spark, sf_dir).select("animal").distinct()
+    j = seen.join(F.broadcast(_breeds_b(spark)), "animal")
+    return G.value_counts(j, ["animal"], "type").orderBy("animal", F.desc("n"), "type").select("animal", "type", "n")
+
+
+def q_rate_limit_default(spark, sf_dir):
+    """K4: the four limited actions and the fallback under the standard limits."""
+    a = td.admin_attempts(spark, sf_dir)
+    return A.admit(a).select("event_id", "user_id", "action", "admitted", "wait_s")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "scenario_intake": q_scenario_intake,
@@ -473,6 +631,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rate_limit_stream": q_rate_limit_stream,
         "history_stream": q_history_stream,
         "gain_forest": q_gain_forest,
+        "gain_features": q_gain_features,
+        "prediction_economics": q_prediction_economics,
+        "money_text": q_money_text,
+        "catalog_csv_read": q_catalog_csv_read,
+        "trials_csv_read": q_trials_csv_read,
+        "species_route": q_species_route,
+        "guide_csv": q_guide_csv,
+        "formula_csv": q_formula_csv,
+        "report_files": q_report_files,
+        "history_append": q_history_append,
+        "catalog_save": q_catalog_save,
+        "catalog_sort_name": q_catalog_sort_name,
+        "catalog_sort_cp": q_catalog_sort_cp,
+        "catalog_sort_energy": q_catalog_sort_energy,
+        "catalog_summary_regex": q_catalog_summary_regex,
+        "formula_sorted": q_formula_sorted,
+        "breed_stats": q_breed_stats,
+        "rate_limit_default": q_rate_limit_default,
         "quarantine_ingest": q_quarantine_ingest,
         "catalog_csv_roundtrip": q_catalog_csv_roundtrip,
         "sanitize_text": q_sanitize_text,

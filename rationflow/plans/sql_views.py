@@ -12,7 +12,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from ..functions.linalg import cofactor, det
-from ..sources.reference_tables import ANIMALS
+from ..sources.reference_tables import ANIMALS, STANDARDS
 
 ATTRS = ("cp", "energy", "fiber")
 SLOT_FIELDS = ("pos", "ingredient", "cost", "cp", "energy", "fiber")
@@ -43,14 +43,18 @@ catalog AS (
 
 _ANIMAL_LIST = "[" + ", ".join(f"'{a}'" for a in ANIMALS) + "]"
 
+_STAGES = " ".join(f"WHEN '{a}' THEN {sum(r[0] == a for r in STANDARDS)}" for a in ANIMALS)
+
 SCENARIOS = f"""
 species_dim AS (
-  SELECT species, idx AS species_idx, ({_ANIMAL_LIST})[CAST(idx % 3 + 1 AS INTEGER)] AS animal
+  SELECT species, idx AS species_idx, ({_ANIMAL_LIST})[CAST(idx % {len(ANIMALS)} + 1 AS INTEGER)] AS animal
   FROM (SELECT species, CAST(row_number() OVER (ORDER BY species) - 1 AS BIGINT) AS idx
         FROM (SELECT DISTINCT p_type AS species FROM part))),
+n_species AS (SELECT CAST(count(*) AS BIGINT) AS n FROM species_dim),
 scen_base AS (
   SELECT o_orderkey AS scenario_id, o_custkey AS user_id, o_orderdate AS ts,
-         o_orderkey % 6 AS species_idx, (o_orderkey // 6) % 6 AS stage_no, o_custkey % 8 AS breed_no,
+         o_orderkey % (SELECT n FROM n_species) AS species_idx, o_orderkey // (SELECT n FROM n_species) AS _turn,
+         o_custkey % 8 AS breed_no,
          CAST(1 + o_custkey % 120 AS INTEGER) AS age_weeks,
          CAST(10 + o_custkey % 36 AS DOUBLE) AS cp_req,
          CAST(1800 + 10 * (o_orderkey % 120) AS DOUBLE) AS energy_req,
@@ -65,14 +69,16 @@ scen_base AS (
          CAST(1 + o_custkey % 500 AS INTEGER) AS n_animals,
          CAST(1 + o_orderkey % 365 AS INTEGER) AS duration_days,
          CAST(30 + o_orderkey % 336 AS INTEGER) AS cycle_days,
+         CASE WHEN o_custkey % 4 <> 0 THEN CAST(300 + 100 * (o_orderkey % 60) AS DOUBLE) END AS price,
          o_orderkey % 97 AS _w, o_orderkey % 60 AS _g
   FROM orders),
 scenarios AS (
-  SELECT scenario_id, user_id, ts, d.species, d.animal, stage_no, breed_no, age_weeks,
+  SELECT scenario_id, user_id, ts, d.species, d.animal,
+         _turn % CASE d.animal {_STAGES} END AS stage_no, breed_no, age_weeks,
          CASE WHEN d.animal = 'Cattle' THEN CAST(50 + _w * 4 AS DOUBLE)
               ELSE CAST(1 + _w % 12 AS DOUBLE) / 4 END AS weight_kg,
          cp_req, energy_req, fiber_min, fiber_max, intake_kg, max_ingredients,
-         side_cp, side_energy, side_intake, n_animals, duration_days, cycle_days,
+         side_cp, side_energy, side_intake, n_animals, duration_days, cycle_days, price,
          CASE WHEN d.animal = 'Cattle' THEN CAST(300 + _g * 10 AS DOUBLE) ELSE CAST(_g AS DOUBLE) END AS gain_g
   FROM scen_base b JOIN species_dim d ON b.species_idx = d.species_idx)"""
 
@@ -81,6 +87,24 @@ attempts AS (
   SELECT event_id, user_id, event_type AS action, ts FROM events)"""
 
 
+ADMIN_ATTEMPTS = """
+attempts AS (
+  SELECT event_id, user_id % 20 AS user_id,
+         CASE event_id % 5 WHEN 0 THEN 'optimize' WHEN 1 THEN 'predict' WHEN 2 THEN 'save_db' WHEN 3 THEN 'report'
+              ELSE 'browse' END AS action,
+         CAST(date_trunc('month', ts) AS TIMESTAMP) + to_seconds(event_id * 7 % 300) AS ts
+  FROM events)"""
+
+TRIALS = """,
+trials AS (
+  SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS trial_id, s.animal, s.breed_no,
+         CAST(s.age_weeks AS DOUBLE) AS age_weeks, s.weight_kg, s.side_cp AS cp_req, s.side_energy AS energy_req,
+         s.side_intake AS intake_kg, p.cp AS diet_cp, p.energy AS diet_energy,
+         10.0::DOUBLE + 2 * s.side_cp + s.side_energy / 200 + 40 * s.side_intake + p.cp / 2
+           + CAST(l_suppkey % 5 AS DOUBLE) AS gain_g
+  FROM lineitem l JOIN scenarios s ON s.scenario_id = l.l_orderkey JOIN listing p ON p.pos = l.l_partkey)"""
+
+
 def with_views(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 

@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_TABLES: list[str] = []
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "rationflow") -> SparkSession:
     """Session tuned for the engine: AQE on (runtime broadcast conversion,
@@ -52,13 +56,65 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset: tests / local runs only.  On a cluster the setting names a
-        # shared folder and this branch is never taken.
+        # Unset: tests and local runs only.  Executors of a cluster could not
+        # read a folder of the driver's machine.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="rationflow-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    """Path for a new table in the shared folder; `release_tables` removes them."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}_{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    return path
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write once, read back: cuts the lineage at files every executor reads."""
+    path, schema = new_table(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever file system it names."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system (none if it does not exist)."""
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
+def rename_path(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = _fs(spark, old)
+    if not fs.rename(p, _fs(spark, new)[1]):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete the tables this process has written through `new_table`; call it
+    when no result that reads them is needed any more."""
+    while _TABLES:
+        fs, p = _fs(spark, _TABLES.pop())
+        fs.delete(p, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives
     executor loss without recomputing the upstream); never localCheckpoint.

@@ -4,11 +4,12 @@ its file names, and never funnels rows through the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sanitize import clean_catalog
 from ..operators.guides import standards_wide
+from ..session import list_names, rename_path
 
 
 def write_nutrient_guides(spark, path: str) -> None:
@@ -23,21 +24,39 @@ def write_formulas(formula_rows: DataFrame, path: str, run_date: str) -> None:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Report text column -> text files (one line per report row)."""
-    reports.select(F.concat_ws("\t", F.col("scenario_id").cast("string"),
-                               F.regexp_replace("report", "\n", "\\\\n"))).write.mode("overwrite").text(path)
+    """Report texts as text files, one folder per file name (species and
+    date), each report as it is, line by line.  The texts keep their order
+    inside a report because a report is one row."""
+    reports.select("file_name", F.col("report").alias("value")).write.mode("overwrite").partitionBy("file_name").text(path)
 
 
 def save_catalog(edited: DataFrame, path: str) -> int:
-    """B4 (replace form): sanitise, refuse an empty result (C17), write a new
-    version partitioned by species.  Returns the written row count."""
-    clean = clean_catalog(edited)
-    if clean.isEmpty():
-        raise ValueError("no valid rows to save after sanitisation")
-    clean.write.mode("overwrite").partitionBy("species").parquet(path)
+    """B4 (replace form): sanitise and write the next version of the catalog
+    (``version=<n>``, partitioned by species) without touching the versions
+    before it; returns the number of rows, taken from what the write observed.
+    An empty result is refused (C17): its version is not published."""
     spark = edited.sparkSession
-    spark.catalog.refreshByPath(path)
-    return spark.read.parquet(path).count()
+    version = last_version(spark, path) + 1
+    seen = Observation()
+    new = f"{path.rstrip('/')}/_new/version={version}"
+    (clean_catalog(edited).observe(seen, F.count(F.lit(1)).alias("rows"))
+     .write.mode("overwrite").partitionBy("species").parquet(new))
+    if not seen.get["rows"]:
+        raise ValueError("no valid rows to save after sanitisation")
+    rename_path(spark, new, f"{path.rstrip('/')}/version={version}")
+    return seen.get["rows"]
+
+
+def last_version(spark: SparkSession, path: str) -> int:
+    """Number of the latest published version, 0 if there is none."""
+    names = [n for n in list_names(spark, path) if n.startswith("version=")]
+    return max((int(n.split("=", 1)[1]) for n in names), default=0)
+
+
+def read_catalog(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The catalog as last saved (or one of its versions)."""
+    v = last_version(spark, path) if version is None else version
+    return spark.read.parquet(f"{path.rstrip('/')}/version={v}")
 
 
 def export_catalog_csv(edited: DataFrame, path: str) -> None:

@@ -125,6 +125,7 @@ INTAKE_RANGES = {
     "n_animals": (1, 10000, 100),
     "duration_days": (1, 365, 90),
     "cycle_days": (30, 365, 90),
+    "price": (500, 5000, None),
 }
 INT_INTAKE = ("age_weeks", "max_ingredients", "n_animals", "duration_days", "cycle_days")
 
@@ -132,11 +133,8 @@ INT_INTAKE = ("age_weeks", "max_ingredients", "n_animals", "duration_days", "cyc
 RATING_LABELS = ("Excellent", "Good", "Below Average")
 MARKET_ACHIEVED = "Achieved"
 NO_BREED = "— Select a breed (optional) —"
-ALL_TYPES = "All"
 # Reference default ranges used when a stage lacks a nutrient.
 DEFAULT_CP_RANGE, DEFAULT_ENERGY_RANGE, DEFAULT_FIBER_RANGE = "16-18", "2500-2700", "12-16"
-# Unit suffixes stripped for short nutrient labels.
-UNIT_SUFFIXES = (" (%)", " (kcal/kg)", " (g/day)", " (kg/day)")
 
 # ---------------------------------------------------------------------------
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .reference_tables import ANIMALS
+from .reference_tables import ANIMALS, LIMITS, STANDARDS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,29 +63,35 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def species_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted distinct catalog species with index and animal kind."""
-    from pyspark.sql import Window
-    p = table(spark, sf_dir, "part")
-    d = p.select(F.col("p_type").alias("species")).distinct()
-    d = d.withColumn("species_idx", (F.row_number().over(Window.orderBy("species")) - 1).cast("bigint"))
-    animal = F.element_at(F.array(*[F.lit(a) for a in ANIMALS]), (F.col("species_idx") % 3 + 1).cast("int"))
-    return d.withColumn("animal", animal)
+def species_list(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Sorted catalog species.  They key the solver's facet tables, one row
+    each, so the list is a dimension of the catalog, not data."""
+    r = table(spark, sf_dir, "part").agg(F.array_sort(F.collect_set("p_type")).alias("s")).first()
+    return list(r["s"] or [])
+
+
+def animal_of(i: int) -> str:
+    return ANIMALS[i % len(ANIMALS)]
 
 
 def scenarios(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """One scenario (formulation request) per order (``orders`` may be a
     streaming frame)."""
     o = orders if orders is not None else table(spark, sf_dir, "orders")
-    sd = species_dim(spark, sf_dir)
+    species = species_list(spark, sf_dir)
+    n = max(len(species), 1)
+    n_stages = {a: sum(r[0] == a for r in STANDARDS) for a in ANIMALS}
+    per_species = F.array(*[F.struct(F.lit(sp).alias("species"), F.lit(animal_of(i)).alias("animal"),
+                                     F.lit(n_stages[animal_of(i)]).cast("bigint").alias("n_stages"))
+                            for i, sp in enumerate(species)])
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     e_idx = ok % 120
     fiber_on = (e_idx % 4) == 0
     fmin = _i2d((ck % 15) % 8, 1)
     base = o.select(
         ok.alias("scenario_id"), ck.alias("user_id"), F.col("o_orderdate").alias("ts"),
-        (ok % 6).alias("species_idx"),
-        ((F.expr("o_orderkey div 6")) % 6).alias("stage_no"),
+        F.element_at(per_species, (ok % n + 1).cast("int")).alias("_sp"),
+        F.expr(f"o_orderkey div {n}").alias("_turn"),
         (ck % 8).alias("breed_no"),
         (1 + ck % 120).cast("int").alias("age_weeks"),
         (10 + ck % 36).cast("double").alias("cp_req"),
@@ -100,22 +106,61 @@ def scenarios(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None)
         (1 + ck % 500).cast("int").alias("n_animals"),
         (1 + ok % 365).cast("int").alias("duration_days"),
         (30 + ok % 336).cast("int").alias("cycle_days"),
+        # the request's own selling price, absent in a quarter of them
+        F.when(ck % 4 != 0, (300 + 100 * (ok % 60)).cast("double")).alias("price"),
         (ok % 97).alias("_w"),
         (ok % 60).alias("_g"),
     )
-    s = base.join(sd, "species_idx").drop("species_idx")
+    s = base.withColumns({"species": F.col("_sp.species"), "animal": F.col("_sp.animal"),
+                          "stage_no": F.col("_turn") % F.col("_sp.n_stages")})
     cattle = F.col("animal") == "Cattle"
     return s.select(
         "scenario_id", "user_id", "ts", "species", "animal", "stage_no", "breed_no", "age_weeks",
         F.when(cattle, (50 + F.col("_w") * 4).cast("double")).otherwise(_i2d(1 + F.col("_w") % 12, 4)).alias("weight_kg"),
         "cp_req", "energy_req", "fiber_min", "fiber_max", "intake_kg", "max_ingredients",
-        "side_cp", "side_energy", "side_intake", "n_animals", "duration_days", "cycle_days",
+        "side_cp", "side_energy", "side_intake", "n_animals", "duration_days", "cycle_days", "price",
         # deterministic stand-in for a predicted daily gain (g), so the
         # economics arithmetic has an oracle independent of the forest
         F.when(cattle, (300 + F.col("_g") * 10).cast("double")).otherwise(F.col("_g").cast("double")).alias("gain_g"),
     )
 
 
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scenario_id, predicted_gain_g): the stored predictions of the requests
+    that asked for one, four in five; a stand-in with a value an oracle can
+    state (the forest's own are tested by their error)."""
+    s = scenarios(spark, sf_dir)
+    return s.where(F.col("scenario_id") % 5 != 0).select("scenario_id", F.col("gain_g").alias("predicted_gain_g"))
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeding trials, one per lineitem row: the animal and targets of its
+    order's request, the nutrients of its part as diet, and an observed gain."""
+    li = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("trial_id"),
+        F.col("l_orderkey").alias("scenario_id"), F.col("l_partkey").alias("pos"), F.col("l_suppkey"))
+    req = scenarios(spark, sf_dir).select(
+        "scenario_id", "animal", "breed_no", F.col("age_weeks").cast("double").alias("age_weeks"), "weight_kg",
+        F.col("side_cp").alias("cp_req"), F.col("side_energy").alias("energy_req"), F.col("side_intake").alias("intake_kg"))
+    diet = listing(spark, sf_dir).select("pos", F.col("cp").alias("diet_cp"), F.col("energy").alias("diet_energy"))
+    gain = (F.lit(10.0) + 2 * F.col("cp_req") + F.col("energy_req") / 200 + 40 * F.col("intake_kg") + F.col("diet_cp") / 2
+            + (F.col("l_suppkey") % 5).cast("double"))
+    return (li.join(req, "scenario_id").join(diet, "pos").withColumn("gain_g", gain)
+            .drop("scenario_id", "pos", "l_suppkey"))
+
+
+def admin_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the four limited actions, in bursts: each user's events of a
+    day fall into the first minutes of its first hour, so windows fill up."""
+    e = table(spark, sf_dir, "events")
+    names = F.array(*[F.lit(a) for a, *_ in LIMITS])
+    day = F.date_trunc("month", F.col("ts").cast("timestamp_ntz"))
+    ts = day + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("event_id") * 7 % 300).cast("decimal(18,6)"))
+    return e.select("event_id", (F.col("user_id") % 20).alias("user_id"),
+                    F.get(names, (F.col("event_id") % 5).cast("int")).alias("_a"), ts.alias("ts")).select(
+        "event_id", "user_id", F.coalesce("_a", F.lit("browse")).alias("action"), "ts")
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User actions for admission control: events as (user_id, action, ts)."""
     e = table(spark, sf_dir, "events")

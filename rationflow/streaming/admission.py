@@ -1,80 +1,119 @@
 """K2/K5 streaming form: stateful admission control per (user, action).
 
-State per key = the admitted timestamps still inside the window (at most
-``max_calls`` longs), so state size is bounded no matter how hot a key is;
-work per trigger is bounded by the micro-batch size.  Event time with a
-watermark; rows arriving behind a key's last decision are dropped as late
-(the state operator cannot re-open decisions already emitted).
+Rows are decided in event time whatever order they arrive in: a row waits in
+its key's state until the watermark has passed it, then the waiting rows are
+decided oldest first by the same rule as in batch.  A row older than the
+watermark when it arrives (or than its key's last decision) can no longer be
+decided in order: it is returned with ``late`` true and no decision, never
+dropped.  State per key: the last ``max_calls`` admitted times and the rows
+still waiting, those of one watermark delay.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.admission import US, with_limits
-from ..session import ensure_checkpoint_dir
+from ..operators.admission import RecentCalls, with_limits
+from ..session import ensure_checkpoint_dir, is_folder, new_table
 
-OUT_SCHEMA = "event_id long, user_id long, action string, admitted boolean, wait_s long"
-STATE_SCHEMA = "held array<long>, last_ts long"
+OUT_SCHEMA = "event_id long, user_id long, action string, admitted boolean, wait_s long, late boolean"
+STATE_SCHEMA = ("admitted_us array<long>, waiting_us array<long>, waiting_id array<long>, max_calls long,"
+                " window_us long, decided_us long")
 
 
 def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held, last_ts = ([], None)
-    if state.exists:
-        held, last_ts = list(state.get[0] or []), state.get[1]
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "event_id"], kind="mergesort")
-    if last_ts is not None:
-        pdf = pdf[pdf["ts_us"] >= last_ts]
-    out_adm, out_wait = [], []
-    for now, m, w in zip(pdf["ts_us"].tolist(), pdf["max_calls"].tolist(), pdf["window_us"].tolist()):
-        held = [t for t in held if now - t < w]
-        if len(held) >= m:
-            out_adm.append(False)
-            out_wait.append(int((w - (now - held[0])) / US))
-        else:
-            held.append(now)
-            out_adm.append(True)
-            out_wait.append(None)
-    if len(pdf):
-        last_ts = int(pdf["ts_us"].iloc[-1])
-        state.update((held, last_ts))
-        state.setTimeoutTimestamp(int(last_ts / 1000) + int(pdf["window_us"].max() / 1000))
-    yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64"), "user_id": key[0], "action": key[1],
-                        "admitted": out_adm, "wait_s": pd.array(out_wait, dtype="Int64")})
+    times, wait_us, wait_id, calls, window, decided = state.get if state.exists else ([], [], [], 0, 0, -1)
+    waiting = list(zip(wait_us, wait_id, strict=True))
+    passed = state.getCurrentWatermarkMs()  # -1 or 0 before the first
+    out: list[tuple] = []
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            pdf = pdf[pdf["event_id"].notna()]  # not the heartbeats
+            if len(pdf):
+                calls, window = int(pdf["max_calls"].iloc[0]), int(pdf["window_us"].iloc[0])
+            for t, i in zip(pdf["ts_us"].tolist(), map(int, pdf["event_id"]), strict=True):
+                if t < passed * 1000 or t < decided:
+                    out.append((i, None, None, True))
+                else:
+                    waiting.append((t, i))
+    waiting.sort()
+    recent, n = RecentCalls(calls, window, times), 0
+    for t, i in waiting:
+        if t >= passed * 1000:
+            break
+        left = recent.decide(t)
+        out.append((i, left is None, left, False))
+        decided, n = t, n + 1
+    waiting = waiting[n:]
+    # kept while rows wait or an admitted call can still count
+    until = [waiting[0][0] // 1000] if waiting else [(recent.times[-1] + window) // 1000] if recent.times else []
+    if not until or not waiting and until[0] < passed:
+        if state.exists:
+            state.remove()
+    else:
+        state.update((list(recent.times), [w[0] for w in waiting], [w[1] for w in waiting], calls, window, decided))
+        state.setTimeoutTimestamp(max(until[0] + 1, passed + 1))
+    if out:
+        yield pd.DataFrame({
+            "event_id": pd.array([o[0] for o in out], dtype="Int64"), "user_id": pd.array([key[0]] * len(out), dtype="Int64"),
+            "action": pd.array([key[1]] * len(out), dtype="string"), "admitted": pd.array([o[1] for o in out], dtype="boolean"),
+            "wait_s": pd.array([o[2] for o in out], dtype="Int64"), "late": [o[3] for o in out]})
 
 
 def admission_stream(events: DataFrame, limits: DataFrame | None = None, watermark: str = "10 minutes") -> DataFrame:
     """Streaming DataFrame of decisions from a streaming attempts frame
-    (event_id, user_id, action, ts)."""
+    (event_id, user_id, action, ts).  A row without event_id is a
+    heartbeat: it moves the watermark and is no attempt."""
     a = with_limits(events.withColumn("ts", F.col("ts").cast("timestamp")), limits)
     a = a.withWatermark("ts", watermark)
     return a.groupBy("user_id", "action").applyInPandasWithState(
         _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(spark: SparkSession, events_dir: str, schema, limits: DataFrame | None = None,
-                  file_glob: str = "events.parquet", out_path: str | None = None) -> DataFrame:
-    """Process everything currently in ``events_dir`` (trigger availableNow)
-    into a parquet file sink (exactly-once via the sink log) under the
-    shared checkpoint folder and return it as a batch DataFrame.  No
-    decision row passes through the driver."""
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", 1).parquet(events_dir))
-    src = src.select("event_id", "user_id", F.col("event_type").alias("action"), "ts")
-    name = f"admission_{uuid.uuid4().hex[:12]}"
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    out_path = out_path or f"{base}/tables/{name}"
-    q = (admission_stream(src, limits).writeStream.format("parquet").option("path", out_path)
-         .outputMode("append").option("checkpointLocation", f"{base}/streams/{name}")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_path)
+def stream_table(spark: SparkSession, path: str, schema, bytes_per_trigger: int = 8 << 30) -> DataFrame:
+    """File stream over a table that is a folder of part files or one file."""
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger))
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def run_available(spark: SparkSession, path: str, schema, limits: DataFrame | None = None, out_path: str | None = None,
+                  watermark: str = "10 minutes") -> DataFrame:
+    """Decide everything now in the table at ``path`` (trigger availableNow)
+    into a parquet file sink (exactly-once via the sink log) under the shared
+    checkpoint folder and return it as a batch DataFrame.  Rows younger than
+    the watermark still wait when the input ends; a heartbeat behind the last
+    of them, written to a second source folder, releases them.  No decision
+    row passes through the driver."""
+    beats, out_path = new_table(spark, "heartbeats"), out_path or new_table(spark, "admission")
+    checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/admission_{uuid4().hex}"
+    cols = ["event_id", "user_id", "event_type", "ts"]
+    beat = spark.createDataFrame([], schema).select(*cols)
+    beat.write.parquet(beats)
+
+    def run() -> None:
+        src = stream_table(spark, path, schema).select(*cols).unionByName(
+            spark.readStream.schema(beat.schema).parquet(beats))
+        q = (admission_stream(src.withColumnRenamed("event_type", "action"), limits, watermark)
+             .writeStream.format("parquet").option("path", out_path).outputMode("append")
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    last = spark.read.schema(schema).parquet(path).agg(F.max("ts").alias("ts")).where("ts is not null")
+    delay = F.expr(f"INTERVAL {watermark}")
+    for beat_no in (1, 2):  # the second releases keys whose timers the first has set
+        (last.select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"),
+                     F.lit(None).cast("string").alias("event_type"),
+                     (F.col("ts") + delay * beat_no + F.expr("INTERVAL 1 minute") * beat_no).cast(beat.schema["ts"].dataType).alias("ts"))
+         .write.mode("append").parquet(beats))
+        run()
+    return spark.read.schema(OUT_SCHEMA).parquet(out_path)

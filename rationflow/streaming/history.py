@@ -1,14 +1,14 @@
 """K1: formulation requests arrive as a stream; every micro-batch is solved
-against the (static, cached) facets and appended to the history table."""
+against the (static) facet table and appended to the history table."""
 
 from __future__ import annotations
 
-import uuid
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import ration
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, new_table
 
 HISTORY_COLS = ("scenario_id", "user_id", "ts", "animal", "age_weeks", "weight_kg", "cp_req", "energy_req",
                 "status", "total_cost")
@@ -18,10 +18,8 @@ def history_stream(spark: SparkSession, requests: DataFrame, facets: DataFrame,
                    once: bool = True) -> tuple[DataFrame, str]:
     """Start (and with ``once`` finish) the append stream; returns the
     history table as a batch DataFrame and its path."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    name = uuid.uuid4().hex[:12]
-    table_path = table_path or f"{base}/tables/history_{name}"
-    ckpt = f"{base}/streams/history_{name}"
+    table_path = table_path or new_table(spark, "history")
+    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/history_{uuid4().hex}"
 
     def append(batch: DataFrame, epoch_id: int) -> None:
         # one folder per epoch, overwritten on replay: idempotent under retries

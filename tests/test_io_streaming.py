@@ -39,15 +39,19 @@ def test_save_catalog_refuses_empty(spark):
     df = spark.createDataFrame([("S", 1, "   ", 1.0, 1.0, 1.0, 1.0)],
                                "species string, pos long, ingredient string, cp double, energy double, "
                                "fiber double, cost double")
+    path = os.path.join(_tmp(), "cat")
     with pytest.raises(ValueError):
-        W.save_catalog(df, os.path.join(_tmp(), "cat"))
+        W.save_catalog(df, path)
+    assert W.last_version(spark, path) == 0
 
 
 def test_save_catalog_and_guides(spark):
     from rationflow.sources import testdata as td
     out = os.path.join(_tmp(), "cat")
     n = W.save_catalog(td.catalog_edits(spark, SF_SMALL), out)
-    assert n == spark.read.parquet(out).count() > 0
+    assert n == W.read_catalog(spark, out).count() > 0
+    assert W.save_catalog(td.catalog_edits(spark, SF_SMALL).where("pos < 50"), out) < n
+    assert W.last_version(spark, out) == 2 and W.read_catalog(spark, out, 1).count() == n
     g = os.path.join(_tmp(), "guides")
     W.write_nutrient_guides(spark, g)
     back = spark.read.option("header", True).csv(g)
@@ -61,7 +65,7 @@ def test_stream_equals_batch_admission(spark):
     from rationflow.streaming.admission import run_available
     lim = spark.createDataFrame(Q.EVENT_LIMITS, "action string, max_calls int, window_seconds int")
     schema = td.table(spark, SF_SMALL, "events").schema
-    s = run_available(spark, SF_SMALL, schema, lim).select("event_id", "admitted", "wait_s")
+    s = run_available(spark, f"{SF_SMALL}/events.parquet", schema, lim).where("not late").select("event_id", "admitted", "wait_s")
     b = A.admit(td.attempts(spark, SF_SMALL), lim).select("event_id", "admitted", "wait_s")
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
 
@@ -72,9 +76,34 @@ def test_history_stream_appends_all(spark):
     assert h.count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
 
 
-def test_stream_state_carries_across_batches_and_drops_late(spark):
-    """Two micro-batches: state from batch 1 rejects a call in batch 2; an
-    event older than the key's last decision is dropped as late (K5)."""
+def test_stream_over_a_folder_with_interleaved_files(spark):
+    """A table of four part files whose times interleave: no id is missing and
+    the decisions are those of the batch form."""
+    from rationflow.operators import admission as A
+    from rationflow.plans import queries as Q
+    from rationflow.sources import testdata as td
+    from rationflow.streaming.admission import run_available
+    path = os.path.join(_tmp(), "events.parquet")
+    td.table(spark, SF_SMALL, "events").repartition(4, "event_id").write.parquet(path)
+    lim = spark.createDataFrame(Q.EVENT_LIMITS, "action string, max_calls int, window_seconds int")
+    s = run_available(spark, path, spark.read.parquet(path).schema, lim)
+    assert s.where("late").count() == 0
+    b = A.admit(td.attempts(spark, SF_SMALL), lim)
+    cols = ["event_id", "admitted", "wait_s"]
+    assert sorted(map(tuple, s.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_history_stream_over_a_folder(spark):
+    from rationflow.plans import queries as Q
+    d = _tmp()
+    for t in ("orders", "part"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").repartition(3).write.parquet(f"{d}/{t}.parquet")
+    assert Q.q_history_stream(spark, d).count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+
+
+def test_stream_state_carries_across_batches_and_orders_rows(spark):
+    """Batch 2 brings a row older than one already seen but younger than the
+    watermark: it is decided in its place; the state of batch 1 counts in it."""
     import datetime as dt
     import uuid
 
@@ -84,10 +113,10 @@ def test_stream_state_carries_across_batches_and_drops_late(spark):
     d = _tmp()
     schema = "event_id long, user_id long, event_type string, ts timestamp_ntz"
     base = dt.datetime(2024, 1, 1)
-    b1 = [(1, 7, "optimize", base), (2, 7, "optimize", base + dt.timedelta(seconds=1))]
-    b2 = [(3, 7, "optimize", base + dt.timedelta(seconds=2)),               # 3rd in window: rejected (max 2)
-          (4, 7, "optimize", base + dt.timedelta(milliseconds=500)),        # behind last decision: late
-          (5, 7, "optimize", base + dt.timedelta(seconds=12))]              # window passed: admitted
+    at = lambda s: base + dt.timedelta(seconds=s)
+    batches = [[(1, 7, "optimize", at(0)), (2, 7, "optimize", at(1))],
+               [(3, 7, "optimize", at(2)), (4, 7, "optimize", at(0.5)), (5, 7, "optimize", at(12))],
+               [(None, None, None, at(4000))], [(None, None, None, at(9000))]]
     lim = spark.createDataFrame([("optimize", 2, 10)], "action string, max_calls int, window_seconds int")
     src = spark.readStream.schema(schema).parquet(d).withColumnRenamed("event_type", "action")
     name = f"adm_{uuid.uuid4().hex[:8]}"
@@ -95,14 +124,14 @@ def test_stream_state_carries_across_batches_and_drops_late(spark):
     q = (admission_stream(src, lim).writeStream.format("memory").queryName(name).outputMode("append")
          .option("checkpointLocation", ckpt).start())
     try:
-        spark.createDataFrame(b1, schema).coalesce(1).write.mode("append").parquet(d)
-        q.processAllAvailable()
-        spark.createDataFrame(b2, schema).coalesce(1).write.mode("append").parquet(d)
-        q.processAllAvailable()
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(d)
+            q.processAllAvailable()
     finally:
         q.stop()
     got = {r.event_id: r.admitted for r in spark.table(name).collect()}
-    assert got == {1: True, 2: True, 3: False, 5: True}
+    # in time order: 1 (0 s), 4 (0.5 s) pass; 2 (1 s), 3 (2 s) must wait; 5 (12 s) passes
+    assert got == {1: True, 4: True, 2: False, 3: False, 5: True}
 
 
 def test_default_limits_and_fallback(spark):
@@ -124,8 +153,11 @@ def test_formula_report_history_writers(spark):
     W.write_formulas(rows, os.path.join(out, "formulas"), "20260101")
     back = spark.read.option("header", True).csv(os.path.join(out, "formulas"))
     assert {"species", "run_date"} <= set(back.columns) and back.count() == rows.count()
-    W.write_reports(Q.q_report_text(spark, SF_SMALL).select("scenario_id", "report"), os.path.join(out, "rep"))
-    assert spark.read.text(os.path.join(out, "rep")).count() == s.count()
+    reports = Q.q_report_text(spark, SF_SMALL)
+    W.write_reports(reports, os.path.join(out, "rep"))
+    texts = spark.read.text(os.path.join(out, "rep"))
+    assert texts.where("value LIKE 'Report Generated%'").count() == reports.count() == s.where("status = 'optimal'").count()
+    assert {r.file_name for r in texts.select("file_name").distinct().collect()} == {r.file_name for r in reports.select("file_name").distinct().collect()}
     W.append_history(s.select("scenario_id", "user_id", "total_cost"), os.path.join(out, "hist"))
     W.append_history(s.select("scenario_id", "user_id", "total_cost"), os.path.join(out, "hist"))
     assert spark.read.parquet(os.path.join(out, "hist")).count() == 2 * s.count()

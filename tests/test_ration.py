@@ -66,7 +66,7 @@ def test_facets_match_brute_force(spark, facets):
     t = spark.createDataFrame(TARGETS, "species string, cp_req double, energy_req double, "
                                        "fiber_min double, fiber_max double")
     got = {(r.species, r.cp_req, r.energy_req, r.fiber_min, r.fiber_max): r
-           for r in ration.solve_targets(t, facets).collect()}
+           for r in ration.solve(t, facets).collect()}
     for tgt in TARGETS:
         sp, cp, en, fmin, fmax = tgt
         want = brute_force([c for c in CAT if c[0] == sp], cp, en, fmin, fmax)
@@ -81,7 +81,7 @@ def test_facets_match_brute_force(spark, facets):
 def test_solution_properties(spark, facets):
     t = spark.createDataFrame([("S", 18.0, 2900.0, 4.0, 9.0)], "species string, cp_req double, "
                               "energy_req double, fiber_min double, fiber_max double")
-    r = ration.solve_targets(t, facets).first()
+    r = ration.solve(t, facets).first()
     xs = [s.x for s in r.formula]
     assert abs(sum(xs) - 1) < 1e-9 and min(xs) >= -1e-9
     assert sum(s.cp * s.x for s in r.formula) >= 18 - 1e-7
@@ -93,7 +93,7 @@ def test_solution_properties(spark, facets):
 def test_cost_monotone_in_targets(spark, facets):
     t = spark.createDataFrame([("S", float(cp), 2500.0, None, None) for cp in range(10, 40, 3)],
                               "species string, cp_req double, energy_req double, fiber_min double, fiber_max double")
-    costs = [r.total_cost for r in ration.solve_targets(t, facets).orderBy("cp_req").collect()]
+    costs = [r.total_cost for r in ration.solve(t, facets).orderBy("cp_req").collect()]
     assert all(b >= a - 1e-9 for a, b in zip(costs, costs[1:]))
 
 
@@ -110,10 +110,56 @@ def test_scenarios_join_back_and_totals(spark, facets):
     assert all(r.proportion > 0.001 for r in rows)
 
 
-def test_driver_catalog_ration_plan_is_broadcast(spark):
-    from rationflow.plans import queries as Q
-    from tests.conftest import SF_SMALL
-    df = Q.q_ration_min_cost(spark, SF_SMALL)
+def test_requests_are_never_shuffled(spark, facets, tmp_path):
+    """All-distinct targets: the request side has no exchange and no aggregate."""
+    path = str(tmp_path / "sc")
+    spark.range(2000).selectExpr("id AS scenario_id", "'S' AS species", "10.0D + id / 100 AS cp_req", "2000.0D + id AS energy_req",
+                                 "cast(null AS double) AS fiber_min", "cast(null AS double) AS fiber_max").write.parquet(path)
+    df = ration.solve(spark.read.parquet(path), facets).select("scenario_id", "status", "total_cost")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" not in plan
-    assert df.count() > 0
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Aggregate" not in plan
+    assert df.count() == 2000
+
+
+def test_pricing_finds_the_facets_of_a_large_catalog(spark):
+    """400 ingredients: few of them become active, and the rations are those
+    of a linear-programming check on sampled targets."""
+    r = np.random.default_rng(3)
+    rows = [("S", i + 1, f"i{i}", float(round(r.uniform(2, 60), 2)), float(round(r.uniform(1500, 4000), 1)),
+             float(round(r.uniform(0, 35), 2)), 0.0) for i in range(400)]
+    rows = [(*x[:6], float(round(40 + 6 * x[3] + x[4] / 20 + r.uniform(0, 300), 2))) for x in rows]
+    log = []
+    facets = ration.prepare_facets(spark.createDataFrame(rows, CAT_SCHEMA), log)
+    assert len(log) < 12 and log[-1][0] < 200
+    targets = [("S", 20.0, 2600.0, None, None), ("S", 35.0, 3100.0, 5.0, 9.0), ("S", 50.0, 3600.0, None, None),
+               ("S", 12.0, 1900.0, 20.0, 24.0)]
+    t = spark.createDataFrame(targets, "species string, cp_req double, energy_req double, fiber_min double, fiber_max double")
+    got = {x.cp_req: x for x in ration.solve(t, facets).collect()}
+    for _, cp, en, lo, hi in targets:
+        x = got[cp]
+        assert x.status == "optimal" and abs(sum(s.x for s in x.formula) - 1) < 1e-9
+        # no ingredient improves the ration: dual prices from its own support
+        support = [s for s in x.formula if s.x > 1e-9]
+        assert sum(s.cp * s.x for s in support) >= cp - 1e-6 and sum(s.energy * s.x for s in support) >= en - 1e-5
+        assert x.total_cost <= min((c[6] for c in rows if c[3] >= cp and c[4] >= en and (lo is None or lo <= c[5] <= hi)),
+                                   default=float("inf")) + 1e-6
+
+
+def test_catalog_without_fibre_solves_as_fibre_off(spark):
+    cat = spark.createDataFrame(CAT, CAT_SCHEMA).drop("fiber")
+    t = spark.createDataFrame([("S", 18.0, 2900.0, 5.0, 9.0), ("S", 18.0, 2900.0, None, None)],
+                              "species string, cp_req double, energy_req double, fiber_min double, fiber_max double")
+    a, b = ration.solve(t, ration.prepare_facets(cat)).collect()
+    assert a.status == b.status == "optimal" and a.total_cost == b.total_cost
+
+
+def test_facets_follow_the_catalog(spark, tmp_path):
+    """A saved catalog is never answered from the facets of the one before."""
+    folder = str(tmp_path / "facets")
+    t = spark.createDataFrame([("S", 18.0, 2900.0, None, None)],
+                              "species string, cp_req double, energy_req double, fiber_min double, fiber_max double")
+    cost = lambda cat: ration.solve(t, ration.facets_of_version(cat, folder)).first().total_cost
+    old = spark.createDataFrame(CAT, CAT_SCHEMA)
+    new = old.withColumn("cost", F.col("cost") * 2)
+    first = cost(old)
+    assert abs(cost(new) - 2 * first) < 1e-6 and cost(old) == first
