@@ -13,8 +13,9 @@ of length l - tau .. l, at the few starts that leave enough edits on both
 sides.  A look-up that hits is a candidate if the parity bits of the two lines'
 bigrams differ in no more places than tau edits can change (four each); this is
 tested inside the join, so lists of a very common segment give no rows for
-lines that are far apart, and Spark splits their partitions.  Candidates are
-verified with the banded bit-parallel edit distance.
+lines that are far apart.  Such a segment, found on a sample of the lines, is
+dealt over several tasks: its index entries by line, its look-ups to all of
+them.  Candidates are verified with the banded bit-parallel edit distance.
 
 Defined cases: null text has no lines; an empty table gives no rows; repeated
 rows (same doc_id and text) count as one document and lose the same lines;
@@ -31,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import bounded_batches, in_bitmap, key_bitmap, raw_text, written
+from .util import bounded_batches, in_bitmap, key_bitmap, raw_text, shuffle_partitions, written
 
 TAU, MIN_CHARS = 2, 32
+#: One line in SAMPLE is counted for common_segments.  A segment is common with
+#: PART_LINES entries and a COMMON-th of all; each part gets about PART_LINES.
+SAMPLE, COMMON, PART_LINES, MOST_PARTS = 64, 4096, 20_000, 256
 FLIPS = 4  # parity bits of the bigram signature one edit can change
 
 
@@ -45,6 +49,10 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
     """(start, length) of the tau + 1 segments; the later ones are the longer."""
     base, more = divmod(length, tau + 1)
@@ -71,21 +79,42 @@ def probes(length: int, tau: int) -> list[tuple[int, int, int, int]]:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """32 parity bits of the hashed bigrams of each line."""
+    """64 parity bits of the hashed bigrams of each line."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
     lens = np.fromiter(map(len, lines), np.int64, count=len(lines))
-    bucket = ((points[:-1] * np.uint32(0x9E3779B1) + points[1:] * np.uint32(0x85EBCA77)) >> np.uint32(27)).astype(np.int64)
+    bucket = ((points[:-1] * np.uint32(0x9E3779B1) + points[1:] * np.uint32(0x85EBCA77)) >> np.uint32(26)).astype(np.int64)
     owner = np.repeat(np.arange(len(lines)), lens)
     same = owner[1:] == owner[:-1]
-    bits = np.bincount(owner[:-1][same] * 32 + bucket[same], minlength=32 * len(lines)).reshape(-1, 32) & 1
-    return (bits << np.arange(32)).sum(axis=1).astype(np.uint32).view(np.int32)
+    bits = np.bincount(owner[:-1][same] * 64 + bucket[same], minlength=64 * len(lines)).reshape(-1, 64) & 1
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(-1)
+
+
+def segment_id(line: str, length: int, i: int, at: int, n: int) -> int:
+    """Of the n code points from ``at``, as segment i of a line of ``length``."""
+    return xxhash.xxh3_64_intdigest(line[at:at + n], seed=length * 64 + i)
+
+
+def dealt(seg: int, part: int) -> int:
+    """Id of one of the parts of a very common segment."""
+    return xxhash.xxh3_64_intdigest(seg.to_bytes(8, "big"), seed=part + 1)
+
+
+def common_segments(rows: DataFrame) -> dict[int, int]:
+    """segment id -> number of parts, for segments with an uncommon share of
+    the index.  Counted on the lines that line_rows marks, one in SAMPLE;
+    it decides where work is done, not what.  At most SAMPLE * COMMON of them,
+    as each has a COMMON-th of the entries."""
+    segs = rows.where("segs is not null").select(F.explode("segs").alias("seg"))
+    total = segs.count()
+    many = segs.groupBy("seg").agg(F.count("*").alias("n")).where(
+        (F.col("n") * SAMPLE >= PART_LINES) & (F.col("n") * COMMON >= total))
+    return {int(r["seg"]) & 0xFFFFFFFFFFFFFFFF: min(MOST_PARTS, r["n"] * SAMPLE // PART_LINES + 1) for r in many.collect()}
 
 
-def _entries(docs: DataFrame, tau: int, min_chars: int, text: str, probing: bool) -> DataFrame:
+def _entries(docs: DataFrame, tau: int, min_chars: int, text: str, probing: bool, common) -> DataFrame:
     """(seg, lid, sig): index entries, or look-ups, of the lines of each task."""
     def run(batches):
-        seen, plan = set(), {}
-        digest = xxhash.xxh3_64_intdigest
+        seen, plan, parts = set(), {}, common.value
         for b in batches:
             lines, lids = [], []
             for t in b.column(0).to_pylist():
@@ -97,18 +126,23 @@ def _entries(docs: DataFrame, tau: int, min_chars: int, text: str, probing: bool
             if not lines:
                 continue
             segs, times = [], []
-            for x in lines:
+            for x, h in zip(lines, lids, strict=True):
                 n = len(x)
                 if n not in plan:
                     plan[n] = (probes(n, tau) if probing else
                                [(n, i, at, m) for i, (at, m) in enumerate(segments(n, tau))])
-                segs.extend([digest(x[p:p + m], seed=length * 64 + i) for length, i, p, m in plan[n]])
-                times.append(len(plan[n]))
+                mine = [segment_id(x, length, i, p, m) for length, i, p, m in plan[n]]
+                if parts and not parts.keys().isdisjoint(mine):
+                    mine = [y for g in mine for y in (
+                        [g] if g not in parts else [dealt(g, k) for k in range(parts[g])] if probing
+                        else [dealt(g, h % parts[g])])]
+                segs.extend(mine)
+                times.append(len(mine))
             lid, sig = np.repeat(np.array(lids, np.int64), times), np.repeat(signatures(lines), times)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(segs, np.uint64).view(np.int64)), pa.array(lid), pa.array(sig)],
                                              names=["seg", "lid", "sig"])
 
-    return bounded_batches(docs.select(raw_text(text)), 500).mapInArrow(run, "seg long, lid long, sig int")
+    return bounded_batches(docs.select(raw_text(text)), 500).mapInArrow(run, "seg long, lid long, sig long")
 
 
 def within(pairs: list[tuple[str, str]], k: int) -> np.ndarray:
@@ -192,13 +226,16 @@ def _banded(long_: list[np.ndarray], short: list[np.ndarray], k: int) -> np.ndar
     return good
 
 
-def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
-    """(a, b): ids of different lines within tau edits."""
+def line_links(docs: DataFrame, rows: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
+    """(a, b): ids of different lines within tau edits; rows: line_rows."""
     spark = docs.sparkSession
-    probe, index = (_entries(docs, tau, min_chars, text, p).distinct() for p in (True, False))
+    common, n = spark.sparkContext.broadcast(common_segments(rows)), shuffle_partitions(spark)
+    # dealt by segment once: the lines that several tasks hold become one
+    # there, and the join finds both sides in place
+    probe, index = (_entries(docs, tau, min_chars, text, p, common).repartition(n, "seg").distinct() for p in (True, False))
     p, x = probe.alias("p"), index.alias("x")
     cand = written(p.join(x, (F.col("p.seg") == F.col("x.seg")) & (F.col("p.lid") != F.col("x.lid"))
-                          & (F.bit_count(F.col("p.sig").bitwiseXOR(F.col("x.sig")).cast("long").bitwiseAND(0xFFFFFFFF)) <= FLIPS * tau))
+                          & (F.bit_count(F.col("p.sig").bitwiseXOR(F.col("x.sig"))) <= FLIPS * tau))
                    .select(F.least("p.lid", "x.lid").alias("a"), F.greatest("p.lid", "x.lid").alias("b")).distinct())
     wanted = spark.sparkContext.broadcast(key_bitmap(
         cand.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "lid"))  # 1 MB whatever the input
@@ -228,23 +265,28 @@ def line_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text
             .mapInArrow(verify, "a long, b long"))
 
 
-def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row a document (n_lines set) and one a line of at least min_chars."""
+def line_rows(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row a document (n_lines set) and one a line of at least min_chars;
+    ``segs`` has the index entries of one line in SAMPLE."""
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("d1", "d2", "doc_id", "n_lines", "line_no", "lid")}
+            out = {c: [] for c in ("d1", "d2", "doc_id", "n_lines", "line_no", "lid", "segs")}
             for t, d1, d2, i in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 lines = _fold(t) if t else []
-                rows = [(no, line_id(x)) for no, x in enumerate(lines) if len(x) >= min_chars]
+                rows = [(no, line_id(x), x) for no, x in enumerate(lines) if len(x) >= min_chars]
                 m = len(rows) + 1
                 out["d1"].extend([d1] * m), out["d2"].extend([d2] * m), out["doc_id"].extend([i] * m)
                 out["n_lines"].extend([len(lines)] + [None] * (m - 1))
                 out["line_no"].extend([None] + [r[0] for r in rows])
                 out["lid"].extend([None] + [r[1] for r in rows])
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
+                out["segs"].extend([None] + [
+                    None if h % SAMPLE else [_signed(segment_id(x, len(x), i, at, n)) for i, (at, n) in enumerate(segments(len(x), tau))]
+                    for _, h, x in rows])
+            yield pa.RecordBatch.from_pydict({
+                c: pa.array(v, pa.list_(pa.int64()) if c == "segs" else pa.int64()) for c, v in out.items()})
 
     src = docs.select(raw_text(text), *_doc_key(text, key), F.col(key).cast("long").alias("doc_id"))
-    return bounded_batches(src, 500).mapInArrow(run, "d1 long, d2 long, doc_id long, n_lines long, line_no long, lid long")
+    return bounded_batches(src, 500).mapInArrow(run, "d1 long, d2 long, doc_id long, n_lines long, line_no long, lid long, segs array<long>")
 
 
 def _doc_key(text: str, key: str):
@@ -256,8 +298,8 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, t
                   key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(line_rows of the table, written; (d1, d2, removed) with the numbers of
     the lines each document loses)."""
-    rows = written(line_rows(docs, min_chars, text, key))
-    part = components(line_links(docs, tau, min_chars, text))
+    rows = written(line_rows(docs, tau, min_chars, text, key))
+    part = components(line_links(docs, rows, tau, min_chars, text))
     place = F.struct("doc_id", "d1", "d2", "line_no")
     occ = (rows.where("lid is not null").join(part.withColumnRenamed("node", "lid"), "lid", "left")
            .select(F.coalesce("component", "lid").alias("line_class"), place.alias("place")))

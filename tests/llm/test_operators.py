@@ -205,10 +205,19 @@ def test_edit_distance_and_segments(k):
         if near and a != b and len(b) > k:  # found by a segment, let through by the signature
             index = {(len(b), i, b[s:s + n]) for i, (s, n) in enumerate(line_dedup.segments(len(b), k))}
             assert any((m, i, a[p:p + n]) in index for m, i, p, n in line_dedup.probes(len(a), k))
-            x, y = line_dedup.signatures([a, b]).view(np.uint32)
+            x, y = line_dedup.signatures([a, b]).view(np.uint64)
             assert bin(int(x) ^ int(y)).count("1") <= 4 * k
 
 
+def test_common_segments_are_dealt(docs, monkeypatch):
+    """With every segment held common the result is the same."""
+    want = by_id(line_dedup.line_report(docs), "removed_lines")
+    monkeypatch.setattr(line_dedup, "PART_LINES", 1)
+    monkeypatch.setattr(line_dedup, "MOST_PARTS", 3)
+    assert len(line_dedup.common_segments(line_dedup.line_rows(docs))) > 3
+    assert by_id(line_dedup.line_report(docs), "removed_lines") == want
+
+
 def test_line_dedup_edges(repeated, none):
     got = line_dedup.line_report(repeated).collect()
     assert len(got) == repeated.count()
