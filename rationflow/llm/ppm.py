@@ -36,8 +36,9 @@ from .util import WordHashes, bounded_batches, flat_hashes, raw_text, words_of,
 
 ORDER = 5
 HEAD = 1 << 20
-#: Grams (or words) a task sorts at once, and distinct ones it holds on to.
-CHUNK, TASK_KEYS = 4_000_000, 1_000_000
+#: Bytes of text a task works on at once, and keys it gathers before it counts
+#: them together and passes them on.
+CHUNK, TASK_KEYS = 1_000_000, 1_500_000
 END_WORD = -1  # no hash is asked to be it: hashes are shifted right by one
 GRAM, WORD_KIND = 0, 1
 
@@ -101,29 +102,39 @@ def corpus_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", fold
     """(kind, key, n, total): occurrences of each gram and word in training
     texts, and in all texts."""
     def run(batches):
-        cache, held = WordHashes(), {}
+        cache, held, size = WordHashes(), {}, 0
+
+        def together():
+            """Counts equal keys of the gathered parts as one."""
+            for at, parts in held.items():
+                if len(parts) > 1:
+                    held[at] = [_counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+            return sum(len(parts[0][0]) for parts in held.values())
 
         def flush():
-            for (kind, train), (k, n) in held.items():
-                z = np.zeros(len(k), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n if train else z), pa.array(n)],
-                    names=["kind", "key", "n", "total"])
+            together()
+            for (kind, train), [(k, n)] in held.items():
+                for i in range(0, len(k), 100_000):
+                    part, times = k[i:i + 100_000], n[i:i + 100_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), kind, np.int8)), pa.array(part),
+                         pa.array(times if train else np.zeros(len(part), np.int64)), pa.array(times)],
+                        names=["kind", "key", "n", "total"])
             held.clear()
 
         for b in batches:
-            out = np.array(b.column(1).to_pylist(), bool)
-            texts = b.column(0).to_pylist()
+            out, texts = b.column(1).to_pylist(), b.column(0).to_pylist()
             for train in (True, False):
                 for (part,) in _slices([t for t, o in zip(texts, out, strict=True) if o != train]):
                     for kind, keys in ((GRAM, _gram_keys(part, order)[0]), (WORD_KIND, _word_keys(part, cache)[0])):
-                        k, n = _counted(keys)
-                        if (kind, train) in held:
-                            k0, n0 = held[kind, train]
-                            k, n = _counted(np.concatenate([k0, k]), np.concatenate([n0, n]))
-                        held[kind, train] = k, n
-                    if sum(len(k) for k, _ in held.values()) > TASK_KEYS:
-                        yield from flush()
+                        found = _counted(keys)
+                        held.setdefault((kind, train), []).append(found)
+                        size += len(found[0])
+                    if size > TASK_KEYS:
+                        size = together()
+                        if size > TASK_KEYS // 2:
+                            yield from flush()
+                            size = 0
         yield from flush()
 
     src = docs.select(raw_text(text), held_out(key, folds, fold).alias("out"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, ngram_join, ppm, quality, secret_scan, sharding, sp_codec, token_counts, url_filter
+from . import decontam, line_dedup, ngram_join, oracles, ppm, quality, secret_scan, sharding, sp_codec, token_counts, url_filter
 from .util import documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -79,4 +79,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have brute-force versions in tests/llm."""
+    return {
+        "op1_ngram_join": oracles.ngram_join(4, 85, 100),
+        "op2_secret_scans": oracles.secret_scan(),
+        "op4_quality_rules": oracles.quality(20, 0.002, 10, 0.2),
+        "op8_sharding": oracles.sharding(8),
+    }
