@@ -99,7 +99,7 @@ def clamp_requests(scenarios: DataFrame, targets: DataFrame) -> DataFrame:
                        "cp_target", "energy_mid", "fiber_min_default", "fiber_max_default")
     price = F.create_map(*[F.lit(v) for r in R.SPECIES_PARAMS for v in (r[0], float(r[4]))])
     scenarios = scenarios.withColumn("_price_default", F.element_at(price, F.col("animal")))
-    j = scenarios.join(F.broadcast(t), (F.col("animal") == F.col("_t_animal")) &
+    j = scenarios.join(t, (F.col("animal") == F.col("_t_animal")) &
                        (F.col("stage_no") == F.col("_t_stage")), "left")
     stage_default = {"cp_req": "cp_target", "energy_req": "energy_mid",
                      "fiber_min": "fiber_min_default", "fiber_max": "fiber_max_default", "price": "_price_default"}

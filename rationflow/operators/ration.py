@@ -53,8 +53,8 @@ SUPPORT_TOL = 1e-9
 # Reference behaviour: proportions kept in the formula are strictly > 0.001.
 KEEP_THRESHOLD = 0.001
 X_DP, COST_DP = 12, 9
-# Price directions tried for the first active set, per pair of attributes.
-DIRECTIONS = 6
+# Steps of each nutrient's price in the grid of directions of the first active set.
+DIRECTIONS = 14
 # Artificial ingredients cost so many times the dearest ingredient.
 ARTIFICIAL_COST = 1e6
 
@@ -145,15 +145,16 @@ def _first_active(cat: DataFrame) -> DataFrame:
     hash aggregate of the catalog per direction, whatever its size."""
     span = cat.groupBy("species").agg(
         F.max(F.abs("cost")).alias("_kc"), *[F.max(F.abs(a)).alias(f"_k{a}") for a in ATTRS])
-    grid = [i / (DIRECTIONS - 1) * 2 for i in range(DIRECTIONS)]
-    ways = [(1.0, a, b, c) for a in grid for b in grid for c in (-1.0, -0.3, 0.0, 0.3, 1.0)]
-    ways += [(0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.0, -1.0)]
-    way = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"w{i}") for i, v in enumerate(w)]) for w in ways])).alias("w")
+    g = DIRECTIONS
+    way = F.explode(F.sequence(F.lit(-4), F.lit(g * g * g - 1))).alias("w")
     unit = lambda c, k: F.col(c) / F.greatest(F.col(k), F.lit(1e-300))
     rows = cat.join(span, "species").select("species", "pos", way, unit("cost", "_kc").alias("c"),
                                             *[unit(a, f"_k{a}").alias(a) for a in ATTRS])
-    price = (F.col("w.w0") * F.col("c") - F.col("w.w1") * F.col("cp") - F.col("w.w2") * F.col("energy")
-             - F.col("w.w3") * F.col("fiber"))
+    step = lambda e: F.expr(f"0.5D * ({e}) / {g - 1} / (1.0D - 0.9D * ({e}) / {g - 1})")  # noqa: E731  0 .. 5, finer near 0
+    fiber = step(f"abs(2 * (w div {g * g}) - {g - 1})") * F.expr(f"sign(2 * (w div {g * g}) - {g - 1})")
+    inside = F.col("c") - step(f"w % {g}") * F.col("cp") - step(f"w div {g} % {g}") * F.col("energy") - fiber * F.col("fiber")
+    price = (F.when(F.col("w") >= 0, inside).when(F.col("w") == -1, -F.col("cp")).when(F.col("w") == -2, -F.col("energy"))
+             .when(F.col("w") == -3, -F.col("fiber")).otherwise(F.col("fiber")))
     return (rows.withColumn("p", price).groupBy("species", "w")
             .agg(F.min(F.struct("p", "pos")).alias("m")).select("species", F.col("m.pos").alias("pos")).distinct())
 

@@ -104,6 +104,7 @@ SELECT pos, raw, {SF.parse_mid('raw')} AS mid FROM range_texts""",
 
 
 _SCEN = V.with_views(V.CATALOG, V.SCENARIOS) + ",\n" + SF.STANDARDS_LONG + ",\n" + SF.BREEDS
+# Nutrient keys and the columns they become, natural order.
 _WIDE = {
     "Crude Protein (%)": "crude_protein", "Energy (kcal/kg)": "energy", "Crude Fiber (%)": "crude_fiber",
     "Calcium (%)": "calcium", "Phosphorus (%)": "phosphorus", "Lysine (%)": "lysine",

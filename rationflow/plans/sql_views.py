@@ -11,10 +11,25 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from ..functions.linalg import cofactor, det
 from ..sources.reference_tables import ANIMALS, STANDARDS
 
 ATTRS = ("cp", "energy", "fiber")
+
+
+def det(m: list[list[str]]) -> str:
+    """Determinant as SQL text, down the first column."""
+    if len(m) == 1:
+        return f"({m[0][0]})"
+    terms = [f"{'-' if i % 2 else '+'} ({m[i][0]}) * {det([r[1:] for k, r in enumerate(m) if k != i])}" for i in range(len(m))]
+    return "(0 " + " ".join(terms) + ")"
+
+
+def cofactor(m: list[list[str]], r: int, c: int) -> str:
+    if len(m) == 1:
+        return "1"
+    sub = [row[:c] + row[c + 1:] for k, row in enumerate(m) if k != r]
+    return f"({'-' if (r + c) % 2 else ''}{det(sub)})"
+
 SLOT_FIELDS = ("pos", "ingredient", "cost", "cp", "energy", "fiber")
 
 LISTING = """

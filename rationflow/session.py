@@ -113,16 +113,3 @@ def release_tables(spark: SparkSession) -> None:
     while _TABLES:
         fs, p = _fs(spark, _TABLES.pop())
         fs.delete(p, True)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives
-    executor loss without recomputing the upstream); never localCheckpoint.
-    The frame is cached while the checkpoint is written so its upstream runs
-    once, then the cache is released."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist()
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
