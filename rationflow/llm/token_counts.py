@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .sp_model import count_pieces, pretokens, processor
 from .util import bounded_batches, raw_text, written
 
-HEAD, HEAD_BYTES = 1 << 19, 64
+HEAD, HEAD_BYTES = 1 << 20, 64
 #: Distinct pre-tokens a task gathers before it passes their counts on.
 TASK_KEYS = 400_000
 
