@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from .util import written
 
 
-def _tally(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _flat(edges: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has one itself."""
+    if not edges.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        return False
+    return edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,8 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node; nodes without a link are not listed."""
     edges = written(links.where(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    before = _tally(edges)
-    while before[0]:
+    while not _flat(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -33,9 +35,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = (large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).distinct())
         edges = written(small)
-        after = _tally(edges)
-        if after == before:
-            break
-        before = after
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())

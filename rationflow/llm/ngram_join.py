@@ -208,9 +208,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     return both.withColumn("dist", 1.0 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
-def set_links(sets: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of the ids in ``reps`` (sid, rep) that connect the same
-    sets as all links of the join do."""
+def set_components(sets: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component) under the ids in ``reps`` (sid, rep): the components
+    of all links of the join; sets without a link are not listed."""
     limit = 1 - num / den + 1e-9
     links = lambda: (den + num) * F.col("overlap") >= num * (F.col("na") + F.col("nb"))
     # the prefix of a set, cut to its shared n-grams
@@ -252,28 +252,45 @@ def set_links(sets: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     as_ids = lambda d, a, b: (d.join(rep.select(F.col("sid").alias(a), F.col("rep").alias("_a")), a)
                               .join(rep.select(F.col("sid").alias(b), F.col("rep").alias("_b")), b)
                               .select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    found = written(as_ids(stars, "sid", "leader").union(as_ids(told.where("linked"), "a", "b")))
+    found = as_ids(stars, "sid", "leader").union(as_ids(told.where("linked"), "a", "b"))
+    part = written(components(found))
     between = told.where("not linked").select("a", "b", "dist")
     if between.isEmpty():
-        return found
+        return part
 
-    # members of leaders that are neither near nor far, and still apart
-    part = components(found)
+    # members of leaders that are neither near nor far, and still apart: the
+    # lists again, in blocks of one component and a range of positions; only
+    # the members of two blocks that can link meet, under their own bounds
     place = rep.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(
         "sid", F.coalesce("component", "rep").alias("comp"))
-    apart = (between.join(place.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a")
-             .join(place.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b")
-             .where("ca != cb").select("a", "b", "dist"))
-    one = member.select("gram", F.col("sid").alias("x"), F.col("leader").alias("a"), F.col("n").alias("nx"),
-                        (F.col("n") - F.col("pos")).alias("rx"), F.col("dist").alias("dx"))
-    two = member.select("gram", F.col("sid").alias("z"), F.col("leader").alias("b"), F.col("n").alias("nz"),
-                        (F.col("n") - F.col("pos")).alias("rz"), F.col("dist").alias("dz"))
-    near = (one.join(apart.withColumnRenamed("dist", "dab"), "a").join(two, ["gram", "b"])
-            .where((F.col("dx") + F.col("dz") > 0) & (F.col("dab") <= limit + F.col("dx") + F.col("dz"))
-                   & (den * F.col("nx") >= num * F.col("nz")) & (den * F.col("nz") >= num * F.col("nx"))
-                   & ((den + num) * F.least("rx", "rz") >= num * (F.col("nx") + F.col("nz"))))
-            .select("x", "z").distinct())
-    return found.union(as_ids(_compared(near, sets, "x", "z").where(links()), "x", "z"))
+    unsettled = between.select(F.col("a").alias("leader")).union(between.select(F.col("b").alias("leader"))).distinct()
+    member = written(member.join(unsettled, "leader").join(place, "sid").select(
+        "gram", "sid", "leader", "n", (F.col("n") - F.col("pos")).alias("rest"), "dist", "comp",
+        F.floor(F.log2(F.col("pos") + 1)).alias("band")))
+    blocks = member.groupBy("gram", "comp", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
+    several = blocks.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("gram")
+    blocks = blocks.join(several, "gram")
+    x, z = blocks.alias("x"), blocks.alias("z")
+    meet = (x.join(z, (F.col("x.gram") == F.col("z.gram")) & (F.col("x.comp") < F.col("z.comp"))
+                   & (den * F.col("x.hi") >= num * F.col("z.lo")) & (den * F.col("z.hi") >= num * F.col("x.lo"))
+                   & ((den + num) * F.least("x.rest", "z.rest") >= num * (F.col("x.lo") + F.col("z.lo"))))
+            .select(F.col("x.gram").alias("gram"), F.col("x.comp").alias("cx"), F.col("x.band").alias("bx"),
+                    F.col("z.comp").alias("cz"), F.col("z.band").alias("bz")))
+    side = lambda s: member.select("gram", F.col("comp").alias(f"c{s}"), F.col("band").alias(f"b{s}"), F.col("sid").alias(s),
+                                   F.col("leader").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("rest").alias(f"r{s}"),
+                                   F.col("dist").alias(f"d{s}"))
+    one = meet.join(side("x"), ["gram", "cx", "bx"])
+    two = side("z")
+    fits = ((den * F.col("nx") >= num * F.col("nz")) & (den * F.col("nz") >= num * F.col("nx"))
+            & ((den + num) * F.least("rx", "rz") >= num * (F.col("nx") + F.col("nz"))) & (F.col("dx") + F.col("dz") > 0))
+    same = (one["gram"] == two["gram"]) & (one["cz"] == two["cz"]) & (one["bz"] == two["bz"])
+    near = (one.join(two, same & fits).select("x", "z", F.least("lx", "lz").alias("a"), F.greatest("lx", "lz").alias("b"), "dx", "dz")
+            .distinct().join(between.withColumnRenamed("dist", "dab"), ["a", "b"])
+            .where(F.col("dab") <= limit + F.col("dx") + F.col("dz")).select("x", "z"))
+    more = written(as_ids(_compared(near, sets, "x", "z").where(links()), "x", "z"))
+    if more.isEmpty():
+        return part
+    return components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -286,7 +303,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text:
     reps = written(some.groupBy("sid").agg(F.min("doc_id").alias("least"))
                    .select("sid", "least", F.coalesce("least", F.xxhash64("sid")).alias("rep")))
     sets = written(candidate_sets(docs, n, num, den, in_all, text))
-    parts = components(set_links(sets, reps.join(sets.select("sid"), "sid", "left_semi"), num, den))
+    parts = set_components(sets, reps.join(sets.select("sid"), "sid", "left_semi"), num, den)
     placed = (reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
               .select("sid", "least", F.coalesce("component", "rep").alias("part")))
     least = (placed.select("sid", "part").join(placed.groupBy("part").agg(F.min("least").alias("component_id")), "part")
