@@ -118,13 +118,23 @@ def _dual_frame(cat: DataFrame, k: int) -> DataFrame:
     for j in range(MAX_SLOTS):
         for c, typ in zip(SLOT_FIELDS, types, strict=True):
             out.append(f"b{j}_{c} AS s{j}_{c}" if j < k else f"CAST(NULL AS {typ}) AS s{j}_{c}")
-        out.append(f"i{j}_0 AS s{j}_k0" if j < k else f"0.0D AS s{j}_k0")
-        for t in ATTRS:
-            value = "CASE " + " ".join(f"WHEN _t{r} = '{t}' THEN i{j}_{r}" for r in rr) + " ELSE 0.0D END"
-            out.append(f"{value} AS s{j}_k{t}" if 1 < k and j < k else f"0.0D AS s{j}_k{t}")
+        out += [f"i{j}_{r}" if j < k and r < k else f"0.0D AS i{j}_{r}" for r in range(MAX_SLOTS)]
+    out += [f"_t{r}" if r < k else f"CAST(NULL AS STRING) AS _t{r}" for r in range(1, MAX_SLOTS)]
     return df.selectExpr(*out)
 
 
+def _with_solution(facets: DataFrame) -> DataFrame:
+    """Each slot's share as a linear function of the right-hand side: a
+    constant and a coefficient per attribute, that of the row tight on it."""
+    keep = [c for c in facets.columns if not c.startswith(("i", "_t"))]
+    out = []
+    for j in range(MAX_SLOTS):
+        out.append(f"i{j}_0 AS s{j}_k0")
+        out += ["CASE " + " ".join(f"WHEN _t{r} = '{t}' THEN i{j}_{r}" for r in range(1, MAX_SLOTS)) + f" ELSE 0.0D END AS s{j}_k{t}"
+                for t in ATTRS]
+    return facets.selectExpr(*keep, *out)
+
+
 def _with_achieved(facets: DataFrame) -> DataFrame:
     """Adds each nutrient a the ration reaches, linear in the right-hand side."""
     return facets.selectExpr("*", *[
@@ -239,7 +249,7 @@ def prepare_facets(catalog: DataFrame, log: list | None = None) -> DataFrame:
         F.filter(F.array(F.when(F.col("y_fiber") >= -DUAL_SIGN_TOL, F.lit("min")),
                          F.when(F.col("y_fiber") <= DUAL_SIGN_TOL, F.lit("max"))),
                  lambda s: s.isNotNull()))
-    facets = _with_achieved(facets.withColumn("fiber_side", F.explode(side)))
+    facets = _with_achieved(_with_solution(facets.withColumn("fiber_side", F.explode(side))))
     if not has_fiber(catalog):
         facets = facets.where("NOT tight_fiber")
     cols = [c for c in facets.columns if c != "species"]
