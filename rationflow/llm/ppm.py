@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .util import WordHashes, bounded_batches, flat_hashes, raw_text, words_of, written
 
 ORDER = 5
-HEAD = 1 << 20
+HEAD = 1 << 21
 #: Bytes of text a task works on at once, and keys it gathers before it counts
 #: them together and passes them on.
 CHUNK, TASK_KEYS = 1_000_000, 1_500_000
