@@ -1,11 +1,14 @@
-"""Operator 5: benchmark decontamination by rare seeds and local alignment.
-
-The n-grams of the test items are looked up in the training texts twice.  The
-first pass counts in how many documents each occurs; those far more frequent
-than their item's others (stock phrases) are no seeds.  The second pass takes
-the passages around the places where a seed occurs and aligns them with the
-item (Smith-Waterman over words: match +2, mismatch and gap -1); a document is
-a hit if the best alignment reaches ``least`` of the score of a full copy.
+"""Operator 5: benchmark decontamination by seeds and local alignment.
+
+Every n-gram of a test item is a seed, however many documents hold it: the
+frequency of an n-gram does not tell a stock phrase from what is left of an
+edited copy that stands in many documents.  One pass over the training texts
+takes the passages around the places where a seed occurs and aligns them with
+the item (Smith-Waterman over words: match +2, mismatch and gap -1); a document
+is a hit if the best alignment reaches ``least`` of the score of a full copy.
+Passages with too few of the item's words for that score, as around stock
+phrases, are left out by this bound before they are aligned; equal ones, cut to
+the item's words at both ends, are aligned once a task.
 
 Texts are not shuffled: the items travel to them.  Items go in blocks of at
 most ``block_words`` words (one item is never cut), each broadcast in turn, so
@@ -31,6 +34,7 @@ from .util import WORD_CACHE, WordHashes, bounded_batches, flat_hashes, mix, raw
 
 ENDS = b".,;:!?\"'()[]{}"
 FILTER_BITS = 22
+KNOWN = 10_000  # alignments a task remembers
 
 
 class BareHashes(WordHashes):
@@ -54,17 +58,10 @@ class Seeds:
             g = self.hashes(w, k)[: len(w) - k + 1]
             grams.append(g), item.append(np.full(len(g), i)), place.append(np.arange(len(g)))
         order = np.argsort(g := np.concatenate(grams), kind="stable")
-        self._set(g[order], np.concatenate(item)[order], np.concatenate(place)[order])
-
-    def _set(self, grams, item, place):
-        self.grams, self.item, self.place = grams, item, place
+        self.grams, self.item, self.place = g[order], np.concatenate(item)[order], np.concatenate(place)[order]
         self.lens = sorted({min(self.n, len(w)) for _, w in self.items})
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[(grams & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-
-    def keep(self, mask: np.ndarray) -> "Seeds":
-        self._set(self.grams[mask], self.item[mask], self.place[mask])
-        return self
+        self.maybe[(self.grams & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
     @staticmethod
     def hashes(flat: np.ndarray, k: int) -> np.ndarray:
@@ -134,52 +131,24 @@ def _blocks(benchmark: DataFrame, block_words: int, text: str, key: str):
             yield items
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, common: float = 10.0,
-                   block_words: int = 1_000_000, text: str = "text", key: str = "doc_id", item_text: str = "text",
-                   item_key: str = "item_id") -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block_words: int = 1_000_000,
+                   text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """doc_id, item_id, score, share (of a full copy's score), end_word,
     n_passages, txt (hash of the text) of every hit."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score long, share double, end_word long, n_passages long, txt long"
     hits = None
     for items in _blocks(benchmark, block_words, item_text, item_key):
-        found = _block_hits(docs, items, n, least, common, text, key, schema)
+        found = _block_hits(docs, items, n, least, text, key, schema)
         hits = found if hits is None else hits.unionByName(found)
     return spark.createDataFrame([], schema) if hits is None else hits
 
 
-def _block_hits(docs, items, n, least, common, text, key, schema) -> DataFrame:
-    spark = docs.sparkSession
-    seeds = Seeds(items, n)
-    every = spark.sparkContext.broadcast(seeds)
-
-    def count(batches):
-        s, cache = every.value, BareHashes()
-        times = np.zeros(len(s.grams), np.int64)
-        for b in batches:
-            flat, lens = flat_hashes(words_of(b.column(0).to_pylist()), cache)
-            if len(flat):
-                at, to = s.find(flat, lens)
-                doc = np.searchsorted(np.cumsum(lens), at, side="right")
-                once = np.unique(to * len(lens) + doc)
-                times += np.bincount(once // len(lens), minlength=len(times))
-        some = np.flatnonzero(times)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(times[some])], names=["gram", "n"])
-
-    df = np.zeros(len(seeds.grams), np.int64)
-    counted = (bounded_batches(docs.select(raw_text(text))).mapInArrow(count, "gram long, n long")
-               .groupBy("gram").agg(F.sum("n").alias("n")).toArrow())  # a row an n-gram of the block at most
-    df[counted["gram"].to_numpy()] = counted["n"].to_numpy()
-    first = np.searchsorted(seeds.grams, seeds.grams)  # equal n-grams share the count of the first
-    df = df[first]
-    middle = np.zeros(len(items))
-    for i in range(len(items)):
-        middle[i] = np.median(df[seeds.item == i]) if (seeds.item == i).any() else 0
-    rare = df <= common * np.maximum(middle[seeds.item], 1)
-    chosen = spark.sparkContext.broadcast(seeds.keep(rare))
+def _block_hits(docs, items, n, least, text, key, schema) -> DataFrame:
+    every = docs.sparkSession.sparkContext.broadcast(Seeds(items, n))
 
     def hits(batches):
-        s, cache = chosen.value, BareHashes()
+        s, cache, known = every.value, BareHashes(), {}
         for b in batches:
             flat, lens = flat_hashes(words_of(b.column(0).to_pylist()), cache)
             ends = np.cumsum(lens)
@@ -196,16 +165,23 @@ def _block_hits(docs, items, n, least, common, text, key, schema) -> DataFrame:
                 cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (s.item[to][1:] != s.item[to][:-1]))).tolist()
                 for a, e in zip(cut, cut[1:] + [len(at)], strict=True) if len(at) else ():
                     d = int(doc[a])
-                    item_id, w = s.items[int(s.item[to[a]])]
+                    no = int(s.item[to[a]])
+                    item_id, w = s.items[no]
                     begin = int(ends[d] - lens[d])
                     body, need = flat[begin:int(ends[d])], least * 2 * len(w)
                     best = (0, 0)
                     n_good = 0
                     for lo, hi in passages(at[a:e] - begin, s.place[to[a:e]], len(w), len(body)):
-                        part = body[lo:hi]
-                        if 2 * int(np.isin(part, w).sum()) < need:  # too few common words for any alignment
+                        common = np.flatnonzero(np.isin(body[lo:hi], w))
+                        if 2 * len(common) < need:  # too few common words for any alignment
                             continue
-                        score, end = align(w, part)
+                        lo, hi = lo + int(common[0]), lo + int(common[-1]) + 1
+                        same = no, body[lo:hi].tobytes()
+                        if same not in known:
+                            if len(known) >= KNOWN:
+                                known.clear()
+                            known[same] = align(w, body[lo:hi])
+                        score, end = known[same]
                         n_good += score >= need
                         if score > best[0]:
                             best = (score, lo + end)

@@ -145,6 +145,25 @@ def test_frequent_passage_is_still_found(spark):
     assert got.where("doc_id >= 5000 and item_id = 5").count() == 300
 
 
+@pytest.mark.parametrize("times", [11, 300])
+def test_frequent_edited_copy_is_still_found(spark, times):
+    """One edited or half copy in many documents: few n-grams of the item
+    occur, all of them often."""
+    r = random.Random(3)
+    items = [(1, [f"a{i}" for i in range(36)]), (2, [f"b{i}" for i in range(40)])]
+    edited = [f"new{i}" if i % 6 == 5 else w for i, w in enumerate(items[0][1])]
+    half = items[1][1][:21]
+    filler = lambda: " ".join(f"f{r.randrange(5000)}" for _ in range(30))
+    docs = [(k * times + i, " ".join([filler(), *copy, filler()])) for k, copy in enumerate((edited, half)) for i in range(times)]
+    docs += [(9000, " ".join([*items[0][1][:5], filler()]))]  # the stock phrase alone
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontam.benchmark_hits(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    score = [brute.smith_waterman(items[0][1], edited), brute.smith_waterman(items[1][1], half)]
+    assert score[0] >= 36 and score[1] >= 40
+    assert got == {(i, 1 + i // times): score[i // times] for i in range(2 * times)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
