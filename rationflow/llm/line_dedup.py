@@ -1,9 +1,13 @@
 """Operator 10: line dedup by a segment-partition edit join.
 
-Lines (ASCII white space folded to one space; at least ``min_chars`` code
-points, others are never removed) within ``tau`` edits of each other are one
-class, classes being the connected components of that relation; of each class
-the first occurrence by (doc_id, text checksum, line number) stays.
+Lines (ASCII white space folded to one space) within ``tau`` edits of each
+other are one class, classes being the connected components of that relation;
+of each class the first occurrence by (doc_id, text checksum, line number)
+stays.  Equal lines are one line whatever their length; of lines too short for
+``tau`` edits to be a small part, a tenth of the shorter line may be edited
+(``edits``), under ten code points none.  ``min_chars`` is the caller's option
+never to remove shorter lines; the registered query leaves it off with 1, which
+spares only lines without a word.
 
 Equal lines are one line from the start.  Each distinct line of length l is cut
 into tau + 1 segments, so a line within tau edits holds at least one of them
@@ -64,6 +68,20 @@ def segments(length: int, tau: int) -> list[tuple[int, int]]:
     return out
 
 
+def edits(length: int, tau: int) -> int:
+    """Edits allowed between a line of ``length`` and a longer one."""
+    return min(tau, length // 10)
+
+
+def plan_of(length: int, tau: int, probing: bool) -> list[tuple[int, int, int, int]]:
+    """What a line of ``length`` looks up, or its index entries, as (indexed
+    length, segment number, start in the line, segment length)."""
+    if probing:
+        return [p for t in range(1, edits(length, tau) + 1) for p in probes(length, t) if edits(p[0], tau) == t]
+    t = edits(length, tau)
+    return [(length, i, at, n) for i, (at, n) in enumerate(segments(length, t))] if t else []
+
+
 def probes(length: int, tau: int) -> list[tuple[int, int, int, int]]:
     """(indexed length, segment number, start in the probing line, segment
     length) of every substring a line of ``length`` looks up."""
@@ -129,8 +147,7 @@ def _entries(docs: DataFrame, tau: int, min_chars: int, text: str, probing: bool
             for x, h in zip(lines, lids, strict=True):
                 n = len(x)
                 if n not in plan:
-                    plan[n] = (probes(n, tau) if probing else
-                               [(n, i, at, m) for i, (at, m) in enumerate(segments(n, tau))])
+                    plan[n] = plan_of(n, tau, probing)
                 mine = [segment_id(x, length, i, p, m) for length, i, p, m in plan[n]]
                 if parts and not parts.keys().isdisjoint(mine):
                     mine = [y for g in mine for y in (
@@ -227,7 +244,8 @@ def _banded(long_: list[np.ndarray], short: list[np.ndarray], k: int) -> np.ndar
 
 
 def line_links(docs: DataFrame, rows: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
-    """(a, b): ids of different lines within tau edits; rows: line_rows."""
+    """(a, b): ids of different lines within the edits their length allows;
+    rows: line_rows."""
     spark = docs.sparkSession
     common, n = spark.sparkContext.broadcast(common_segments(rows)), shuffle_partitions(spark)
     # dealt by segment once: the lines that several tasks hold become one
@@ -257,7 +275,12 @@ def line_links(docs: DataFrame, rows: DataFrame, tau: int = TAU, min_chars: int
 
     def verify(batches):
         for b in batches:
-            ok = within(list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)), tau)
+            pairs = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+            least = np.fromiter((edits(min(len(x), len(y)), tau) for x, y in pairs), np.int64, count=len(pairs))
+            ok = np.zeros(len(pairs), bool)
+            for t in range(1, tau + 1):
+                at = np.flatnonzero(least == t)
+                ok[at] = within([pairs[i] for i in at], t)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     side = lambda c, t: lines.select(F.col("lid").alias(c), F.col("line").alias(t))
@@ -280,7 +303,7 @@ def line_rows(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text:
                 out["line_no"].extend([None] + [r[0] for r in rows])
                 out["lid"].extend([None] + [r[1] for r in rows])
                 out["segs"].extend([None] + [
-                    None if h % SAMPLE else [_signed(segment_id(x, len(x), i, at, n)) for i, (at, n) in enumerate(segments(len(x), tau))]
+                    None if h % SAMPLE else [_signed(segment_id(x, *p)) for p in plan_of(len(x), tau, False)]
                     for _, h, x in rows])
             yield pa.RecordBatch.from_pydict({
                 c: pa.array(v, pa.list_(pa.int64()) if c == "segs" else pa.int64()) for c, v in out.items()})

@@ -69,7 +69,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(documents(spark, sf_dir))
+    return line_dedup.line_report(documents(spark, sf_dir), min_chars=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -218,6 +218,23 @@ def test_common_segments_are_dealt(docs, monkeypatch):
     assert by_id(line_dedup.line_report(docs), "removed_lines") == want
 
 
+def test_short_lines(spark, tmp_path):
+    """The query removes equal lines of any length, and near ones whose length
+    allows an edit."""
+    import random
+    from rationflow.llm.queries import op10_line_dedup
+    r = random.Random(6)
+    short = ["All rights reserved.", "All rights reserved", "Al rights reservd.", "Les.", "Lee.", "x", "}", "é", "one two three", "one two thre",
+             "a line of twenty-four ch", "a line of twenty-six char", "", "  ", *("".join(r.choice("abc ") for _ in range(r.randint(1, 40))) for _ in range(60))]
+    texts = [(i, "\n".join(r.choice(short) for _ in range(8))) for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    close = lambda a, b: brute.edit_distance(a, b) <= min(2, min(len(a), len(b)) // 10)
+    want = brute.removed_lines(texts, 2, 1, close)
+    got = by_id(op10_line_dedup(spark, str(tmp_path)), "n_removed", "removed_lines")
+    assert got == {k: (len(want[k]), ",".join(map(str, want[k]))) for k, _ in texts}
+    assert sum(map(len, want.values())) > 200
+
+
 def test_line_dedup_edges(repeated, none):
     got = line_dedup.line_report(repeated).collect()
     assert len(got) == repeated.count()
