@@ -14,18 +14,19 @@ from rationflow.llm.queries import model_path
 from rationflow.llm.util import documents, written
 
 
+def _n_chars(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the rules reject go.  The verdict depends on text and host
-    alone, so these two are the key it is joined on."""
-    kept = F.col("kept")
-    bad = (quality.quality(docs).where(~kept).select("txt", "host").distinct())
-    return docs.join(bad, (F.xxhash64("text") == F.col("txt")) & (F.xxhash64("source") == F.col("host")), "left_anti")
+    """Documents the rules reject go, and lines above the limit of their host;
+    n_chars follows the text."""
+    return _n_chars(quality.clean(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+    return _n_chars(line_dedup.dedup_lines(docs))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

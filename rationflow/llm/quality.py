@@ -7,6 +7,7 @@ line is removed from the documents of a host when more than
 max(``min_docs``, ``share`` x the host's distinct texts) of them have it.  A
 document is rejected when it fails the base rules, or when removal leaves it
 fewer than ``least_words`` words or less than ``least_part`` of its words.
+``quality`` gives the verdicts, ``clean`` the kept documents without the lines.
 
 Lines of all documents meet their counts by a shuffle join on (host, line); no
 list of lines is broadcast or collected.
@@ -24,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .util import WordHashes, bounded_batches, flat_hashes, raw_text, window_hashes, words_of
 
@@ -98,6 +100,11 @@ def quality(docs: DataFrame, min_docs: int = 20, share: float = 0.002, least_wor
             host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row a document: the base counts, base_failed, kept, words_left and
     the hashes of text and host, on which alone the verdict depends."""
+    return _judged(docs, min_docs, share, least_words, least_part, host, text, key).drop("flagged")
+
+
+def _judged(docs, min_docs, share, least_words, least_part, host, text, key) -> DataFrame:
+    """quality with ``flagged``, the hashes of the document's lines above the limit."""
     bad = frequent_lines(docs, min_docs, share, host, text)
 
     def run(batches):
@@ -142,9 +149,38 @@ def quality(docs: DataFrame, min_docs: int = 20, share: float = 0.002, least_wor
     judged = (parts.join(bad.withColumn("_bad", F.lit(True)), ["host", "line"], "left").groupBy("uid")
               .agg(F.max("doc_id").alias("doc_id"), F.max("txt").alias("txt"),
                    F.max("own_host").alias("host"), *[F.max(c).alias(c) for c in cols],
-                   F.sum(removed).alias("_removed")))
+                   F.sum(removed).alias("_removed"),
+                   F.sort_array(F.collect_set(F.when(F.col("is_line") & F.col("_bad"), F.col("line")))).alias("flagged")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("_removed")
     return judged.select("doc_id", *cols, failed.alias("base_failed"),
                          (~failed & (left >= least_words) & (left >= least_part * F.col("n_words"))).alias("kept"),
-                         left.cast("bigint").alias("words_left"), "txt", "host")
+                         left.cast("bigint").alias("words_left"), "txt", "host", "flagged")
+
+
+@F.arrow_udf(BinaryType())
+def _without(texts: pa.Array, flagged: pa.Array) -> pa.Array:
+    """The texts without the lines of these hashes; null stays null."""
+    out = []
+    for t, gone in zip(texts.to_pylist(), flagged.to_pylist(), strict=True):
+        if t is not None:
+            gone = set(gone)
+            t = b"\n".join(x for x in t.split(b"\n") if not x or x.isspace() or line_hash(x.lower().split()) not in gone)
+        out.append(t)
+    return pa.array(out, pa.binary())
+
+
+def clean(docs: DataFrame, min_docs: int = 20, share: float = 0.002, least_words: int = 10, least_part: float = 0.2,
+          host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rejected documents, the others without their lines
+    above the limit.  Verdict and lines depend on text and host alone, so these
+    two are the key they are joined on."""
+    judged = _judged(docs, min_docs, share, least_words, least_part, host, text, key)
+    change = (judged.where(~F.col("kept") | (F.size("flagged") > 0))
+              .select(F.col("txt").alias("_txt"), F.col("host").alias("_host"), F.col("kept").alias("_kept"),
+                      F.col("flagged").alias("_flagged")).distinct())
+    joined = docs.join(change, (F.xxhash64(F.col(text)) == F.col("_txt")) & (F.xxhash64(F.col(host)) == F.col("_host")), "left")
+    cut = F.col("_kept").isNotNull()
+    left = _without(F.when(cut, F.col(text).cast("binary")), F.col("_flagged")).cast("string")
+    return (bounded_batches(joined.where(F.coalesce("_kept", F.lit(True))))
+            .select(*[F.when(cut, left).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns]))

@@ -103,6 +103,23 @@ def test_quality(docs, rows):
     assert len(bad) == 3  # the common line, at each host
 
 
+def test_lines_above_the_limit_are_removed(spark, docs, rows):
+    """The pipeline's stage returns the texts without them, in order."""
+    import corpus_pipeline as P
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(15))
+    texts = [(i, f"{own(i)}\n\nAll  RIGHTS reserved.\nend é {i}\nall rights reserved. ", "a") for i in range(25)]
+    texts += [(100 + i, f"{own(100 + i)}\nAll rights reserved.", "b") for i in range(5)]  # not above the limit there
+    texts += [(200, "All rights reserved.\n" * 12, "a"), (201, texts[0][1], "a"), (202, None, "a"), (203, own(203), None)]
+    df = spark.createDataFrame([(k, t, s, len(t or "")) for k, t, s in texts], "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.quality_rules(spark, df, "").collect()}
+    want = {k: f"{own(k)}\n\nend é {k}" if k < 25 else t for k, t, _ in texts if k not in (200, 202)}
+    want[201] = want[0]
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+    out = by_id(quality.clean(docs, min_docs=20, share=0.05), "text")
+    verdict = by_id(quality.quality(docs, min_docs=20, share=0.05), "kept", "words_left")
+    assert {k: len(brute.words(t)) for k, (t,) in out.items()} == {k: n for k, (kept, n) in verdict.items() if kept}
+
+
 def test_quality_edges(repeated, none):
     assert quality.quality(repeated).count() == repeated.count()
     assert quality.quality(none).count() == 0
