@@ -105,3 +105,60 @@ s AS (SELECT *, CAST(first * {n} // total AS INTEGER) AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
        CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+
+def warc(least: int) -> str:
+    """Base32 of a digest: five hex digits are four letters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    group = "CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)"
+    quad = " || ".join(f"substr('{letters}', (({group} >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) AS nth,
+             max(page_id) OVER (PARTITION BY body) AS lead_id FROM p)
+SELECT page_id, strlen(body) AS payload_bytes, list_aggregate(list_transform(range(0, 8), lambda i: {quad}), 'string_agg', '') AS payload_digest,
+       CASE WHEN nth > 1 AND strlen(body) >= {least} THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN nth > 1 AND strlen(body) >= {least} THEN lead_id END AS refers_to FROM r"""
+
+
+def fill_in_middle(salt: str, fim_percent: int, spm_percent: int) -> str:
+    draw = lambda i: f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{salt}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, length(t) AS n, {draw(0)} % (length(t) + 1) AS x, {draw(1)} % (length(t) + 1) AS y,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {draw(2)} % 100 >= {fim_percent} THEN 'plain'
+                  WHEN {draw(3)} % 100 < {spm_percent} THEN 'spm' ELSE 'psm' END AS form FROM d),
+s AS (SELECT *, substring(t, 1, least(x, y)) AS p, substring(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS m,
+             substring(t, greatest(x, y) + 1) AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM s"""
+
+
+def vector_codes(parts: int, entries: int, rounds: int, scale: int, dim: int) -> str:
+    """The rounds one after the other, as plain joins of parts and entries."""
+    d = dim // parts
+    dist = " + ".join(f"(p.v[{j}] - b.v[{j}]) * (p.v[{j}] - b.v[{j}])" for j in range(1, d + 1))
+    mean = "[" + ", ".join(f"CAST(floor(sum(p.v[{j}]) / count(*)) AS BIGINT)" for j in range(1, d + 1)) + "]"
+    near = lambda i: (f"n{i} AS MATERIALIZED (SELECT p.id, p.pos, arg_min(b.e, ({dist}) * {entries} + b.e) AS e, min({dist}) AS err "
+                      f"FROM parts p JOIN b{i} b ON b.pos = p.pos GROUP BY p.id, p.pos)")
+    book = lambda i: (f"b{i + 1} AS MATERIALIZED (SELECT b.pos, b.e, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN ("
+                      f"SELECT n.pos, n.e, {mean} AS v FROM n{i} n JOIN parts p ON p.id = n.id AND p.pos = n.pos GROUP BY n.pos, n.e) m "
+                      f"ON m.pos = b.pos AND m.e = b.e)")
+    steps = ",\n".join(f"{near(i)},\n{book(i)}" for i in range(rounds))
+    return f"""
+WITH rows_ AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS id, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = {dim}
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT id, pos, v[pos * {d} + 1:pos * {d} + {d}] AS v FROM rows_, range(0, {parts}) AS r(pos)),
+b0 AS MATERIALIZED (SELECT pos, id - 1 AS e, v FROM parts WHERE id <= {entries}),
+{steps},
+{near(rounds)},
+per AS (SELECT id, CAST(sum(err) AS BIGINT) AS error, string_agg(printf('%02x', e), '' ORDER BY pos) AS code FROM n{rounds} GROUP BY id)
+SELECT r.vec_id, per.code, per.error, CAST(sum(per.error) OVER (PARTITION BY r.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY pos, e)) FROM b{rounds}) AS codebooks_sha256
+FROM rows_ r JOIN per ON per.id = r.id"""

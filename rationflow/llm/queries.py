@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, ngram_join, oracles, ppm, quality, secret_scan, sharding, sp_codec, token_counts, url_filter
+from . import (decontam, fim, line_dedup, ngram_join, oracles, ppm, quality, secret_scan, sharding, sp_codec, token_counts, url_filter,
+               vector_codes, warc)
 from .util import documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -72,10 +73,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir), min_chars=1)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select(
+        "page_id", "url", "html", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("place"))
+    return warc.archive(pages, "2024-01-01T00:00:00Z", locator="place").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(fim.restore().cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_join, op2_secret_scans, op3_lm_scoring, op4_quality_rules, op5_decontamination, op6_url_filters,
-        op7_token_counts, op8_sharding, op9_sentencepiece, op10_line_dedup)}
+        op7_token_counts, op8_sharding, op9_sentencepiece, op10_line_dedup, op11_warc, op12_fill_in_middle, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -85,4 +104,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_secret_scans": oracles.secret_scan(),
         "op4_quality_rules": oracles.quality(20, 0.002, 10, 0.2),
         "op8_sharding": oracles.sharding(8),
+        "op11_warc": oracles.warc(0),
+        "op12_fill_in_middle": oracles.fill_in_middle("1", 90, 20),
+        "op13_vector_codes": oracles.vector_codes(8, 16, 6, 4096, 64),
     }
