@@ -1,43 +1,31 @@
-"""Closed-form small-matrix algebra as SQL expression text.
+"""Closed-form small-matrix algebra over arrays.
 
 The least-cost ration works with bases of at most 4 ingredients, so every
-linear system it meets is at most 4x4.  Rather than shipping matrices to
-Python, determinants and cofactors are expanded symbolically into SQL
-expressions over flat columns; Spark evaluates them inside whole-stage
-codegen (``selectExpr``) and DuckDB can evaluate the very same text.
+linear system it meets is at most 4x4: cofactors are expanded, elementwise over
+many matrices at once.  A matrix is a list of rows whose entries are arrays.
 """
 
 from __future__ import annotations
 
 
-def _mul(a: str, b: str) -> str:
-    if a == "1":
-        return b
-    if b == "1":
-        return a
-    return f"({a})*({b})"
-
-
-def det(m: list[list[str]]) -> str:
-    """Laplace expansion along the first row; entries are SQL expressions."""
+def det(m: list[list]):
+    """Laplace expansion along the first row."""
     k = len(m)
     if k == 1:
-        return f"({m[0][0]})"
+        return m[0][0]
     if k == 2:
-        return f"({_mul(m[0][0], m[1][1])} - {_mul(m[0][1], m[1][0])})"
-    parts = []
+        return m[0][0] * m[1][1] - m[0][1] * m[1][0]
+    total = 0.0
     for j in range(k):
-        minor = [row[:j] + row[j + 1:] for row in m[1:]]
-        term = _mul(m[0][j], det(minor))
-        parts.append(("+ " if j % 2 == 0 else "- ") + term)
-    return "(" + " ".join(parts) + ")"
+        term = m[0][j] * det([row[:j] + row[j + 1:] for row in m[1:]])
+        total = total + term if j % 2 == 0 else total - term
+    return total
 
 
-def cofactor(m: list[list[str]], r: int, c: int) -> str:
-    """Signed cofactor C[r][c]."""
+def cofactors(m: list[list]) -> list[list]:
+    """Signed cofactors, C[r][c]."""
     k = len(m)
     if k == 1:
-        return "1"
-    minor = [row[:c] + row[c + 1:] for i, row in enumerate(m) if i != r]
-    d = det(minor)
-    return d if (r + c) % 2 == 0 else f"(-{d})"
+        return [[m[0][0] * 0 + 1.0]]
+    minor = lambda r, c: det([row[:c] + row[c + 1:] for i, row in enumerate(m) if i != r])
+    return [[minor(r, c) if (r + c) % 2 == 0 else -minor(r, c) for c in range(k)] for r in range(k)]

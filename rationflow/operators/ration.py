@@ -11,19 +11,12 @@ Scenarios only move the right-hand side (cp, energy, fmin, fmax); optimality
 of a basis (reduced costs >= 0) depends only on the catalog.  So the work is
 split in two:
 
-1. ``prepare_facets`` (once per catalog version): the dual-feasible bases
-   ("facets"), a few hundred per species, each with its primal solution as
-   *linear functions of the right-hand side*.  They are found by pricing: bases
-   are enumerated over a small active set of ingredients (those that are
-   cheapest in some direction of prices, plus two artificial ones that make
-   every right-hand side reachable), every catalog ingredient is priced against
-   the facets of that set, ingredients with a negative reduced cost join it,
-   until none is left.  The facets are those of the whole catalog; the
-   enumeration is over the ingredients that matter.
-2. ``solve`` (per scenario table): one row per species holds its facets as an
-   array; a request joins that row, keeps the facets that are primal feasible
-   for it and takes the cheapest.  No shuffle, no aggregation: the work of a
-   request is done in its own row.
+1. ``facets`` (once per species and content): the dual-feasible bases, each with
+   its primal solution as *linear functions of the right-hand side*, found by
+   walking from neighbour to neighbour, and a partition of the target space
+   into cells with the few facets that can be optimal there.
+2. ``solve`` (per scenario table): a request looks up its cell, keeps those of
+   the cell's facets that are primal feasible for it and takes the cheapest.
 
 A basis that is primal and dual feasible is optimal, so there is no search
 per scenario.  Ties (alternate optima) are broken by (round(cost, 6), sorted
@@ -33,266 +26,52 @@ chosen vertex, not on the basis that represents it.
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.linalg import cofactor
-from ..session import new_table, path_exists, write_table
+from ..session import write_table
+from .facets import MAX_SLOTS, SLOT_FIELDS, Facets, cell_of
 
-ATTRS = ("cp", "energy", "fiber")
-MAX_SLOTS = 4
-SLOT_FIELDS = ("pos", "ingredient", "cost", "cp", "energy", "fiber")
 # Numeric tolerances (fixed values of the method, not tuning knobs).
-DET_REL_TOL = 1e-10
-REDUCED_COST_TOL = 1e-7
-DUAL_SIGN_TOL = 1e-9
 PRIMAL_TOL = 1e-9
 SUPPORT_TOL = 1e-9
+TARGET_COLS = ("species", "cp_req", "energy_req", "fiber_min", "fiber_max")
+# Rows a target has on average from which targets are solved once each.
+REPEATS = 3
+# Facets whose worth at a target differs by less count as level there.
+LEVEL_TOL = 1e-6
 # Reference behaviour: proportions kept in the formula are strictly > 0.001.
 KEEP_THRESHOLD = 0.001
 X_DP, COST_DP = 12, 9
-# Steps of each nutrient's price in the grid of directions of the first active set.
-DIRECTIONS = 14
-# Artificial ingredients cost so many times the dearest ingredient.
-ARTIFICIAL_COST = 1e6
-
-
-def has_fiber(catalog: DataFrame) -> bool:
-    return "fiber" in catalog.columns
-
-
-def _catalog_cols(catalog: DataFrame) -> DataFrame:
-    fiber = F.coalesce(F.col("fiber").cast("double"), F.lit(0.0)) if has_fiber(catalog) else F.lit(0.0)
-    return catalog.select(
-        "species",
-        F.col("pos").cast("bigint").alias("pos"),
-        "ingredient",
-        F.col("cp").cast("double").alias("cp"),
-        F.col("energy").cast("double").alias("energy"),
-        fiber.alias("fiber"),
-        F.col("cost").cast("double").alias("cost"),
-    )
 
 
-def _dual_frame(cat: DataFrame, k: int) -> DataFrame:
-    """All bases with ``k`` ingredients for every tight set of size k-1: the
-    inverse of their matrix and the duals.  The k-subset self-join runs once;
-    the tight-set choice is an exploded column and the matrix rows are picked
-    with CASE."""
-    sides = [cat.select(F.col("species").alias("species" if j == 0 else f"_sp{j}"),
-                        *[F.col(c).alias(f"b{j}_{c}") for c in SLOT_FIELDS]) for j in range(k)]
-    df = sides[0]
-    for j in range(1, k):
-        df = df.join(sides[j], (F.col("species") == F.col(f"_sp{j}")) &
-                     (F.col(f"b{j - 1}_pos") < F.col(f"b{j}_pos"))).drop(f"_sp{j}")
-    rr = range(1, k)  # matrix rows beyond the sum-to-one row
-    tcols = [f"_t{r}" for r in rr]
-    slots = [f"b{j}_{c}" for j in range(k) for c in SLOT_FIELDS]
-    # inline() is a barrier: what it yields are plain columns, so that nothing
-    # below is pasted into the expressions above it again and again
-    if k > 1:
-        options = ", ".join("named_struct(" + ", ".join(
-            [f"'_t{r}', '{t[r - 1]}'" for r in rr] + [f"'m{r}_{j}', b{j}_{t[r - 1]}" for r in rr for j in range(k)]) + ")"
-            for t in combinations(ATTRS, k - 1))
-        df = df.selectExpr("species", *slots, f"inline(array({options}))")
-    rows = [["1"] * k] + [[f"m{r}_{j}" for j in range(k)] for r in rr]
-    cof = ", ".join(f"'c{r}_{j}', cast({cofactor(rows, r, j)} AS double)" for r in range(k) for j in range(k))
-    scale = " * ".join(["1.0"] + [f"greatest({', '.join(f'abs(m{r}_{j})' for j in range(k))}, 1e-300)"
-                                   for r in rr])
-    df = df.selectExpr("species", *tcols, *slots, f"{scale} AS _scale", f"inline(array(named_struct({cof})))")
-    # the first row is all ones, so its cofactors add up to the determinant
-    df = df.withColumn("_det", F.expr(" + ".join(f"c0_{j}" for j in range(k)))).where(f"abs(_det) > {DET_REL_TOL} * _scale")
-    # inv[j][r] = C[r][j] / det; duals y_r = sum_j cost_j inv[j][r]
-    inv = ", ".join(f"'i{j}_{r}', c{r}_{j} / _det" for r in range(k) for j in range(k))
-    df = df.selectExpr("species", *tcols, *slots, f"inline(array(named_struct({inv})))")
-    y = [" + ".join(f"b{j}_cost * i{j}_{r}" for j in range(k)) for r in range(k)]
-    out = ["species", f"{k} AS nb"]
-    for t in ATTRS:
-        tight = " OR ".join(f"_t{r} = '{t}'" for r in rr) or "false"
-        value = "CASE " + " ".join(f"WHEN _t{r} = '{t}' THEN {y[r]}" for r in rr) + " ELSE 0.0D END" if k > 1 else "0.0D"
-        out += [f"({tight}) AS tight_{t}", f"{value} AS y_{t}"]
-    out.append(f"{y[0]} AS y0")
-    types = ("BIGINT", "STRING", "DOUBLE", "DOUBLE", "DOUBLE", "DOUBLE")
-    for j in range(MAX_SLOTS):
-        for c, typ in zip(SLOT_FIELDS, types, strict=True):
-            out.append(f"b{j}_{c} AS s{j}_{c}" if j < k else f"CAST(NULL AS {typ}) AS s{j}_{c}")
-        out += [f"i{j}_{r}" if j < k and r < k else f"0.0D AS i{j}_{r}" for r in range(MAX_SLOTS)]
-    out += [f"_t{r}" if r < k else f"CAST(NULL AS STRING) AS _t{r}" for r in range(1, MAX_SLOTS)]
-    return df.selectExpr(*out)
-
-
-def _with_solution(facets: DataFrame) -> DataFrame:
-    """Each slot's share as a linear function of the right-hand side: a
-    constant and a coefficient per attribute, that of the row tight on it."""
-    keep = [c for c in facets.columns if not c.startswith(("i", "_t"))]
-    out = []
-    for j in range(MAX_SLOTS):
-        out.append(f"i{j}_0 AS s{j}_k0")
-        out += ["CASE " + " ".join(f"WHEN _t{r} = '{t}' THEN i{j}_{r}" for r in range(1, MAX_SLOTS)) + f" ELSE 0.0D END AS s{j}_k{t}"
-                for t in ATTRS]
-    return facets.selectExpr(*keep, *out)
-
-
-def _with_achieved(facets: DataFrame) -> DataFrame:
-    """Adds each nutrient a the ration reaches, linear in the right-hand side."""
-    return facets.selectExpr("*", *[
-        " + ".join(f"coalesce(s{j}_{a}, 0.0D) * s{j}_k{t}" for j in range(MAX_SLOTS)) + f" AS {a}_{t}"
-        for a in ATTRS for t in ("0", *ATTRS)])
-
-
-def _priced(facets: DataFrame, cat: DataFrame, prefix: str = "_c_") -> tuple[DataFrame, str]:
-    """(catalog columns under a prefix, condition that an ingredient has a
-    negative reduced cost at a facet)."""
-    rc = cat.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("species", "pos", "cost", *ATTRS)])
-    return rc, (f"species = {prefix}species AND {prefix}cost - (y0 + y_cp * {prefix}cp + y_energy * {prefix}energy"
-                f" + y_fiber * {prefix}fiber) < -{REDUCED_COST_TOL} * (1 + abs({prefix}cost))")
-
-
-def _first_active(cat: DataFrame) -> DataFrame:
-    """(species, pos) of ingredients cheapest in some direction of prices: a
-    hash aggregate of the catalog per direction, whatever its size."""
-    span = cat.groupBy("species").agg(
-        F.max(F.abs("cost")).alias("_kc"), *[F.max(F.abs(a)).alias(f"_k{a}") for a in ATTRS])
-    g = DIRECTIONS
-    way = F.explode(F.sequence(F.lit(-4), F.lit(g * g * g - 1))).alias("w")
-    unit = lambda c, k: F.col(c) / F.greatest(F.col(k), F.lit(1e-300))
-    rows = cat.join(span, "species").select("species", "pos", way, unit("cost", "_kc").alias("c"),
-                                            *[unit(a, f"_k{a}").alias(a) for a in ATTRS])
-    step = lambda e: F.expr(f"0.5D * ({e}) / {g - 1} / (1.0D - 0.9D * ({e}) / {g - 1})")  # noqa: E731  0 .. 5, finer near 0
-    fiber = step(f"abs(2 * (w div {g * g}) - {g - 1})") * F.expr(f"sign(2 * (w div {g * g}) - {g - 1})")
-    inside = F.col("c") - step(f"w % {g}") * F.col("cp") - step(f"w div {g} % {g}") * F.col("energy") - fiber * F.col("fiber")
-    price = (F.when(F.col("w") >= 0, inside).when(F.col("w") == -1, -F.col("cp")).when(F.col("w") == -2, -F.col("energy"))
-             .when(F.col("w") == -3, -F.col("fiber")).otherwise(F.col("fiber")))
-    return (rows.withColumn("p", price).groupBy("species", "w")
-            .agg(F.min(F.struct("p", "pos")).alias("m")).select("species", F.col("m.pos").alias("pos")).distinct())
-
-
-def _artificial(cat: DataFrame) -> DataFrame:
-    """Two ingredients per species, richer than any and dear, at the least and
-    the most fibre: with them any reachable target has a ration."""
-    ends = cat.groupBy("species").agg(
-        F.max("cp").alias("cp"), F.max("energy").alias("energy"), (F.max(F.abs("cost")) + 1).alias("cost"),
-        F.explode(F.array(F.struct(F.lit(-1).alias("pos"), F.min("fiber").alias("fiber")),
-                          F.struct(F.lit(-2).alias("pos"), F.max("fiber").alias("fiber")))).alias("e"))
-    return ends.select("species", F.col("e.pos").cast("bigint").alias("pos"), F.lit(None).cast("string").alias("ingredient"),
-                       "cp", "energy", F.col("e.fiber").alias("fiber"), (F.col("cost") * ARTIFICIAL_COST).alias("cost"))
-
-
-class _ConfScope:
-    """Temporarily override SQL confs while a plan is optimised/executed."""
-
-    def __init__(self, spark, **conf):
-        self.spark, self.conf, self.old = spark, conf, {}
-
-    def __enter__(self):
-        for k, v in self.conf.items():
-            key = k.replace("__", ".")
-            self.old[key] = self.spark.conf.get(key, None)
-            self.spark.conf.set(key, v)
-
-    def __exit__(self, *exc):
-        for k, v in self.old.items():
-            if v is None:
-                self.spark.conf.unset(k)
-            else:
-                self.spark.conf.set(k, v)
-
-
-def active_facets(cat: DataFrame, log: list | None = None) -> DataFrame:
-    """Facets of the whole catalog by pricing rounds over an active set; every
-    round is a written table.  ``log`` receives (active ingredients, facets)
-    of each round."""
-    spark = cat.sparkSession
-    artificial = write_table(_artificial(cat), "artificial")
-    active = write_table(_first_active(cat), "active")
-    while True:
-        here = write_table(cat.join(active, ["species", "pos"]), "active_rows")
-        both = here.unionByName(artificial)
-        duals = None
-        for k in range(1, MAX_SLOTS + 1):
-            part = _dual_frame(both, k)
-            duals = part if duals is None else duals.unionByName(part)
-        duals = duals.where(f"(NOT tight_cp OR y_cp >= -{DUAL_SIGN_TOL}) AND (NOT tight_energy OR y_energy >= -{DUAL_SIGN_TOL})")
-        rc, violated = _priced(duals, here)
-        # the algebra makes wide expression trees over which constraint
-        # propagation is exponential: off for this one plan
-        with _ConfScope(spark, spark__sql__constraintPropagation__enabled="false"):
-            facets = write_table(duals.join(rc, F.expr(violated), "left_anti"), "facets")
-            rc, violated = _priced(facets, cat)
-            found = write_table(facets.join(rc, F.expr(violated)).select(
-                F.col("_c_species").alias("species"), F.col("_c_pos").alias("pos")).distinct(), "priced_in")
-        if log is not None:
-            log.append((active.count(), facets.count()))
-        more = found.join(active, ["species", "pos"], "left_anti")
-        if more.isEmpty():
-            real = " AND ".join(f"coalesce(s{j}_pos, 1) >= 0" for j in range(MAX_SLOTS))
-            return facets.where(real)
-        active = write_table(active.unionByName(more), "active")
-
-
-def prepare_facets(catalog: DataFrame, log: list | None = None) -> DataFrame:
-    """Optimal bases of the parametric LP for every species of ``catalog``.
-
-    ``catalog``: species, pos, ingredient, cp, energy, fiber (nullable; without
-    the column requests are solved with the fibre constraint off, C8), cost;
-    ``(species, ingredient)`` unique (apply :func:`first_per_key` first).
-    Output: one row per species with ``facets``, an array of one struct per
-    facet and fibre side (``fiber_side`` null, 'min' or 'max'), written to the
-    shared folder, so that joins know its size and losing an executor never
-    re-runs the enumeration.
-    """
-    cat = write_table(_catalog_cols(catalog), "catalog")
-    facets = active_facets(cat, log)
-    side = F.when(~F.col("tight_fiber"), F.array(F.lit(None).cast("string"))).otherwise(
-        F.filter(F.array(F.when(F.col("y_fiber") >= -DUAL_SIGN_TOL, F.lit("min")),
-                         F.when(F.col("y_fiber") <= DUAL_SIGN_TOL, F.lit("max"))),
-                 lambda s: s.isNotNull()))
-    facets = _with_achieved(_with_solution(facets.withColumn("fiber_side", F.explode(side))))
-    if not has_fiber(catalog):
-        facets = facets.where("NOT tight_fiber")
-    cols = [c for c in facets.columns if c != "species"]
-    packed = (facets.groupBy("species").agg(F.collect_list(F.struct(*cols)).alias("facets"))
-              .withColumn("with_fiber", F.lit(has_fiber(catalog))))
-    return write_table(packed, "packed_facets")
-
-
-def facets_of_version(catalog: DataFrame, folder: str) -> DataFrame:
-    """:func:`prepare_facets`, kept under ``folder`` by the catalog's content:
-    another content is another version, so a saved catalog is never answered
-    from the facets of an older one (A7)."""
-    spark = catalog.sparkSession
-    cols = [F.col(c) for c in ("species", "pos", "ingredient", "cp", "energy", "fiber", "cost") if c in catalog.columns]
-    r = catalog.agg(F.count("*"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")),
-                    F.bit_xor(F.xxhash64(F.lit(1), *cols))).first()
-    path = f"{folder.rstrip('/')}/facets_{r[0]}_{r[1]}_{r[2]}_{int(has_fiber(catalog))}"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        prepare_facets(catalog).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def _x(j: int, f: str) -> str:
+    """Share of slot j under facet f at the request's right-hand side."""
+    return f"({f}.s{j}_k0 + {f}.s{j}_kcp * cp_req + {f}.s{j}_kenergy * energy_req + {f}.s{j}_kfiber * {_fiber_rhs(f)})"
 
 
-TARGET_COLS = ("species", "cp_req", "energy_req", "fiber_min", "fiber_max")
+def _fiber_rhs(f: str) -> str:
+    return f"(CASE {f}.fiber_side WHEN 'min' THEN _fmin WHEN 'max' THEN _fmax ELSE 0.0D END)"
 
 
-def _x(j: int) -> str:
-    return (f"(f.s{j}_k0 + f.s{j}_kcp * cp_req + f.s{j}_kenergy * energy_req"
-            f" + f.s{j}_kfiber * _frhs)")
+def _reached(a: str, f: str) -> str:
+    return f"({f}.{a}_0 + {f}.{a}_cp * cp_req + {f}.{a}_energy * energy_req + {f}.{a}_fiber * {_fiber_rhs(f)})"
 
 
-def _ach(a: str) -> str:
-    return f"(f.{a}_0 + f.{a}_cp * cp_req + f.{a}_energy * energy_req + f.{a}_fiber * _frhs)"
+def _feasible(f: str) -> str:
+    return " AND ".join(
+        [f"({f}.fiber_side IS NULL OR _fmin IS NOT NULL)"]
+        + [f"{_x(j, f)} >= -{PRIMAL_TOL}" for j in range(MAX_SLOTS)]
+        + [f"{_reached('cp', f)} >= cp_req - {PRIMAL_TOL} * (1 + abs(cp_req))",
+           f"{_reached('energy', f)} >= energy_req - {PRIMAL_TOL} * (1 + abs(energy_req))",
+           f"(_fmin IS NULL OR ({_reached('fiber', f)} >= _fmin - {PRIMAL_TOL} * (1 + abs(_fmin))"
+           f" AND {_reached('fiber', f)} <= _fmax + {PRIMAL_TOL} * (1 + abs(_fmax))))"])
 
 
-_FRHS = "(CASE f.fiber_side WHEN 'min' THEN _fmin WHEN 'max' THEN _fmax ELSE 0.0D END)"
-_FEASIBLE = " AND ".join(
-    ["(f.fiber_side IS NULL OR _fmin IS NOT NULL)"]
-    + [f"{_x(j)} >= -{PRIMAL_TOL}" for j in range(MAX_SLOTS)]
-    + [f"{_ach('cp')} >= cp_req - {PRIMAL_TOL} * (1 + abs(cp_req))",
-       f"{_ach('energy')} >= energy_req - {PRIMAL_TOL} * (1 + abs(energy_req))",
-       f"(_fmin IS NULL OR ({_ach('fiber')} >= _fmin - {PRIMAL_TOL} * (1 + abs(_fmin))"
-       f" AND {_ach('fiber')} <= _fmax + {PRIMAL_TOL} * (1 + abs(_fmax))))"])
-_COST = "(f.y0 + f.y_cp * cp_req + f.y_energy * energy_req + f.y_fiber * _frhs)"
+def _cost(f: str) -> str:
+    return f"({f}.y0 + {f}.y_cp * cp_req + {f}.y_energy * energy_req + {f}.y_fiber * {_fiber_rhs(f)})"
 
 
 def _snap(x: str, nd: int) -> str:
@@ -302,40 +81,83 @@ def _snap(x: str, nd: int) -> str:
     return f"(floor({x} * 1e{nd} + 0.5D) / 1e{nd})"
 
 
-def _rank() -> str:
+def _rank(f: str) -> str:
     """Struct whose least is the optimum: cost, support, proportions, facet."""
     support = "concat_ws(',', " + ", ".join(
-        f"CASE WHEN {_x(j)} > {SUPPORT_TOL} THEN lpad(cast(f.s{j}_pos AS string), 12, '0') END" for j in range(MAX_SLOTS)) + ")"
+        f"CASE WHEN {_x(j, f)} > {SUPPORT_TOL} THEN lpad(cast({f}.s{j}_pos AS string), 12, '0') END" for j in range(MAX_SLOTS)) + ")"
     xvec = "filter(array(" + ", ".join(
-        f"CASE WHEN {_x(j)} > {SUPPORT_TOL} THEN {_snap(_x(j), 6)} END" for j in range(MAX_SLOTS)) + "), v -> v IS NOT NULL)"
-    return f"named_struct('cost6', {_snap(_COST, 6)}, 'support', {support}, 'xvec', {xvec}, 'f', f)"
+        f"CASE WHEN {_x(j, f)} > {SUPPORT_TOL} THEN {_snap(_x(j, f), 6)} END" for j in range(MAX_SLOTS)) + "), v -> v IS NOT NULL)"
+    return f"named_struct('cost6', {_snap(_cost(f), 6)}, 'support', {support}, 'xvec', {xvec}, 'f', {f})"
 
 
-def solve(scenarios: DataFrame, facets: DataFrame) -> DataFrame:
+def solve(scenarios: DataFrame, facets: Facets, repeats: bool | None = None) -> DataFrame:
     """Attach the optimal ration to every scenario row (J1-J3): ``status``
-    ('optimal' / 'infeasible'), ``total_cost`` (raw objective) and ``formula``
+    ('optimal' / 'infeasible'), ``total_cost`` (raw objective), ``formula``
     ARRAY<STRUCT<pos, ingredient, cost, cp, energy, fiber, x>> (all basic
-    variables, before the 0.001 threshold).  Fibre bounds null = constraint
-    off, as it is for a catalog without a fibre column.
-
-    The facets of a species are one row; whether that table is broadcast is
-    left to Spark, which knows the size of its files, so beyond the broadcast
-    threshold the same join is a shuffle join that AQE can split."""
-    s = scenarios.join(facets, "species", "left")
+    variables, before the 0.001 threshold) and, of the rows above it,
+    ``n_ingredients``, ``total_cp`` and ``total_energy``.  Fibre bounds null =
+    constraint off, as it is for a catalog without a fibre column.
+
+    ``repeats``: whether targets repeat so often that each is solved once and
+    joined back (a written table of the distinct targets, broadcast if it is
+    small enough); otherwise every row is solved where it stands, without a
+    shuffle.  None: counted, by one pass over the target columns."""
+    if repeats is None:
+        r = scenarios.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(*TARGET_COLS)).alias("d")).first()
+        repeats = r["n"] >= REPEATS * r["d"]
+    if not repeats:
+        return solve_rows(scenarios, facets)
+    targets = write_table(solve_rows(scenarios.select(*TARGET_COLS).distinct(), facets), "solved_targets")
+    targets = targets.withColumnsRenamed({c: f"_{c}" for c in TARGET_COLS})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TARGET_COLS]
+    return scenarios.join(targets, reduce(lambda a, b: a & b, same), "left").drop(*[f"_{c}" for c in TARGET_COLS])
+
+
+def solve_rows(scenarios: DataFrame, facets: Facets) -> DataFrame:
+    """:func:`solve` of every row where it stands.
+
+    A request looks up the cells it lies in and their facets, and takes the one
+    with the greatest worth at its right-hand side (the dual objective, which
+    the optimum alone attains); only that one is then worked out and tested.
+    Where several are level, all of those are, and the rule for ties decides.
+    Whether the small tables are broadcast is left to Spark, which knows the
+    size of their files; beyond the broadcast threshold the same joins are
+    shuffle joins that AQE can split."""
+    own = scenarios.columns
+    s = scenarios.join(facets.spans, "species", "left")
     s = s.withColumns({"_fmin": F.when(F.coalesce("with_fiber", F.lit(False)), F.col("fiber_min")),
                        "_fmax": F.when(F.coalesce("with_fiber", F.lit(False)), F.col("fiber_max"))})
-    fr = lambda e: e.replace("_frhs", _FRHS)
-    # inline() keeps the search a column: what reads it never runs it again
-    s = s.selectExpr("*", "inline(array(named_struct('_best', "
-                     f"array_min(transform(filter(facets, f -> {fr(_FEASIBLE)}), f -> {fr(_rank())})))))")
-    one = [f"named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, f.s{j}_{c}' for c in SLOT_FIELDS)}, 'x', {_snap(_x(j), X_DP)})"
+    for i, side in enumerate((None, "min", "max")):
+        here = facets.cells.select("species", F.col("cell").alias(f"_cell{i}"), F.col("c").alias(f"_c{i}"))
+        s = s.withColumn(f"_cell{i}", F.expr(cell_of(side))).join(here, ["species", f"_cell{i}"], "left")
+    # inline() keeps what it yields a column: what reads it never works it out again
+    barrier = lambda df, **cols: df.selectExpr("*", "inline(array(named_struct(" + ", ".join(
+        f"'{k}', {v}" for k, v in cols.items()) + ")))")
+    worth = lambda c, rhs: (f"transform({c}, c -> named_struct('v', c.y0 + c.y_cp * cp_req + c.y_energy * energy_req"
+                            f"{f' + c.y_fiber * {rhs}' if rhs else ''}, 'c', c.fid))")
+    s = barrier(s, _worth=f"CASE WHEN _c1 IS NULL AND _c2 IS NULL THEN {worth('_c0', '')} ELSE flatten(filter(array({worth('_c0', '')}, "
+                          f"{worth('_c1', '_fmin')}, {worth('_c2', '_fmax')}), c -> c IS NOT NULL)) END")
+    s = s.drop("_c0", "_c1", "_c2")
+    s = barrier(s, _top="array_max(_worth)")
+    s = barrier(s, _level=f"filter(_worth, w -> w.v >= _top.v - {LEVEL_TOL} * (1 + abs(_top.v)))")
+    s = s.withColumns({"_one": F.when(F.size("_level") == 1, F.col("_top.c")),
+                       "_crowd": F.when(F.size("_level") > 1, F.col("species"))}).drop("_worth")
+    s = s.join(facets.facets.select("species", F.col("fid").alias("_one"), F.col("f").alias("_f")), ["species", "_one"], "left")
+    s = s.join(facets.lists.select(F.col("species").alias("_crowd"), "fs"), "_crowd", "left")
+    ranked = f"transform(filter(transform(_level, w -> fs[w.c].f), g -> {_feasible('g')}), g -> {_rank('g')})"
+    s = barrier(s, _best=f"CASE WHEN _one IS NOT NULL THEN CASE WHEN {_feasible('_f')} THEN _f END "
+                         f"WHEN fs IS NOT NULL THEN array_min({ranked}).f END")
+    one = [f"named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, _best.s{j}_{c}' for c in SLOT_FIELDS)}, 'x', {_snap(_x(j, '_best'), X_DP)})"
            for j in range(MAX_SLOTS)]
-    pick = lambda e: fr(e).replace("f.", "_best.f.")
-    solved = s.select("*", *[c.alias(n) for n, c in {
+    s = barrier(s, formula=f"CASE WHEN _best IS NOT NULL THEN filter(array({', '.join(one)}), s -> s.pos IS NOT NULL) END")
+    kept = F.filter("formula", lambda r: r["x"] > KEEP_THRESHOLD)
+    return s.select(*own, *[c.alias(n) for n, c in {
         "status": F.when(F.col("_best").isNull(), "infeasible").otherwise("optimal"),
-        "total_cost": F.expr(_snap(pick(_COST), COST_DP)),
-        "formula": F.expr(f"CASE WHEN _best IS NOT NULL THEN filter(array({', '.join(pick(o) for o in one)}), s -> s.pos IS NOT NULL) END")}.items()])
-    return solved.drop("facets", "with_fiber", "_fmin", "_fmax", "_best")
+        "total_cost": F.expr(f"CASE WHEN _best IS NOT NULL THEN {_snap(_cost('_best'), COST_DP)} END"),
+        "formula": F.col("formula"),
+        "n_ingredients": F.when(F.col("formula").isNotNull(), F.size(kept)),
+        "total_cp": F.aggregate(kept, F.lit(0.0), lambda acc, r: acc + r["cp"] * r["x"]),
+        "total_energy": F.aggregate(kept, F.lit(0.0), lambda acc, r: acc + r["energy"] * r["x"])}.items()])
 
 
 def with_totals(solved: DataFrame, intake_col: str = "intake_kg",
@@ -344,16 +166,7 @@ def with_totals(solved: DataFrame, intake_col: str = "intake_kg",
     contribution totals and the ingredient count; total cost is the raw
     objective; daily = cost x intake, monthly = daily x 30; the limit only
     raises a flag."""
-    kept = F.filter("formula", lambda s: s["x"] > KEEP_THRESHOLD)
     out = solved.withColumns({
-        "n_ingredients": F.size(kept),
-        "total_cp": F.aggregate(kept, F.lit(0.0), lambda acc, s: acc + s["cp"] * s["x"]),
-        "total_energy": F.aggregate(kept, F.lit(0.0), lambda acc, s: acc + s["energy"] * s["x"]),
-    })
-    out = out.withColumns({
-        "n_ingredients": F.when(F.col("status") == "optimal", F.col("n_ingredients")),
-        "total_cp": F.when(F.col("status") == "optimal", F.col("total_cp")),
-        "total_energy": F.when(F.col("status") == "optimal", F.col("total_energy")),
         "daily_cost": F.col("total_cost") * F.col(intake_col),
         "monthly_cost": F.col("total_cost") * F.col(intake_col) * 30,
         "cp_pct": F.when(F.col("cp_req") > 0, F.col("total_cp") / F.col("cp_req") * 100).otherwise(F.lit(0.0)),

@@ -19,7 +19,7 @@ from ..operators import economics as EC
 from ..operators import guides as G
 from ..operators import history as H
 from ..operators import admission as A
-from ..operators import ration
+from ..operators import facets, ration
 from ..session import new_table, write_table
 from ..sources import reference_tables as R
 from ..sources import testdata as td
@@ -37,11 +37,11 @@ EVENT_LIMITS = [("view", 2, 7 * 86_400), ("click", 2, 7 * 86_400), ("purchase",
                 ("signup", 1, 7 * 86_400)]
 
 
-def facets_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facets of the catalog as it is now: kept in the shared folder under the
-    hash of its content, worked out when that content is new."""
+def facets_for(spark: SparkSession, sf_dir: str) -> facets.Facets:
+    """Facets of the catalog as it is now: kept in the shared folder by the
+    content of each species, worked out when that content is new."""
     from ..session import ensure_checkpoint_dir
-    return ration.facets_of_version(td.catalog(spark, sf_dir), f"{ensure_checkpoint_dir(spark).rstrip('/')}/facets")
+    return facets.of_catalog(td.catalog(spark, sf_dir), f"{ensure_checkpoint_dir(spark).rstrip('/')}/facets")
 
 
 def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:

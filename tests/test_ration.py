@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rationflow.operators import facets as facets_of
 from rationflow.operators import ration
 
 CAT = [  # species, pos, ingredient, cp, energy, fiber, cost
@@ -53,7 +54,7 @@ def brute_force(cat, cp, en, fmin=None, fmax=None):
 
 @pytest.fixture(scope="module")
 def facets(spark):
-    return ration.prepare_facets(spark.createDataFrame(CAT, CAT_SCHEMA))
+    return facets_of.prepare(spark.createDataFrame(CAT, CAT_SCHEMA))
 
 
 TARGETS = [("S", cp, en, fmin, fmax) for cp in (10.0, 14.0, 18.0, 25.0, 45.0, 61.0)
@@ -110,8 +111,9 @@ def test_scenarios_join_back_and_totals(spark, facets):
     assert all(r.proportion > 0.001 for r in rows)
 
 
-def test_requests_are_never_shuffled(spark, facets, tmp_path):
-    """All-distinct targets: the request side has no exchange and no aggregate."""
+def test_requests_with_own_targets_are_not_shuffled(spark, facets, tmp_path):
+    """All-distinct targets are solved where they stand: the request side has
+    no exchange and no aggregate.  Repeated targets are solved once each."""
     path = str(tmp_path / "sc")
     spark.range(2000).selectExpr("id AS scenario_id", "'S' AS species", "10.0D + id / 100 AS cp_req", "2000.0D + id AS energy_req",
                                  "cast(null AS double) AS fiber_min", "cast(null AS double) AS fiber_max").write.parquet(path)
@@ -119,6 +121,12 @@ def test_requests_are_never_shuffled(spark, facets, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Aggregate" not in plan
     assert df.count() == 2000
+    many = spark.read.parquet(path).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    again = ration.solve(many, facets)
+    assert "scenario_id" in again.columns and "cell" not in again._jdf.queryExecution().executedPlan().toString()
+    want = {r.scenario_id: (r.status, r.total_cost) for r in df.collect()}
+    got = again.select("scenario_id", "status", "total_cost").collect()
+    assert len(got) == 10_000 and all((r.status, r.total_cost) == want[r.scenario_id] for r in got)
 
 
 def test_pricing_finds_the_facets_of_a_large_catalog(spark):
@@ -129,7 +137,7 @@ def test_pricing_finds_the_facets_of_a_large_catalog(spark):
              float(round(r.uniform(0, 35), 2)), 0.0) for i in range(400)]
     rows = [(*x[:6], float(round(40 + 6 * x[3] + x[4] / 20 + r.uniform(0, 300), 2))) for x in rows]
     log = []
-    facets = ration.prepare_facets(spark.createDataFrame(rows, CAT_SCHEMA), log)
+    facets = facets_of.prepare(spark.createDataFrame(rows, CAT_SCHEMA), log)
     assert len(log) < 12 and log[-1][0] < 200
     targets = [("S", 20.0, 2600.0, None, None), ("S", 35.0, 3100.0, 5.0, 9.0), ("S", 50.0, 3600.0, None, None),
                ("S", 12.0, 1900.0, 20.0, 24.0)]
@@ -149,7 +157,7 @@ def test_catalog_without_fibre_solves_as_fibre_off(spark):
     cat = spark.createDataFrame(CAT, CAT_SCHEMA).drop("fiber")
     t = spark.createDataFrame([("S", 18.0, 2900.0, 5.0, 9.0), ("S", 18.0, 2900.0, None, None)],
                               "species string, cp_req double, energy_req double, fiber_min double, fiber_max double")
-    a, b = ration.solve(t, ration.prepare_facets(cat)).collect()
+    a, b = ration.solve(t, facets_of.prepare(cat)).collect()
     assert a.status == b.status == "optimal" and a.total_cost == b.total_cost
 
 
@@ -158,8 +166,136 @@ def test_facets_follow_the_catalog(spark, tmp_path):
     folder = str(tmp_path / "facets")
     t = spark.createDataFrame([("S", 18.0, 2900.0, None, None)],
                               "species string, cp_req double, energy_req double, fiber_min double, fiber_max double")
-    cost = lambda cat: ration.solve(t, ration.facets_of_version(cat, folder)).first().total_cost
+    cost = lambda cat: ration.solve(t, facets_of.of_catalog(cat, folder)).first().total_cost
     old = spark.createDataFrame(CAT, CAT_SCHEMA)
     new = old.withColumn("cost", F.col("cost") * 2)
     first = cost(old)
     assert abs(cost(new) - 2 * first) < 1e-6 and cost(old) == first
+
+
+def _all_facets(cat, cp, en, lo, hi, f):
+    """Every facet tried, as ``solve`` did before there were cells."""
+    best = None
+    for g in f:
+        rhs = {"min": lo, "max": hi, None: 0.0}[g["fiber_side"]]
+        if rhs is None:
+            continue
+        x = [g[f"s{j}_k0"] + g[f"s{j}_kcp"] * cp + g[f"s{j}_kenergy"] * en + g[f"s{j}_kfiber"] * rhs for j in range(4)]
+        got = {a: sum((g[f"s{j}_{a}"] or 0.0) * x[j] for j in range(4)) for a in ("cp", "energy", "fiber")}
+        if min(x) < -1e-9 or got["cp"] < cp - 1e-9 * (1 + cp) or got["energy"] < en - 1e-9 * (1 + en):
+            continue
+        if lo is not None and not lo - 1e-9 * (1 + lo) <= got["fiber"] <= hi + 1e-9 * (1 + hi):
+            continue
+        cost = g["y0"] + g["y_cp"] * cp + g["y_energy"] * en + g["y_fiber"] * rhs
+        best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_cells_lose_no_facet(spark):
+    """Targets on cell borders, on the catalog's own values, outside all cells
+    and at random: the looked-up ration costs what trying all facets gives."""
+    f = facets_of.prepare(spark.createDataFrame(CAT, CAT_SCHEMA))
+    every = [r["f"].asDict() for r in f.facets.where("species = 'S'").collect()]
+    r = np.random.default_rng(8)
+    lo, w = {"cp": 0.0, "energy": 1800.0, "fiber": 0.0}, {"cp": 60.0, "energy": 7000.0, "fiber": 30.0}
+    edge = lambda a, n: lo[a] + w[a] * r.integers(0, n + 1) / n
+    targets = set()
+    for i in range(1200):
+        kind = i % 4
+        cp = (edge("cp", 48), edge("cp", 20), float(r.choice([c[3] for c in CAT])), r.uniform(-5, 70))[kind]
+        en = (edge("energy", 48), edge("energy", 20), float(r.choice([c[4] for c in CAT])), r.uniform(1000, 9500))[kind]
+        band = (None, None)
+        if i % 3:
+            a = edge("fiber", 20) if i % 2 else r.uniform(-2, 33)
+            band = (float(a), float(a + r.choice([0.0, 1.5, 6.0, -1.0])))
+        targets.add(("S", float(cp), float(en), *band))
+    t = spark.createDataFrame(list(targets), "species string, cp_req double, energy_req double, fiber_min double, fiber_max double")
+    status = set()
+    for row in ration.solve(t, f).collect():
+        want = _all_facets(CAT, row.cp_req, row.energy_req, row.fiber_min, row.fiber_max, every)
+        status.add(row.status)
+        assert (row.status == "infeasible") == (want is None), row
+        assert want is None or abs(row.total_cost - want) < 1e-6 * (1 + abs(want)), row
+    assert status == {"optimal", "infeasible"}
+
+
+def _enumerated(rows):
+    """Every dual-feasible basis by trying all of them: (positions, tight rows)."""
+    found = set()
+    a = {"cp": 3, "energy": 4, "fiber": 5}
+    cost = np.array([r[6] for r in rows])
+    for k in range(1, 5):
+        for tight in itertools.combinations(a, k - 1):
+            for b in itertools.combinations(range(len(rows)), k):
+                m = np.array([[1.0] * k] + [[rows[i][a[t]] for i in b] for t in tight])
+                scale = np.prod([np.abs(x).max() or 1e-300 for x in m])
+                if abs(np.linalg.det(m)) <= 1e-10 * scale:
+                    continue
+                y = np.linalg.solve(m.T, cost[list(b)])
+                price = dict(zip(tight, y[1:], strict=True))
+                if price.get("cp", 0) < -1e-9 or price.get("energy", 0) < -1e-9:
+                    continue
+                rc = cost - y[0] - sum(price[t] * np.array([r[a[t]] for r in rows]) for t in tight)
+                if (rc >= -1e-7 * (1 + np.abs(cost))).all():
+                    found.add((tuple(sorted(rows[i][1] for i in b)), tight))
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_the_walk_finds_what_enumeration_finds(spark, seed):
+    """Generic catalogs, and one of small whole numbers with repeated rows,
+    where many ingredients meet in one corner."""
+    r = np.random.default_rng(seed)
+    if seed < 3:
+        rows = [("S", i + 1, f"i{i}", float(r.uniform(2, 60)), float(r.uniform(1500, 4000)), float(r.uniform(0, 35)), float(r.uniform(40, 900)))
+                for i in range(18)]
+    else:
+        rows = [("S", i + 1, f"i{i}", float(r.integers(0, 4) * 10), float(r.integers(1, 4) * 1000), float(r.integers(0, 3) * 5),
+                 float(r.integers(1, 5) * 100)) for i in range(14)]
+        rows += [("S", 20, "twin", *rows[3][3:]), ("S", 21, "same fibre", 10.0, 1000.0, 5.0, 100.0)]
+    log = []
+    got = facets_of.active_facets(facets_of.catalog_rows(spark.createDataFrame(rows, CAT_SCHEMA)), log).collect()
+    have = {(tuple(sorted(x[f"s{j}_pos"] for j in range(x.nb))), tuple(a for a in ("cp", "energy", "fiber") if x[f"tight_{a}"])) for x in got}
+    want = _enumerated(rows)
+    assert have <= want and len(got) == len(have)
+    if seed < 3:
+        assert have == want
+    else:  # rows that no walk makes active are level with active ones: equal costs
+        active = {p for ps, _ in have for p in ps}
+        assert {w for w in want if set(w[0]) <= active} == have
+
+
+def test_two_thousand_ingredients(spark):
+    """Few ingredients matter, few rounds find them, and no ingredient undercuts
+    a facet."""
+    r = np.random.default_rng(5)
+    rows = [("S", i + 1, f"i{i}", float(r.uniform(2, 60)), float(r.uniform(1500, 4000)), float(r.uniform(0, 35)), 0.0) for i in range(2000)]
+    rows = [(*x[:6], float(40 + 6 * x[3] + x[4] / 20 + r.uniform(0, 300))) for x in rows]
+    log = []
+    got = facets_of.active_facets(facets_of.catalog_rows(spark.createDataFrame(rows, CAT_SCHEMA)), log).collect()
+    assert len(log) <= 8 and log[-1][0] < 300, log
+    a = np.array([[1.0, x[3], x[4], x[5]] for x in rows])
+    y = np.array([[g.y0, g.y_cp, g.y_energy, g.y_fiber] for g in got])
+    assert (a @ y.T <= np.array([x[6] for x in rows])[:, None] * (1 + 1e-6) + 1e-6).all()
+
+
+def test_facets_of_unchanged_species_are_kept(spark, tmp_path):
+    """After an edit of one species the other's tables are the files they were."""
+    import glob
+    import os
+    folder = str(tmp_path / "f")
+    files = lambda: {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{folder}/batch=*/**/*.parquet", recursive=True)}
+    old = spark.createDataFrame(CAT, CAT_SCHEMA)
+    t = spark.createDataFrame([("S", 18.0, 2900.0, None, None), ("T", 11.0, 2050.0, None, None)],
+                              "species string, cp_req double, energy_req double, fiber_min double, fiber_max double")
+    solve = lambda cat: {r.species: r.total_cost for r in ration.solve(t, facets_of.of_catalog(cat, folder)).collect()}
+    first = solve(old)
+    before = files()
+    edited = solve(old.withColumn("cost", F.expr("CASE WHEN species = 'T' THEN cost * 3 ELSE cost END")))
+    assert edited["S"] == first["S"] and abs(edited["T"] - 3 * first["T"]) < 1e-6
+    new = {p for p in files() if p not in before}
+    assert new and all(files()[p] == m for p, m in before.items())
+    made = spark.read.parquet(*{os.path.dirname(p) for p in new if "/facets/" in p})
+    assert {r.species for r in made.select("species").distinct().collect()} == {"T"}
+    again = files()
+    assert solve(old) == first and files() == again  # the first version is still there
