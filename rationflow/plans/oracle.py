@@ -325,16 +325,15 @@ JOIN det d ON {_T_EQ.format(a='s', b='d')} WHERE s.status = 'optimal')"""
     return {
         "history_last3": p + """
 SELECT user_id, scenario_id, recent_rank, strftime(ts, '%Y-%m-%d %H:%M') AS ts_text,
-       round(total_cost, 4) AS total_cost FROM (
-  SELECT user_id, scenario_id, total_cost, ts,
+       round(total_cost, 4) AS total_cost, animal, age_weeks, weight_kg, cp_req, energy_req FROM (
+  SELECT user_id, scenario_id, total_cost, ts, animal, age_weeks, weight_kg, cp_req, energy_req,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, scenario_id DESC) AS INTEGER) AS recent_rank
   FROM solved WHERE status = 'optimal') WHERE recent_rank <= 3""",
         "report_text": reports + "\nSELECT * FROM reports",
         "report_files": reports + """
-SELECT file_name, regexp_extract(line, '^ *([A-Z0-9][A-Za-z0-9-]*)', 1) AS kind, count(*) AS n
-FROM (SELECT file_name, unnest(string_split(report, chr(10))) AS line FROM reports) WHERE line <> '' GROUP BY ALL""",
+SELECT file_name, scenario_id AS report_id, sha256(report) AS report_sha256 FROM reports""",
         "history_append": p + """
-SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM solved""",
+SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM solved WHERE status = 'optimal'""",
         "formula_csv": p + f"""
 SELECT f.scenario_id, s.species, f.ingredient, round(f.proportion, 6) AS proportion, f.cost_contribution,
        '{Q.REPORT_DATE}' AS run_date FROM frows f JOIN scenarios s ON s.scenario_id = f.scenario_id""",
@@ -396,7 +395,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_admission_queries())
     out["rate_limit_stream"] = out["rate_limit_exact"]
     out["history_stream"] = _ration_prefix() + """
-SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM solved"""
+SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM solved WHERE status = 'optimal'"""
     out["quarantine_ingest"] = V.with_views(V.LISTING) + """
 SELECT ingredient, CASE WHEN pos % 7 = 0 THEN NULL ELSE energy END AS energy, pos % 7 = 0 AS quarantined
 FROM listing"""

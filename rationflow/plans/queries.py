@@ -321,12 +321,14 @@ def q_growth_series(spark, sf_dir):
 
 # ---------------------------------------------------------- history/report
 def q_history_last3(spark, sf_dir):
-    s = _solved(spark, sf_dir).where(F.col("status") == "optimal").select(
-        "user_id", "scenario_id", "ts", "total_cost")
+    """the entries the history list shows, with the animal's age and weight
+    and the targets of the request."""
+    shown = ("animal", "age_weeks", "weight_kg", "cp_req", "energy_req")
+    s = _solved(spark, sf_dir).where(F.col("status") == "optimal").select("user_id", "scenario_id", "ts", "total_cost", *shown)
     r = H.last_n_per_key(s, "user_id", [F.desc("ts"), F.desc("scenario_id")], row_id="scenario_id", n=3)
     return r.select("user_id", "scenario_id", F.col("recent_rank").cast("int").alias("recent_rank"),
                     F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts_text"),
-                    rnd("total_cost", 4).alias("total_cost"))
+                    rnd("total_cost", 4).alias("total_cost"), *shown)
 
 
 def q_report_text(spark, sf_dir):
@@ -553,23 +555,24 @@ def q_formula_csv(spark, sf_dir):
 
 
 def q_report_files(spark, sf_dir):
-    """Report texts as files by file name; their lines counted by kind."""
-    from ..sinks.writers import write_reports
+    """Report texts as files by file name, read back one by one."""
+    from ..sinks.writers import read_reports, write_reports
     path = new_table(spark, "reports")
     write_reports(q_report_text(spark, sf_dir), path)
-    lines = spark.read.text(path).where("value != ''")
-    return (lines.withColumn("kind", F.regexp_extract("value", r"^ *([A-Z0-9][A-Za-z0-9-]*)", 1))
-            .groupBy("file_name", "kind").agg(F.count("*").alias("n")))
+    return read_reports(spark, path).select("file_name", "report_id", F.sha2(F.col("report").cast("binary"), 256).alias("report_sha256"))
 
 
 def q_history_append(spark, sf_dir):
-    """Two appends of formulation records; the table holds both."""
+    """Two runs append their formulation records, one of them twice; the
+    table holds the successes of both, once."""
+    from ..sinks import commits
     from ..sinks.writers import append_history
     path = new_table(spark, "records")
-    s = _solved(spark, sf_dir).select("scenario_id", "user_id", "status", rnd("total_cost", 4).alias("total_cost"))
-    append_history(s.where("status = 'optimal'"), path)
-    append_history(s.where("status = 'infeasible'"), path)
-    return spark.read.schema(s.schema).parquet(path)
+    s = write_table(_solved(spark, sf_dir).select("scenario_id", "user_id", "status", rnd("total_cost", 4).alias("total_cost")), "solved")
+    even, odd = s.where("scenario_id % 2 = 0"), s.where("scenario_id % 2 <> 0")
+    for run, rows in (("even", even), ("odd", odd), ("even", even)):
+        append_history(rows, path, run)
+    return commits.read(spark, path, s.schema)
 
 
 def q_catalog_save(spark, sf_dir):

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -107,6 +108,25 @@ def rename_path(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file that must not exist yet: True for the one caller
+    that makes it, however many try."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    jvm = spark.sparkContext._jvm
+    try:
+        if fs.getUri().getScheme() == "file":
+            none = spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0)
+            jvm.java.nio.file.Files.createFile(jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.String, 0)), none)
+        else:
+            fs.create(p, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getSimpleName():
+            return False
+        raise
+    return True
+
+
 def release_tables(spark: SparkSession) -> None:
     """Delete the tables this process has written through `new_table`; call it
     when no result that reads them is needed any more."""

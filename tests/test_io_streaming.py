@@ -70,10 +70,61 @@ def test_stream_equals_batch_admission(spark):
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_history_stream_appends_all(spark):
+def test_history_stream_records_successes_once(spark):
+    """Two streams into one table keep both, a stream that is started again
+    goes on where it was, a replayed or unfinished epoch adds nothing, and only
+    requests with a ration are recorded."""
+    from pyspark.sql import functions as F
+
     from rationflow.plans import queries as Q
-    h = Q.q_history_stream(spark, SF_SMALL)
-    assert h.count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+    from rationflow.sinks import commits
+    from rationflow.sources import testdata as td
+    from rationflow.streaming.admission import stream_table
+    from rationflow.streaming.history import history_stream
+    d, table = _tmp(), _tmp()
+    facets = Q.facets_for(spark, SF_SMALL)
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    want = Q._solved(spark, SF_SMALL).select("scenario_id", "status")
+    good = {r.scenario_id for r in want.collect() if r.status == "optimal"}
+    assert 0 < len(good) < want.count()
+    half = lambda k: orders.where(f"o_orderkey % 2 = {k}")
+    for k in (0, 1):
+        half(k).write.parquet(f"{d}/orders{k}.parquet")
+
+    def run(k: int, name: str):
+        source = td.scenarios(spark, SF_SMALL, orders=stream_table(spark, f"{d}/orders{k}.parquet", orders.schema))
+        return history_stream(spark, source, facets, table, name=name)[0]
+
+    ids = lambda df: sorted(r.scenario_id for r in df.select("scenario_id").collect())
+    assert ids(run(0, "a")) == sorted(i for i in good if i % 2 == 0)
+    both = run(1, "b")
+    assert ids(both) == sorted(good)
+    assert ids(run(0, "a")) == sorted(good)  # nothing new in its source
+    half(0).limit(40).write.mode("append").parquet(f"{d}/orders0.parquet")
+    more = run(0, "a")
+    assert more.count() == len(good) + sum(r.o_orderkey in good for r in half(0).limit(40).select("o_orderkey").collect())
+    # a replay of a committed epoch, and a part without a line in the log
+    n, line = more.count(), commits.log(spark, table).first()
+    assert not commits.append(both.limit(5), table, line.writer, line.epoch)
+    both.limit(5).write.parquet(f"{table}/data/part=unfinished")
+    assert run(1, "b").count() == n
+    # two attempts at one epoch that both reached the log: one of them counts
+    spark.createDataFrame([(line.writer, line.epoch, "zz", 5)], commits.LOG_SCHEMA).write.mode("append").parquet(f"{table}/log")
+    both.limit(5).write.parquet(f"{table}/data/part=zz")
+    assert run(1, "b").count() == n and set(more.select("status").distinct().toPandas()["status"]) == {"optimal"}
+    assert more.where(F.col("age_weeks").isNull()).count() == 0
+
+
+def test_saves_side_by_side_make_versions_of_their_own(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    path = _tmp() + "/catalog"
+    shape = "species string, pos long, ingredient string, cp double, energy double, fiber double, cost double"
+    cats = [spark.createDataFrame([("S", 1, f"saver {i}", 1.0, 1.0, 1.0, 1.0)] * (i + 1), shape) for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda c: W.save_catalog(c, path), cats)) == [1, 2, 3, 4]
+    assert W.last_version(spark, path) == 4
+    found = {r.ingredient for v in range(1, 5) for r in W.read_catalog(spark, path, v).collect()}
+    assert found == {f"saver {i}" for i in range(4)}
 
 
 def test_stream_over_a_folder_with_interleaved_files(spark):
@@ -98,7 +149,7 @@ def test_history_stream_over_a_folder(spark):
     d = _tmp()
     for t in ("orders", "part"):
         spark.read.parquet(f"{SF_SMALL}/{t}.parquet").repartition(3).write.parquet(f"{d}/{t}.parquet")
-    assert Q.q_history_stream(spark, d).count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+    assert Q.q_history_stream(spark, d).count() == Q._solved(spark, SF_SMALL).where("status = 'optimal'").count()
 
 
 def test_stream_state_carries_across_batches_and_orders_rows(spark):
@@ -155,9 +206,13 @@ def test_formula_report_history_writers(spark):
     assert {"species", "run_date"} <= set(back.columns) and back.count() == rows.count()
     reports = Q.q_report_text(spark, SF_SMALL)
     W.write_reports(reports, os.path.join(out, "rep"))
-    texts = spark.read.text(os.path.join(out, "rep"))
-    assert texts.where("value LIKE 'Report Generated%'").count() == reports.count() == s.where("status = 'optimal'").count()
-    assert {r.file_name for r in texts.select("file_name").distinct().collect()} == {r.file_name for r in reports.select("file_name").distinct().collect()}
-    W.append_history(s.select("scenario_id", "user_id", "total_cost"), os.path.join(out, "hist"))
-    W.append_history(s.select("scenario_id", "user_id", "total_cost"), os.path.join(out, "hist"))
-    assert spark.read.parquet(os.path.join(out, "hist")).count() == 2 * s.count()
+    texts = W.read_reports(spark, os.path.join(out, "rep"))
+    key = lambda df, c: sorted((r[c], r["file_name"], r["report"]) for r in df.collect())
+    assert key(texts, "report_id") == key(reports, "scenario_id")
+    assert reports.count() == s.where("status = 'optimal'").count()
+    hist, cols = os.path.join(out, "hist"), ["scenario_id", "user_id", "status", "total_cost"]
+    assert W.append_history(s.select(*cols), hist, "monday")
+    assert not W.append_history(s.select(*cols), hist, "monday")
+    assert W.append_history(s.select(*cols), hist, "tuesday")
+    from rationflow.sinks import commits
+    assert commits.read(spark, hist, s.select(*cols).schema).count() == 2 * reports.count()
