@@ -332,6 +332,13 @@ SELECT user_id, scenario_id, recent_rank, strftime(ts, '%Y-%m-%d %H:%M') AS ts_t
         "report_text": reports + "\nSELECT * FROM reports",
         "report_files": reports + """
 SELECT file_name, scenario_id AS report_id, sha256(report) AS report_sha256 FROM reports""",
+        "session_report": p + """,
+asked AS (SELECT scenario_id AS report_id, user_id, ts + to_days(CAST(scenario_id * 7 % 2000 AS INTEGER)) AS ts FROM scenarios),
+f AS (SELECT user_id, ts, max(scenario_id) AS scenario_id, arg_max(total_cost, scenario_id) AS total_cost
+      FROM solved WHERE status = 'optimal' GROUP BY user_id, ts),
+g AS (SELECT user_id, ts, max(scenario_id) AS scenario_id FROM scenarios WHERE scenario_id % 5 <> 0 GROUP BY user_id, ts)
+SELECT a.report_id, a.user_id, f.scenario_id AS formula_id, round(f.total_cost, 4) AS total_cost, g.scenario_id AS prediction_id
+FROM asked a ASOF LEFT JOIN f ON a.user_id = f.user_id AND a.ts >= f.ts ASOF LEFT JOIN g ON a.user_id = g.user_id AND a.ts >= g.ts""",
         "history_append": p + """
 SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM solved WHERE status = 'optimal'""",
         "formula_csv": p + f"""
@@ -453,8 +460,6 @@ SELECT animal AS animal_type, CAST(breed_no AS VARCHAR) AS breed, CAST(age_weeks
        weight_kg AS body_weight_kg, cp_req AS cp_requirement_pct, energy_req AS energy_requirement_kcal,
        intake_kg AS feed_intake_kg, diet_cp AS ingredient_cp_pct, diet_energy AS ingredient_energy,
        gain_g AS expected_daily_gain_g FROM trials""",
-        "gain_forest": _SCEN + """
-SELECT scenario_id, TRUE AS within_trials, TRUE AS explains_held_out FROM scenarios""",
         "breed_options": _SCEN + f"""
 SELECT animal, {SF.lit(R.NO_BREED)} || '|' || string_agg(breed, '|' ORDER BY pos) AS breed_options
 FROM (SELECT DISTINCT s.animal, b.pos, b.breed FROM (SELECT DISTINCT animal FROM scenarios) s

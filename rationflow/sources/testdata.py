@@ -125,6 +125,14 @@ def scenarios(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None)
     )
 
 
+def report_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(report_id, user_id, ts): every request asks for a report up to 1,999
+    days later, when its session may have gone on."""
+    s = scenarios(spark, sf_dir)
+    return s.select(F.col("scenario_id").alias("report_id"), "user_id",
+                    (F.col("ts") + F.make_dt_interval((F.col("scenario_id") * 7 % 2000).cast("int"))).alias("ts"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scenario_id, predicted_gain_g): the stored predictions of the requests
     that asked for one, four in five; a stand-in with a value an oracle can

@@ -19,7 +19,8 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert not [n for n in set(q) - set(o) if n != "pipeline" and not n.startswith("op")]
+    fitted = {"gain_forest", "session_economics"}  # values of the forest: tests/test_growth.py
+    assert not [n for n in set(q) - set(o) if n != "pipeline" and not n.startswith("op") and n not in fitted]
 
 
 def _val(v):
