@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import WORD_CACHE, WordHashes, bounded_batches, flat_hashes, mix, raw_text, window_hashes, words_of
+from .util import WORD_CACHE, WordHashes, bounded_batches, flat_hashes, fresh, mix, raw_text, window_hashes, words_of
 
 ENDS = b".,;:!?\"'()[]{}"
 FILTER_BITS = 22
@@ -200,5 +200,6 @@ def _block_hits(docs, items, n, least, text, key, schema) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """``docs`` without those whose text is a hit."""
-    bad = benchmark_hits(docs, benchmark, text=text, key=key, **how).select(F.col("txt").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(F.col(text)) == F.col("_bad"), "left_anti")
+    (bad,) = fresh(docs, "bad")
+    hit = benchmark_hits(docs, benchmark, text=text, key=key, **how).select(F.col("txt").alias(bad)).distinct()
+    return docs.join(hit, F.xxhash64(F.col(text)) == F.col(bad), "left_anti")

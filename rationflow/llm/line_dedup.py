@@ -6,8 +6,7 @@ of each class the first occurrence by (doc_id, text checksum, line number)
 stays.  Equal lines are one line whatever their length; of lines too short for
 ``tau`` edits to be a small part, a tenth of the shorter line may be edited
 (``edits``), under ten code points none.  ``min_chars`` is the caller's option
-never to remove shorter lines; the registered query leaves it off with 1, which
-spares only lines without a word.
+never to remove shorter lines; it is 1, which spares only lines without a word.
 
 Equal lines are one line from the start.  Each distinct line of length l is cut
 into tau + 1 segments, so a line within tau edits holds at least one of them
@@ -36,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import bounded_batches, in_bitmap, key_bitmap, raw_text, shuffle_partitions, written
+from .util import bounded_batches, fresh, in_bitmap, key_bitmap, named, raw_text, shuffle_partitions, written
 
-TAU, MIN_CHARS = 2, 32
+TAU, MIN_CHARS = 2, 1
 #: One line in SAMPLE is counted for common_segments.  A segment is common with
 #: PART_LINES entries and a COMMON-th of all; each part gets about PART_LINES.
 SAMPLE, COMMON, PART_LINES, MOST_PARTS = 64, 4096, 20_000, 256
@@ -344,12 +343,14 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, tex
     """``docs`` without the repeated lines; a document all of whose words went
     with them is dropped, one that had none before stays."""
     _, removed = removed_lines(docs, tau, min_chars, text, key)
+    h1, h2, cut = fresh(docs, "d1", "d2", "cut")
     d1, d2 = _doc_key(text, key)
-    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1),
-                                 lambda x, i: ~F.array_contains(F.col("_gone.removed"), i.cast("long"))), "\n")
-    new = F.when(F.col("_gone.removed").isNull(), F.col(text)).otherwise(left)
-    joined = (docs.withColumn("_d1", d1).withColumn("_d2", d2).alias("_docs")
-              .join(removed.alias("_gone"), (F.col("_d1") == F.col("_gone.d1")) & (F.col("_d2") == F.col("_gone.d2")), "left"))
-    out = joined.select(*[new.alias(c) if c == text else F.col(f"_docs.{c}").alias(c) for c in docs.columns],
-                        F.col("_gone.removed").isNotNull().alias("_cut"))
-    return out.where(~F.col("_cut") | F.rlike(F.col(text), F.lit(r"[^\x20\x09-\x0D]"))).drop("_cut")
+    gone = removed.select(F.col("d1").alias("gone_1"), F.col("d2").alias("gone_2"), F.col("removed").alias("gone"))
+    gone = gone.withColumnsRenamed(dict(zip(gone.columns, names := fresh(docs, *gone.columns), strict=True)))
+    g1, g2, lines = (F.col(c) for c in names)
+    number = F.map_from_entries(F.transform(lines, lambda x: F.struct(x, F.lit(True))))  # one look-up a line
+    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: F.element_at(number, i.cast("long")).isNull()), "\n")
+    joined = docs.withColumn(h1, d1).withColumn(h2, d2).join(gone, (F.col(h1) == g1) & (F.col(h2) == g2), "left")
+    out = joined.select(*[F.when(lines.isNull(), F.col(text)).otherwise(left).alias(c) if c == text else named(c) for c in docs.columns],
+                        lines.isNotNull().alias(cut))
+    return out.where(~F.col(cut) | F.rlike(F.col(text), F.lit(r"[^\x20\x09-\x0D]"))).drop(cut)

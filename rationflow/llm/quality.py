@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .util import WordHashes, bounded_batches, flat_hashes, raw_text, window_hashes, words_of
+from .util import WordHashes, bounded_batches, flat_hashes, fresh, named, raw_text, window_hashes, words_of
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 INNER_BYTES = bytes(range(0x80, 0xC0))  # bytes of a code point after its first
@@ -176,11 +176,12 @@ def clean(docs: DataFrame, min_docs: int = 20, share: float = 0.002, least_words
     above the limit.  Verdict and lines depend on text and host alone, so these
     two are the key they are joined on."""
     judged = _judged(docs, min_docs, share, least_words, least_part, host, text, key)
+    txt, own, kept, flagged = fresh(docs, "txt", "host", "kept", "flagged")
     change = (judged.where(~F.col("kept") | (F.size("flagged") > 0))
-              .select(F.col("txt").alias("_txt"), F.col("host").alias("_host"), F.col("kept").alias("_kept"),
-                      F.col("flagged").alias("_flagged")).distinct())
-    joined = docs.join(change, (F.xxhash64(F.col(text)) == F.col("_txt")) & (F.xxhash64(F.col(host)) == F.col("_host")), "left")
-    cut = F.col("_kept").isNotNull()
-    left = _without(F.when(cut, F.col(text).cast("binary")), F.col("_flagged")).cast("string")
-    return (bounded_batches(joined.where(F.coalesce("_kept", F.lit(True))))
-            .select(*[F.when(cut, left).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns]))
+              .select(F.col("txt").alias(txt), F.col("host").alias(own), F.col("kept").alias(kept),
+                      F.col("flagged").alias(flagged)).distinct())
+    joined = docs.join(change, (F.xxhash64(F.col(text)) == F.col(txt)) & (F.xxhash64(F.col(host)) == F.col(own)), "left")
+    cut = F.col(kept).isNotNull()
+    left = _without(F.when(cut, F.col(text).cast("binary")), F.col(flagged)).cast("string")
+    return (bounded_batches(joined.where(F.coalesce(F.col(kept), F.lit(True))))
+            .select(*[F.when(cut, left).otherwise(F.col(c)).alias(c) if c == text else named(c) for c in docs.columns]))

@@ -22,10 +22,13 @@ further columns of the input are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import path_exists
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -128,3 +131,16 @@ def secret_scan(versions: DataFrame, rules=RULES, ledger: DataFrame | None = Non
     if ledger is not None:
         found = found.unionByName(ledger.where(F.col("rule").isin([r.name for r in rules])).select(*found.columns))
     return scan_paths(versions, found, text, key)
+
+
+def scan_loads(loads: list[DataFrame], path: str, rules=RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """All spans of all paths of several loads, one after the other: each adds
+    to the ledger at ``path`` what no load before it (nor an earlier run) has
+    scanned, and the findings of all come from the ledger."""
+    spark = loads[0].sparkSession
+    ledger = lambda: spark.read.parquet(path).dropDuplicates(["blob", "rule"])  # noqa: E731  as a load may run twice
+    for load in loads:
+        known = ledger().select("blob", "rule") if path_exists(spark, f"{path}/_SUCCESS") else None
+        append_ledger(scan_blobs(load, rules, known, text), path)
+    found = ledger().where(F.col("rule").isin([r.name for r in rules]))
+    return reduce(DataFrame.unionByName, [scan_paths(load, found, text, key) for load in loads])

@@ -8,9 +8,8 @@ unless a shorter rule says the same with no less confidence.  Matching uses an
 inverted index: each rule hangs under its rarest token, a URL looks up its own
 tokens, and only rules found this way have their other tokens compared.
 
-FP-growth's frequent tokens and the rules are bounded by the support (tokens:
-at most basket size / support) and, for rules, by ``max_len``; both are
-parameters, no row is left out.
+FP-growth's frequent token sets, and with them the rules, are bounded by the
+support; rules of any length are kept, and no row is left out.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no
 rule and the default verdict; no labelled rows: the default verdict; repeated
@@ -49,9 +48,9 @@ def fit_list(urls: DataFrame, rules=LIST) -> DataFrame:
 
 
 def tokens():
-    """Distinct tokens of a URL: every suffix of the host, every host label,
-    path segments and the names of query parameters are worth a token each;
-    digits fold to one sign so that numbers of one form are one token."""
+    """Distinct tokens of a URL: every host label, the last two labels together
+    and every path segment are worth a token each; numbers in a segment fold to
+    one sign, so that those of one form are one token."""
     labels = F.filter(F.split("host", r"\."), lambda x: x != "")
     last = F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2))
     segs = F.filter(F.split(F.regexp_replace("path", "[0-9]+", "0"), "/"), lambda x: x != "")
@@ -61,7 +60,7 @@ def tokens():
         F.transform(segs, lambda x: F.concat(F.lit("p:"), x))))
 
 
-def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0.9, max_len: int = 3) -> DataFrame:
+def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0.9) -> DataFrame:
     """labelled: (items array<string>, label string).  Returns rules (rule_id,
     items, label, confidence, support), redundant ones left out."""
     spark = labelled.sparkSession
@@ -72,7 +71,7 @@ def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0
     baskets = labelled.select(F.concat(F.col("items"), F.array(F.concat(F.lit("label="), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     is_label = lambda x: x.startswith("label=")
-    sets = model.freqItemsets.where(F.size("items") <= max_len + 1)
+    sets = model.freqItemsets
     with_label = (sets.where(F.exists("items", is_label) & (F.size("items") > 1))
                   .select(F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("items"),
                           F.expr("substr(filter(items, x -> startswith(x, 'label='))[0], 7)").alias("label"),
@@ -119,9 +118,10 @@ def url_filter(pages: DataFrame, rules=LIST, labels: DataFrame | None = None, de
         train = train.unionByName(split_url(labels.select(F.col(url).alias("url"), "label"))
                                   .withColumn("items", tokens()).select("items", "label"))
     mined = mine_rules(train.where("size(items) > 0 and label is not null"), support, confidence)
-    open_ = judged.where("list_verdict is null").select("items").distinct().withColumn("_row", F.xxhash64("items"))
-    best = match_rules(open_, mined).select("_row", F.col("label").alias("_label"), "rule_id")
-    return (judged.withColumn("_row", F.when(F.col("list_verdict").isNull(), F.xxhash64("items")))
-            .join(best, "_row", "left")
-            .select("page_id", "host", "path", "rule",
-                    F.coalesce("list_verdict", "_label", F.lit(default)).alias("verdict"), "rule_id"))
+    # rows the list decides take no part in the join
+    basket = F.sha1(F.array_join("items", "\0").cast("binary"))
+    open_ = judged.where("list_verdict is null").withColumn("_row", basket)
+    best = match_rules(open_.select("items", "_row").distinct(), mined).select("_row", F.col("label").alias("_label"), "rule_id")
+    out = lambda df, *verdicts: df.select("page_id", "host", "path", "rule", F.coalesce(*verdicts).alias("verdict"), "rule_id")
+    return out(judged.where("list_verdict is not null").withColumn("rule_id", F.lit(None).cast("long")), F.col("list_verdict")).unionByName(
+        out(open_.join(best, "_row", "left"), F.col("_label"), F.lit(default)))

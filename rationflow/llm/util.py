@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import chain
 
 import numpy as np
@@ -10,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import new_table
 
 #: ASCII white space, the word separator of every operator here; the Java and
 #: RE2 spellings of "a word" follow.
@@ -47,7 +46,7 @@ def written(df: DataFrame) -> DataFrame:
     it back: later steps start from the files, so a lost executor never costs
     the work above them, and only the columns they use are read."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = new_table(spark, "llm")
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

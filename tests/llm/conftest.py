@@ -39,7 +39,8 @@ def rows():
 
 
 #: Names the operators use inside, as further columns of the input.
-CLASH = ["uid", "pretoken", "n", "kind", "key", "line", "host", "sid", "component_id", "shard", "blob", "ids", "size", "lid"]
+CLASH = ["uid", "pretoken", "n", "kind", "key", "line", "host", "sid", "component_id", "shard", "blob", "ids", "size", "lid",
+         "_host", "_txt", "_kept", "_flagged", "_bad", "_cut", "_d1", "_d2", "_id", "txt", "kept", "flagged", "bad", "cut", "d1", "d2", "gone", "k", "t", "part"]
 
 
 @pytest.fixture(scope="session")

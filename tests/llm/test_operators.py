@@ -65,6 +65,19 @@ def test_secret_scan_ledger(spark, repeated, none, tmp_path):
     assert secret_scan.secret_scan(repeated).count() == repeated.count()
 
 
+def test_loads_share_a_ledger(spark, docs, rows, tmp_path):
+    """Each pair is scanned in the first load that has it, and a run that is
+    done again scans nothing."""
+    path, half = str(tmp_path / "ledger"), F.col("doc_id") % 2 == 0
+    loads = [docs.where(half), docs.where(~half)]
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = key(secret_scan.secret_scan(docs))
+    assert key(secret_scan.scan_loads(loads, path)) == want
+    pairs = len({t or "" for _, t, *_ in rows}) * len(secret_scan.RULES)
+    assert spark.read.parquet(path).count() == pairs
+    assert key(secret_scan.scan_loads(loads, path)) == want and spark.read.parquet(path).count() == pairs
+
+
 @pytest.mark.parametrize("order,head", [(5, ppm.HEAD), (3, 64)])
 def test_ppm(docs, rows, order, head):
     train = [(k, t) for k, t, *_ in rows if brute.crc(k) % 7 != 2]
@@ -192,11 +205,11 @@ def test_sharding_edges(repeated, none):
 def test_line_dedup(docs, rows, tau):
     quick = lambda a, b: bool(line_dedup.within([(a, b)], tau)[0])
     want = brute.removed_lines(sorted((k, t) for k, t, *_ in rows if t), tau, 32, quick)
-    got = by_id(line_dedup.line_report(docs, tau), "n_removed", "removed_lines")
+    got = by_id(line_dedup.line_report(docs, tau, 32), "n_removed", "removed_lines")
     for k, *_ in rows:
         assert got[k] == (len(want[k]), ",".join(map(str, want[k]))), k
     assert sum(len(want[400 + i]) > 0 for i in range(30)) == 29
-    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, tau).select("doc_id", "text").collect()}
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, tau, 32).select("doc_id", "text").collect()}
     for k, t, *_ in rows:
         left = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[k])
         assert texts.get(k) == left or (k not in texts and not left.split()), k

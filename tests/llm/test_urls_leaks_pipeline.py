@@ -43,19 +43,19 @@ def test_url_lists(spark):
     assert all(got[i]["verdict"] == "allow" for i in range(4))
 
 
-def _mined(baskets, support, confidence, max_len):
+def _mined(baskets, support, confidence):
     """Rules by counting every subset."""
     from collections import Counter
     from itertools import combinations
     alone, both = Counter(), Counter()
     for items, label in baskets:
-        for n in range(1, max_len + 2):
+        for n in range(1, len(items) + 1):
             for c in combinations(sorted(items), n):
                 alone[c] += 1
                 both[c, label] += 1
     least = support * len(baskets)
     rules = {(c, lab): (n / alone[c], n / len(baskets)) for (c, lab), n in both.items()
-             if n >= least and n / alone[c] >= confidence and len(c) <= max_len}
+             if n >= least and n / alone[c] >= confidence}
     return {k: v for k, v in rules.items() if not any(
         o != k and o[1] == k[1] and set(o[0]) < set(k[0]) and w[0] >= v[0] for o, w in rules.items())}
 
@@ -68,9 +68,9 @@ def test_association_rules(spark):
         label = "block" if "t1" in items and r.random() < 0.95 or {"t2", "t3"} <= items else "allow"
         baskets.append((sorted(items), label))
     df = spark.createDataFrame(baskets, "items array<string>, label string")
-    rules = url_filter.mine_rules(df, 0.03, 0.8, 3)
+    rules = url_filter.mine_rules(df, 0.03, 0.8)
     got = {(tuple(x["items"]), x["label"]): (pytest.approx(x["confidence"]), pytest.approx(x["support"])) for x in rules.collect()}
-    want = _mined(baskets, 0.03, 0.8, 3)
+    want = _mined(baskets, 0.03, 0.8)
     assert got == want and len(want) > 3
     rows = spark.createDataFrame([(i, list(b[0])) for i, b in enumerate(baskets)], "_row long, items array<string>")
     hit = {x["_row"]: x["label"] for x in url_filter.match_rules(rows, rules).collect()}
@@ -186,7 +186,8 @@ def test_pipeline(spark):
     assert now == {k: t for (k, t, _), ok in zip(rows, kept, strict=True) if ok}
     # line dedup
     from rationflow.llm.line_dedup import within
-    gone = brute.removed_lines(sorted(now.items()), 2, 32, lambda a, b: bool(within([(a, b)], 2)[0]))
+    gone = brute.removed_lines(
+        sorted(now.items()), 2, 1, lambda a, b: (e := min(2, min(len(a), len(b)) // 10)) > 0 and bool(within([(a, b)], e)[0]))
     left = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in now.items()}
     now = {r["doc_id"]: r["text"] for r in state["line dedup"].collect()}
     assert now == {k: t for k, t in left.items() if brute.words(t)}
@@ -211,6 +212,66 @@ def test_pipeline(spark):
         assert np.frombuffer(coded[k]["ids"], "<u4").tolist() == [1, *lib.encode(now[k]), 2] and coded[k]["round_trip"]
 
 
+def test_a_rule_of_four_tokens_is_found(spark):
+    """Any three of them say nothing; all four together do."""
+    from itertools import combinations
+    four = ("a", "b", "c", "d")
+    baskets = [(list(four), "block")] * 30 + [([*c, "e"], "allow") for c in combinations(four, 3)] * 30
+    rules = url_filter.mine_rules(spark.createDataFrame(baskets, "items array<string>, label string"), 0.05, 0.9)
+    assert (four, "block") in {(tuple(r["items"]), r["label"]) for r in rules.collect()}
+
+
+def test_url_verdicts_equal_all_rules_tried(spark):
+    """The whole verdict: list, then the best of all mined rules, then allow."""
+    r = random.Random(4)
+    hosts = ["a.example.net", "b.example.net", "shop.test", "x.com", "y.org"]
+    urls = [(i, f"http://{r.choice(hosts)}/{r.choice(['fr', 'de', 'en', 'ads', 'es'])}/{r.choice(['track', 'news', 'p'])}/{r.randrange(99)}") for i in range(700)]
+    labels = [(f"http://{h}/ads/{s}/{n}", "block") for h in hosts for s in ("track", "news") for n in range(9)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    lab = spark.createDataFrame(labels, "url string, label string")
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_filter.url_filter(df, labels=lab).collect()}
+    items = {x["page_id"]: x["items"] for x in url_filter.split_url(df).withColumn("items", url_filter.tokens()).collect()}
+    of_label = [(x["items"], x["label"]) for x in url_filter.split_url(lab).withColumn("items", url_filter.tokens()).collect()]
+    listed = {i: brute.judge_list(u, url_filter.LIST) for i, u in urls}
+    rules = _mined([(items[i], v[3]) for i, v in listed.items() if v[3]] + of_label, 0.01, 0.9)
+    mined = 0
+    for i, (_, _, rule, verdict) in listed.items():
+        if not rule:
+            fits = [(c, s, len(k[0]), k[1]) for k, (c, s) in rules.items() if set(k[0]) <= set(items[i])]
+            best = {f[3] for f in fits if f[:3] == max(fits)[:3]} or {"allow"}
+            mined += bool(fits)
+            assert got[i][0] is None and got[i][1] in best, i
+        else:
+            assert got[i] == (rule, verdict)
+    assert mined > 100
+
+
+def test_rows_of_one_id_and_rows_without(spark):
+    """Unlike texts under one id both stay; equal texts without an id stay
+    once; copies under different ids leave the smallest."""
+    import corpus_pipeline as P
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    near = text(5).rsplit(" ", 1)[0] + " other"
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (None, text(3)), (None, text(3)), (None, text(4)), (7, text(5)), (6, near), (None, text(5)),
+            (8, ""), (9, ""), (10, None)]
+    docs = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, k string")
+    got = P.ngram_join_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(
+        [(1, text(1)), (1, text(2)), (None, text(3)), (None, text(4)), (6, near), (8, ""), (9, ""), (10, None)], key=key)
+
+
+def test_columns_with_the_operators_own_names_survive(spark, docs):
+    import corpus_pipeline as P
+    same = docs.withColumns({c: F.lit(c) for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")})
+    for name, stage in P.STAGES[:4]:
+        out = stage(spark, same, SF)
+        assert out.columns == docs.columns, name
+        for c in ("_host", "_kept", "_bad", "_cut", "_d1", "_d2", "_id", "d1", "k", "gone"):
+            assert [r[0] for r in out.select(c).distinct().collect()] == [c], (name, c)
+
+
 def test_pipeline_on_an_empty_table(spark):
     import corpus_pipeline as P
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
