@@ -1,18 +1,23 @@
-"""Operator 5: benchmark decontamination by seeds and local alignment.
-
-Every n-gram of a test item is a seed, however many documents hold it: the
-frequency of an n-gram does not tell a stock phrase from what is left of an
-edited copy that stands in many documents.  One pass over the training texts
-takes the passages around the places where a seed occurs and aligns them with
-the item (Smith-Waterman over words: match +2, mismatch and gap -1); a document
-is a hit if the best alignment reaches ``least`` of the score of a full copy.
-Passages with too few of the item's words for that score, as around stock
-phrases, are left out by this bound before they are aligned; equal ones, cut to
-the item's words at both ends, are aligned once a task.
+"""Operator 5: benchmark decontamination by rare seeds and local alignment.
+
+The n-grams of a test item are counted over all items.  Those that only few items
+have are its rare seeds; the others are a stem many items begin or end with, and
+say nothing about which item a passage was copied from.  How many *documents*
+hold a seed never matters: an edited copy in many documents is still a copy.
+An item all of whose n-grams are common has them as seeds.
+
+One pass over the training texts takes the passages around the places where a
+seed occurs and aligns them with the item (Smith-Waterman over words: match +2,
+mismatch and gap -1); a document is a hit if the best alignment reaches ``least``
+of the score of a full copy, and so does the alignment with the item's own words,
+those outside the stem.  Passages with too few of the item's words for that score
+are left out by this bound before they are aligned; equal ones, cut to the item's
+words at both ends, are aligned once a task.  Equal items are one item.
 
 Texts are not shuffled: the items travel to them.  Items go in blocks of at
 most ``block_words`` words (one item is never cut), each broadcast in turn, so
-the broadcast is bounded however many items there are.
+the broadcast is bounded however many items there are; a seed stands in at most
+``stem_items`` items of distinct text, which bounds what a hit can lead to.
 
 Words are compared without case (A-Z) and without punctuation at their ends.
 
@@ -30,11 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import WORD_CACHE, WordHashes, bounded_batches, flat_hashes, fresh, mix, raw_text, window_hashes, words_of
+from .util import WORD_CACHE, WordHashes, bounded_batches, flat_hashes, fresh, mix, raw_text, window_hashes, words_of, written
 
 ENDS = b".,;:!?\"'()[]{}"
 FILTER_BITS = 22
 KNOWN = 10_000  # alignments a task remembers
+STEM_ITEMS = 8  # an n-gram of more items than these is a stem
 
 
 class BareHashes(WordHashes):
@@ -47,19 +53,36 @@ class BareHashes(WordHashes):
         return h
 
 
+class Item:
+    """Word hashes of an item, the ids that have this text, which of its n-grams
+    are seeds, and its words outside the stem (None: all of them)."""
+
+    def __init__(self, ids: list[int], words: np.ndarray, n: int, stem: list[int]):
+        self.ids, self.words = ids, words
+        k = min(n, len(words))
+        seed = np.ones(len(words) - k + 1, bool)
+        seed[stem] = False
+        own = np.ones(len(words), bool)
+        for place in stem:
+            own[place:place + k] = False
+        self.seeds = np.flatnonzero(seed) if seed.any() else np.arange(len(seed))
+        # too little beside the stem to judge by: the whole item is judged
+        self.own = words[own] if seed.any() and not own.all() and own.sum() >= max(n, len(words) // 4) else None
+
+
 class Seeds:
-    """Sorted n-gram hashes of a block of items, with item and place of each."""
+    """Sorted hashes of a block's seeds, with item and place of each."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], n: int):
+    def __init__(self, items: list[Item], n: int):
         self.items, self.n = items, n
         grams, item, place = [], [], []
-        for i, (_, w) in enumerate(items):
-            k = min(n, len(w))
-            g = self.hashes(w, k)[: len(w) - k + 1]
-            grams.append(g), item.append(np.full(len(g), i)), place.append(np.arange(len(g)))
+        for i, x in enumerate(items):
+            k = min(n, len(x.words))
+            grams.append(self.hashes(x.words, k)[: len(x.words) - k + 1][x.seeds])
+            item.append(np.full(len(x.seeds), i)), place.append(x.seeds)
         order = np.argsort(g := np.concatenate(grams), kind="stable")
         self.grams, self.item, self.place = g[order], np.concatenate(item)[order], np.concatenate(place)[order]
-        self.lens = sorted({min(self.n, len(w)) for _, w in self.items})
+        self.lens = sorted({min(n, len(x.words)) for x in items})
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[(self.grams & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
@@ -115,30 +138,55 @@ def passages(at: np.ndarray, place: np.ndarray, m: int, size: int) -> list[tuple
     return [(a, b) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, block_words: int, text: str, key: str):
-    """Lists of (item id, word hashes), each of about block_words words."""
-    src = benchmark.select(F.col(key).cast("long").alias("item_id"), raw_text(text).alias("text"))
-    words = src.agg(F.sum(F.size(F.split(F.col("text").cast("string"), r"\s+")))).first()[0] or 0
-    n = int(words) // block_words + 1
-    for i in range(n):
-        part = src.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()  # about block_words words
-        cache, items = BareHashes(), []
-        for r in sorted(part, key=lambda r: (r[0] is None, r[0] or 0)):
-            flat, _ = flat_hashes(words_of([bytes(r[1])]), cache)
+def _item_grams(items: DataFrame, n: int) -> DataFrame:
+    """(txt, place, gram) of every n-gram of items (txt, text)."""
+    def run(batches):
+        cache = BareHashes()
+        for b in batches:
+            flat, lens = flat_hashes(words_of(b.column(1).to_pylist()), cache)
+            txt, place, gram = [], [], []
+            for t, e, m in zip(b.column(0).to_pylist(), np.cumsum(lens).tolist(), lens.tolist(), strict=True):
+                if m:
+                    k = min(n, m)
+                    g = Seeds.hashes(flat[e - m:e], k)[: m - k + 1].view(np.int64)
+                    txt.append(np.full(len(g), t)), place.append(np.arange(len(g))), gram.append(g)
+            if txt:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (txt, place, gram)],
+                                                 names=["txt", "place", "gram"])
+
+    return bounded_batches(items.select("txt", raw_text("text"))).mapInArrow(run, "txt long, place long, gram long")
+
+
+def _blocks(benchmark: DataFrame, block_words: int, n: int, stem_items: int, text: str, key: str):
+    """Lists of items, each list of about block_words words."""
+    folded = benchmark.select(F.col(key).cast("long").alias("item_id"), raw_text(text).alias("text"))
+    folded = written(folded.groupBy("text").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+                     .withColumn("txt", F.xxhash64("text")))
+    grams = written(_item_grams(folded, n))
+    common = grams.select("gram", "txt").distinct().groupBy("gram").count().where(F.col("count") > stem_items).select("gram")
+    stem = grams.join(common, "gram", "left_semi").groupBy("txt").agg(F.sort_array(F.collect_list("place")).alias("stem"))  # of one item
+    items = written(folded.join(stem, "txt", "left"))
+    words = grams.groupBy("txt").agg(F.max("place").alias("m")).agg(F.sum(F.col("m") + n)).first()[0] or 0
+    blocks = int(words) // block_words + 1
+    for i in range(blocks):
+        part = items.where(F.pmod("txt", F.lit(blocks)) == i).collect()  # about block_words words
+        cache, out = BareHashes(), []
+        for r in sorted(part, key=lambda r: (r["ids"][0] if r["ids"] else -1, r["txt"])):
+            flat, _ = flat_hashes(words_of([bytes(r["text"])]), cache)
             if len(flat):
-                items.append((r[0], flat))
-        if items:
-            yield items
+                out.append(Item(list(r["ids"]) or [None], flat, n, list(r["stem"] or [])))
+        if out:
+            yield out
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block_words: int = 1_000_000,
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block_words: int = 1_000_000, stem_items: int = STEM_ITEMS,
                    text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """doc_id, item_id, score, share (of a full copy's score), end_word,
     n_passages, txt (hash of the text) of every hit."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score long, share double, end_word long, n_passages long, txt long"
     hits = None
-    for items in _blocks(benchmark, block_words, item_text, item_key):
+    for items in _blocks(benchmark, block_words, n, stem_items, item_text, item_key):
         found = _block_hits(docs, items, n, least, text, key, schema)
         hits = found if hits is None else hits.unionByName(found)
     return spark.createDataFrame([], schema) if hits is None else hits
@@ -166,7 +214,7 @@ def _block_hits(docs, items, n, least, text, key, schema) -> DataFrame:
                 for a, e in zip(cut, cut[1:] + [len(at)], strict=True) if len(at) else ():
                     d = int(doc[a])
                     no = int(s.item[to[a]])
-                    item_id, w = s.items[no]
+                    w = s.items[no].words
                     begin = int(ends[d] - lens[d])
                     body, need = flat[begin:int(ends[d])], least * 2 * len(w)
                     best = (0, 0)
@@ -180,15 +228,19 @@ def _block_hits(docs, items, n, least, text, key, schema) -> DataFrame:
                         if same not in known:
                             if len(known) >= KNOWN:
                                 known.clear()
-                            known[same] = align(w, body[lo:hi])
+                            known[same] = found = align(w, body[lo:hi])
+                            own = s.items[no].own
+                            if found[0] >= need and own is not None and align(own, body[lo:hi])[0] < least * 2 * len(own):
+                                known[same] = (0, 0)  # the stem alone
                         score, end = known[same]
                         n_good += score >= need
                         if score > best[0]:
                             best = (score, lo + end)
                     if n_good:
-                        for c, v in (("row", d), ("item_id", item_id), ("score", best[0]),
-                                     ("share", best[0] / (2 * len(w))), ("end_word", best[1]), ("n_passages", n_good)):
-                            out[c].append(v)
+                        for item_id in s.items[no].ids:
+                            for c, v in (("row", d), ("item_id", item_id), ("score", best[0]),
+                                         ("share", best[0] / (2 * len(w))), ("end_word", best[1]), ("n_passages", n_good)):
+                                out[c].append(v)
             rows = pa.array(out.pop("row"), pa.int64())
             cols = [b.column(1).take(rows), *(pa.array(v, pa.float64() if c == "share" else pa.int64()) for c, v in out.items()),
                     b.column(2).take(rows)]

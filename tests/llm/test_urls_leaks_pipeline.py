@@ -91,6 +91,30 @@ def test_url_query_matches_list(spark):
         assert got[p["page_id"]]["verdict"] == (verdict or got[p["page_id"]]["verdict"]) and got[p["page_id"]]["verdict"] in ("allow", "block")
 
 
+def test_a_common_stem_is_no_copy(spark):
+    """Items that begin alike: texts with the stem alone are clean, copies of
+    one item are a hit of that item alone; equal items are all hit."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(6))
+    stem = "choose the one right answer to the question that follows here and give a reason for it now".split()
+    items = [(i, stem + [word() for _ in range(22)]) for i in range(300)]
+    items += [(1000 + i, stem) for i in range(3)] + [(2000, items[7][1]), (2001, [word() for _ in range(30)])]
+    filler = lambda: " ".join(word() for _ in range(40))
+    docs = [(i, " ".join([filler(), *stem, filler()])) for i in range(100)]
+    docs += [(500, " ".join([filler(), *items[7][1], filler()])), (501, " ".join([filler(), *items[9][1][12:], filler()])),
+             (502, " ".join([*stem, *[w if j % 7 else word() for j, w in enumerate(items[11][1][18:])]])),
+             (503, " ".join([filler(), *items[-1][1]]))]
+    idf = spark.createDataFrame([(i, " ".join(w)) for i, w in items if i < 1000 or i >= 2000], "item_id long, text string")
+    ddf = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.benchmark_hits(ddf, idf).collect()}
+    assert got == {(500, 7), (500, 2000), (501, 9), (502, 11), (503, 2001)}
+    # the stem as an item of its own is found where it stands
+    alone = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    hits = {(x["doc_id"], x["item_id"]) for x in decontam.benchmark_hits(ddf, alone).collect()}
+    assert got <= hits and {(d, i) for d, i in hits - got} == {(d, i) for d in [*range(100), 500, 502] for i in (1000, 1001, 1002)} | {
+        (d, i) for d, i in hits - got if d == 501}
+
+
 def _leaks(seed=5):
     r = random.Random(seed)
     vocab = ["".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 8))) for _ in range(1500)]
@@ -125,6 +149,7 @@ def test_decontamination(spark):
                 want[k, i] = score
     # seeds of four equal words in a row are needed: half-rewritten copies may lack one
     assert set(got) <= set(want) and all(got[x]["score"] <= want[x] for x in got)
+    assert len(got) >= 0.9 * len(want)  # recall at the stated threshold
     light = {(k, i) for (k, i), s in want.items() if s >= 1.4 * len(bare(dict(items)[i]))}
     assert light <= set(got) and all(got[x]["score"] == want[x] for x in light)
     assert got[900, 0]["n_passages"] == 2 and (903, 90) in got and len(light) >= 30
