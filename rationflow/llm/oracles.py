@@ -69,8 +69,15 @@ lines AS (
          len(regexp_extract_all(line, '{_WORD}')) AS n FROM raw WHERE regexp_matches(line, '{_WORD}')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
-often AS (SELECT l.source, l.norm FROM lines l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source
-          GROUP BY l.source, l.norm, h.n HAVING count(DISTINCT l.t) > greatest({min_docs}, {share} * h.n)),
+seen AS (SELECT DISTINCT source, t, norm, substr(md5(norm), 1, 15) AS k FROM lines),
+shared AS (SELECT *, count(*) OVER (PARTITION BY source, norm) AS n, count(*) OVER (PARTITION BY source, t) AS n_lines FROM seen),
+placed AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY source, t) AS n_shared,
+                  min(k) OVER (PARTITION BY source, t) AS k1 FROM shared WHERE n > 1 WINDOW w AS (PARTITION BY source, t ORDER BY k)),
+least AS (SELECT *, max(k) FILTER (place = 2) OVER (PARTITION BY source, t) AS k2 FROM placed),
+often AS (SELECT l.source, l.norm FROM least l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source
+          GROUP BY l.source, l.norm, h.n
+          HAVING count(DISTINCT CASE WHEN 2 * (n_shared - 1) > n_lines - 1 THEN CASE WHEN k = k1 THEN k2 ELSE k1 END ELSE 't' || t END)
+                 > greatest({share} * h.n, least({min_docs}, greatest(5, h.n / 2)))),
 cut AS (SELECT l.doc_id, sum(l.n) AS n FROM lines l JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.norm = l.norm
         GROUP BY l.doc_id),
 all_ AS (

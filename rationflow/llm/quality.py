@@ -1,13 +1,16 @@
 """Operator 4: quality rules and cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, runs of ASCII white space one space) and
-hashed; for each host the documents with a line are counted, equal texts once,
-so that copies of one document do not make its lines look like boilerplate.  A
-line is removed from the documents of a host when more than
-max(``min_docs``, ``share`` x the host's distinct texts) of them have it.  A
-document is rejected when it fails the base rules, or when removal leaves it
-fewer than ``least_words`` words or less than ``least_part`` of its words.
-``quality`` gives the verdicts, ``clean`` the kept documents without the lines.
+hashed; for each host the documents with a line are counted, equal texts once.
+So that copies of one document do not make its lines look like boilerplate, near
+copies count once, too: a text most of whose other lines stand in other texts of
+the host counts with the texts that have the same least of these lines.  A line is
+removed from the documents of a host when its count is above the limit
+(``limit``): ``share`` of the host's distinct texts, and at least ``min_docs``, for
+small hosts half of the texts but no fewer than five.  A document is rejected when
+it fails the base rules, or when removal leaves it fewer than ``least_words`` words
+or less than ``least_part`` of its words.  ``quality`` gives the verdicts, ``clean``
+the kept documents without the lines.
 
 Lines of all documents meet their counts by a shuffle join on (host, line); no
 list of lines is broadcast or collected.
@@ -20,18 +23,22 @@ input are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, LongType
 
-from .util import WordHashes, bounded_batches, flat_hashes, fresh, named, raw_text, window_hashes, words_of
+from .util import WordHashes, bounded_batches, flat_hashes, fresh, in_bitmap, key_bitmap, named, raw_text, window_hashes, words_of, written
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 INNER_BYTES = bytes(range(0x80, 0xC0))  # bytes of a code point after its first
 WINDOW = 5
+LEAST_TEXTS = 5  # texts a line may stand in at any host
 
 
 def line_hash(words: list[bytes]) -> int:
@@ -84,16 +91,67 @@ def line_counts(docs: DataFrame, host: str = "source", text: str = "text") -> Da
             .distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")))
 
 
+def limit(n_texts: str, min_docs: int, share: float):
+    """A line of more texts of a host with so many texts is removed."""
+    n = F.col(n_texts)
+    return F.greatest(F.lit(float(share)) * n, F.least(F.lit(float(min_docs)), F.greatest(F.lit(float(LEAST_TEXTS)), n / 2)))
+
+
+def line_rank(words: list[bytes]) -> int:
+    """The order of lines in which a text's least is sought (60 bits)."""
+    return int(hashlib.md5(b" ".join(words), usedforsecurity=False).hexdigest()[:15], 16)
+
+
+def _pair(host: int, line: int) -> int:
+    return xxhash.xxh3_64_intdigest(struct.pack("<qq", host, line))
+
+
+@F.arrow_udf(LongType())
+def _pairs(hosts: pa.Array, lines: pa.Array) -> pa.Array:
+    return pa.array(np.array([_pair(h, x) for h, x in zip(hosts.to_pylist(), lines.to_pylist(), strict=True)], np.uint64).view(np.int64))
+
+
+def _shared_lines(docs: DataFrame, counts: DataFrame, host: str, text: str) -> DataFrame:
+    """(host, txt, n_lines, line, rank): the lines of each distinct text that
+    other texts of its host have.  A bitmap of these lines (1 MB) spares most
+    of the others the way to the join that tells."""
+    shared = counts.where("line IS NOT NULL").select("host", "line")
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(shared.select(_pairs("host", "line").alias("key")), "key"))
+
+    def run(batches):
+        bitmap = np.frombuffer(bits.value, np.int64)
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines = {line_hash(w): w for w in (x.lower().split() for x in _lines(t))}
+                keys = list(lines)
+                hit = in_bitmap(bitmap, np.array([_pair(h, x) for x in keys], np.uint64))
+                some = [x for x, ok in zip(keys, hit.tolist(), strict=True) if ok]
+                own = xxhash.xxh3_64_intdigest(t) - (1 << 63)
+                for c, v in zip(out, ([h] * len(some), [own] * len(some), [len(keys)] * len(some), some,
+                                      [line_rank(lines[x]) for x in some]), strict=True):
+                    c.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["host", "txt", "n_lines", "line", "rank"])
+
+    src = docs.select(raw_text(text), F.xxhash64(F.col(host)).alias("host"))
+    found = bounded_batches(src).mapInArrow(run, "host long, txt long, n_lines long, line long, rank long").distinct()
+    return found.join(shared, ["host", "line"], "left_semi")
+
+
 def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.002, host: str = "source",
                    text: str = "text") -> DataFrame:
     """(host, line) above the limit of the host."""
-    counts = line_counts(docs, host, text)
-    many = counts.where((F.col("n_docs") > min_docs) & F.col("line").isNotNull() | F.col("line").isNull())
-    # the host's own row (line null) goes to all its lines
-    hosts = many.where("line is null").select("host", F.col("n_docs").alias("_all"))
-    return (many.where("line is not null").join(hosts, "host")
-            .where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.lit(float(share)) * F.col("_all")))
-            .select("host", "line"))
+    counts = written(line_counts(docs, host, text).where("line IS NULL OR n_docs > 1"))
+    hosts = counts.where("line IS NULL").select("host", limit("n_docs", min_docs, share).alias("_limit"))
+    many = counts.where("line IS NOT NULL").join(hosts, "host").where("n_docs > _limit").select("host", "line", "_limit")
+    shared = written(_shared_lines(docs, counts, host, text))
+    texts = shared.groupBy("host", "txt").agg(  # one text's lines
+        F.slice(F.array_sort(F.collect_set("rank")), 1, 2).alias("least"), (2 * (F.count("*") - 1) > F.max("n_lines") - 1).alias("mostly"))
+    rank = F.when(F.get("least", F.lit(0)) == F.col("rank"), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0)))
+    group = F.when(F.col("mostly"), rank)
+    return (shared.join(many, ["host", "line"]).join(texts, ["host", "txt"])
+            .select("host", "line", "_limit", group.alias("group"), F.when(group.isNull(), F.col("txt")).alias("alone")).distinct()
+            .groupBy("host", "line", "_limit").agg(F.count("*").alias("n")).where("n > _limit").select("host", "line"))
 
 
 def quality(docs: DataFrame, min_docs: int = 20, share: float = 0.002, least_words: int = 10, least_part: float = 0.2,

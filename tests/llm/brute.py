@@ -126,7 +126,17 @@ def quality_kept(rows, min_docs, share, least_words, least_part):
     for t, h in rows:
         texts[h].add(t or "")
     count = collections.Counter((h, x) for h, ts in texts.items() for t in ts for x in set(lines(t)))
-    bad = {(h, x) for (h, x), n in count.items() if n > max(min_docs, share * len(texts[h]))}
+    groups = collections.defaultdict(set)
+    rank = lambda x: hashlib.md5(x).hexdigest()[:15]
+    for h, ts in texts.items():
+        for t in ts:
+            own = set(lines(t))
+            shared = sorted((rank(x), x) for x in own if count[h, x] > 1)
+            for _, x in shared:
+                other = [k for k, y in shared if y != x]
+                groups[h, x].add(other[0] if 2 * len(other) > len(own) - 1 else (t,))
+    bad = {(h, x) for (h, x), g in groups.items()
+           if len(g) > max(share * len(texts[h]), min(min_docs, max(5, len(texts[h]) / 2)))}
     out = []
     for t, h in rows:
         n, *_, failed = quality_counts(t)

@@ -133,6 +133,31 @@ def test_lines_above_the_limit_are_removed(spark, docs, rows):
     assert {k: len(brute.words(t)) for k, (t,) in out.items()} == {k: n for k, (kept, n) in verdict.items() if kept}
 
 
+def test_near_copies_and_small_hosts(spark):
+    """Near copies of one clean document are not boilerplate; a line in all
+    documents of a small host is, and so are header and footer together."""
+    import random
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmno") for _ in range(6))
+    page = lambda k: [" ".join(word() for _ in range(9)) for _ in range(k)]
+    base = page(12)
+    near = []
+    for i in range(60):
+        copy = list(base)
+        for j in r.sample(range(12), 1 + i % 2):
+            copy[j] = copy[j].rsplit(" ", 1)[0] + " " + word()
+        near.append(copy)
+    rows = [(i, "\n".join(x), "big") for i, x in enumerate(near + [page(8) for _ in range(200)])]
+    rows += [(1000 + i, "\n".join(["All rights reserved", *page(4)]), "small") for i in range(15)]
+    rows += [(2000 + i, "\n".join(["Menu home about", *page(5), "Imprint of the house"]), "framed") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x["doc_id"]: (x["kept"], x["n_words"] - x["words_left"]) for x in quality.quality(df).collect()}
+    want = brute.quality_kept([(t, s) for _, t, s in rows], 20, 0.002, 10, 0.2)
+    assert [got[k][0] for k, *_ in rows] == want
+    assert all(got[i] == (True, 0) for i in range(260))
+    assert all(got[1000 + i] == (True, 3) for i in range(15)) and all(got[2000 + i] == (True, 7) for i in range(80))
+
+
 def test_quality_edges(repeated, none):
     assert quality.quality(repeated).count() == repeated.count()
     assert quality.quality(none).count() == 0
