@@ -22,7 +22,7 @@ The task never holds more than the ingredients that matter.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -286,7 +286,7 @@ def with_sides(corners: DataFrame, with_fiber: bool) -> DataFrame:
 
 #: Cells of the target space: steps of (cp, energy) for facets that leave the
 #: fibre alone, of (cp, energy, fibre bound) for those at a fibre bound.
-GRID, GRID_FIBER = (48, 48), (20, 20, 20)
+GRID, GRID_FIBER = (32, 32), (12, 12, 12)
 #: Where the cells of each kind of facet begin.
 AT = {None: 0, "min": GRID[0] * GRID[1], "max": GRID[0] * GRID[1] + GRID_FIBER[0] * GRID_FIBER[1] * GRID_FIBER[2]}
 # How far beyond its cell a facet still counts as possible there.
@@ -333,8 +333,11 @@ def cells(facets: DataFrame, span: DataFrame) -> DataFrame:
             out.append(possible({a: f"({own}_{a}{' - 1' if a == own else ''})" for a in attrs}, f"{own}_0", f"abs(_{own}_lo) + _{own}_w"))
         return " AND ".join(out)
 
-    # few rows that each become thousands: dealt over the cores first
-    every = facets.join(span, "species").repartition(max(8, int(facets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # few rows that each become thousands: only what the conditions read, dealt
+    # over the cores first
+    needed = ["species", "fid", "fiber_side", "y0", *[f"y_{x}" for x in ATTRS], *[f"s{j}_k{t}" for j in range(MAX_SLOTS) for t in _LINEAR],
+              *[f"{x}_{t}" for x in ("cp", "energy") for t in _LINEAR]]
+    every = facets.select(*needed).join(span.drop("with_fiber"), "species").repartition(max(8, int(facets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     (a, b), (p, q, r) = GRID, GRID_FIBER
     free = every.where("fiber_side IS NULL").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(a * b - 1)))).selectExpr(
         "*", *ends("cp", f"_i div {b}", a), *ends("energy", f"_i % {b}", b)).where(conditions(("cp", "energy")))
@@ -361,24 +364,25 @@ class Facets:
 TABLES = ("facets", "lists", "cells", "spans")
 
 
-def prepare(catalog: DataFrame, log: list | None = None, keep: list[str] = ()) -> Facets:
+def prepare(catalog: DataFrame, log: list | None = None, keep: list[str] = (),
+            table: Callable[[DataFrame, str], DataFrame] = write_table) -> Facets:
     """Facets and cells of every species of ``catalog``, as written tables.
 
     ``catalog``: species, pos, ingredient, cp, energy, fiber (nullable; without
     the column requests are solved with the fibre constraint off, C8), cost;
     ``(species, ingredient)`` unique (apply ``first_per_key`` first).
-    ``keep``: columns that belong to a species and stand in every table."""
+    ``keep``: columns that belong to a species and stand in every table;
+    ``table``: writes one of the results under its name and reads it back."""
     cat = write_table(catalog_rows(catalog), "catalog")
     own = catalog.select("species", *keep).distinct() if keep else None
     tag = (lambda df: df.join(own, "species")) if keep else (lambda df: df)
     corners = with_sides(active_facets(cat, log), has_fiber(catalog))
     numbered = corners.groupBy("species").agg(F.collect_list(F.struct(*[c for c in corners.columns if c != "species"])).alias("fs")).select(
         "species", F.posexplode("fs").alias("fid", "f"))  # at most a few thousand facets a species
-    flat = write_table(tag(numbered), "facets")
+    flat = table(tag(numbered), "facets")
     in_order = flat.groupBy("species").agg(F.sort_array(F.collect_list(F.struct("fid", "f"))).alias("fs"))
-    span = write_table(tag(spans(cat, has_fiber(catalog))), "spans")
-    return Facets(flat, write_table(tag(in_order), "lists"),
-                  write_table(tag(cells(flat.select("species", "fid", "f.*"), span.drop(*keep))), "cells"), span)
+    span = table(tag(spans(cat, has_fiber(catalog))), "spans")
+    return Facets(flat, table(tag(in_order), "lists"), table(tag(cells(flat.select("species", "fid", "f.*"), span.drop(*keep))), "cells"), span)
 
 
 def versions(catalog: DataFrame) -> DataFrame:
@@ -412,9 +416,13 @@ def of_catalog(catalog: DataFrame, folder: str) -> Facets:
     new = used.where("batch IS NULL").select("species", "version")
     if not new.isEmpty():
         batch = f"b{uuid.uuid4().hex}"
-        made = prepare(catalog.join(new, "species"), keep=["version"])
-        for name in TABLES:
-            getattr(made, name).write.parquet(f"{folder}/batch={batch}/{name}")
+
+        def table(rows: DataFrame, name: str) -> DataFrame:
+            path, schema = f"{folder}/batch={batch}/{name}", rows.schema
+            rows.write.parquet(path)
+            return spark.read.schema(schema).parquet(path)
+
+        prepare(catalog.join(new, "species"), keep=["version"], table=table)
         new.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(f"{folder}/ledger")
         used = state()
     batches = sorted(r["batch"] for r in used.select("batch").distinct().collect())  # one a save that is still in use
