@@ -7,7 +7,9 @@ and compacts the array; words without a pair leave it.  All occurrences in a
 word are merged in one round only when no merge with the new piece can outrank
 it (known from the vocabulary), else the leftmost alone, which is the order of
 the library.  Finished words go to a bounded cache of the task, and the ids of
-whole texts are gathered from it.
+whole texts are gathered from it.  A very long word is merged in blocks, whose
+seams are merged again and, where they do not fit, taken out (``merge_words``),
+so that its time grows with its length, not with the square of it.
 
 Defined cases: null text is empty; an empty text is the begin and end ids and
 decodes to the empty text; malformed UTF-8 counts as U+FFFD; an empty table
@@ -30,6 +32,9 @@ from .util import bounded_batches
 
 #: Words and ids a task keeps encoded before the cache starts afresh.
 CACHE_WORDS, CACHE_IDS = 400_000, 8_000_000
+#: Symbols of a block of a very long word, and tokens looked at on either side of a seam.
+BLOCK, SEAM = 64, 8
+NOTHING = np.iinfo(np.int32).min
 
 
 def merge_rounds(sym: np.ndarray, word: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +78,65 @@ def merge_rounds(sym: np.ndarray, word: np.ndarray, v: Vocabulary) -> tuple[np.n
     return sym[order], word[order]
 
 
+def merge_words(sym: np.ndarray, word: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """``merge_rounds`` with the words of over two blocks cut into blocks.
+
+    A row of tokens is what the merges make of its text exactly if every two
+    neighbours are what they make of theirs: the first merge over a border of
+    two tokens would be made between those two alone as well.  Inside a block
+    that holds; at a seam the last tokens before it and the first behind it are
+    merged anew, and if the outermost of them come out as they were, it holds
+    there too.  Otherwise the seam is taken out and its blocks are merged as
+    one, until all seams hold."""
+    n = np.bincount(word)
+    if not len(sym) or n.max() <= 2 * BLOCK:
+        return merge_rounds(sym, word, v)
+    place = np.arange(len(sym)) - (np.cumsum(n) - n)[word]
+    cut = (place == 0) | ((n[word] > 2 * BLOCK) & (place % BLOCK == 0) & (n[word] - place >= BLOCK // 2))
+    base = np.full(len(sym), NOTHING, np.int32)  # at a token's first symbol its id: of the blocks
+    final = base.copy()                          # and with the seams
+
+    def merged(a, b):
+        """Ids, places and range numbers of the tokens of symbols a..b."""
+        lens = b - a
+        at = spread(a, lens)
+        ids, of = merge_rounds(sym[at], np.repeat(np.arange(len(a)), lens), v)
+        size = np.where(ids < 0, 1, v.points[np.maximum(ids, 0)])
+        return ids, at[np.cumsum(size) - size], of
+
+    a = np.flatnonzero(cut)
+    b = np.append(a[1:], len(sym))
+    while len(a):
+        inside = spread(a, b - a)
+        base[inside] = final[inside] = NOTHING
+        ids, at, _ = merged(a, b)
+        base[at] = final[at] = ids
+        seams = np.unique(np.append(a, b[b < len(sym)]))
+        seams = seams[place[seams] > 0]
+        starts = np.append(np.flatnonzero(base != NOTHING), len(sym))
+        cuts = np.append(np.flatnonzero(cut), len(sym))
+        c = np.searchsorted(cuts, seams)
+        mid, lo, hi = (np.searchsorted(starts, x) for x in (seams, cuts[c - 1], cuts[c + 1]))
+        # half of a block's tokens at most, so that the windows of its two seams never meet
+        left, right = mid - np.minimum(SEAM, (mid - lo) // 2), mid + np.minimum(SEAM, (hi - mid) // 2)
+        holds = (left < mid) & (mid < right)
+        at_a, at_b, outer = starts[left[holds]], starts[right[holds]], starts[right[holds] - 1]
+        if len(at_a):
+            ids, at, of = merged(at_a, at_b)
+            first = np.searchsorted(of, np.arange(len(at_a)))
+            last = np.append(first[1:], len(of)) - 1
+            agree = (ids[first] == base[at_a]) & (ids[last] == base[outer])
+            holds[holds] = agree
+            final[spread(at_a[agree], (at_b - at_a)[agree])] = NOTHING
+            final[at[agree[of]]] = ids[agree[of]]
+        cut[seams[~holds]] = False
+        cuts = np.append(np.flatnonzero(cut), len(sym))
+        of = np.unique(np.searchsorted(cuts, seams[~holds], "right") - 1)
+        a, b = cuts[of], cuts[of + 1]
+    at = np.flatnonzero(final != NOTHING)
+    return final[at], word[at]
+
+
 class Encoder:
     """Pre-token key -> ids, with a bounded cache."""
 
@@ -93,7 +157,7 @@ class Encoder:
         flat = np.concatenate(points).astype(np.int64)
         values, back = np.unique(flat, return_inverse=True)
         known = np.array([self.space if c == 32 else v.chars.get(c, -int(c) - 1) for c in values.tolist()], np.int32)
-        sym, word = merge_rounds(known[back], np.repeat(np.arange(len(keys)), n), v)
+        sym, word = merge_words(known[back], np.repeat(np.arange(len(keys)), n), v)
         if (sym < 0).any():  # code points outside the vocabulary: their bytes
             parts, size = [], np.ones(len(sym), np.int64)
             for i in np.flatnonzero(sym < 0).tolist():

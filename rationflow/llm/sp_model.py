@@ -92,6 +92,7 @@ class Vocabulary:
         for part in (left, right):
             self.single[part[rank[made] <= rank[part]]] = True
         self.chars = {ord(p): i for p, i in ids.items() if len(p) == 1}
+        self.points = np.array([len(p) for p in pieces], np.int64)
         self.byte_id = np.zeros(256, np.int32)
         blobs = []
         for i, p in enumerate(pieces):

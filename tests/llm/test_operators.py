@@ -202,6 +202,29 @@ def test_codec_random_strings():
         assert ids[e - n:e].tolist() == want and back == lib.decode(want), t
 
 
+def test_codec_very_long_words():
+    """Blocks and seams give what the library gives, in time that grows with the length."""
+    import random
+    import time
+    from rationflow.llm.sp_model import processor
+    r = random.Random(5)
+    lib, v = processor(model_path()), sp_codec.vocabulary(model_path())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(r.choices(some, k=n)) for some in (letters, "ab", "0123456789", letters + "+/=ABC", "aab😀é漢z0")
+             for n in (128, 129, 160, 161, 2000, 5001)]
+    texts += [w * n for w, n in (("a", 131), ("a", 3001), ("ab", 2500), ("=", 999), ("the", 1000), ("internationalization", 300))]
+    texts.append(" ".join("".join(r.choices("abcd", k=r.randint(1, 400))) for _ in range(100)))
+    ids, total = sp_codec.Encoder(v).encode([t.encode() for t in texts])
+    ends = np.cumsum(total)
+    for t, n, e in zip(texts, total, ends, strict=True):
+        assert ids[e - n:e].tolist() == [1, *lib.encode(t), 2], t[:40]
+    long = "".join(r.choices(letters, k=300_000))
+    begin = time.time()
+    ids, _ = sp_codec.Encoder(v).encode([long.encode()])
+    assert time.time() - begin < 60
+    assert ids.tolist() == [1, *lib.encode(long), 2]
+
+
 def test_codec_edges(repeated, none):
     assert sp_codec.encode_decode(repeated, model_path()).count() == repeated.count()
     assert sp_codec.encode_decode(none, model_path()).count() == 0
