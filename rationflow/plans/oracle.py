@@ -173,6 +173,26 @@ SELECT scenario_id, breed FROM (
     }
 
 
+def _searches(table: str, key: str) -> str:
+    """CTEs for the search requests of ``table`` and the names each finds."""
+    shape = lambda i: f"([{', '.join(SF.lit(s[i]) for s in Q.SEARCH_SHAPES)}])[CAST({key} % {len(Q.SEARCH_SHAPES)} + 1 AS INTEGER)]"
+    return V.with_views(V.LISTING) + f""",
+searches AS (
+  SELECT {key} AS search_id, p_type AS species, {shape(0)} AS mode,
+         {shape(1)} || substr(p_name, CAST({key} % 5 + 1 AS INTEGER), CAST({key} % 6 AS INTEGER)) || {shape(2)} AS term
+  FROM {table} JOIN part ON p_partkey = ({key} * 7919) % (SELECT count(*) FROM part)),
+cleaned AS (SELECT *, {SF.sanitize_text("term")} AS t FROM searches),
+found AS (
+  SELECT s.species, s.t, s.mode, n.ingredient
+  FROM (SELECT DISTINCT species, t, mode FROM cleaned) s JOIN (SELECT DISTINCT species, ingredient FROM listing) n ON n.species = s.species
+  WHERE s.t = '' OR CASE WHEN s.mode = 'regex' THEN regexp_matches(n.ingredient, '(?i)' || s.t)
+                         ELSE contains(lower(n.ingredient), lower(s.t)) END),
+hits AS (
+  SELECT c.search_id, c.species, c.term, c.mode, l.pos, l.ingredient, l.cost, l.cp, l.energy
+  FROM cleaned c JOIN found f ON f.species = c.species AND f.t = c.t AND f.mode = c.mode
+  JOIN listing l ON l.species = f.species AND l.ingredient = f.ingredient)"""
+
+
 def _catalog_queries() -> dict[str, str]:
     # the sanitised search terms: parentheses are among the deleted characters
     term, sterm = "RED gear|bolt", "gear"
@@ -199,6 +219,19 @@ FROM listing WHERE coalesce(regexp_matches(ingredient, {SF.lit('(?i)' + term)}),
         "catalog_csv_read": lv + """
 SELECT species, CAST(row_number() OVER (PARTITION BY species ORDER BY pos) AS BIGINT) AS pos, ingredient, cp, energy, fiber, cost
 FROM listing""",
+        "catalog_search_hits": _searches("supplier", "s_suppkey") + """
+SELECT search_id, species, term, mode, pos, ingredient, cost FROM hits""",
+        "catalog_search_figures": _searches("orders", "o_orderkey") + """,
+sums AS (SELECT species, ingredient, count(*) AS n, sum(cost) AS cost, sum(cp) AS cp, sum(energy) AS energy FROM listing GROUP BY ALL),
+figures AS (
+  SELECT f.species, f.t, f.mode, sum(n) AS n, sum(cost) / sum(n) AS cost, sum(cp) / sum(n) AS cp, sum(energy) / sum(n) AS energy
+  FROM found f JOIN sums s ON s.species = f.species AND s.ingredient = f.ingredient GROUP BY ALL)
+SELECT c.search_id, c.species, c.term, c.mode, CAST(coalesce(n, 0) AS BIGINT) AS n_ingredients, round(cost, 6) AS avg_cost,
+       round(cp, 6) AS avg_cp, round(energy, 6) AS avg_energy
+FROM cleaned c LEFT JOIN figures f ON f.species = c.species AND f.t = c.t AND f.mode = c.mode""",
+        "species_requests": V.with_views(V.LISTING, V.SCENARIOS) + """
+SELECT scenario_id, species, n_offers, least_cost FROM scenarios
+JOIN (SELECT species, CAST(count(*) AS BIGINT) AS n_offers, min(cost) AS least_cost FROM listing GROUP BY species) USING (species)""",
         "species_route": lv + """
 SELECT species, pos, ingredient, cost FROM listing WHERE species = (SELECT min(species) FROM listing)""",
         "catalog_summary": lv + f"""

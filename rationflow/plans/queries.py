@@ -20,6 +20,7 @@ from ..operators import guides as G
 from ..operators import history as H
 from ..operators import admission as A
 from ..operators import facets, ration
+from ..operators import search as SE
 from ..session import new_table, write_table
 from ..sources import reference_tables as R
 from ..sources import testdata as td
@@ -29,6 +30,9 @@ SEARCH_REGEX_TERM = "RED (gear|bolt)"
 SUMMARY_TERM = "gear"
 SORT_BY = "Cost"
 TYPE_TERMS = ["All", "Meat", "Beef", "Dual Purpose", "Eggs"]
+# Search requests: (mode, what surrounds a piece of a name)
+SEARCH_SHAPES = [("literal", "", ""), ("regex", "^", ""), ("literal", " ", "  "), ("regex", "", "|red.*t$"),
+                 ("regex", "", "[a-m].?"), ("literal", "(", ")"), ("regex", ".*", "e?r")]
 BREED_TERMS = ["", "broiler", "LAYER", "cross", "N'Dama", "white", "an (x)"]
 REPORT_TIME = "2026-01-01 00:00:00"
 REPORT_DATE = "20260101"
@@ -566,6 +570,43 @@ def q_species_route(spark, sf_dir):
     return for_species(spark.read.parquet(path), td.species_list(spark, sf_dir)[0]).select("species", "pos", "ingredient", "cost")
 
 
+def q_species_requests(spark, sf_dir):
+    """A6 for all requests: offers and least cost of each request's catalog,
+    read from the folders of the species that are asked for."""
+    path = new_table(spark, "by_species")
+    td.listing(spark, sf_dir).write.partitionBy("species").parquet(path)
+    sc = td.scenarios(spark, sf_dir).select("scenario_id", "species")
+    seen = SE.route(sc, spark.read.parquet(path)).groupBy("species").agg(
+        F.count("*").cast("bigint").alias("n_offers"), F.min("cost").alias("least_cost"))
+    return sc.join(seen, "species").select("scenario_id", "species", "n_offers", "least_cost")
+
+
+def _searches(spark, sf_dir, table, key):
+    """One search a row of ``table``: a piece of a name in a shape, by the key."""
+    names = td.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_k"), F.col("p_name").alias("_name"), F.col("p_type").alias("species"))
+    k = F.col(key)
+    r = td.table(spark, sf_dir, table).select(k.alias("search_id"), k.alias("_key"), (k * 7919 % names.count()).alias("_k")).join(names, "_k")
+    piece = F.substring("_name", (F.col("_key") % 5 + 1).cast("int"), (F.col("_key") % 6).cast("int"))
+    shape = (F.col("_key") % len(SEARCH_SHAPES)).cast("int") + 1
+    part = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in SEARCH_SHAPES]), shape)
+    return r.select("search_id", "species", F.concat(part(1), piece, part(2)).alias("term"), part(0).alias("mode"))
+
+
+def q_catalog_search_hits(spark, sf_dir):
+    """C3/C5 for a table of searches, one a supplier: every offer each finds."""
+    listing = td.listing(spark, sf_dir)
+    hits = SE.search_hits(_searches(spark, sf_dir, "supplier", "s_suppkey"), listing, SE.index_names(listing))
+    return hits.select("search_id", "species", "term", "mode", "pos", "ingredient", "cost")
+
+
+def q_catalog_search_figures(spark, sf_dir):
+    """E1 for a table of searches, one an order: count and means of what each finds."""
+    listing = td.listing(spark, sf_dir)
+    f = SE.search_figures(_searches(spark, sf_dir, "orders", "o_orderkey"), listing, SE.index_names(listing))
+    return f.select("search_id", "species", "term", "mode", F.col("n_ingredients").cast("bigint").alias("n_ingredients"),
+                    *[rnd(c, 6).alias(c) for c in ("avg_cost", "avg_cp", "avg_energy")])
+
+
 def q_guide_csv(spark, sf_dir):
     """B1: nutrient guides as CSV, one folder per species, read back and
     joined to the requests of that animal and stage."""
@@ -678,6 +719,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "catalog_csv_read": q_catalog_csv_read,
         "trials_csv_read": q_trials_csv_read,
         "species_route": q_species_route,
+        "species_requests": q_species_requests,
         "guide_csv": q_guide_csv,
         "formula_csv": q_formula_csv,
         "report_files": q_report_files,
@@ -708,6 +750,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "type_filter_all": q_type_filter_all,
         "breed_search_literal": q_breed_search_literal,
         "catalog_search_regex": q_catalog_search_regex,
+        "catalog_search_hits": q_catalog_search_hits,
+        "catalog_search_figures": q_catalog_search_figures,
         "catalog_sort": q_catalog_sort,
         "catalog_summary": q_catalog_summary,
         "first_per_key": q_first_per_key,
