@@ -433,7 +433,9 @@ def oracle_sql() -> dict[str, str]:
     out.update(_econ_queries())
     out.update(_history_queries())
     out.update(_admission_queries())
-    out["rate_limit_stream"] = out["rate_limit_exact"]
+    out["rate_limit_stream"] = f"SELECT *, false AS late FROM ({out['rate_limit_exact']})"
+    out["rate_limit_late"] = out["rate_limit_stream"] + """
+UNION ALL SELECT event_id, user_id, event_type AS action, NULL, NULL, true FROM events"""
     out["history_stream"] = _ration_prefix() + """
 SELECT scenario_id, user_id, status, round(total_cost, 4) AS total_cost FROM solved WHERE status = 'optimal'"""
     out["quarantine_ingest"] = V.with_views(V.LISTING) + """

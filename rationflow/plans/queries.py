@@ -417,7 +417,16 @@ def q_rate_limit_stream(spark, sf_dir):
     from ..streaming.admission import run_available
     schema = td.table(spark, sf_dir, "events").schema
     out = run_available(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema, _event_limits(spark))
-    return out.where("not late").select("event_id", "user_id", "action", "admitted", "wait_s")
+    return out.select("event_id", "user_id", "action", "admitted", "wait_s", "late")
+
+
+def q_rate_limit_late(spark, sf_dir):
+    """The events as a stream, delivered once more when all are decided: the
+    second delivery is behind the watermark and comes back as late."""
+    from ..streaming.admission import run_available
+    events = td.table(spark, sf_dir, "events")
+    out = run_available(spark, f"{sf_dir.rstrip('/')}/events.parquet", events.schema, _event_limits(spark), later=events)
+    return out.select("event_id", "user_id", "action", "admitted", "wait_s", "late")
 
 
 def q_history_stream(spark, sf_dir):
@@ -709,6 +718,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "diet_means": q_diet_means,
         "breed_options": q_breed_options,
         "rate_limit_stream": q_rate_limit_stream,
+        "rate_limit_late": q_rate_limit_late,
         "history_stream": q_history_stream,
         "gain_forest": q_gain_forest,
         "session_report": q_session_report,

@@ -1,79 +1,135 @@
 """K2/K5 streaming form: stateful admission control per (user, action).
 
 Rows are decided in event time whatever order they arrive in: a row waits in
-its key's state until the watermark has passed it, then the waiting rows are
-decided oldest first by the same rule as in batch.  A row older than the
-watermark when it arrives (or than its key's last decision) can no longer be
-decided in order: it is returned with ``late`` true and no decision, never
-dropped.  State per key: the last ``max_calls`` admitted times and the rows
-still waiting, those of one watermark delay.
+its key's state until the watermark has passed it, then a timer of the key
+decides the waiting rows oldest first by the same rule as in batch.  A row older
+than the watermark when it arrives can no longer be decided in order: it is
+returned with ``late`` true and no decision, never dropped.
+
+State of a key, in a store on disk: a list of the rows still waiting (those of
+one watermark delay), to which arrivals are appended without reading it; and one
+value with the times of the last ``max_calls`` admitted calls and of its one
+timer.  A key without waiting rows whose admitted calls have all left the window is
+removed.  Null users and actions are keys of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.admission import RecentCalls, with_limits
 from ..session import ensure_checkpoint_dir, is_folder, new_table
 
 OUT_SCHEMA = "event_id long, user_id long, action string, admitted boolean, wait_s long, late boolean"
-STATE_SCHEMA = ("admitted_us array<long>, waiting_us array<long>, waiting_id array<long>, max_calls long,"
-                " window_us long, decided_us long")
-
-
-def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    times, wait_us, wait_id, calls, window, decided = state.get if state.exists else ([], [], [], 0, 0, -1)
-    waiting = list(zip(wait_us, wait_id, strict=True))
-    passed = state.getCurrentWatermarkMs()  # -1 or 0 before the first
-    out: list[tuple] = []
-    if not state.hasTimedOut:
-        for pdf in pdfs:
+#: The state store that lists and timers need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def list_state(spark: SparkSession):
+    """Streams started inside use the store that `admission_stream` needs; a
+    stream keeps the settings it was started with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _decisions(key, rows: list[tuple]) -> pd.DataFrame:
+    """rows: (event_id, admitted, wait_s, late)."""
+    return pd.DataFrame({
+        "event_id": pd.array([r[0] for r in rows], dtype="Int64"), "user_id": pd.array([key[0]] * len(rows), dtype="Int64"),
+        "action": pd.array([key[1]] * len(rows), dtype="string"), "admitted": pd.array([r[1] for r in rows], dtype="boolean"),
+        "wait_s": pd.array([r[2] for r in rows], dtype="Int64"), "late": [r[3] for r in rows]})
+
+
+class Admission(StatefulProcessor):
+    """Decisions of one (user, action) after another."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts_us long, event_id long")
+        self.calls = handle.getValueState(
+            "calls", "admitted_us array<long>, max_calls long, window_us long, waits boolean, timer_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()  # 0 before the first
+        first = calls = window = None
+        for pdf in rows:
             pdf = pdf[pdf["event_id"].notna()]  # not the heartbeats
-            if len(pdf):
-                calls, window = int(pdf["max_calls"].iloc[0]), int(pdf["window_us"].iloc[0])
-            for t, i in zip(pdf["ts_us"].tolist(), map(int, pdf["event_id"]), strict=True):
-                if t < passed * 1000 or t < decided:
-                    out.append((i, None, None, True))
-                else:
-                    waiting.append((t, i))
-    waiting.sort()
-    recent, n = RecentCalls(calls, window, times), 0
-    for t, i in waiting:
-        if t >= passed * 1000:
-            break
-        left = recent.decide(t)
-        out.append((i, left is None, left, False))
-        decided, n = t, n + 1
-    waiting = waiting[n:]
-    # kept while rows wait or an admitted call can still count
-    until = [waiting[0][0] // 1000] if waiting else [(recent.times[-1] + window) // 1000] if recent.times else []
-    if not until or not waiting and until[0] < passed:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((list(recent.times), [w[0] for w in waiting], [w[1] for w in waiting], calls, window, decided))
-        state.setTimeoutTimestamp(max(until[0] + 1, passed + 1))
-    if out:
-        yield pd.DataFrame({
-            "event_id": pd.array([o[0] for o in out], dtype="Int64"), "user_id": pd.array([key[0]] * len(out), dtype="Int64"),
-            "action": pd.array([key[1]] * len(out), dtype="string"), "admitted": pd.array([o[1] for o in out], dtype="boolean"),
-            "wait_s": pd.array([o[2] for o in out], dtype="Int64"), "late": [o[3] for o in out]})
+            if not len(pdf):
+                continue
+            calls, window = int(pdf["max_calls"].iloc[0]), int(pdf["window_us"].iloc[0])
+            late = (pdf["ts_us"] < passed * 1000) & (passed > 0)
+            if late.any():
+                yield _decisions(key, [(int(i), None, None, True) for i in pdf["event_id"][late]])
+            new = pdf[~late]
+            if len(new):
+                self.waiting.appendList([(int(t), int(i)) for t, i in zip(new["ts_us"], new["event_id"], strict=True)])
+                first = min(int(new["ts_us"].min()), first) if first is not None else int(new["ts_us"].min())
+        if first is None:
+            return
+        old = self.calls.get()
+        wake = max(first // 1000 + 1, passed + 1)
+        if old is None:
+            self.handle.registerTimer(wake)
+        elif old[4] > wake:
+            self.handle.deleteTimer(old[4])
+            self.handle.registerTimer(wake)
+        else:
+            wake = old[4]
+        # the limits of the latest row hold
+        self.calls.update(([] if old is None else list(old[0]), calls, window, True, wake))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        times, calls, window, waits, _ = self.calls.get()
+        waiting = sorted(tuple(map(int, w)) for w in self.waiting.get()) if waits else []
+        recent, out = RecentCalls(calls, window, map(int, times)), []
+        for t, i in waiting:
+            if t >= passed * 1000:
+                break
+            left = recent.decide(t)
+            out.append((i, left is None, left, False))
+        rest, times = waiting[len(out):], list(recent.times)
+        if rest:
+            self.waiting.put(rest)
+        elif waits:
+            self.waiting.clear()
+        # woken again by the next waiting row, or when no admitted call counts any more
+        until = rest[0][0] // 1000 if rest else (times[-1] + window) // 1000 if times else -1
+        if rest or until >= passed:
+            wake = max(until + 1, passed + 1)
+            self.handle.registerTimer(wake)
+            self.calls.update((times, calls, window, bool(rest), wake))
+        else:
+            self.calls.clear()
+        if out:
+            yield _decisions(key, out)
+
+    def close(self) -> None:
+        pass
 
 
 def admission_stream(events: DataFrame, limits: DataFrame | None = None, watermark: str = "10 minutes") -> DataFrame:
     """Streaming DataFrame of decisions from a streaming attempts frame
     (event_id, user_id, action, ts).  A row without event_id is a
-    heartbeat: it moves the watermark and is no attempt."""
-    a = with_limits(events.withColumn("ts", F.col("ts").cast("timestamp")), limits)
-    a = a.withWatermark("ts", watermark)
-    return a.groupBy("user_id", "action").applyInPandasWithState(
-        _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    heartbeat: it moves the watermark and is no attempt.  Start it within
+    `list_state`."""
+    a = with_limits(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark), limits)
+    # without the watermarked column itself, for whose sake Spark would drop late rows unseen
+    a = a.select("event_id", "user_id", "action", "max_calls", "window_us", "ts_us")
+    return a.groupBy("user_id", "action").transformWithStateInPandas(Admission(), OUT_SCHEMA, "Append", "EventTime")
 
 
 def stream_table(spark: SparkSession, path: str, schema, bytes_per_trigger: int = 8 << 30) -> DataFrame:
@@ -86,13 +142,14 @@ def stream_table(spark: SparkSession, path: str, schema, bytes_per_trigger: int
 
 
 def run_available(spark: SparkSession, path: str, schema, limits: DataFrame | None = None, out_path: str | None = None,
-                  watermark: str = "10 minutes") -> DataFrame:
+                  watermark: str = "10 minutes", later: DataFrame | None = None) -> DataFrame:
     """Decide everything now in the table at ``path`` (trigger availableNow)
     into a parquet file sink (exactly-once via the sink log) under the shared
     checkpoint folder and return it as a batch DataFrame.  Rows younger than
     the watermark still wait when the input ends; a heartbeat behind the last
-    of them, written to a second source folder, releases them.  No decision
-    row passes through the driver."""
+    of them, written to a second source folder, releases them.  ``later`` are
+    rows (event_id, user_id, event_type, ts) delivered after that, in a load of their
+    own.  No decision row passes through the driver."""
     beats, out_path = new_table(spark, "heartbeats"), out_path or new_table(spark, "admission")
     checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/admission_{uuid4().hex}"
     cols = ["event_id", "user_id", "event_type", "ts"]
@@ -104,16 +161,19 @@ def run_available(spark: SparkSession, path: str, schema, limits: DataFrame | No
             spark.readStream.schema(beat.schema).parquet(beats))
         q = (admission_stream(src.withColumnRenamed("event_type", "action"), limits, watermark)
              .writeStream.format("parquet").option("path", out_path).outputMode("append")
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+        with list_state(spark):
+            q = q.start()
         q.awaitTermination()
 
     run()
     last = spark.read.schema(schema).parquet(path).agg(F.max("ts").alias("ts")).where("ts is not null")
-    delay = F.expr(f"INTERVAL {watermark}")
-    for beat_no in (1, 2):  # the second releases keys whose timers the first has set
-        (last.select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"),
-                     F.lit(None).cast("string").alias("event_type"),
-                     (F.col("ts") + delay * beat_no + F.expr("INTERVAL 1 minute") * beat_no).cast(beat.schema["ts"].dataType).alias("ts"))
-         .write.mode("append").parquet(beats))
+    (last.select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"),
+                 F.lit(None).cast("string").alias("event_type"),
+                 (F.col("ts") + F.expr(f"INTERVAL {watermark}") + F.expr("INTERVAL 1 minute")).cast(beat.schema["ts"].dataType).alias("ts"))
+     .write.mode("append").parquet(beats))
+    run()
+    if later is not None:
+        later.select(*[F.col(c).cast(beat.schema[c].dataType) for c in cols]).write.mode("append").parquet(beats)
         run()
     return spark.read.schema(OUT_SCHEMA).parquet(out_path)

@@ -159,7 +159,7 @@ def test_stream_state_carries_across_batches_and_orders_rows(spark):
     import uuid
 
     from rationflow.session import ensure_checkpoint_dir
-    from rationflow.streaming.admission import admission_stream
+    from rationflow.streaming.admission import admission_stream, list_state
 
     d = _tmp()
     schema = "event_id long, user_id long, event_type string, ts timestamp_ntz"
@@ -167,22 +167,27 @@ def test_stream_state_carries_across_batches_and_orders_rows(spark):
     at = lambda s: base + dt.timedelta(seconds=s)
     batches = [[(1, 7, "optimize", at(0)), (2, 7, "optimize", at(1))],
                [(3, 7, "optimize", at(2)), (4, 7, "optimize", at(0.5)), (5, 7, "optimize", at(12))],
-               [(None, None, None, at(4000))], [(None, None, None, at(9000))]]
+               [(None, None, None, at(4000))], [(None, None, None, at(9000))],
+               [(6, 7, "optimize", at(1)), (7, None, None, at(8399)), (8, 7, "optimize", at(8401))],
+               [(None, None, None, at(20000))], [(None, None, None, at(30000))]]
     lim = spark.createDataFrame([("optimize", 2, 10)], "action string, max_calls int, window_seconds int")
     src = spark.readStream.schema(schema).parquet(d).withColumnRenamed("event_type", "action")
     name = f"adm_{uuid.uuid4().hex[:8]}"
     ckpt = f"{ensure_checkpoint_dir(spark)}/streams/{name}"
-    q = (admission_stream(src, lim).writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", ckpt).start())
+    with list_state(spark):
+        q = (admission_stream(src, lim).writeStream.format("memory").queryName(name).outputMode("append")
+             .option("checkpointLocation", ckpt).start())
     try:
         for rows in batches:
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(d)
             q.processAllAvailable()
     finally:
         q.stop()
-    got = {r.event_id: r.admitted for r in spark.table(name).collect()}
-    # in time order: 1 (0 s), 4 (0.5 s) pass; 2 (1 s), 3 (2 s) must wait; 5 (12 s) passes
-    assert got == {1: True, 4: True, 2: False, 3: False, 5: True}
+    got = {r.event_id: (r.admitted, r.late) for r in spark.table(name).collect()}
+    # in time order: 1 (0 s), 4 (0.5 s) pass; 2 (1 s), 3 (2 s) must wait; 5 (12 s) passes;
+    # the watermark stands at 8400 s when 6 and 7 come
+    assert got == {1: (True, False), 4: (True, False), 2: (False, False), 3: (False, False), 5: (True, False),
+                   6: (None, True), 7: (None, True), 8: (True, False)}
 
 
 def test_default_limits_and_fallback(spark):
