@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import bounded_batches, fresh, in_bitmap, key_bitmap, named, raw_text, shuffle_partitions, written
+from .util import bounded_batches, fresh, in_bitmap, key_bitmap, mix, named, raw_text, shuffle_partitions, written
 
 TAU, MIN_CHARS = 2, 1
 #: One line in SAMPLE is counted for common_segments.  A segment is common with
 #: PART_LINES entries and a COMMON-th of all; each part gets about PART_LINES.
 SAMPLE, COMMON, PART_LINES, MOST_PARTS = 64, 4096, 20_000, 256
+BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 FLIPS = 4  # parity bits of the bigram signature one edit can change
 
 
@@ -52,10 +54,6 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
     """(start, length) of the tau + 1 segments; the later ones are the longer."""
     base, more = divmod(length, tau + 1)
@@ -106,9 +104,47 @@ def signatures(lines: list[str]) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(-1)
 
 
-def segment_id(line: str, length: int, i: int, at: int, n: int) -> int:
-    """Of the n code points from ``at``, as segment i of a line of ``length``."""
-    return xxhash.xxh3_64_intdigest(line[at:at + n], seed=length * 64 + i)
+def _chunks(lines: list[str]):
+    """Runs of lines, some million code points each or one longer line."""
+    at = size = 0
+    for i, x in enumerate(lines):
+        if size and size + len(x) > 1_000_000:
+            yield at, lines[at:i]
+            at, size = i, 0
+        size += len(x)
+    if lines:
+        yield at, lines[at:]
+
+
+def segment_ids(lines: list[str], plans: dict[int, np.ndarray], tau: int, probing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, id) of all segments that ``plan_of`` names for each line.  An id
+    hashes indexed length, segment number and the content as a polynomial of its
+    code points, read off running sums; another segment's by chance only makes a
+    candidate more.  ``plans`` keeps the plans by length."""
+    owners, ids = [], []
+    for first, chunk in _chunks(lines):
+        points = np.frombuffer("".join(chunk).encode("utf-32-le", "replace"), np.uint32)
+        powers, inverse = (np.full(len(points) + 1, x, np.uint64) for x in (BASE, BASE_INVERSE))
+        powers[0] = inverse[0] = 1
+        np.cumprod(powers, out=powers)
+        np.cumprod(inverse, out=inverse)
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
+        lens = np.fromiter(map(len, chunk), np.int64, count=len(chunk))
+        starts = np.cumsum(lens) - lens
+        order = np.argsort(lens, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(lens[order])) + 1):
+            n = int(lens[own[0]])
+            if n not in plans:
+                plans[n] = np.array(plan_of(n, tau, probing), np.int64).reshape(-1, 4)
+            length, i, at, size = plans[n].T
+            if not len(at):
+                continue
+            lo = starts[own][:, None] + at
+            h = (sums[lo + size] - sums[lo]) * inverse[lo]
+            ids.append(mix(h ^ mix((length * 64 + i + 1).astype(np.uint64))).reshape(-1))
+            owners.append(np.repeat(own + first, len(at)))
+    return (np.concatenate(owners), np.concatenate(ids)) if ids else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def dealt(seg: int, part: int) -> int:
@@ -131,7 +167,8 @@ def common_segments(rows: DataFrame) -> dict[int, int]:
 def _entries(docs: DataFrame, tau: int, min_chars: int, text: str, probing: bool, common) -> DataFrame:
     """(seg, lid, sig): index entries, or look-ups, of the lines of each task."""
     def run(batches):
-        seen, plan, parts = set(), {}, common.value
+        seen, plans, parts = set(), {}, common.value
+        known = np.fromiter(parts, np.uint64, count=len(parts))
         for b in batches:
             lines, lids = [], []
             for t in b.column(0).to_pylist():
@@ -142,21 +179,16 @@ def _entries(docs: DataFrame, tau: int, min_chars: int, text: str, probing: bool
                         lids.append(h)
             if not lines:
                 continue
-            segs, times = [], []
-            for x, h in zip(lines, lids, strict=True):
-                n = len(x)
-                if n not in plan:
-                    plan[n] = plan_of(n, tau, probing)
-                mine = [segment_id(x, length, i, p, m) for length, i, p, m in plan[n]]
-                if parts and not parts.keys().isdisjoint(mine):
-                    mine = [y for g in mine for y in (
-                        [g] if g not in parts else [dealt(g, k) for k in range(parts[g])] if probing
-                        else [dealt(g, h % parts[g])])]
-                segs.extend(mine)
-                times.append(len(mine))
-            lid, sig = np.repeat(np.array(lids, np.int64), times), np.repeat(signatures(lines), times)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(segs, np.uint64).view(np.int64)), pa.array(lid), pa.array(sig)],
-                                             names=["seg", "lid", "sig"])
+            owner, segs = segment_ids(lines, plans, tau, probing)
+            lid = np.array(lids, np.int64)[owner]
+            sig = np.concatenate([signatures(chunk) for _, chunk in _chunks(lines)])[owner]
+            if parts and (hot := np.isin(segs, known)).any():
+                more = [(dealt(g, k), h, s) for g, h, s in zip(segs[hot].tolist(), lid[hot].tolist(), sig[hot].tolist(), strict=True)
+                        for k in (range(parts[g]) if probing else (h % parts[g],))]
+                g, h, s = zip(*more, strict=True)
+                segs = np.concatenate([segs[~hot], np.array(g, np.uint64)])
+                lid, sig = (np.concatenate([x[~hot], np.array(y, np.int64)]) for x, y in ((lid, h), (sig, s)))
+            yield pa.RecordBatch.from_arrays([pa.array(segs.view(np.int64)), pa.array(lid), pa.array(sig)], names=["seg", "lid", "sig"])
 
     return bounded_batches(docs.select(raw_text(text)), 500).mapInArrow(run, "seg long, lid long, sig long")
 
@@ -291,8 +323,9 @@ def line_rows(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text:
     """One row a document (n_lines set) and one a line of at least min_chars;
     ``segs`` has the index entries of one line in SAMPLE."""
     def run(batches):
+        plans = {}
         for b in batches:
-            out = {c: [] for c in ("d1", "d2", "doc_id", "n_lines", "line_no", "lid", "segs")}
+            out, lines_ = {c: [] for c in ("d1", "d2", "doc_id", "n_lines", "line_no", "lid", "segs")}, []
             for t, d1, d2, i in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 lines = _fold(t) if t else []
                 rows = [(no, line_id(x), x) for no, x in enumerate(lines) if len(x) >= min_chars]
@@ -301,9 +334,14 @@ def line_rows(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text:
                 out["n_lines"].extend([len(lines)] + [None] * (m - 1))
                 out["line_no"].extend([None] + [r[0] for r in rows])
                 out["lid"].extend([None] + [r[1] for r in rows])
-                out["segs"].extend([None] + [
-                    None if h % SAMPLE else [_signed(segment_id(x, *p)) for p in plan_of(len(x), tau, False)]
-                    for _, h, x in rows])
+                lines_.extend([None] + [x for _, _, x in rows])
+            marked = [i for i, h in enumerate(out["lid"]) if h is not None and h % SAMPLE == 0]
+            owner, segs = segment_ids([lines_[i] for i in marked], plans, tau, False)
+            out["segs"] = [None] * len(lines_)
+            for i in marked:
+                out["segs"][i] = []
+            for o, g in zip(owner.tolist(), segs.view(np.int64).tolist(), strict=True):
+                out["segs"][marked[o]].append(g)
             yield pa.RecordBatch.from_pydict({
                 c: pa.array(v, pa.list_(pa.int64()) if c == "segs" else pa.int64()) for c, v in out.items()})
 
