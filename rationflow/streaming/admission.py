@@ -46,11 +46,11 @@ def list_state(spark: SparkSession):
 
 
 def _decisions(key, rows: list[tuple]) -> pd.DataFrame:
-    """rows: (event_id, admitted, wait_s, late)."""
-    return pd.DataFrame({
-        "event_id": pd.array([r[0] for r in rows], dtype="Int64"), "user_id": pd.array([key[0]] * len(rows), dtype="Int64"),
-        "action": pd.array([key[1]] * len(rows), dtype="string"), "admitted": pd.array([r[1] for r in rows], dtype="boolean"),
-        "wait_s": pd.array([r[2] for r in rows], dtype="Int64"), "late": [r[3] for r in rows]})
+    """rows: (event_id, admitted, wait_s, late); one block of objects, as most
+    keys have few rows and typed columns would take longer to set up than to fill."""
+    user = None if pd.isna(key[0]) else int(key[0])
+    return pd.DataFrame([(i, user, key[1], *rest) for i, *rest in rows],
+                        columns=["event_id", "user_id", "action", "admitted", "wait_s", "late"], dtype=object)
 
 
 class Admission(StatefulProcessor):
@@ -62,21 +62,23 @@ class Admission(StatefulProcessor):
         self.calls = handle.getValueState(
             "calls", "admitted_us array<long>, max_calls long, window_us long, waits boolean, timer_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, batches: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()  # 0 before the first
         first = calls = window = None
-        for pdf in rows:
-            pdf = pdf[pdf["event_id"].notna()]  # not the heartbeats
-            if not len(pdf):
-                continue
+        for pdf in batches:
+            if pdf["event_id"].hasnans:
+                pdf = pdf[pdf["event_id"].notna()]  # not the heartbeats
+                if not len(pdf):
+                    continue
             calls, window = int(pdf["max_calls"].iloc[0]), int(pdf["window_us"].iloc[0])
-            late = (pdf["ts_us"] < passed * 1000) & (passed > 0)
-            if late.any():
-                yield _decisions(key, [(int(i), None, None, True) for i in pdf["event_id"][late]])
-            new = pdf[~late]
-            if len(new):
-                self.waiting.appendList([(int(t), int(i)) for t, i in zip(new["ts_us"], new["event_id"], strict=True)])
-                first = min(int(new["ts_us"].min()), first) if first is not None else int(new["ts_us"].min())
+            rows = [(int(t), int(i)) for t, i in zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), strict=True)]
+            late = [i for t, i in rows if t < passed * 1000 and passed > 0]
+            if late:
+                yield _decisions(key, [(i, None, None, True) for i in late])
+            new = [r for r in rows if r[0] >= passed * 1000 or passed <= 0]
+            if new:
+                self.waiting.appendList(new)
+                first = min(new)[0] if first is None else min(min(new)[0], first)
         if first is None:
             return
         old = self.calls.get()
