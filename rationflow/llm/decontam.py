@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import WORD_CACHE, WordHashes, bounded_batches, flat_hashes, fresh, mix, raw_text, window_hashes, words_of, written
+from .util import WORD_CACHE, WordHashes, bounded_batches, flat_hashes, fresh, mix, raw_text, tidy, window_hashes, words_of, written
 
 ENDS = b".,;:!?\"'()[]{}"
 FILTER_BITS = 22
@@ -154,7 +154,7 @@ def _item_grams(items: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (txt, place, gram)],
                                                  names=["txt", "place", "gram"])
 
-    return bounded_batches(items.select("txt", raw_text("text"))).mapInArrow(run, "txt long, place long, gram long")
+    return bounded_batches(items.select("txt", raw_text("text"))).mapInArrow(tidy(run), "txt long, place long, gram long")
 
 
 def _blocks(benchmark: DataFrame, block_words: int, n: int, stem_items: int, text: str, key: str):
@@ -247,7 +247,7 @@ def _block_hits(docs, items, n, least, text, key, schema) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *out, "txt"])
 
     src = docs.select(raw_text(text), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("txt"))
-    return bounded_batches(src).mapInArrow(hits, schema)
+    return bounded_batches(src).mapInArrow(tidy(hits), schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

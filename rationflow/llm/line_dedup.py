@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import bounded_batches, fresh, in_bitmap, key_bitmap, named, raw_text, shuffle_partitions, written
+from .util import bounded_batches, fresh, in_bitmap, key_bitmap, named, raw_text, shuffle_partitions, tidy, written
 
 TAU, MIN_CHARS = 2, 1
 #: One line in SAMPLE is counted for common_segments.  A segment is common with
@@ -158,7 +158,7 @@ def _entries(docs: DataFrame, tau: int, min_chars: int, text: str, probing: bool
             yield pa.RecordBatch.from_arrays([pa.array(np.array(segs, np.uint64).view(np.int64)), pa.array(lid), pa.array(sig)],
                                              names=["seg", "lid", "sig"])
 
-    return bounded_batches(docs.select(raw_text(text)), 500).mapInArrow(run, "seg long, lid long, sig long")
+    return bounded_batches(docs.select(raw_text(text)), 500).mapInArrow(tidy(run), "seg long, lid long, sig long")
 
 
 def within(pairs: list[tuple[str, str]], k: int) -> np.ndarray:
@@ -269,7 +269,7 @@ def line_links(docs: DataFrame, rows: DataFrame, tau: int = TAU, min_chars: int
                     new.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(lids[new]), pa.array([lines[i] for i in new], pa.string())], names=["lid", "line"])
 
-    lines = (bounded_batches(docs.select(raw_text(text)), 500).mapInArrow(fetch, "lid long, line string")
+    lines = (bounded_batches(docs.select(raw_text(text)), 500).mapInArrow(tidy(fetch), "lid long, line string")
              .groupBy("lid").agg(F.min("line").alias("line")))
 
     def verify(batches):
@@ -284,7 +284,7 @@ def line_links(docs: DataFrame, rows: DataFrame, tau: int = TAU, min_chars: int
 
     side = lambda c, t: lines.select(F.col("lid").alias(c), F.col("line").alias(t))
     return (cand.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
-            .mapInArrow(verify, "a long, b long"))
+            .mapInArrow(tidy(verify), "a long, b long"))
 
 
 def line_rows(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -308,7 +308,7 @@ def line_rows(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text:
                 c: pa.array(v, pa.list_(pa.int64()) if c == "segs" else pa.int64()) for c, v in out.items()})
 
     src = docs.select(raw_text(text), *_doc_key(text, key), F.col(key).cast("long").alias("doc_id"))
-    return bounded_batches(src, 500).mapInArrow(run, "d1 long, d2 long, doc_id long, n_lines long, line_no long, lid long, segs array<long>")
+    return bounded_batches(src, 500).mapInArrow(tidy(run), "d1 long, d2 long, doc_id long, n_lines long, line_no long, lid long, segs array<long>")
 
 
 def _doc_key(text: str, key: str):

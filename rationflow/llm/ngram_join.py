@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import WordHashes, bounded_batches, flat_hashes, mix, raw_text, shuffle_partitions, window_hashes, words_of, written
+from .util import WordHashes, bounded_batches, flat_hashes, mix, raw_text, shuffle_partitions, tidy, tidy_group, window_hashes, words_of, written
 
 #: n-grams a part of the index counts at once, about.
 PART_KEYS = 2_000_000
@@ -81,7 +81,7 @@ def document_sets(docs: DataFrame, n: int, text: str = "text", key: str = "doc_i
                                              names=["doc_id", "sid", "n"])
 
     return bounded_batches(docs.select(raw_text(text), F.col(key).cast("long").alias("doc_id")), BATCH).mapInArrow(
-        run, "doc_id long, sid binary, n long")
+        tidy(run), "doc_id long, sid binary, n long")
 
 
 def _blocks(docs: DataFrame, n: int, parts: int, text: str) -> DataFrame:
@@ -117,7 +117,7 @@ def _blocks(docs: DataFrame, n: int, parts: int, text: str) -> DataFrame:
                 {c: pa.array(v, pa.int64() if c in ("part", "batch") else pa.binary()) for c, v in rows.items()})
 
     return bounded_batches(docs.select(raw_text(text)), BATCH).mapInArrow(
-        run, "part long, batch long, sids binary, sizes binary, counts binary, grams binary")
+        tidy(run), "part long, batch long, sids binary, sizes binary, counts binary, grams binary")
 
 
 def _runs(sid: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,14 +140,14 @@ def _shared(table: pa.Table) -> pa.Table:
     order, new = _runs(sid, names[batch])
     owner = np.zeros(len(sid), bool)
     owner[order[new]] = True
-    entry = np.repeat(np.arange(len(sid)), count)
+    entry = np.repeat(np.arange(len(sid), dtype=np.int32), count)
     keep = owner[entry]
     grams, entry = grams[keep], entry[keep]
     by = np.argsort(grams, kind="stable")
     start = np.flatnonzero(np.append(True, grams[by][1:] != grams[by][:-1]))
     times = np.diff(np.append(start, len(grams)))
-    df = np.empty(len(grams), np.int64)
-    df[by] = np.repeat(times, times)
+    df = np.empty(len(grams), np.int32)
+    df[by] = np.repeat(times.astype(np.int32), times)
     ok = df > 1
     grams, entry, df = grams[ok], entry[ok], df[ok]
     out = {"batch": [], "sids": [], "sizes": [], "counts": [], "grams": [], "dfs": []}
@@ -156,7 +156,7 @@ def _shared(table: pa.Table) -> pa.Table:
             continue
         some, n = np.unique(entry[a:e], return_counts=True)
         for c, v in (("batch", names[batch[some[0]]]), ("sids", sid[some].tobytes()), ("sizes", size[some].tobytes()),
-                     ("counts", n.astype(np.int32).tobytes()), ("grams", grams[a:e].tobytes()), ("dfs", df[a:e].astype(np.int32).tobytes())):
+                     ("counts", n.astype(np.int32).tobytes()), ("grams", grams[a:e].tobytes()), ("dfs", df[a:e].tobytes())):
             out[c].append(v)
     return pa.table({c: pa.array(v, pa.int64() if c == "batch" else pa.binary()) for c, v in out.items()})
 
@@ -195,9 +195,9 @@ def candidate_sets(docs: DataFrame, n: int, num: int, den: int, grams_in_all: in
     with the n-grams other sets have too, rarest first."""
     parts = max(shuffle_partitions(docs.sparkSession), grams_in_all // PART_KEYS + 1)
     shared = (_blocks(docs, n, parts, text).groupBy("part").applyInArrow(
-        _shared, "batch long, sids binary, sizes binary, counts binary, grams binary, dfs binary"))
+        tidy_group(_shared), "batch long, sids binary, sizes binary, counts binary, grams binary, dfs binary"))
     return shared.groupBy("batch").applyInArrow(
-        _sets_of_batch(num, den), "sid binary, n long, unshared long, grams array<long>")
+        tidy_group(_sets_of_batch(num, den)), "sid binary, n long, unshared long, grams array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:

@@ -19,7 +19,7 @@ kept unless they are named like one of ``ids`` and ``decoded``, which win.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .sp_model import SPACE, Vocabulary, pretokens, raw, spread, vocabulary
-from .util import bounded_batches
+from .util import bounded_batches, looked_up, tidy
 
 #: Words and ids a task keeps encoded before the cache starts afresh.
 CACHE_WORDS, CACHE_IDS = 400_000, 8_000_000
@@ -137,6 +137,14 @@ def merge_words(sym: np.ndarray, word: np.ndarray, v: Vocabulary) -> tuple[np.nd
     return final[at], word[at]
 
 
+class Numbers(dict):
+    """key -> its number, in the order they are first looked up."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """Pre-token key -> ids, with a bounded cache."""
 
@@ -145,12 +153,13 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbers()
         self.pool = np.zeros(0, np.int32)
         self.at = np.zeros(0, np.int64)
         self.len = np.zeros(0, np.int64)
 
     def learn(self, keys: list[bytes]) -> None:
+        """The ids of the last keys of the index."""
         v = self.v
         points = [np.frombuffer(raw(k).decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for k in keys]
         n = np.array([len(p) for p in points], np.int64)
@@ -167,22 +176,17 @@ class Encoder:
             wide[np.repeat(sym < 0, size)] = np.concatenate(parts)
             sym, word = wide, np.repeat(word, size)
         lens = np.bincount(word, minlength=len(keys)).astype(np.int64)
-        base = len(self.index)
-        self.index.update(zip(keys, range(base, base + len(keys)), strict=True))
         self.at = np.append(self.at, len(self.pool) + np.cumsum(lens) - lens)
         self.len = np.append(self.len, lens)
         self.pool = np.append(self.pool, sym.astype(np.int32))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with begin and end ids, number of ids of each)."""
-        words = [pretokens(t) for t in texts]
         if len(self.index) > CACHE_WORDS or len(self.pool) > CACHE_IDS:
             self.clear()
-        new = list(set(chain.from_iterable(words)).difference(self.index))
-        if new:
-            self.learn(new)
-        n = np.fromiter(map(len, words), np.int64, count=len(words))
-        idx = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, count=int(n.sum()))
+        idx, n = looked_up(map(pretokens, texts), self.index, np.int64)
+        if len(self.index) > len(self.at):
+            self.learn(list(islice(self.index, len(self.at), None)))
         lens = self.len[idx]
         ids = self.pool[spread(self.at[idx], lens)]
         ends = np.cumsum(n)
@@ -200,15 +204,13 @@ class Encoder:
 
 def decode_flat(ids: np.ndarray, total: np.ndarray, v: Vocabulary) -> list[str]:
     """Texts of id sequences that lie one after the other."""
-    lens = v.blob_len[ids]
-    data = v.blob[spread(v.blob_at[ids], lens)].tobytes()
-    upto = np.append(0, np.cumsum(lens))
     ends = np.cumsum(total)
     out = []
-    for a, b in zip(upto[ends - total].tolist(), upto[ends].tolist(), strict=True):
-        if data[a:a + 1] == b" ":  # the space sign the encoder put in front
-            a += 1
-        out.append(data[a:b].decode("utf-8", "replace"))
+    for a, b in zip((ends - total).tolist(), ends.tolist(), strict=True):
+        data = b"".join(v.blobs[ids[a:b]].tolist())
+        if data[:1] == b" ":  # the space sign the encoder put in front
+            data = data[1:]
+        out.append(data.decode("utf-8", "replace"))
     return out
 
 
@@ -237,4 +239,4 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 names=[*keep, "ids", "decoded"])
 
     src = docs.select(*keep, F.col(keep[at]).cast("binary").alias("_raw"))
-    return bounded_batches(src, 1000).mapInArrow(run, schema)
+    return bounded_batches(src, 250).mapInArrow(tidy(run), schema)

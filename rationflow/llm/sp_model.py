@@ -101,9 +101,7 @@ class Vocabulary:
                 blobs.append(bytes([int(p[3:5], 16)]))
             else:
                 blobs.append(p.replace(SPACE, " ").encode() if plain[i] else b"")
-        self.blob = np.frombuffer(b"".join(blobs), np.uint8)
-        self.blob_len = np.array([len(b) for b in blobs], np.int64)
-        self.blob_at = np.cumsum(self.blob_len) - self.blob_len
+        self.blobs = np.array(blobs, object)
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(merged id, its rank) of adjacent symbols; rank NONE if none.
