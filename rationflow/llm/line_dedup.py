@@ -28,6 +28,8 @@ A line is known by a 64-bit digest of its folded content.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,27 +37,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import bounded_batches, fresh, in_bitmap, key_bitmap, named, raw_text, shuffle_partitions, tidy, written
+from .util import BATCH_BYTES, bounded_batches, fresh, in_bitmap, key_bitmap, mix, named, raw_text, shuffle_partitions, tidy, written
 
 TAU, MIN_CHARS = 2, 1
 #: One line in SAMPLE is counted for common_segments.  A segment is common with
 #: PART_LINES entries and a COMMON-th of all; each part gets about PART_LINES.
 SAMPLE, COMMON, PART_LINES, MOST_PARTS = 64, 4096, 20_000, 256
 FLIPS = 4  # parity bits of the bigram signature one edit can change
+CHUNK = 1 << 18  # code points whose ids are made at once, about; one line is never cut
+BASE, SEED = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd
+SPACES = bytes.maketrans(b"\t\v\f\r", b"    ")
 
 
 def _fold(text: bytes) -> list[str]:
-    return [b" ".join(x.split()).decode("utf-8", "replace") for x in text.split(b"\n")]
+    """The folded lines, in a few passes over the whole text."""
+    text = text.translate(SPACES)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").decode("utf-8", "replace").split("\n")
+
+
+def folded(texts: list[bytes]) -> Iterable[list[str]]:
+    """The folded lines of each text; which texts have white space to fold is
+    found for all of them at once."""
+    if sum(map(len, texts)) > 2 * BATCH_BYTES:
+        return map(_fold, texts)
+    sign = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    space = sign == 32
+    white = space | (sign - np.uint8(9) < 5)
+    fold = (space[:-1] & white[1:]) | (white[:-1] & space[1:]) | (white & ~space & (sign != 10))[1:]
+    start = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    todo = set((np.searchsorted(start, np.flatnonzero(fold) + 1, "right") - 1).tolist())
+    return (_fold(t) if i in todo else t.decode("utf-8", "replace").split("\n") for i, t in enumerate(texts))
 
 
 def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
     """(start, length) of the tau + 1 segments; the later ones are the longer."""
     base, more = divmod(length, tau + 1)
@@ -95,25 +114,113 @@ def probes(length: int, tau: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """64 parity bits of the hashed bigrams of each line."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
-    lens = np.fromiter(map(len, lines), np.int64, count=len(lines))
-    bucket = ((points[:-1] * np.uint32(0x9E3779B1) + points[1:] * np.uint32(0x85EBCA77)) >> np.uint32(26)).astype(np.int64)
-    owner = np.repeat(np.arange(len(lines)), lens)
-    same = owner[1:] == owner[:-1]
-    bits = np.bincount(owner[:-1][same] * 64 + bucket[same], minlength=64 * len(lines)).reshape(-1, 64) & 1
-    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(-1)
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all lines, number of each line's)."""
+    return (np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32),
+            np.fromiter(map(len, lines), np.int64, count=len(lines)))
 
 
-def segment_id(line: str, length: int, i: int, at: int, n: int) -> int:
-    """Of the n code points from ``at``, as segment i of a line of ``length``."""
-    return xxhash.xxh3_64_intdigest(line[at:at + n], seed=length * 64 + i)
-
-
-def dealt(seg: int, part: int) -> int:
-    """Id of one of the parts of a very common segment."""
-    return xxhash.xxh3_64_intdigest(seg.to_bytes(8, "big"), seed=part + 1)
+def signatures(lines: list[str]) -> np.ndarray:
+    """64 parity bits of the hashed bigrams of each line."""
+    return _signatures(*_points(lines))
+
+
+def _signatures(points: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    ends, bits = np.cumsum(lens), np.zeros(len(points) + 1, np.uint64)
+    bucket = (points[:-1] * np.uint32(0x9E3779B1) + points[1:] * np.uint32(0x85EBCA77)) >> np.uint32(26)
+    np.left_shift(np.uint64(1), bucket, out=bits[:len(bucket)], dtype=np.uint64)
+    bits[ends[lens > 0] - 1] = 0  # no bigram goes over the end of a line
+    return np.where(lens > 0, np.bitwise_xor.reduceat(bits, ends - lens), 0).astype(np.uint64).view(np.int64)
+
+
+def _powers(x: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK - 1, x, np.uint64)]))
+
+
+POWERS, INVERSE = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))  # modulo 2**64
+
+
+def piece_ids(points: np.ndarray, at: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """64-bit ids of the pieces points[at:end], by content and seed.  They are
+    read off running sums of the code points times powers of BASE, so a piece
+    costs the same however long it is.  Different pieces of one id would only
+    be one candidate more to verify."""
+    sums, scale = np.zeros(len(points) + 1, np.uint64), []
+    for k in range(0, len(points) + 1, CHUNK):
+        block, step = points[k:k + CHUNK], pow(BASE, k, 1 << 64)
+        np.cumsum(block * POWERS[:len(block)], out=sums[k + 1:k + 1 + len(block)])
+        if k:
+            sums[k + 1:k + 1 + len(block)] *= np.uint64(step)
+            sums[k + 1:k + 1 + len(block)] += sums[k]
+        scale.append(pow(step, -1, 1 << 64))
+    value = (sums[end] - sums[at]) * INVERSE[at % CHUNK]
+    if len(scale) > 1:
+        value *= np.array(scale, np.uint64)[at // CHUNK]
+    return mix(value + seed.astype(np.uint64) * np.uint64(SEED))
+
+
+class Plans(dict):
+    """length -> rows (start, end, seed) of what a line of that length looks
+    up, or of its index entries, filled on demand."""
+
+    def __init__(self, tau: int, probing: bool):
+        super().__init__()
+        self.tau, self.probing = tau, probing
+
+    def __missing__(self, n: int) -> np.ndarray:
+        rows = [(at, at + m, length * 64 + i) for length, i, at, m in plan_of(n, self.tau, self.probing)]
+        plan = self[n] = np.array(rows, np.int64).reshape(-1, 3)
+        return plan
+
+
+def _segment_ids(points: np.ndarray, lens: np.ndarray, plans: Plans) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the planned segments of all lines, number of each line's)."""
+    plan = [plans[n] for n in lens.tolist()]
+    times = np.fromiter(map(len, plan), np.int64, count=len(plan))
+    at, end, seed = np.concatenate([np.zeros((0, 3), np.int64), *plan]).T
+    start = np.repeat(np.cumsum(lens) - lens, times)
+    return piece_ids(points, start + at, start + end, seed), times
+
+
+def segment_ids(lines: list[str], plans: Plans) -> tuple[np.ndarray, np.ndarray]:
+    return _segment_ids(*_points(lines), plans)
+
+
+def _chunks(lines: list[str]) -> Iterator[slice]:
+    """Runs of lines with CHUNK code points in all, about."""
+    first = held = 0
+    for i, x in enumerate(lines):
+        if held and held + len(x) > CHUNK:
+            yield slice(first, i)
+            first, held = i, 0
+        held += len(x)
+    if first < len(lines):
+        yield slice(first, len(lines))
+
+
+def dealt(seg: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Ids of parts of very common segments."""
+    return mix(seg + (part + 1).astype(np.uint64) * np.uint64(BASE))
+
+
+def deal(segs: np.ndarray, lids: np.ndarray, keys: np.ndarray, parts: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of them for each segment): an index entry of a common
+    segment (keys, ascending) goes to the part of its line, a look-up to all."""
+    times = np.ones(len(segs), np.int64)
+    if not len(keys):
+        return segs, times
+    place = np.minimum(np.searchsorted(keys, segs), len(keys) - 1)
+    hit = keys[place] == segs
+    n = parts[place[hit]]
+    if not probing:
+        out = segs.copy()
+        out[hit] = dealt(segs[hit], lids[hit] % n)
+        return out, times
+    times[hit] = n
+    out, of = np.repeat(segs, times), np.repeat(hit, times)
+    part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[of] = dealt(out[of], part)
+    return out, times
 
 
 def common_segments(rows: DataFrame) -> dict[int, int]:
@@ -131,32 +238,26 @@ def common_segments(rows: DataFrame) -> dict[int, int]:
 def _entries(docs: DataFrame, tau: int, min_chars: int, text: str, probing: bool, common) -> DataFrame:
     """(seg, lid, sig): index entries, or look-ups, of the lines of each task."""
     def run(batches):
-        seen, plan, parts = set(), {}, common.value
+        seen, plans = set(), Plans(tau, probing)
+        keys = np.array(sorted(common.value), np.uint64)
+        parts = np.array([common.value[k] for k in keys.tolist()], np.int64)
         for b in batches:
             lines, lids = [], []
-            for t in b.column(0).to_pylist():
-                for x in _fold(t):
+            for text_lines in folded(b.column(0).to_pylist()):
+                for x in text_lines:
                     if len(x) >= min_chars and (h := line_id(x)) not in seen:
                         seen.add(h)
                         lines.append(x)
                         lids.append(h)
-            if not lines:
-                continue
-            segs, times = [], []
-            for x, h in zip(lines, lids, strict=True):
-                n = len(x)
-                if n not in plan:
-                    plan[n] = plan_of(n, tau, probing)
-                mine = [segment_id(x, length, i, p, m) for length, i, p, m in plan[n]]
-                if parts and not parts.keys().isdisjoint(mine):
-                    mine = [y for g in mine for y in (
-                        [g] if g not in parts else [dealt(g, k) for k in range(parts[g])] if probing
-                        else [dealt(g, h % parts[g])])]
-                segs.extend(mine)
-                times.append(len(mine))
-            lid, sig = np.repeat(np.array(lids, np.int64), times), np.repeat(signatures(lines), times)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(segs, np.uint64).view(np.int64)), pa.array(lid), pa.array(sig)],
-                                             names=["seg", "lid", "sig"])
+            for c in _chunks(lines):
+                points, lens = _points(lines[c])
+                lid, sig = np.array(lids[c], np.int64), _signatures(points, lens)
+                segs, times = _segment_ids(points, lens, plans)
+                lid, sig = np.repeat(lid, times), np.repeat(sig, times)
+                segs, times = deal(segs, lid, keys, parts, probing)
+                if len(segs) > len(lid):
+                    lid, sig = np.repeat(lid, times), np.repeat(sig, times)
+                yield pa.RecordBatch.from_arrays([pa.array(segs.view(np.int64)), pa.array(lid), pa.array(sig)], names=["seg", "lid", "sig"])
 
     return bounded_batches(docs.select(raw_text(text)), 500).mapInArrow(tidy(run), "seg long, lid long, sig long")
 
@@ -260,7 +361,7 @@ def line_links(docs: DataFrame, rows: DataFrame, tau: int = TAU, min_chars: int
     def fetch(batches):
         bits, seen = np.frombuffer(wanted.value, np.int64), set()
         for b in batches:
-            lines = [x for t in b.column(0).to_pylist() for x in _fold(t) if len(x) >= min_chars]
+            lines = [x for text_lines in folded(b.column(0).to_pylist()) for x in text_lines if len(x) >= min_chars]
             lids = np.fromiter(map(line_id, lines), np.int64, count=len(lines))
             new = []
             for i in np.flatnonzero(in_bitmap(bits, lids.view(np.uint64))).tolist():
@@ -291,21 +392,35 @@ def line_rows(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text:
     """One row a document (n_lines set) and one a line of at least min_chars;
     ``segs`` has the index entries of one line in SAMPLE."""
     def run(batches):
+        plans = Plans(tau, False)
         for b in batches:
-            out = {c: [] for c in ("d1", "d2", "doc_id", "n_lines", "line_no", "lid", "segs")}
-            for t, d1, d2, i in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                lines = _fold(t) if t else []
-                rows = [(no, line_id(x), x) for no, x in enumerate(lines) if len(x) >= min_chars]
-                m = len(rows) + 1
-                out["d1"].extend([d1] * m), out["d2"].extend([d2] * m), out["doc_id"].extend([i] * m)
-                out["n_lines"].extend([len(lines)] + [None] * (m - 1))
-                out["line_no"].extend([None] + [r[0] for r in rows])
-                out["lid"].extend([None] + [r[1] for r in rows])
-                out["segs"].extend([None] + [
-                    None if h % SAMPLE else [_signed(segment_id(x, *p)) for p in plan_of(len(x), tau, False)]
-                    for _, h, x in rows])
-            yield pa.RecordBatch.from_pydict({
-                c: pa.array(v, pa.list_(pa.int64()) if c == "segs" else pa.int64()) for c, v in out.items()})
+            n_lines, times, numbers, lids, at, marked = [], [], [], [], [], []
+            texts = b.column(0).to_pylist()
+            for t, lines in zip(texts, folded(texts), strict=True):
+                lines = lines if t else []
+                n_lines.append(len(lines)), numbers.append(0), lids.append(0)  # the document's own row
+                before = len(lids)
+                for no, x in enumerate(lines):
+                    if len(x) >= min_chars:
+                        h = line_id(x)
+                        if not h % SAMPLE:
+                            at.append(len(lids)), marked.append(x)
+                        numbers.append(no), lids.append(h)
+                times.append(len(lids) - before + 1)
+            own = np.cumsum(times) - times
+            of = np.repeat(np.arange(len(times)), times)
+            is_own, no_segs = np.zeros(len(of), bool), np.ones(len(of), bool)
+            is_own[own], no_segs[at] = True, False
+            found = [segment_ids(marked[c], plans) for c in _chunks(marked)]
+            ends = np.zeros(len(of) + 1, np.int32)
+            ends[np.array(at, np.int64) + 1] = np.concatenate([np.zeros(0, np.int64), *(k for _, k in found)])
+            segs = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in found)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i).take(pa.array(of)) for i in (1, 2, 3)),
+                 pa.array(np.array(n_lines, np.int64)[of], mask=~is_own), pa.array(np.array(numbers, np.int64), mask=is_own),
+                 pa.array(np.array(lids, np.int64), mask=is_own),
+                 pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(segs), mask=pa.array(no_segs))],
+                names=["d1", "d2", "doc_id", "n_lines", "line_no", "lid", "segs"])
 
     src = docs.select(raw_text(text), *_doc_key(text, key), F.col(key).cast("long").alias("doc_id"))
     return bounded_batches(src, 500).mapInArrow(tidy(run), "d1 long, d2 long, doc_id long, n_lines long, line_no long, lid long, segs array<long>")

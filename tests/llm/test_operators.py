@@ -296,6 +296,65 @@ def test_common_segments_are_dealt(docs, monkeypatch):
     assert by_id(line_dedup.line_report(docs), "removed_lines") == want
 
 
+def test_folding_of_whole_batches():
+    import random
+    r = random.Random(8)
+    signs = [b" ", b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c", b"a", b"b", b"\xc3", b"\xa9", b"\xe2", b"\x82", b"\xff", b"\x1c", b"\x85", b"\xc2\xa0"]
+    for _ in range(4000):
+        texts = [b"".join(r.choices(signs, k=r.randrange(14) * r.randrange(2))) for _ in range(r.randrange(6))]
+        want = [[b" ".join(x.split()).decode("utf-8", "replace") for x in t.split(b"\n")] for t in texts]
+        assert list(line_dedup.folded(texts)) == want == list(map(line_dedup._fold, texts))
+
+
+@pytest.mark.parametrize("probing", [True, False])
+def test_segment_ids_name_the_segments(probing, monkeypatch):
+    """Ids agree exactly where indexed length, segment number and content do,
+    whatever lines are in front and wherever blocks of running sums end."""
+    import random
+    r = random.Random(9)
+    lines = ["".join(r.choice("abé𝄞 ") for _ in range(r.choice([0, 5, 12, 21, 24, 90]))) for _ in range(150)]
+    lines += [x[:-1] + "z" for x in lines] + lines[:20]
+    for chunk in (line_dedup.CHUNK, 64):
+        monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+        plans, found = line_dedup.Plans(2, probing), {}
+        for c in [slice(0, 1), *line_dedup._chunks(lines), slice(0, len(lines))]:
+            ids, times = line_dedup.segment_ids(lines[c], plans)
+            pieces = [(n, i, x[at:at + m]) for x in lines[c] for n, i, at, m in line_dedup.plan_of(len(x), 2, probing)]
+            assert times.sum() == len(ids) == len(pieces)
+            for p, g in zip(pieces, ids.tolist(), strict=True):
+                assert found.setdefault(p, g) == g
+        assert len(set(found.values())) == len(found) > 300
+
+
+def test_ids_of_segments_are_cheaper_than_hashing_each():
+    import random
+    import time
+
+    import xxhash
+    r = random.Random(10)
+    lines = ["".join(r.choices("abcdefgh ", k=r.randint(300, 400))) for _ in range(2000)]
+    plans = line_dedup.Plans(2, True)
+
+    def one_by_one():
+        for x in lines:
+            for at, end, seed in plans[len(x)].tolist():
+                xxhash.xxh3_64_intdigest(x[at:end], seed=seed)
+
+    def at_once():
+        for c in line_dedup._chunks(lines):
+            line_dedup.segment_ids(lines[c], plans)
+
+    def seconds(f):
+        took = []
+        for _ in range(4):  # the first fills the plans
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert seconds(at_once) < 0.7 * seconds(one_by_one)
+
+
 def test_short_lines(spark, tmp_path):
     """The query removes equal lines of any length, and near ones whose length
     allows an edit."""
