@@ -299,3 +299,11 @@ def test_facets_of_unchanged_species_are_kept(spark, tmp_path):
     assert {r.species for r in made.select("species").distinct().collect()} == {"T"}
     again = files()
     assert solve(old) == first and files() == again  # the first version is still there
+
+
+def test_rows_without_a_species_are_nobodys(spark, tmp_path):
+    rows = [(s, i, f"i{i}", 10.0 + i, 2000.0 + 100 * i, 5.0, 50.0 + 7 * i) for s in ("a", None) for i in range(4)]
+    catalog = spark.createDataFrame(rows, CAT_SCHEMA)
+    for _ in range(2):  # worked out, then kept
+        found = facets_of.of_catalog(catalog, str(tmp_path))
+        assert [r.species for r in found.facets.select("species").distinct().collect()] == ["a"]
